@@ -120,6 +120,41 @@ def exact_quantiles(
     return agg.select(*keys, "n", *outs)
 
 
+def row_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_cols: Sequence[str],
+    partitions: int | None = None,
+) -> DataFrame:
+    """Every row of ``df`` plus ``_rank`` (0-based position inside its key group
+    in ``order_cols`` order) and ``_total`` (rows in the group).
+
+    Same scheme as :func:`prefix_counts` but row-level: range partitioning by
+    ``(keys, order)``, ``row_number`` inside each slice, and an offsets table
+    of partitions x groups rows. Ties in ``order_cols`` are broken
+    arbitrarily, so the order should be unique or ties interchangeable.
+    NULL keys form their own group.
+    """
+    keys, order_cols = list(keys), list(order_cols)
+    p = _parts(df, partitions)
+    r = df.repartitionByRange(p, *[F.col(c) for c in [*keys, *order_cols]])
+    r = r.withColumn("_pid", F.spark_partition_id())
+    w_local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    local = r.withColumn("_run", F.row_number().over(w_local))
+    slices = local.groupBy("_pid", *keys).agg(F.max("_run").alias("_ptot"))
+    w_off = (Window.partitionBy(*keys).orderBy("_pid")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = slices.select(
+        F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+        F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
+        F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_total"))
+    cond = F.col("_pid") == F.col("_opid")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    out = local.join(offsets, cond)
+    return out.select(*df.columns, (F.col("_off") + F.col("_run") - 1).alias("_rank"), "_total")
+
+
 def ranked_values(df: DataFrame, col: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: count and rank interval ``[before, before+cnt)`` within its group."""
     t = df.select(*group_cols, F.col(col).cast("double").alias("v"))

@@ -28,8 +28,9 @@ def safe_corr(x: str, y: str) -> Column:
     both_y = F.when(cx.isNotNull(), cy)
     denom = F.stddev_pop(both_x) * F.stddev_pop(both_y)
     r = F.try_divide(F.covar_pop(cx, cy), F.when(denom > 0, denom))
-    # clamp rounding noise just outside [-1, 1]
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # clamp rounding noise just outside [-1, 1]; greatest/least skip NULLs, so
+    # the NULL of a constant column is kept explicitly
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def sample_skewness(c: Column) -> Column:
@@ -82,12 +83,25 @@ def norm_ppf(p: Column) -> Column:
             .otherwise(central))
 
 
+def round_stable(x: Column, digits: int = 6, significant: int = 11) -> Column:
+    """Round to ``digits`` decimals, or to ``significant`` digits for large values.
+
+    Engines sum in different orders, so large statistics (a variance of 3e11)
+    differ in the last bits; both sides of a comparison round this way.
+    """
+    a = F.abs(x)
+    out = F.when(a < 10.0 ** (significant - digits), F.round(x, digits))
+    for e in range(significant - digits, 23):
+        out = out.when(a < 10.0 ** (e + 1), F.round(x, significant - 1 - e))
+    return out.otherwise(x)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double/float column (used for engine-independent comparison)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(round_stable(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

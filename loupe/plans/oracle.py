@@ -15,11 +15,15 @@ def sql(name: str, text: str) -> None:
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    """6 decimals, or 11 significant digits for |x| >= 1e5 (same rule as the Spark side)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < 1e5 THEN round({x}, 6) "
+            f"WHEN abs({x}) < 1e23 THEN round({x}, CAST(10 - floor(log10(abs({x}))) AS INTEGER)) "
+            f"ELSE {x} END)")
 
 
 def pct(num: str, den: str) -> str:
-    return f"round(CAST({num} AS DOUBLE) * 100.0 / CAST({den} AS DOUBLE), 6)"
+    return r6(f"CAST({num} AS DOUBLE) * 100.0 / CAST({den} AS DOUBLE)")
 
 
 def tall(src: str, cols: list[str], value: str = "CAST({c} AS DOUBLE)") -> str:
