@@ -83,17 +83,18 @@ def norm_ppf(p: Column) -> Column:
             .otherwise(central))
 
 
-def round_stable(x: Column, digits: int = 6, significant: int = 11) -> Column:
+def round_stable(name: str, digits: int = 6, significant: int = 11) -> Column:
     """Round to ``digits`` decimals, or to ``significant`` digits for large values.
 
     Engines sum in different orders, so large statistics (a variance of 3e11)
-    differ in the last bits; both sides of a comparison round this way.
+    differ in the last bits; both sides of a comparison round this way. Built
+    as one SQL expression (a single call into the JVM).
     """
-    a = F.abs(x)
-    out = F.when(a < 10.0 ** (significant - digits), F.round(x, digits))
+    x = f"CAST(`{name}` AS DOUBLE)"
+    branches = [f"WHEN abs({x}) < 1e{significant - digits} THEN round({x}, {digits})"]
     for e in range(significant - digits, 23):
-        out = out.when(a < 10.0 ** (e + 1), F.round(x, significant - 1 - e))
-    return out.otherwise(x)
+        branches.append(f"WHEN abs({x}) < 1e{e + 1} THEN round({x}, {significant - 1 - e})")
+    return F.expr(f"CASE {' '.join(branches)} ELSE {x} END")
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -101,7 +102,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(round_stable(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(round_stable(f.name, digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

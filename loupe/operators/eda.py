@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.gram import pairwise_moments, pearson_from_moments
 from loupe.functions.ranks import exact_quantiles, row_ranks, tall_values
 from loupe.functions.roles import column_roles
 from loupe.functions.stats import as_double, norm_ppf, safe_corr, sample_kurtosis, sample_skewness
@@ -130,26 +131,13 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
 # ---------------------------------------------------------------- C9 - C12 correlation, moments
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Full Pearson matrix ``col_a, col_b, correlation`` in one aggregate.
+    """Full Pearson matrix ``col_a, col_b, correlation``.
 
     Pairwise-complete rows; NULL where a side is constant; the diagonal is 1
-    unless the column is constant.
+    unless the column is constant. Computed from partition-local masked Gram
+    matrices (see :mod:`loupe.functions.gram`): one scan, k^2-row shuffle.
     """
-    cols = list(cols)
-    structs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                    safe_corr(f"_{a}", f"_{b}").alias("correlation")))
-    base = df.select(*[as_double(c).alias(f"_{c}") for c in cols])
-    upper = _explode_structs(base, structs)
-    diag = F.col("col_a") == F.col("col_b")
-    fixed = upper.select("col_a", "col_b",
-                         F.when(diag & F.col("correlation").isNotNull(), F.lit(1.0))
-                         .otherwise(F.col("correlation")).alias("correlation"))
-    mirrored = fixed.where(~diag).select(F.col("col_b").alias("col_a"),
-                                         F.col("col_a").alias("col_b"), "correlation")
-    return fixed.unionByName(mirrored)
+    return pearson_from_moments(pairwise_moments(df, cols))
 
 
 def target_correlation(corr: DataFrame, target: str, digits: int = 3) -> DataFrame:
