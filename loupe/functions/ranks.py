@@ -1,18 +1,21 @@
 """Exact order statistics without a single-task window.
 
-A global ``Window.orderBy`` (or one partition per column) moves every
-distinct value of a group into one task. Here ranks are computed the way a
+A global ``Window.orderBy`` (or one window partition per column) moves every
+value of a group into one task. Here ranks are computed the way a
 distributed sort does it:
 
-1. collapse to distinct ``(keys, value) -> cnt`` (map-side combine, so a hot
-   value holding a third of the rows is one row after the partial aggregate);
-2. range-partition by ``(keys, value)``: each task gets a contiguous slice;
-3. running sums inside each ``(partition, key)`` slice, plus a tiny table of
-   slice totals (partitions x groups rows) turned into offsets.
-
-The offsets table is joined back by ``(partition, keys)``; AQE broadcasts it
-when its measured size is small and shuffles it otherwise. Both branches read
-the same range exchange (Spark reuses it), so partition ids agree.
+1. (for counts) collapse to distinct ``(keys, value) -> cnt`` with map-side
+   combine, so a hot value holding a third of the rows is one row;
+2. cut the ``(keys, order)`` space into slices with sampled bounds: a small
+   distinct sample (about 16 rows per slice) is sorted by Spark, every k-th
+   row becomes a bound, and the slice id is a balanced binary ``CASE`` tree
+   over those literals -- a pure function of the row, so every branch and
+   every retry computes the same id;
+3. running sums inside each ``(keys, slice)`` window partition, plus a tiny
+   table of slice totals (slices x groups rows) turned into offsets.
+
+The offsets table is joined back by ``(keys, slice)``; AQE broadcasts it
+when its measured size is small and shuffles it otherwise.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLE_PER_SLICE = 16
+_HASH_SPACE = 1 << 20
+
 
 def _parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -29,6 +35,54 @@ def _parts(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def slice_bounds(df: DataFrame, cols: Sequence[str], slices: int) -> list[tuple]:
+    """Up to ``slices - 1`` increasing bounds of ``struct(cols)`` from a distinct sample.
+
+    Sample size is about ``SAMPLE_PER_SLICE * slices`` values whatever the
+    table size (hash-threshold sampling of distinct values, rate from an
+    HLL count), so the driver only ever sees a bounded list.
+    """
+    cols = list(cols)
+    if slices <= 1:
+        return []
+    target = SAMPLE_PER_SLICE * slices
+    h = F.xxhash64(*[F.col(c) for c in cols])
+    nd = df.agg(F.approx_count_distinct(h).alias("n")).collect()[0]["n"] or 0
+    d = df.select(*cols)
+    if nd > 2 * target:
+        keep = int(_HASH_SPACE * target / nd) + 1
+        d = d.where(F.pmod(h, F.lit(_HASH_SPACE)) < keep)
+    rows = d.distinct().orderBy(*cols).collect()
+    if not rows:
+        return []
+    step = len(rows) / slices
+    out: list[tuple] = []
+    for i in range(1, slices):
+        b = tuple(rows[min(len(rows) - 1, int(i * step))])
+        if not out or b != out[-1]:
+            out.append(b)
+    return out
+
+
+def slice_of(df: DataFrame, cols: Sequence[str], bounds: list[tuple]) -> Column:
+    """Number of bounds <= ``struct(cols)`` as a balanced CASE tree (depth log2 of slices)."""
+    cols = list(cols)
+    if not bounds:
+        return F.lit(0)
+    types = [df.schema[c].dataType for c in cols]
+    x = F.struct(*[F.col(c).alias(c) for c in cols])
+    lits = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, cols)])
+            for b in bounds]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(x < lits[mid - 1], tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    return tree(0, len(bounds))
+
+
 def prefix_counts(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,29 +99,26 @@ def prefix_counts(
     """
     keys = list(keys)
     measure = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
-    nonnull = [F.col(c).isNotNull() for c in [*keys, order]]
-    cond = nonnull[0]
-    for c in nonnull[1:]:
-        cond = cond & c
-    g = df.where(cond).groupBy(*keys, order).agg(measure.alias("cnt"))
-
-    p = _parts(df, partitions)
-    r = g.repartitionByRange(p, *[F.col(k) for k in keys], F.col(order))
-    r = r.withColumn("_pid", F.spark_partition_id())
-
-    w_local = (Window.partitionBy("_pid", *keys).orderBy(order)
+    cond = F.lit(True)
+    for c in [*keys, order]:
+        cond = cond & F.col(c).isNotNull()
+    src = df.where(cond)
+    g = src.groupBy(*keys, order).agg(measure.alias("cnt"))
+    bounds = slice_bounds(src, [*keys, order], _parts(df, partitions))
+    g = g.withColumn("_s", slice_of(src, [*keys, order], bounds))
+
+    w_local = (Window.partitionBy(*keys, "_s").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = r.withColumn("_run", F.sum("cnt").over(w_local))
-
-    slices = local.groupBy("_pid", *keys).agg(F.max("_run").alias("_ptot"))
-    w_off = (Window.partitionBy(*keys).orderBy("_pid")
+    local = g.withColumn("_run", F.sum("cnt").over(w_local))
+    slices = g.groupBy(*keys, "_s").agg(F.sum("cnt").alias("_ptot"))
+    w_off = (Window.partitionBy(*keys).orderBy("_s")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = slices.select(
-        "_pid", *keys,
+        *keys, "_s",
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
         F.sum("_ptot").over(Window.partitionBy(*keys)).alias("total"),
     )
-    out = local.join(offsets, ["_pid", *keys])
+    out = local.join(offsets, [*keys, "_s"])
     return out.select(
         *keys, order, "cnt",
         (F.col("_off") + F.col("_run") - F.col("cnt")).alias("before"),
@@ -129,26 +180,24 @@ def row_ranks(
     """Every row of ``df`` plus ``_rank`` (0-based position inside its key group
     in ``order_cols`` order) and ``_total`` (rows in the group).
 
-    Same scheme as :func:`prefix_counts` but row-level: range partitioning by
-    ``(keys, order)``, ``row_number`` inside each slice, and an offsets table
-    of partitions x groups rows. Ties in ``order_cols`` are broken
-    arbitrarily, so the order should be unique or ties interchangeable.
-    NULL keys form their own group.
+    Same scheme as :func:`prefix_counts` but row-level. Ties in
+    ``order_cols`` are broken arbitrarily, so the order should be unique or
+    tied rows interchangeable (identical copies). NULL keys form their own
+    group.
     """
     keys, order_cols = list(keys), list(order_cols)
-    p = _parts(df, partitions)
-    r = df.repartitionByRange(p, *[F.col(c) for c in [*keys, *order_cols]])
-    r = r.withColumn("_pid", F.spark_partition_id())
-    w_local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    bounds = slice_bounds(df, [*keys, *order_cols], _parts(df, partitions))
+    r = df.withColumn("_s", slice_of(df, [*keys, *order_cols], bounds))
+    w_local = Window.partitionBy(*keys, "_s").orderBy(*order_cols)
     local = r.withColumn("_run", F.row_number().over(w_local))
-    slices = local.groupBy("_pid", *keys).agg(F.max("_run").alias("_ptot"))
-    w_off = (Window.partitionBy(*keys).orderBy("_pid")
+    slices = r.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_ptot"))
+    w_off = (Window.partitionBy(*keys).orderBy("_s")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = slices.select(
-        F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+        F.col("_s").alias("_os"), *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
         F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_total"))
-    cond = F.col("_pid") == F.col("_opid")
+    cond = F.col("_s") == F.col("_os")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
     out = local.join(offsets, cond)

@@ -207,5 +207,5 @@ _issues()
 
 
 def oracle_sql() -> dict[str, str]:
-    from loupe.plans import oracle_more  # noqa: F401  (registers the remaining sections)
+    from loupe.plans import oracle_more, oracle_prep, oracle_eval  # noqa: F401  (register sections)
     return dict(ORACLE)
