@@ -126,6 +126,46 @@ def prefix_counts(
     )
 
 
+def cumulative(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    measures: dict,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Per distinct ``(keys, order)``: each measure and its sum over smaller orders.
+
+    ``measures`` maps output names to aggregate Columns (e.g. positives and
+    negatives at a score). Output: ``keys..., order, m..., m_before...,
+    m_total...``. Same slicing scheme as :func:`prefix_counts`.
+    """
+    keys = list(keys)
+    names = list(measures)
+    cond = F.lit(True)
+    for c in [*keys, order]:
+        cond = cond & F.col(c).isNotNull()
+    src = df.where(cond)
+    g = src.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()])
+    bounds = slice_bounds(src, [*keys, order], _parts(df, partitions))
+    g = g.withColumn("_s", slice_of(src, [*keys, order], bounds))
+    w_local = (Window.partitionBy(*keys, "_s").orderBy(order)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    local = g.select("*", *[F.coalesce(F.sum(n).over(w_local), F.lit(0)).alias(f"_r_{n}")
+                            for n in names])
+    slices = g.groupBy(*keys, "_s").agg(*[F.sum(n).alias(f"_p_{n}") for n in names])
+    w_off = (Window.partitionBy(*keys).orderBy("_s")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy(*keys)
+    offsets = slices.select(
+        *keys, "_s",
+        *[F.coalesce(F.sum(f"_p_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}") for n in names],
+        *[F.sum(f"_p_{n}").over(whole).alias(f"{n}_total") for n in names])
+    out = local.join(offsets, [*keys, "_s"])
+    return out.select(*keys, order, *names,
+                      *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(f"{n}_before") for n in names],
+                      *[f"{n}_total" for n in names])
+
+
 def tall_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group..., column, v)`` with ``v`` the double value; NULL/NaN dropped."""
     from loupe.functions.stats import as_double
