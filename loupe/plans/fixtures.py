@@ -84,13 +84,16 @@ def preds_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
                        *[F.round(raw[k] / total, 6).alias(f"p{k}") for k in range(3)])
 
 
+# (l_orderkey, l_linenumber) repeats in the driver data; with part and supplier it is unique
+LINEITEM_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def planted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem features with a planted rule label and a deterministic 20 % hold-out."""
     li = load(spark, sf_dir, "lineitem")
     label = F.when((F.col("l_quantity") > 25) & (F.col("l_discount") > 0.04), 1).otherwise(0)
     return li.select(
-        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"),
-                 F.col("l_linenumber").cast("string")).alias("row_key"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in LINEITEM_KEY]).alias("row_key"),
         "l_quantity", "l_discount", "l_tax", "l_extendedprice",
         label.cast("int").alias("label"),
         F.when(F.col("l_orderkey") % 5 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),

@@ -201,9 +201,10 @@ _mom = union([
 sql("q_moments", f"WITH {DIRTY}\n{_mom}")
 
 sql("q_sample_cap", """
-SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
-ORDER BY md5(concat(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)), ':42')),
-         l_orderkey, l_linenumber
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+ORDER BY md5(concat(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                              CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)), ':42')),
+         l_orderkey, l_linenumber, l_partkey, l_suppkey
 LIMIT 100000""")
 
 sql("q_value_counts", f"""

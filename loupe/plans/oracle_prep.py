@@ -10,7 +10,8 @@ PLANTED = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 PLANTED_CTE = """
 planted AS (
-  SELECT concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS row_key,
+  SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                   CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS row_key,
          l_quantity, l_discount, l_tax, l_extendedprice,
          CAST(CASE WHEN l_quantity > 25 AND l_discount > 0.04 THEN 1 ELSE 0 END AS INTEGER) AS label,
          CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split
@@ -191,3 +192,67 @@ tr AS (SELECT target, count(*) AS k FROM strat WHERE split = 'train' GROUP BY ta
 SELECT CAST(target AS VARCHAR) AS class_value, CAST(k AS BIGINT) AS count,
        round(CAST(k AS DOUBLE) * 100.0 / sum(k) OVER (), 2) AS percentage
 FROM tr""")
+
+
+# ---------------------------------------------------------------- F: models (SQL-expressible ones)
+
+sql("q_model_majority", f"""
+WITH {PLANTED_CTE},
+m AS (SELECT label AS mode FROM planted WHERE split = 'train' GROUP BY label
+      ORDER BY count(*) DESC, label LIMIT 1)
+SELECT row_key, label, CAST(m.mode AS INTEGER) AS prediction,
+       CASE WHEN m.mode = 0 THEN 0.8 ELSE 0.2 END AS p0,
+       CASE WHEN m.mode = 1 THEN 0.8 ELSE 0.2 END AS p1,
+       CASE WHEN m.mode = 1 THEN 0.8 ELSE 0.2 END AS score
+FROM planted JOIN m ON TRUE WHERE split = 'test'""")
+
+_F = PLANTED
+_var_max = "greatest(" + ", ".join(f"var_pop({f})" for f in _F) + ")"
+_cs = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in _F)
+_cs2 = ", ".join(f"m_{f}, v_{f} + e AS v_{f}" for f in _F)
+_norm = " + ".join(f"ln(2 * pi() * v_{f})" for f in _F)
+_quad = " - ".join(f"pow(te.{f} - m_{f}, 2) / (2 * v_{f})" for f in _F)
+sql("q_model_gnb", f"""
+WITH {PLANTED_CTE},
+tr AS (SELECT * FROM planted WHERE split = 'train'),
+te AS (SELECT * FROM planted WHERE split = 'test'),
+eps AS (SELECT 1e-9 * {_var_max} AS e FROM tr),
+cs AS (SELECT label AS cls, count(*) AS n, {_cs} FROM tr GROUP BY label),
+cs2 AS (SELECT cls, ln(CAST(n AS DOUBLE) / (SELECT count(*) FROM tr)) AS lp, {_cs2}
+        FROM cs JOIN eps ON TRUE),
+jl AS (SELECT te.row_key, te.label, cs2.cls,
+              lp - 0.5 * ({_norm}) - {_quad} AS jll
+       FROM te JOIN cs2 ON TRUE),
+b AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY jll DESC, cls) AS rn FROM jl)
+SELECT row_key, label, cls AS prediction FROM b WHERE rn = 1""")
+
+sql("q_model_knn", """
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS BIGINT) AS label
+           FROM embeddings),
+tr AS (SELECT * FROM e WHERE id % 5 <> 0),
+te AS (SELECT * FROM e WHERE id % 5 = 0),
+d AS (SELECT te.id AS row_id, te.label, tr.id AS train_id, tr.label AS nb_label,
+             list_distance(te.vec, tr.vec) AS dist
+      FROM te JOIN tr ON TRUE),
+nn AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, train_id) AS r FROM d),
+v AS (SELECT row_id, label, nb_label, count(*) AS votes FROM nn WHERE r <= 5 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, nb_label) AS rr FROM v)
+SELECT row_id, label, nb_label AS prediction FROM b WHERE rr = 1""")
+
+sql("q_cv_folds", f"""
+WITH {DIRTY},
+m AS (SELECT min(k) AS min_class_count FROM (SELECT target, count(*) AS k FROM dirty GROUP BY target))
+SELECT CAST(min_class_count AS BIGINT) AS min_class_count,
+       CAST(least(10, min_class_count) AS BIGINT) AS max_folds,
+       CAST(CASE WHEN least(10, min_class_count) < 2 THEN 2 ELSE least(5, least(10, min_class_count)) END
+            AS BIGINT) AS folds,
+       least(10, min_class_count) >= 2 AS search_enabled
+FROM m""")
+
+sql("q_cv_fold_assignment", f"""
+WITH {DIRTY}
+SELECT o_orderkey, target,
+       CAST((row_number() OVER (PARTITION BY target
+             ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), ':42')), o_orderkey) - 1) % 5 AS INTEGER)
+         AS fold
+FROM dirty""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loupe.operators import eda as E
 from loupe.plans.catalog import register
-from loupe.plans.fixtures import dirty_orders
+from loupe.plans.fixtures import LINEITEM_KEY, dirty_orders
 from loupe.plans.q_profile import LINEITEM_NUM
 from loupe.sources.tables import load
 
@@ -90,8 +90,9 @@ def q_qq_fit(spark, sf):
 @register("q_sample_cap")
 def q_sample_cap(spark, sf):
     """C14: at most 100,000 lineitem rows by a seeded hash order."""
-    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return E.sample_cap(li, ["l_orderkey", "l_linenumber"], E.QQ_SAMPLE_CAP, 42)
+    key = list(LINEITEM_KEY)
+    li = load(spark, sf, "lineitem").select(*key, "l_extendedprice")
+    return E.sample_cap(li, key, E.QQ_SAMPLE_CAP, 42)
 
 
 @register("q_boxplot_by_class")

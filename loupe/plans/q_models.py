@@ -1 +1,157 @@
-"""(filled in below)."""
+"""Model queries (F1-F10) on the planted-rule lineitem table and on embeddings."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
+
+from loupe.operators import models as M
+from loupe.operators import split as SP
+from loupe.plans.catalog import register
+from loupe.plans.fixtures import dirty_orders, planted_lineitem
+from loupe.plans.q_prep import PLANTED_FEATURES
+from loupe.sources.tables import load
+
+OUT = ["row_key", "label", "prediction", "p0", "p1", "score"]
+
+
+def _planted(spark, sf):
+    d = planted_lineitem(spark, sf)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+
+
+@register("q_model_majority")
+def q_model_majority(spark, sf):
+    """the rule-based model = train mode, probabilities .8/.2, on the planted test rows."""
+    train, test = _planted(spark, sf)
+    return M.predict_majority(test, M.fit_majority(train, "label"), 2).select(*OUT)
+
+
+@register("q_model_gnb")
+def q_model_gnb(spark, sf):
+    """Gaussian naive Bayes (var_smoothing 1e-9) predictions on the planted test rows."""
+    train, test = _planted(spark, sf)
+    m = M.fit_gnb(train, PLANTED_FEATURES, "label", 1e-9)
+    return M.predict_gnb(test, m).select("row_key", "label", "prediction")
+
+
+def _embeddings(spark, sf):
+    e = load(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"),
+        F.col("label").cast("long").alias("label"))
+    test = F.col("id") % 5 == 0
+    return e.where(~test), e.where(test)
+
+
+@register("q_model_knn")
+def q_model_knn(spark, sf):
+    """exact 5-NN (euclidean, uniform vote) of the held-out embeddings."""
+    train, test = _embeddings(spark, sf)
+    cand = M.knn_candidates(train, test, 5, "euclidean")
+    pred = M.knn_vote(cand, 5, "uniform")
+    return test.select(F.col("id").alias("row_id"), "label").join(
+        pred.withColumnRenamed("test_id", "row_id"), "row_id")
+
+
+def _mllib(spark, sf, name, **params):
+    train, test = _planted(spark, sf)
+    n = train.count()
+    if name in ("logistic_regression", "svm"):
+        params.setdefault("regParam", 1.0 / (1.0 * n))  # C = 1
+    model = M.fit_mllib(train, PLANTED_FEATURES, name, "label", **params)
+    platt = M.platt_scale(model, train) if name == "svm" else None
+    return M.predict_mllib(model, test, 2, platt).select(*OUT)
+
+
+@register("q_model_logreg")
+def q_model_logreg(spark, sf):
+    """logistic regression (C = 1) on the planted rule."""
+    return _mllib(spark, sf, "logistic_regression")
+
+
+@register("q_model_tree")
+def q_model_tree(spark, sf):
+    """decision tree (unbounded depth -> 30, min split 2) on the planted rule."""
+    return _mllib(spark, sf, "decision_tree")
+
+
+@register("q_model_forest")
+def q_model_forest(spark, sf):
+    """random forest (100 trees, sqrt features) on the planted rule."""
+    return _mllib(spark, sf, "random_forest", numTrees=100, maxDepth=30)
+
+
+@register("q_model_svm")
+def q_model_svm(spark, sf):
+    """linear SVM (C = 1) with Platt-scaled probabilities."""
+    return _mllib(spark, sf, "svm")
+
+
+def _search(spark, sf, name, grid_fn, n_draws=None):
+    train, _ = _planted(spark, sf)
+    folds = SP.fold_count(train, "label").collect()[0]["folds"]
+    train = SP.cv_folds(train, "label", ["row_key"], int(folds), 42, "fold")
+    est = M.estimator(name, "label")
+    pipe_asm = M.assembler(PLANTED_FEATURES)
+    data = pipe_asm.transform(train)
+    grid, labels = grid_fn(est, data.count())
+    if n_draws is not None and len(grid) > n_draws:
+        pick = sorted(random.Random(42).sample(range(len(grid)), n_draws))
+        grid, labels = [grid[i] for i in pick], [labels[i] for i in pick]
+    ev = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
+                        numFolds=int(folds),
+                        parallelism=4, seed=42)
+    fitted = cv.fit(data)
+    rows = [(name, labels[i], float(m)) for i, m in enumerate(fitted.avgMetrics)]
+    df = spark.createDataFrame(rows, "model string, params string, mean_f1 double")
+    from pyspark.sql import Window
+    return df.select("*", F.row_number().over(
+        Window.orderBy(F.col("mean_f1").desc(), F.col("params"))).alias("rank"))
+
+
+def _lr_grid(est, n):
+    cs = [0.01, 0.1, 1.0, 10.0]
+    b = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in cs]).build()
+    return b, [f"C={c}" for c in cs]
+
+
+def _tree_grid(est, n):
+    depths, splits, crit = [3, 5, 10, 30], [2, 5, 10], ["gini", "entropy"]
+    grid, labels = [], []
+    for d in depths:
+        for s in splits:
+            for c in crit:
+                grid.append({est.maxDepth: d, est.minInstancesPerNode: max(1, s // 2),
+                             est.impurity: c})
+                labels.append(f"max_depth={'None' if d == 30 else d},min_samples_split={s},"
+                              f"criterion={c}")
+    return grid, labels
+
+
+@register("q_grid_search")
+def q_grid_search(spark, sf):
+    """F8: stratified 5-fold grid search of logistic regression C, scored by weighted F1."""
+    return _search(spark, sf, "logistic_regression", _lr_grid)
+
+
+@register("q_random_search")
+def q_random_search(spark, sf):
+    """10 seeded draws from the 24-point decision-tree grid, 5-fold CV."""
+    return _search(spark, sf, "decision_tree", _tree_grid, n_draws=10)
+
+
+@register("q_cv_folds")
+def q_cv_folds(spark, sf):
+    """fold count from the smallest class of dirty_orders.target."""
+    return SP.fold_count(dirty_orders(spark, sf), "target")
+
+
+@register("q_cv_fold_assignment")
+def q_cv_fold_assignment(spark, sf):
+    """stratified 5-fold assignment of dirty_orders in seeded hash order."""
+    d = dirty_orders(spark, sf).select("o_orderkey", "target")
+    return SP.cv_folds(d, "target", ["o_orderkey"], 5, 42)
