@@ -177,23 +177,50 @@ def tall_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     return t.select(*group_cols, "_it.column", "_it.v").where(F.col("v").isNotNull())
 
 
+# An exact ``percentile`` aggregate keeps a value -> count map per group; it is
+# used only when an HLL estimate bounds every group's distinct values by this.
+EXACT_MAP_LIMIT = 1_000_000
+
+
+def distinct_upper_bound(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> int:
+    """Largest HLL distinct-count estimate of any column in any group (+5 % margin)."""
+    est = [F.approx_count_distinct(F.col(c), 0.02).alias(f"_d{i}") for i, c in enumerate(cols)]
+    rows = df.groupBy(*group_cols).agg(*est).collect() if group_cols else [df.agg(*est).collect()[0]]
+    worst = max((r[f"_d{i}"] or 0) for r in rows for i in range(len(cols))) if rows else 0
+    return int(worst * 1.05) + 1
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     group_cols: Sequence[str] = (),
     names: Sequence[str] | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL ``quantile_cont``).
 
     Returns one row per ``(group..., column)`` with the non-null count ``n``
     and one column per probability (named ``names`` or ``q<p>``).
+
+    ``method="auto"`` checks the distinct counts first: under
+    :data:`EXACT_MAP_LIMIT` the built-in ``percentile`` aggregate is exact and
+    bounded (one pass, map-side partial maps); above it the distributed rank
+    path (:func:`prefix_counts`) is used, whose per-task state does not grow
+    with the column.
     """
-    keys = [*group_cols, "column"]
-    pc = prefix_counts(tall_values(df, cols, group_cols), keys, "v")
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
+    keys = [*group_cols, "column"]
+    if method == "auto":
+        bound = distinct_upper_bound(df, cols, group_cols)
+        method = "percentile" if bound <= EXACT_MAP_LIMIT else "ranks"
+    t = tall_values(df, cols, group_cols)
+    if method == "percentile":
+        agg = t.groupBy(*keys).agg(F.count("v").alias("n"),
+                                   F.percentile(F.col("v"), [float(p) for p in probs]).alias("_q"))
+        return agg.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    pc = prefix_counts(t, keys, "v")
     aggs = []
-    lo_hi = []
     for p, name in zip(probs, names):
         pos = (F.col("total") - 1).cast("double") * F.lit(float(p))
         lo = F.floor(pos)
@@ -202,10 +229,9 @@ def exact_quantiles(
         aggs.append(F.max(F.when(in_row(lo), F.col("v"))).alias(f"_{name}_lo"))
         aggs.append(F.max(F.when(in_row(hi), F.col("v"))).alias(f"_{name}_hi"))
         aggs.append(F.max(pos - lo).alias(f"_{name}_f"))
-        lo_hi.append(name)
     agg = pc.groupBy(*keys).agg(F.max("total").alias("n"), *aggs)
     outs = []
-    for name in lo_hi:
+    for name in names:
         a, b, f = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
         outs.append(F.when(f == 0, a).otherwise(a + (b - a) * f).alias(name))
     return agg.select(*keys, "n", *outs)

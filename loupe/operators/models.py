@@ -190,12 +190,14 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
         return LogisticRegression(labelCol=label, maxIter=1000, standardization=False,
                                   regParam=params.get("regParam", 1.0 / 1000), **wc)
     if name == "decision_tree":
-        return DecisionTreeClassifier(labelCol=label, seed=42, maxBins=256,
+        return DecisionTreeClassifier(labelCol=label, seed=42, maxBins=256, maxMemoryInMB=1024,
+                                      cacheNodeIds=True,
                                       maxDepth=params.get("maxDepth", 30),
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),
                                       impurity=params.get("impurity", "gini"), **wc)
     if name == "random_forest":
-        return RandomForestClassifier(labelCol=label, seed=42, maxBins=256,
+        return RandomForestClassifier(labelCol=label, seed=42, maxBins=256, maxMemoryInMB=1024,
+                                      cacheNodeIds=True,
                                       numTrees=params.get("numTrees", 100),
                                       maxDepth=params.get("maxDepth", 30),
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),

@@ -206,6 +206,37 @@ UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM kinds""")
 _issues()
 
 
+def _report() -> None:
+    ctes = _issue_ctes()
+    null = "CAST(NULL AS VARCHAR)"
+    nd = "CAST(NULL AS DOUBLE)"
+
+    def two(src, section, item, a, b):
+        return (f"SELECT '{section}' AS section, concat_ws(':', {item}, 'count') AS item, "
+                f"{r6(a)} AS value, {null} AS text FROM {src} UNION ALL "
+                f"SELECT '{section}', concat_ws(':', {item}, 'percentage'), {r6(b)}, {null} FROM {src}")
+    sql("q_report_tables", f"""
+WITH {ctes},
+k AS (SELECT count(DISTINCT target) AS k FROM dirty)
+SELECT 'overview' AS section, 'samples' AS item, CAST(n AS DOUBLE) AS value, {null} AS text FROM n_rows
+UNION ALL SELECT 'overview', 'features', {float(len(DIRTY_COLS) - 1)}, {null}
+UNION ALL SELECT 'overview', 'target', {nd}, 'target'
+UNION ALL SELECT 'overview', 'classes', CAST(k AS DOUBLE), {null} FROM k
+UNION ALL SELECT 'overview', 'problem_type', {nd},
+                 CASE WHEN k = 2 THEN 'Binary' ELSE 'Multiclass' END FROM k
+UNION ALL SELECT 'overview', 'numerical_features', {float(len(DIRTY_NUM))}, {null}
+UNION ALL SELECT 'overview', 'categorical_features', {float(len(DIRTY_CAT))}, {null}
+UNION ALL {two('d_imbalance', 'class_distribution', 'class_value', 'class_count', 'class_percentage')}
+UNION ALL {two('d_missing', 'missing_values', 'column_name', 'missing_count', 'missing_percentage')}
+UNION ALL {two('d_outliers', 'outliers', 'column_name', 'outlier_count', 'outlier_percentage')}
+UNION ALL SELECT 'class_imbalance', 'is_imbalanced', max(CAST(is_imbalanced AS DOUBLE)), {null}
+          FROM d_imbalance
+UNION ALL SELECT 'class_imbalance', 'imbalance_ratio', max(imbalance_ratio), {null} FROM d_imbalance""")
+
+
+_report()
+
+
 def oracle_sql() -> dict[str, str]:
     from loupe.plans import oracle_more, oracle_prep, oracle_eval  # noqa: F401  (register sections)
     return dict(ORACLE)

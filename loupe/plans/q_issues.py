@@ -59,3 +59,10 @@ def q_issue_count(spark, sf):
 def q_issue_report(spark, sf):
     """The combined tall issue report."""
     return I.issue_report(dirty_orders(spark, sf), TARGET)
+
+
+@register("q_report_tables")
+def q_report_tables(spark, sf):
+    """H1: the data report (overview, classes, missing, outliers, imbalance) as one table."""
+    from loupe.operators.report import report_tables
+    return report_tables(dirty_orders(spark, sf), TARGET)

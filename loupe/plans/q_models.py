@@ -58,6 +58,11 @@ def q_model_knn(spark, sf):
 
 def _mllib(spark, sf, name, **params):
     train, test = _planted(spark, sf)
+    if name in ("logistic_regression", "svm"):
+        # the reference scales features before training (standard scaler fitted on train)
+        from loupe.operators import scale as S
+        sp = S.fit_standard(train, PLANTED_FEATURES)
+        train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
     n = train.count()
     if name in ("logistic_regression", "svm"):
         params.setdefault("regParam", 1.0 / (1.0 * n))  # C = 1
