@@ -140,7 +140,7 @@ def _block_topk(k: int, metric: str):
 
 
 def knn_candidates(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean",
-                   block_rows: int = 2048) -> DataFrame:
+                   block_rows: int = 2048, by: str | None = None) -> DataFrame:
     """Exact k nearest train rows of every test row: ``test_id, train_id, dist, nb_label, nb_rank``.
 
     Inputs have ``id`` (long), ``vec`` (array<double>) and (train) ``label``.
@@ -155,12 +155,22 @@ def knn_candidates(train: DataFrame, test: DataFrame, k: int, metric: str = "euc
     n_test = test.count()
     rb = max(1, math.ceil(n_train / block_rows))
     tb = max(1, math.ceil(n_test / block_rows))
-    tr = train.select("id", "vec", "label", F.pmod(F.xxhash64("id"), F.lit(rb)).alias("_rb"))
-    te = test.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(tb)).alias("_tb"))
-    # each test block meets every train block once
+    g = [by] if by else []
+    # fresh aliases: the two sides may be the same DataFrame (SMOTE), and a
+    # self-cogroup must not share attribute ids
+    tr = train.select(F.col("id").alias("id"), F.col("vec").alias("vec"),
+                      F.col("label").alias("label"),
+                      *([] if by == "label" else [F.col(c).alias(c) for c in g]),
+                      F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int").alias("_rb"))
+    te = test.select(F.col("id").alias("id"), F.col("vec").alias("vec"),
+                     *[F.col(c).alias(c) for c in g],
+                     F.pmod(F.xxhash64("id"), F.lit(tb)).cast("int").alias("_tb"))
+    # each test block meets every train block once (within the same ``by`` group);
+    # block ids must have one type on both sides or the cogroup hashes them apart
     tr_x = tr.select("*", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_tb"))
     te_x = te.select("*", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("_rb"))
-    cand = te_x.groupBy("_tb", "_rb").cogroup(tr_x.groupBy("_tb", "_rb")).applyInPandas(
+    keys = [*g, "_tb", "_rb"]
+    cand = te_x.groupBy(*keys).cogroup(tr_x.groupBy(*keys)).applyInPandas(
         _block_topk(k, metric), "test_id long, train_id long, dist double, nb_label long")
     w = Window.partitionBy("test_id").orderBy("dist", "train_id")
     return cand.select("*", F.row_number().over(w).alias("nb_rank")).where(F.col("nb_rank") <= k)

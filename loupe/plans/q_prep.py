@@ -186,3 +186,13 @@ def q_prep_summary(spark, sf):
     res = prepare(dirty_orders(spark, sf), "target", ["o_orderkey"], P.PrepConfig(
         outlier_handling="remove", fix_high_cardinality=True))
     return res.summary
+
+
+@register("q_smote")
+def q_smote(spark, sf):
+    """SMOTE (k=5, seed 42) on the planted training rows; returns class counts."""
+    from loupe.operators.balance import smote
+    train = planted_lineitem(spark, sf).where(F.col("split") == "train") \
+        .withColumn("rid", F.xxhash64("row_key"))
+    out = smote(train, PLANTED_FEATURES, "label", "rid")
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
