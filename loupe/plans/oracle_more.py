@@ -232,3 +232,38 @@ SELECT CAST(t AS BIGINT) AS test_percentage, CAST(n AS BIGINT) AS n_total,
        CAST(n - CAST(floor(n * (100 - t) / 100) AS BIGINT) AS BIGINT) AS n_test
 FROM (SELECT count(*) AS n FROM lineitem) c
 JOIN (VALUES (10), (15), (20), (25), (30), (35), (40)) v(t) ON TRUE""")
+
+
+def _horner_sql(coefs: list[float], x: str) -> str:
+    acc = repr(coefs[0])
+    for c in coefs[1:]:
+        acc = f"({acc} * {x} + {c!r})"
+    return acc
+
+
+def _ppf_sql(p: str) -> str:
+    from loupe.functions.stats import _A, _B, _C, _D, _P_LOW
+    q, r = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+    central = f"({_horner_sql(_A, r)} * {q} / ({_horner_sql(_B, r)} * {r} + 1.0))"
+    ql = f"sqrt(-2.0 * ln({p}))"
+    lower = f"({_horner_sql(_C, ql)} / ({_horner_sql(_D, ql)} * {ql} + 1.0))"
+    qu = f"sqrt(-2.0 * ln(1.0 - {p}))"
+    upper = f"(-{_horner_sql(_C, qu)} / ({_horner_sql(_D, qu)} * {qu} + 1.0))"
+    return (f"CASE WHEN {p} < {_P_LOW!r} THEN {lower} WHEN {p} > {1.0 - _P_LOW!r} THEN {upper} "
+            f"ELSE {central} END")
+
+
+sql("q_qq_fit", f"""
+WITH t AS ({tall('events', ['value', 'user_id'])}),
+r AS (SELECT column_name, v,
+             row_number() OVER (PARTITION BY column_name ORDER BY v) AS i,
+             count(*) OVER (PARTITION BY column_name) AS n
+      FROM t WHERE v IS NOT NULL),
+m AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n)
+                     WHEN i = 1 THEN 1.0 - pow(0.5, 1.0 / n)
+                     ELSE (i - 0.3175) / (n + 0.365) END AS p FROM r),
+q AS (SELECT column_name, v, {_ppf_sql('p')} AS theoretical FROM m)
+SELECT column_name, CAST(count(*) AS BIGINT) AS n, {r6('regr_slope(v, theoretical)')} AS slope,
+       {r6('regr_intercept(v, theoretical)')} AS intercept,
+       {r6('CASE WHEN isnan(corr(v, theoretical)) THEN NULL ELSE greatest(-1.0, least(1.0, corr(v, theoretical))) END')} AS r
+FROM q GROUP BY column_name""")

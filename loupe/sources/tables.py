@@ -15,7 +15,21 @@ def path_of(sf_dir: str, name: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; column pruning and filters reach the Parquet scan."""
+    """Read one table; column pruning and filters reach the Parquet scan.
+
+    A file written as one row group is one input split, so every operator up
+    to the first shuffle would run in a single task. When the scan has fewer
+    splits than the session's parallelism it is spread round-robin; with the
+    many splits of a large table this is a no-op.
+    """
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(path_of(sf_dir, name))
+    return spread(spark.read.parquet(path_of(sf_dir, name)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism when the input has fewer splits."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df

@@ -1,0 +1,34 @@
+"""Fitted transforms on streaming DataFrames.
+
+The reference has no streams. What carries over is that every ``apply``
+step of :mod:`loupe.operators.prep` and :mod:`loupe.operators.scale` is a
+pure Column expression with parameters fitted on a batch table, so the same
+parameters clean a ``readStream`` DataFrame row by row, without state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from loupe.operators import prep as P
+from loupe.operators import scale as S
+
+
+def apply_fitted(df: DataFrame, params: dict) -> DataFrame:
+    """Apply fitted parameters (as returned in ``Prepared.params``) in pipeline order.
+
+    Works for batch and streaming DataFrames alike: imputation fills,
+    frequent-category lists, one-hot categories and scaler moments are all
+    literals inside Column expressions.
+    """
+    if "impute" in params:
+        num = {c: v for c, v in params["impute"].items() if isinstance(v, float)}
+        cat = {c: v for c, v in params["impute"].items() if isinstance(v, str)}
+        df = P.apply_categorical_imputer(P.apply_numeric_imputer(df, num, list(num)), cat)
+    if "frequent" in params:
+        df = P.apply_group_rare(df, params["frequent"])
+    if "one_hot" in params:
+        df = P.apply_one_hot(df, params["one_hot"])
+    if "scale" in params:
+        df = S.apply_standard(df, params["scale"])
+    return df

@@ -88,3 +88,20 @@ def test_smote_balances_and_stays_on_segments(spark):
     mins = x[y == 1]
     # every synthetic point lies inside the bounding box of the minority class
     assert (syn.a >= mins[:, 0].min() - 1e-12).all() and (syn.a <= mins[:, 0].max() + 1e-12).all()
+
+
+def test_fitted_params_apply_to_a_stream(spark):
+    from loupe.operators import prep as P
+    from loupe.streaming import apply_fitted
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None), (5.0, "a")], "x double, c string")
+    params = {"impute": {**P.fit_numeric_imputer(df, ["x"], "median"),
+                         **P.fit_categorical_imputer(df, ["c"])}}
+    d = tempfile.mkdtemp(prefix="loupe-stream-")
+    df.write.mode("overwrite").parquet(os.path.join(d, "in"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(d, "in"))
+    q = (apply_fitted(stream, params).writeStream.format("memory").queryName("loupe_stream_test")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["x"], r["c"]) for r in spark.sql("SELECT * FROM loupe_stream_test").collect())
+    assert got == [(1.0, "a"), (3.0, "a"), (3.0, "b"), (5.0, "a")]
