@@ -39,17 +39,26 @@ NEAR_CONSTANT_RATIO = 0.01
 
 @dataclass
 class IssueInputs:
-    """Shared, lazily evaluated inputs of all detectors."""
+    """Shared inputs of all detectors.
+
+    The per-column summary (rows, nulls, distinct count, mode) has one row
+    per column, so it is computed once -- one shuffle of the tall profile --
+    and kept as a small local table that every detector reads, instead of
+    each detector re-running the profile.
+    """
 
     df: DataFrame
     target: str | None
-    tall: DataFrame
     summary: DataFrame
+    distinct: dict
 
     @classmethod
     def of(cls, df: DataFrame, target: str | None) -> IssueInputs:
-        tall = value_counts_tall(df)
-        return cls(df, target, tall, column_summary(tall))
+        rows = column_summary(value_counts_tall(df)).collect()
+        schema = ("ordinal int, column_name string, n_rows long, non_null long, null_count long, "
+                  "distinct_count long, mode string, mode_num double, mode_freq long")
+        summary = df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+        return cls(df, target, summary, {r["column_name"]: r["distinct_count"] for r in rows})
 
     @property
     def n_rows(self):
@@ -66,9 +75,18 @@ def detect_missing(inp: IssueInputs) -> DataFrame:
                     .alias("missing_percentage")))
 
 
-def outlier_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """IQR fences per column: ``column, n, q1, q3, lower_bound, upper_bound``."""
-    q = exact_quantiles(df, cols, [0.25, 0.75], names=["q1", "q3"])
+def outlier_bounds(df: DataFrame, cols: Sequence[str], distinct: dict | None = None) -> DataFrame:
+    """IQR fences per column: ``column, n, q1, q3, lower_bound, upper_bound``.
+
+    ``distinct`` (exact distinct counts, e.g. from the profile) lets the
+    quantile step pick its method without another pass.
+    """
+    method = "auto"
+    if distinct is not None and all(c in distinct for c in cols):
+        from loupe.functions.ranks import EXACT_MAP_LIMIT
+        method = ("percentile" if max(distinct[c] for c in cols) <= EXACT_MAP_LIMIT
+                  else "ranks")
+    q = exact_quantiles(df, cols, [0.25, 0.75], names=["q1", "q3"], method=method)
     iqr = F.col("q3") - F.col("q1")
     return q.select("column", "n", "q1", "q3",
                     (F.col("q1") - IQR_FACTOR * iqr).alias("lower_bound"),
@@ -96,7 +114,7 @@ def detect_outliers(inp: IssueInputs, bounds: DataFrame | None = None) -> DataFr
     cols = numeric_features(inp.df, inp.target)
     if not cols:
         return _empty_outliers(inp.df)
-    b = bounds if bounds is not None else outlier_bounds(inp.df, cols)
+    b = bounds if bounds is not None else outlier_bounds(inp.df, cols, inp.distinct)
     c = count_outside(inp.df, b, cols)
     j = b.join(c, "column")
     return (j.where(F.col("outlier_count") > 0)
@@ -113,10 +131,15 @@ def _empty_outliers(df: DataFrame) -> DataFrame:
 
 
 def class_counts(inp: IssueInputs) -> DataFrame:
-    """Per-class counts of the target from the tall profile (nulls excluded)."""
-    return (inp.tall.where((F.col("column_name") == inp.target) & F.col("value").isNotNull())
-            .select(F.col("value").alias("class_value"), F.col("num").alias("class_num"),
-                    F.col("cnt").alias("class_count")))
+    """Per-class counts of the target (nulls excluded; map-side combined)."""
+    t = F.col(inp.target)
+    return (inp.df.where(t.isNotNull()).groupBy(t.alias("_t"))
+            .agg(F.count(F.lit(1)).alias("class_count"))
+            .select(F.col("_t").cast("string").alias("class_value"),
+                    F.col("_t").cast("double").alias("class_num") if role_of(
+                        inp.df.schema[inp.target].dataType) == "numeric"
+                    else F.lit(None).cast("double").alias("class_num"),
+                    "class_count"))
 
 
 def detect_imbalance(inp: IssueInputs) -> DataFrame:

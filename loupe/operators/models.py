@@ -214,7 +214,7 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
                                       featureSubsetStrategy=params.get("featureSubsetStrategy", "sqrt"),
                                       **wc)
     if name == "svm":
-        svc = LinearSVC(labelCol=label, maxIter=200, regParam=params.get("regParam", 1.0 / 1000),
+        svc = LinearSVC(labelCol=label, maxIter=100, regParam=params.get("regParam", 1.0 / 1000),
                         standardization=False, **wc)
         return svc if params.get("n_classes", 2) <= 2 else OneVsRest(classifier=svc, labelCol=label)
     raise ValueError(f"unknown model {name!r}")
