@@ -27,9 +27,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(path_of(sf_dir, name)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the default parallelism when the input has fewer splits."""
+SPREAD_MIN_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin repartition to the default parallelism when the input has fewer
+    splits and is big enough for parallel work to pay for the shuffle.
+
+    The size comes from the optimizer's statistics (file sizes; no job).
+    """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(par) if size >= min_bytes else df
