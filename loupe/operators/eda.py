@@ -216,13 +216,18 @@ def qq_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- C16 - C18 categorical, split
 
 def value_counts(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
-    """Value counts (nulls dropped) with % of *all* rows."""
+    """Value counts (nulls dropped) with % of *all* rows.
+
+    The row total is a one-row aggregate joined by a constant key, so a column
+    with millions of distinct values never meets a window without partitions.
+    """
     g = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return (g.select("_v", "count", F.round(F.try_divide(F.col("count") * 100.0, total), digits)
-                     .alias("percentage"))
-            .where(F.col("_v").isNotNull())
-            .select(F.col("_v").cast("string").alias("category"), "count", "percentage"))
+    total = g.agg(F.sum("count").alias("_n")).withColumn("_k", F.lit(1))
+    j = g.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    return (j.where(F.col("_v").isNotNull())
+            .select(F.col("_v").cast("string").alias("category"), "count",
+                    F.round(F.try_divide(F.col("count") * 100.0, F.col("_n")), digits)
+                    .alias("percentage")))
 
 
 def crosstab_pct(df: DataFrame, feature: str, target: str, digits: int = 2) -> DataFrame:

@@ -179,8 +179,11 @@ def fit_frequent_values(df: DataFrame, cols: Sequence[str], threshold: float = R
     if not cols:
         return {}
     tall = value_counts_tall(df, cols).where(F.col("value").isNotNull())
-    share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("column_name"))
-    keep = tall.select("column_name", "value", share.alias("share")) \
+    # per-column totals: one row per column, broadcast (no window over all values)
+    totals = tall.groupBy("column_name").agg(F.sum("cnt").alias("_nn"))
+    share = F.col("cnt") / F.col("_nn")
+    keep = tall.join(F.broadcast(totals), "column_name") \
+        .select("column_name", "value", share.alias("share")) \
         .where(F.col("share") >= threshold).collect()
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in keep:

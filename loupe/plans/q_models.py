@@ -160,3 +160,21 @@ def q_cv_fold_assignment(spark, sf):
     """stratified 5-fold assignment of dirty_orders in seeded hash order."""
     d = dirty_orders(spark, sf).select("o_orderkey", "target")
     return SP.cv_folds(d, "target", ["o_orderkey"], 5, 42)
+
+
+@register("q_train_all_models")
+def q_train_all_models(spark, sf):
+    """F1-F7 + G16: every model with default settings on the scaled planted rule,
+    compared on the test rows (time = measured fit+predict seconds)."""
+    from loupe.operators import ranking as R
+    from loupe.operators import scale as S
+    from loupe.plans.workflow import train_models
+    train, test = _planted(spark, sf)
+    sp = S.fit_standard(train, PLANTED_FEATURES)
+    train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
+    train = train.withColumn("rid", F.xxhash64("row_key"))
+    test = test.withColumn("rid", F.xxhash64("row_key"))
+    preds = train_models(train, test, PLANTED_FEATURES, "label", "rid")
+    times = spark.createDataFrame(sorted(train_models.last_times.items()),
+                                  "model string, training_time double")
+    return R.rank_models(R.leaderboard(preds, ["model"], times))
