@@ -64,6 +64,16 @@ def slice_bounds(df: DataFrame, cols: Sequence[str], slices: int) -> list[tuple]
     return out
 
 
+def _lit(v, dtype) -> Column:
+    """A literal of ``dtype``; struct values (Rows) become structs of literals."""
+    from pyspark.sql import types as T
+    if isinstance(dtype, T.StructType):
+        if v is None:
+            return F.lit(None).cast(dtype)
+        return F.struct(*[_lit(v[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
+    return F.lit(v).cast(dtype)
+
+
 def slice_of(df: DataFrame, cols: Sequence[str], bounds: list[tuple]) -> Column:
     """Number of bounds <= ``struct(cols)`` as a balanced CASE tree (depth log2 of slices)."""
     cols = list(cols)
@@ -71,7 +81,7 @@ def slice_of(df: DataFrame, cols: Sequence[str], bounds: list[tuple]) -> Column:
         return F.lit(0)
     types = [df.schema[c].dataType for c in cols]
     x = F.struct(*[F.col(c).alias(c) for c in cols])
-    lits = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, cols)])
+    lits = [F.struct(*[_lit(v, t).alias(c) for v, t, c in zip(b, types, cols)])
             for b in bounds]
 
     def tree(lo: int, hi: int) -> Column:
@@ -166,6 +176,37 @@ def cumulative(
                       *[f"{n}_total" for n in names])
 
 
+def fill_last(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    out: str,
+    descending: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """As-of fill: ``out`` = the last non-null ``value`` at or before each row in
+    ``order`` (at or after it when ``descending``), within ``keys``.
+
+    Windows run per ``(keys, slice)``; the value carried into a slice comes
+    from a slices x groups table of each slice's last non-null value.
+    """
+    keys = list(keys)
+    bounds = slice_bounds(df, [*keys, order], _parts(df, partitions))
+    d = df.withColumn("_s", slice_of(df, [*keys, order], bounds))
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    so = F.col("_s").desc() if descending else F.col("_s").asc()
+    w = Window.partitionBy(*keys, "_s").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("_loc", F.last(F.col(value), True).over(w))
+    tail = d.where(F.col(value).isNotNull()).groupBy(*keys, "_s").agg(
+        (F.min_by if descending else F.max_by)(F.col(value), F.col(order)).alias("_tail"))
+    w_prev = Window.partitionBy(*keys).orderBy(so).rowsBetween(Window.unboundedPreceding, -1)
+    slices = d.select(*keys, "_s").distinct().join(tail, [*keys, "_s"], "left")
+    carry = slices.select(*keys, "_s", F.last("_tail", True).over(w_prev).alias("_carry"))
+    j = local.join(carry, [*keys, "_s"], "left")
+    return j.select(*df.columns, F.coalesce("_loc", "_carry").alias(out))
+
+
 def tall_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group..., column, v)`` with ``v`` the double value; NULL/NaN dropped."""
     from loupe.functions.stats import as_double

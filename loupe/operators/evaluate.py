@@ -189,11 +189,16 @@ def roc_micro(df: DataFrame, prob_cols: Sequence[str], label: str = "label", gro
 
 
 def roc_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> DataFrame:
-    """Macro-average ROC — per-class TPR interpolated on the union of FPRs, averaged.
+    """Macro-average ROC — each class TPR interpolated on the union of FPRs and averaged.
 
-    Each class curve is walked in FPR order inside its own window partition
-    (one partition per class); AUC by the trapezoid rule over the grid.
+    Interpolation is an as-of lookup of the previous and next curve point
+    (:func:`loupe.functions.ranks.fill_last` both ways), so no class curve is
+    walked in one task. Where a curve is vertical the last point at that FPR
+    is used (as ``numpy.interp`` does). ``auc_macro`` is the trapezoid area of
+    the averaged curve (close to, not always equal to, the mean OvR AUC).
     """
+    from loupe.functions.ranks import fill_last
+
     t = one_vs_rest(df, prob_cols, label)
     pts = roc_points(t, ["cls"], "y", "score").select("cls", "fpr", "tpr")
     k = len(prob_cols)
@@ -202,25 +207,27 @@ def roc_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label") ->
     g = grid.select("fpr", F.explode(classes).alias("cls"), F.lit(None).cast("double").alias("tpr"),
                     F.lit(1).alias("_grid"))
     both = pts.select("cls", "fpr", "tpr", F.lit(0).alias("_grid")).unionByName(g)
-    w_prev = Window.partitionBy("cls").orderBy("fpr", "_grid", F.col("tpr").desc_nulls_last()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy("cls").orderBy("fpr", "_grid", F.col("tpr").desc_nulls_last()) \
-        .rowsBetween(0, Window.unboundedFollowing)
-    b = both.select("*",
-                    F.last(F.when(F.col("_grid") == 0, F.struct("fpr", "tpr")), True).over(w_prev)
-                    .alias("_lo"),
-                    F.first(F.when(F.col("_grid") == 0, F.struct("fpr", "tpr")), True).over(w_next)
-                    .alias("_hi"))
+    both = both.select("*", F.struct("fpr", "_grid", "tpr").alias("_o"),
+                       F.when(F.col("_grid") == 0, F.struct("fpr", "tpr")).alias("_pt"))
+    prev = fill_last(both, ["cls"], "_o", "_pt", "_lo")
+    nxt = fill_last(prev, ["cls"], "_o", "_pt", "_hi", descending=True)
     x0, y0, x1, y1 = (F.col("_lo.fpr"), F.col("_lo.tpr"), F.col("_hi.fpr"), F.col("_hi.tpr"))
     interp = F.when(F.col("_hi").isNull(), y0).when(x1 == x0, y0) \
         .otherwise(y0 + (y1 - y0) * (F.col("fpr") - x0) / (x1 - x0))
-    gi = b.where(F.col("_grid") == 1).select("cls", "fpr", interp.alias("tpr_i"))
+    gi = nxt.where(F.col("_grid") == 1).select("cls", "fpr", interp.alias("tpr_i"))
     mean = gi.groupBy("fpr").agg(F.avg("tpr_i").alias("tpr"))
-    w = Window.orderBy("fpr")
-    area = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    m = mean.select("fpr", "tpr", area.alias("_a"))
-    return m.select("fpr", "tpr", F.sum(F.coalesce("_a", F.lit(0.0))).over(Window.partitionBy())
-                    .alias("auc_macro"))
+    # trapezoid over the averaged curve: each grid point meets its predecessor
+    # through the same as-of fill (query rows sort just before the points)
+    pts_m = mean.select(F.lit(0).alias("_g"), "fpr", "tpr",
+                        F.struct("fpr", F.lit(1).alias("b")).alias("_o"),
+                        F.struct("fpr", "tpr").alias("_pt"))
+    qry = mean.select(F.lit(0).alias("_g"), "fpr", "tpr",
+                      F.struct("fpr", F.lit(0).alias("b")).alias("_o"),
+                      F.lit(None).cast("struct<fpr:double,tpr:double>").alias("_pt"))
+    f = fill_last(pts_m.unionByName(qry), ["_g"], "_o", "_pt", "_prev")
+    seg = (F.col("fpr") - F.col("_prev.fpr")) * (F.col("tpr") + F.col("_prev.tpr")) / 2
+    area = f.where(F.col("_pt").isNull()).agg(F.coalesce(F.sum(seg), F.lit(0.0)).alias("auc_macro"))
+    return mean.withColumn("_k", F.lit(1)).join(area.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def roc_ovo(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> DataFrame:

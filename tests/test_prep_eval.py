@@ -115,3 +115,28 @@ def test_roc_points_start_at_origin_and_end_at_one(spark):
     pts = G.roc_points(df).toPandas()
     assert ((pts.fpr == 0) & (pts.tpr == 0)).any()
     assert ((pts.fpr == 1) & (pts.tpr == 1)).any()
+
+
+def test_macro_roc_matches_numpy_interp(spark):
+    rng = np.random.default_rng(11)
+    n = 300
+    y = rng.integers(0, 3, n)
+    raw = np.round(rng.random((n, 3)), 1) + np.eye(3)[y] * 0.3
+    p = raw / raw.sum(1, keepdims=True)
+    pdf = pd.DataFrame({"label": y, "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]})
+    got = G.roc_macro(spark.createDataFrame(pdf), ["p0", "p1", "p2"]).toPandas().sort_values("fpr")
+    fprs, tprs = [], []
+    for c in range(3):
+        yc = (y == c).astype(int)
+        s = p[:, c]
+        order = np.argsort(-s, kind="mergesort")
+        ys, ss = yc[order], s[order]
+        last = np.r_[np.where(np.diff(ss))[0], len(ss) - 1]
+        tp, fp = np.cumsum(ys)[last], np.cumsum(1 - ys)[last]
+        fprs.append(np.r_[0, fp / fp[-1]])
+        tprs.append(np.r_[0, tp / tp[-1]])
+    grid = np.unique(np.concatenate(fprs))
+    mean = np.mean([np.interp(grid, f, t) for f, t in zip(fprs, tprs)], axis=0)
+    assert len(got) == len(grid)
+    assert np.allclose(got.fpr.to_numpy(), grid) and np.allclose(got.tpr.to_numpy(), mean)
+    assert math.isclose(got.auc_macro.iloc[0], np.trapezoid(mean, grid), rel_tol=1e-12)
