@@ -159,13 +159,28 @@ def high_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = HIGH_
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean, median, std, var (ddof=1), bias-corrected skewness and excess kurtosis."""
-    m = _explode_structs(df, [
-        F.struct(F.lit(c).alias("column"), F.avg(as_double(c)).alias("mean"),
-                 F.stddev_samp(as_double(c)).alias("std"), F.var_samp(as_double(c)).alias("var"),
-                 sample_skewness(as_double(c)).alias("skewness"),
-                 sample_kurtosis(as_double(c)).alias("kurtosis")) for c in cols])
-    q = exact_quantiles(df, cols, [0.5], names=["median"])
+    """Mean, median, std, var (ddof=1), bias-corrected skewness and excess kurtosis.
+
+    One aggregate for the moments and an HLL estimate per column (a small
+    row kept as parameters), then the exact median as the second pass.
+    """
+    from loupe.functions.ranks import EXACT_MAP_LIMIT
+
+    cols = list(cols)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = as_double(c)
+        aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                 F.var_samp(v).alias(f"v{i}"), sample_skewness(v).alias(f"g{i}"),
+                 sample_kurtosis(v).alias(f"k{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
+    r = df.agg(*aggs).collect()[0]
+    rows = [(c, r[f"m{i}"], r[f"s{i}"], r[f"v{i}"], r[f"g{i}"], r[f"k{i}"])
+            for i, c in enumerate(cols)]
+    m = df.sparkSession.createDataFrame(
+        rows, "column string, mean double, std double, var double, skewness double, kurtosis double")
+    bound = max((r[f"d{i}"] or 0) for i in range(len(cols))) * 1.15 if cols else 0
+    method = "percentile" if bound <= EXACT_MAP_LIMIT else "ranks"
+    q = exact_quantiles(df, cols, [0.5], names=["median"], method=method)
     return m.join(q.select("column", "median"), "column").select(
         F.col("column").alias("column_name"), "mean", "median", "std", "var", "skewness",
         "kurtosis")

@@ -209,13 +209,17 @@ def roc_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label") ->
     both = pts.select("cls", "fpr", "tpr", F.lit(0).alias("_grid")).unionByName(g)
     both = both.select("*", F.struct("fpr", "_grid", "tpr").alias("_o"),
                        F.when(F.col("_grid") == 0, F.struct("fpr", "tpr")).alias("_pt"))
+    # the as-of fills below sample and scan this table several times: cut the
+    # lineage once (reliable checkpoint in spark.checkpoint.dir)
+    from loupe.session import cut_lineage
+    both = cut_lineage(both)
     prev = fill_last(both, ["cls"], "_o", "_pt", "_lo")
     nxt = fill_last(prev, ["cls"], "_o", "_pt", "_hi", descending=True)
     x0, y0, x1, y1 = (F.col("_lo.fpr"), F.col("_lo.tpr"), F.col("_hi.fpr"), F.col("_hi.tpr"))
     interp = F.when(F.col("_hi").isNull(), y0).when(x1 == x0, y0) \
         .otherwise(y0 + (y1 - y0) * (F.col("fpr") - x0) / (x1 - x0))
     gi = nxt.where(F.col("_grid") == 1).select("cls", "fpr", interp.alias("tpr_i"))
-    mean = gi.groupBy("fpr").agg(F.avg("tpr_i").alias("tpr"))
+    mean = cut_lineage(gi.groupBy("fpr").agg(F.avg("tpr_i").alias("tpr")))
     # trapezoid over the averaged curve: each grid point meets its predecessor
     # through the same as-of fill (query rows sort just before the points)
     pts_m = mean.select(F.lit(0).alias("_g"), "fpr", "tpr",

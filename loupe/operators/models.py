@@ -197,7 +197,8 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
     """F1/F3/F5/F6 estimators with the reference's hyper-parameters mapped to Spark's."""
     wc = {"weightCol": weight} if weight else {}
     if name == "logistic_regression":
-        return LogisticRegression(labelCol=label, maxIter=1000, standardization=False,
+        # reference defaults: max_iter=1000, tol=1e-4
+        return LogisticRegression(labelCol=label, maxIter=1000, tol=1e-4, standardization=False,
                                   regParam=params.get("regParam", 1.0 / 1000), **wc)
     if name == "decision_tree":
         return DecisionTreeClassifier(labelCol=label, seed=42, maxBins=256, maxMemoryInMB=1024,
@@ -214,7 +215,9 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
                                       featureSubsetStrategy=params.get("featureSubsetStrategy", "sqrt"),
                                       **wc)
     if name == "svm":
-        svc = LinearSVC(labelCol=label, maxIter=100, regParam=params.get("regParam", 1.0 / 1000),
+        # reference SVC default tol=1e-3
+        svc = LinearSVC(labelCol=label, maxIter=100, tol=1e-3,
+                        regParam=params.get("regParam", 1.0 / 1000),
                         standardization=False, **wc)
         return svc if params.get("n_classes", 2) <= 2 else OneVsRest(classifier=svc, labelCol=label)
     raise ValueError(f"unknown model {name!r}")
@@ -250,7 +253,7 @@ def platt_scale(model, train: DataFrame, label: str = "label") -> tuple[float, f
     """Sigmoid fit of the SVM margin on the training rows (probabilities for LinearSVC)."""
     m = model.transform(train).select(F.col(label).cast("double").alias("y"),
                                       vector_to_array(F.col("rawPrediction"))[1].alias("margin"))
-    lr = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.0, maxIter=100)
+    lr = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.0, maxIter=100, tol=1e-4)
     fitted = lr.fit(VectorAssembler(inputCols=["margin"], outputCol="f").transform(m))
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
@@ -264,3 +267,44 @@ def impute_train_median(train: DataFrame, test: DataFrame, features: Sequence[st
         return train, test
     fills = fit_numeric_imputer(train, nulls, "median")
     return apply_numeric_imputer(train, fills, nulls), apply_numeric_imputer(test, fills, nulls)
+
+
+# ---------------------------------------------------------------- F6 RBF kernel (approximate)
+
+def rff_params(train: DataFrame, features: Sequence[str], gamma: str | float = "scale",
+               n_components: int = 100, seed: int = 42) -> dict:
+    """Random Fourier features for the RBF kernel exp(-gamma |x - y|^2) (Rahimi & Recht).
+
+    ``gamma="scale"`` is 1 / (d * Var(X)) over all feature values, ``"auto"``
+    is 1 / d. Weights are drawn on the driver from a seeded generator: a
+    d x D matrix, independent of the row count.
+    """
+    features = list(features)
+    d = len(features)
+    if gamma == "scale":
+        cells = F.explode(F.array(*[as_double(f) for f in features]))
+        var = train.select(cells.alias("v")).agg(F.var_pop("v")).collect()[0][0] or 0.0
+        g = 1.0 / (d * var) if var > 0 else 1.0
+    elif gamma == "auto":
+        g = 1.0 / d
+    else:
+        g = float(gamma)
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, math.sqrt(2.0 * g), size=(d, n_components))
+    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
+    return {"features": features, "w": w.tolist(), "b": b.tolist(), "gamma": g}
+
+
+def apply_rff(df: DataFrame, p: dict, prefix: str = "rff") -> tuple[DataFrame, list[str]]:
+    """Adds ``sqrt(2/D) cos(x . w_j + b_j)`` columns (Column expressions, codegen'd)."""
+    feats, w, b = p["features"], p["w"], p["b"]
+    n = len(b)
+    scale = math.sqrt(2.0 / n)
+    cols, names = [], []
+    for j in range(n):
+        dot = F.lit(b[j])
+        for i, f in enumerate(feats):
+            dot = dot + as_double(f) * F.lit(w[i][j])
+        names.append(f"{prefix}_{j}")
+        cols.append((F.lit(scale) * F.cos(dot)).alias(names[-1]))
+    return df.select("*", *cols), names

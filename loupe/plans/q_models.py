@@ -178,3 +178,18 @@ def q_train_all_models(spark, sf):
     times = spark.createDataFrame(sorted(train_models.last_times.items()),
                                   "model string, training_time double")
     return R.rank_models(R.leaderboard(preds, ["model"], times))
+
+
+@register("q_model_svm_rbf")
+def q_model_svm_rbf(spark, sf):
+    """F6 (rbf): SVM on 100 random Fourier features of the scaled planted rule, gamma='scale'."""
+    from loupe.operators import scale as S
+    train, test = _planted(spark, sf)
+    sp = S.fit_standard(train, PLANTED_FEATURES)
+    train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
+    p = M.rff_params(train, PLANTED_FEATURES, "scale", 100, 42)
+    train, names = M.apply_rff(train, p)
+    test, _ = M.apply_rff(test, p)
+    model = M.fit_mllib(train, names, "svm", "label", regParam=1.0 / train.count())
+    platt = M.platt_scale(model, train)
+    return M.predict_mllib(model, test, 2, platt).select(*OUT)
