@@ -140,3 +140,24 @@ def test_macro_roc_matches_numpy_interp(spark):
     assert len(got) == len(grid)
     assert np.allclose(got.fpr.to_numpy(), grid) and np.allclose(got.tpr.to_numpy(), mean)
     assert math.isclose(got.auc_macro.iloc[0], np.trapezoid(mean, grid), rel_tol=1e-12)
+
+
+def test_guards_refuse_tiny_tables_and_null_targets(spark):
+    import pytest
+
+    from loupe.plans.workflow import train_models
+    tiny = spark.createDataFrame([(i, i % 2) for i in range(5)], "x long, y int")
+    with pytest.raises(ValueError):
+        P.check_trainable(tiny, "y")
+    bad = spark.createDataFrame([(1.0, None, 1), (2.0, 1, 2)], "x double, y int, k long")
+    with pytest.raises(ValueError):
+        train_models(bad, bad, ["x"], "y", "k", names=["rule_based"])
+
+
+def test_train_median_fills_both_sides(spark):
+    from loupe.operators.models import impute_train_median
+    tr = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
+    te = spark.createDataFrame([(None,), (10.0,)], "x double")
+    a, b = impute_train_median(tr, te, ["x"])
+    assert sorted(r["x"] for r in b.collect()) == [2.0, 10.0]
+    assert sorted(r["x"] for r in a.collect()) == [1.0, 2.0, 3.0]
