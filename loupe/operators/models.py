@@ -308,3 +308,73 @@ def apply_rff(df: DataFrame, p: dict, prefix: str = "rff") -> tuple[DataFrame, l
         names.append(f"{prefix}_{j}")
         cols.append((F.lit(scale) * F.cos(dot)).alias(names[-1]))
     return df.select("*", *cols), names
+
+
+# ---------------------------------------------------------------- F2/F4 searches (fold-based)
+
+def _f1_by_setting(pred: DataFrame) -> DataFrame:
+    """Weighted F1 per ``setting`` from ``setting, fold, label, prediction`` rows (mean over folds)."""
+    from loupe.operators.evaluate import basic_metrics
+    m = basic_metrics(pred, ["setting", "fold"])
+    return m.groupBy("setting").agg(F.avg("f1_score").alias("mean_f1"))
+
+
+def knn_search(data: DataFrame, folds: int, ks=(3, 5, 7, 9), weights=("uniform", "distance"),
+               metrics=("euclidean", "manhattan")) -> DataFrame:
+    """F2 grid: every (k, weights, metric) scored by fold-averaged weighted F1.
+
+    ``data`` has ``id, vec, label, fold``. For each fold and metric one
+    neighbour table with the largest k is computed; every (k, weighting)
+    setting is exploded from it and voted in one grouped aggregation, so the
+    16 settings cost 2 x folds kNN passes and one scoring job.
+    """
+    from loupe.session import cut_lineage
+    data = cut_lineage(data)   # folds are read 2 x folds times: materialise once
+    kmax = max(ks)
+    cands = None
+    for metric in metrics:
+        for f in range(folds):
+            tr = data.where(F.col("fold") != f)
+            te = data.where(F.col("fold") == f)
+            c = knn_candidates(tr, te, kmax, metric).select(
+                F.lit(metric).alias("metric"), F.lit(f).alias("fold"), "*")
+            cands = c if cands is None else cands.unionByName(c)
+    settings = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))
+                         for k in ks for w in weights])
+    x = cands.select("*", F.explode(settings).alias("_st")).where(F.col("nb_rank") <= F.col("_st.k"))
+    vote = F.when(F.col("_st.w") == "uniform", F.lit(1.0)).otherwise(
+        F.coalesce(F.try_divide(F.lit(1.0), F.col("dist")), F.lit(1e300)))
+    setting = F.concat(F.lit("n_neighbors="), F.col("_st.k").cast("string"), F.lit(",weights="),
+                       F.col("_st.w"), F.lit(",metric="), F.col("metric"))
+    v = x.groupBy(setting.alias("setting"), "fold", "test_id", "nb_label").agg(F.sum(vote).alias("v"))
+    best = Window.partitionBy("setting", "fold", "test_id").orderBy(F.col("v").desc(), F.col("nb_label"))
+    pred = v.select("setting", "fold", F.col("test_id").alias("id"),
+                    F.col("nb_label").alias("prediction"), F.row_number().over(best).alias("_r")) \
+        .where("_r = 1").drop("_r")
+    labelled = pred.join(data.select("id", "label"), "id")
+    return _f1_by_setting(labelled)
+
+
+def gnb_search(data: DataFrame, features: Sequence[str], label: str, folds: int,
+               smoothings=(1e-9, 1e-8, 1e-7, 1e-6)) -> DataFrame:
+    """F4 grid: var_smoothing values scored by fold-averaged weighted F1.
+
+    One statistics fit per fold (smoothing only shifts the variances), and
+    all predictions are scored in one grouped aggregation.
+    """
+    from loupe.session import cut_lineage
+    data = cut_lineage(data)   # each fold is read several times: materialise once
+    preds = None
+    for f in range(folds):
+        tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        base = fit_gnb(tr, features, label, 0.0)
+        glob = tr.agg(*[F.var_pop(as_double(c)).alias(c) for c in features]).collect()[0]
+        vmax = max(float(glob[c] or 0.0) for c in features)
+        for sm in smoothings:
+            m = GaussianNB(base.classes, base.priors, base.means,
+                           [[v + sm * vmax for v in row] for row in base.variances], base.features)
+            p = predict_gnb(te, m).select(
+                F.lit(f"var_smoothing={sm:g}").alias("setting"), F.lit(f).alias("fold"),
+                F.col(label).alias("label"), "prediction")
+            preds = p if preds is None else preds.unionByName(p)
+    return _f1_by_setting(preds)

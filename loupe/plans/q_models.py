@@ -193,3 +193,27 @@ def q_model_svm_rbf(spark, sf):
     model = M.fit_mllib(train, names, "svm", "label", regParam=1.0 / train.count())
     platt = M.platt_scale(model, train)
     return M.predict_mllib(model, test, 2, platt).select(*OUT)
+
+
+@register("q_knn_search")
+def q_knn_search(spark, sf):
+    """F2 + F8: the 16-point kNN grid on the embeddings' training rows, 5-fold stratified CV."""
+    from pyspark.sql import Window
+    train, _ = _embeddings(spark, sf)
+    folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
+    data = SP.cv_folds(train, "label", ["id"], folds, 42, "fold")
+    res = M.knn_search(data, folds)
+    return res.select("*", F.row_number().over(
+        Window.orderBy(F.col("mean_f1").desc(), F.col("setting"))).alias("rank"))
+
+
+@register("q_gnb_search")
+def q_gnb_search(spark, sf):
+    """F4 + F8: the four var_smoothing values on the planted rule, stratified CV."""
+    from pyspark.sql import Window
+    train, _ = _planted(spark, sf)
+    folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
+    data = SP.cv_folds(train, "label", ["row_key"], folds, 42, "fold")
+    res = M.gnb_search(data, PLANTED_FEATURES, "label", folds)
+    return res.select("*", F.row_number().over(
+        Window.orderBy(F.col("mean_f1").desc(), F.col("setting"))).alias("rank"))
