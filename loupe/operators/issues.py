@@ -134,6 +134,21 @@ def detect_outliers(inp: IssueInputs, bounds: DataFrame | None = None) -> DataFr
                     "lower_bound", "upper_bound"))
 
 
+def flagged_bounds(df: DataFrame, target: str | None) -> dict:
+    """``{column: (lower, upper)}`` of the numeric features that have IQR outliers.
+
+    Fences and counts only (two passes), for callers that need the bounds
+    without the rest of the issue profile.
+    """
+    cols = numeric_features(df, target)
+    if not cols:
+        return {}
+    b = outlier_bounds(df, cols)
+    counts = {r["column"]: r["outlier_count"] for r in count_outside(df, b, cols).collect()}
+    return {r["column"]: (float(r["lower_bound"]), float(r["upper_bound"]))
+            for r in b.collect() if counts.get(r["column"], 0) > 0}
+
+
 def _empty_outliers(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [], "column_name string, outlier_count long, outlier_percentage double, "

@@ -72,7 +72,7 @@ def q_impute_categorical_constant(spark, sf):
 
 
 def _raw_bounds(spark, sf):
-    return P.bounds_of(I.detect_outliers(I.IssueInputs.of(dirty_orders(spark, sf), "target")))
+    return I.flagged_bounds(dirty_orders(spark, sf), "target")
 
 
 @register("q_cap_outliers")
