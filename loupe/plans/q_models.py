@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from loupe.operators import models as M
@@ -95,58 +91,28 @@ def q_model_svm(spark, sf):
     return _mllib(spark, sf, "svm")
 
 
-def _search(spark, sf, name, grid_fn, n_draws=None):
+def _search(spark, sf, name, n_draws=None):
     train, _ = _planted(spark, sf)
-    folds = SP.fold_count(train, "label").collect()[0]["folds"]
-    train = SP.cv_folds(train, "label", ["row_key"], int(folds), 42, "fold")
-    est = M.estimator(name, "label")
-    pipe_asm = M.assembler(PLANTED_FEATURES)
-    data = pipe_asm.transform(train)
-    grid, labels = grid_fn(est, data.count())
-    if n_draws is not None and len(grid) > n_draws:
-        pick = sorted(random.Random(42).sample(range(len(grid)), n_draws))
-        grid, labels = [grid[i] for i in pick], [labels[i] for i in pick]
-    ev = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                        numFolds=int(folds),
-                        parallelism=4, seed=42)
-    fitted = cv.fit(data)
-    rows = [(name, labels[i], float(m)) for i, m in enumerate(fitted.avgMetrics)]
-    df = spark.createDataFrame(rows, "model string, params string, mean_f1 double")
+    folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
+    data = SP.cv_folds(train, "label", ["row_key"], folds, 42, "fold")
+    _, scores = M.grid_search(data, PLANTED_FEATURES, name, folds, "label", n_draws, 42)
+    df = spark.createDataFrame([(name, p, f) for p, f in scores],
+                               "model string, params string, mean_f1 double")
     from pyspark.sql import Window
     return df.select("*", F.row_number().over(
         Window.orderBy(F.col("mean_f1").desc(), F.col("params"))).alias("rank"))
 
 
-def _lr_grid(est, n):
-    cs = [0.01, 0.1, 1.0, 10.0]
-    b = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in cs]).build()
-    return b, [f"C={c}" for c in cs]
-
-
-def _tree_grid(est, n):
-    depths, splits, crit = [3, 5, 10, 30], [2, 5, 10], ["gini", "entropy"]
-    grid, labels = [], []
-    for d in depths:
-        for s in splits:
-            for c in crit:
-                grid.append({est.maxDepth: d, est.minInstancesPerNode: max(1, s // 2),
-                             est.impurity: c})
-                labels.append(f"max_depth={'None' if d == 30 else d},min_samples_split={s},"
-                              f"criterion={c}")
-    return grid, labels
-
-
 @register("q_grid_search")
 def q_grid_search(spark, sf):
     """F8: stratified 5-fold grid search of logistic regression C, scored by weighted F1."""
-    return _search(spark, sf, "logistic_regression", _lr_grid)
+    return _search(spark, sf, "logistic_regression")
 
 
 @register("q_random_search")
 def q_random_search(spark, sf):
     """10 seeded draws from the 24-point decision-tree grid, 5-fold CV."""
-    return _search(spark, sf, "decision_tree", _tree_grid, n_draws=10)
+    return _search(spark, sf, "decision_tree", n_draws=10)
 
 
 @register("q_cv_folds")
