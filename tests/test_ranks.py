@@ -62,3 +62,22 @@ def test_cumulative_measures(spark):
     assert list(c["pos_before"]) == [0, 1, 1, 3]
     assert list(c["neg_before"]) == [0, 1, 2, 2]
     assert (c["pos_total"] == 3).all() and (c["neg_total"] == 3).all()
+
+
+def test_fill_last_both_directions_across_slices(spark):
+    from loupe.functions.ranks import fill_last
+    rows = []
+    for g in ("a", "b"):
+        for i in range(400):
+            rows.append((g, i, float(i) if i % 37 == 0 else None))
+    df = spark.createDataFrame(rows, "g string, o long, v double")
+    fwd = fill_last(df, ["g"], "o", "v", "prev", partitions=7).toPandas()
+    bwd = fill_last(df, ["g"], "o", "v", "next", descending=True, partitions=7).toPandas()
+    for g in ("a", "b"):
+        f = fwd[fwd.g == g].sort_values("o")
+        b = bwd[bwd.g == g].sort_values("o")
+        exp_prev = [float((i // 37) * 37) for i in range(400)]
+        exp_next = [float(-(-i // 37) * 37) if -(-i // 37) * 37 < 400 else None for i in range(400)]
+        assert list(f["prev"]) == exp_prev
+        got_next = [None if x != x else x for x in b["next"]]
+        assert got_next == exp_next
