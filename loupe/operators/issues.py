@@ -93,26 +93,31 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str], distinct: dict | None = N
                     (F.col("q3") + IQR_FACTOR * iqr).alias("upper_bound"))
 
 
-def count_outside(df: DataFrame, bounds: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Counts of values strictly outside each column's bounds.
-
-    ``bounds`` has one row per column (a proven bound), so it is read once
-    and the counts are one wide conditional aggregate over the table — no
-    second explode of every cell.
-    """
-    b = {r["column"]: (r["lower_bound"], r["upper_bound"])
-         for r in bounds.select("column", "lower_bound", "upper_bound").collect()}
+def _outside_counts(df: DataFrame, fences: list, cols: Sequence[str]) -> dict:
+    """``{column: count}`` of values strictly outside the collected fences, one wide aggregate."""
+    b = {r["column"]: (r["lower_bound"], r["upper_bound"]) for r in fences}
     aggs = []
     for c in cols:
         if c not in b or b[c][0] is None:
             continue
         v = as_double(c)
         out = (v < F.lit(float(b[c][0]))) | (v > F.lit(float(b[c][1])))
-        aggs.append(F.struct(F.lit(c).alias("column"),
-                             F.coalesce(F.sum(out.cast("long")), F.lit(0)).alias("outlier_count")))
+        aggs.append(F.coalesce(F.sum(out.cast("long")), F.lit(0)).alias(c))
     if not aggs:
-        return df.sparkSession.createDataFrame([], "column string, outlier_count long")
-    return df.agg(F.array(*aggs).alias("_a")).select(F.explode("_a").alias("_s")).select("_s.*")
+        return {}
+    row = df.agg(*aggs).collect()[0]
+    return {c: row[c] for c in b if c in row.asDict()}
+
+
+def count_outside(df: DataFrame, bounds: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Counts of values strictly outside each column's bounds.
+
+    ``bounds`` has one row per column (a proven bound), so it is read once
+    and the counts are one wide conditional aggregate over the table — no
+    second explode of every cell.
+    """
+    counts = _outside_counts(df, bounds.select("column", "lower_bound", "upper_bound").collect(), cols)
+    return df.sparkSession.createDataFrame(sorted(counts.items()), "column string, outlier_count long")
 
 
 def numeric_features(df: DataFrame, target: str | None) -> list[str]:
@@ -120,18 +125,27 @@ def numeric_features(df: DataFrame, target: str | None) -> list[str]:
 
 
 def detect_outliers(inp: IssueInputs, bounds: DataFrame | None = None) -> DataFrame:
-    """``column_name, outlier_count, outlier_percentage, lower_bound, upper_bound``."""
+    """``column_name, outlier_count, outlier_percentage, lower_bound, upper_bound``.
+
+    The fences (one row per column) are computed once and collected; the
+    counts are one wide aggregate; the result is a small table, so later use
+    never recomputes the quantiles.
+    """
     cols = numeric_features(inp.df, inp.target)
     if not cols:
         return _empty_outliers(inp.df)
     b = bounds if bounds is not None else outlier_bounds(inp.df, cols, inp.distinct)
-    c = count_outside(inp.df, b, cols)
-    j = b.join(c, "column")
-    return (j.where(F.col("outlier_count") > 0)
-            .select(F.col("column").alias("column_name"), "outlier_count",
-                    F.try_divide(F.col("outlier_count") * 100.0, F.col("n"))
-                    .alias("outlier_percentage"),
-                    "lower_bound", "upper_bound"))
+    fences = b.select("column", "n", "lower_bound", "upper_bound").collect()
+    counts = _outside_counts(inp.df, fences, cols)
+    rows = []
+    for r in fences:
+        k = counts.get(r["column"], 0) or 0
+        if k > 0:
+            pct = k * 100.0 / r["n"] if r["n"] else None
+            rows.append((r["column"], int(k), pct, r["lower_bound"], r["upper_bound"]))
+    return inp.df.sparkSession.createDataFrame(
+        rows, "column_name string, outlier_count long, outlier_percentage double, "
+              "lower_bound double, upper_bound double")
 
 
 def flagged_bounds(df: DataFrame, target: str | None) -> dict:
@@ -143,10 +157,10 @@ def flagged_bounds(df: DataFrame, target: str | None) -> dict:
     cols = numeric_features(df, target)
     if not cols:
         return {}
-    b = outlier_bounds(df, cols)
-    counts = {r["column"]: r["outlier_count"] for r in count_outside(df, b, cols).collect()}
+    fences = outlier_bounds(df, cols).select("column", "lower_bound", "upper_bound").collect()
+    counts = _outside_counts(df, fences, cols)
     return {r["column"]: (float(r["lower_bound"]), float(r["upper_bound"]))
-            for r in b.collect() if counts.get(r["column"], 0) > 0}
+            for r in fences if (counts.get(r["column"], 0) or 0) > 0}
 
 
 def _empty_outliers(df: DataFrame) -> DataFrame:
