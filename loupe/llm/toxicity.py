@@ -102,7 +102,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     feats = rows.mapInArrow(_features(params), "doc_id bigint, y int, weight double, ids binary")
     feats = (feats.groupBy("doc_id").agg(F.min(F.struct("y", "weight", "ids")).alias("s"))
              .select("s.y", "s.weight", "s.ids", F.lit(None).cast("binary").alias("vals")))
-    feats = written(feats.repartition(params.fit_partitions), "toxicity-features")
+    feats = written(feats.repartition(params.fit_partitions), "toxicity-features").coalesce(params.fit_partitions)
     total = {r["y"]: r["w"] for r in feats.groupBy("y").agg(F.sum("weight").alias("w")).collect()}
     dim = 1 << params.bits
     if len(total) < 2:
