@@ -69,9 +69,18 @@ def row_groups(off: np.ndarray, limit: int = 8 * BLOCK):
         a = b
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word of the rows ``data[off[i]:off[i+1]]``, and each row's first word index (n+1 entries)."""
-    inside = ~IS_SPACE[data]
+#: Letters, digits and every byte of a character beyond ASCII.
+IS_TOKEN = np.zeros(256, bool)
+IS_TOKEN[128:] = True
+IS_TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word of the rows ``data[off[i]:off[i+1]]``, and each row's first word index (n+1 entries).
+
+    ``inner`` tells the bytes that words are made of (default: all but white space).
+    """
+    inside = ~IS_SPACE[data] if inner is None else inner[data]
     n = len(data)
     first = inside.copy()
     last = inside.copy()
