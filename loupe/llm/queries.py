@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.llm.mixing import MixParams
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +21,29 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings from the two marks: 0 low quality, 1 good but toxic, 2 good and clean."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def domain() -> F.Column:
+    """The domain of a document: its source's number modulo 3 (a source without number: other)."""
+    number = F.regexp_extract(F.coalesce(F.col("source").cast("string"), F.lit("")), "([0-9]+)$", 1)
+    return F.when(number == "", "other").otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forum")), (F.crc32(number.cast("binary")) % 3).cast("int") + 1))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+#: Target weights of the mixing query and stage: 90 % of the supplied tokens, at most three epochs of a source.
+MIX = MixParams(domains={"web": 0.45, "books": 0.35, "forum": 0.15}, languages={"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
+                other=0.05, budget_share=0.9, max_epochs=3, seed=17)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels are learnt from the rows that are not held out."""
     from loupe.llm.toxicity import fit_toxicity, score_toxicity
@@ -29,9 +54,79 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, QueryFn] = {
-    "op1_toxicity": op1_toxicity,
-}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of a grade of 1 or more; grades are learnt from the rows that are not held out."""
+    from loupe.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, ratings(spark, sf_dir).filter(~held_out()))
+    return score_quality(docs, model, least=1).select(
+        "doc_id", held_out().alias("held_out"), "expected_grade", "p_tail", (F.col("p_tail") >= 0.5).alias("kept"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document: windows of 50 words that also start in an earlier document."""
+    from loupe.llm.substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    import public_tokenizers
+
+    from loupe.llm.tokencount import count_tokens, zipf_unigram
+
+    return count_tokens(table(spark, sf_dir, "documents"), zipf_unigram(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) that overlap by spaced seeds and the check around them."""
+    from loupe.llm.decontaminate import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_equal", "n_compared")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the written token files."""
+    from loupe.llm.tokenfile import read_token_files, write_token_files
+
+    docs = table(spark, sf_dir, "documents")
+    return read_token_files(spark, write_token_files(docs, tokenizer_path()))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base verdict and weakly supervised verdict of every document."""
+    from loupe.llm.rules import quality_by_rules
+
+    return quality_by_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (3-word shingles, at most 2 differing bits)."""
+    from loupe.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and epoch that the domain, language and source budgets take."""
+    from loupe.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), domain(), MIX)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its repaired role and rendered piece."""
+    from loupe.llm.chat import repair_and_render
+
+    return repair_and_render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+    op1_toxicity, op2_quality, op3_substring_dedup, op4_token_counts, op5_decontamination,
+    op6_token_files, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
