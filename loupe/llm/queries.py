@@ -28,9 +28,10 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain() -> F.Column:
-    """The domain of a document: its source's number modulo 3 (a source without number: other)."""
-    number = F.regexp_extract(F.coalesce(F.col("source").cast("string"), F.lit("")), "([0-9]+)$", 1)
-    return F.when(number == "", "other").otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forum")), (F.crc32(number.cast("binary")) % 3).cast("int") + 1))
+    """The domain of a document: its source's last digits modulo 3 (a source without digits: other)."""
+    number = F.regexp_extract(F.coalesce(F.col("source").cast("string"), F.lit("")), "([0-9]{1,6})$", 1)
+    names = F.array(F.lit("web"), F.lit("books"), F.lit("forum"))
+    return F.when(number == "", "other").otherwise(F.get(names, number.try_cast("int") % 3))
 
 
 def tokenizer_path() -> str:
@@ -128,8 +129,49 @@ QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_toxicity, op2_quality, op3_substring_dedup, op4_token_counts, op5_decontamination,
     op6_token_files, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
 
-#: DuckDB twins of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+_WINDOWS_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts USING (k) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _fill_sql(nodes: str, parent: str, node: str) -> str:
+    """DuckDB twin of ``mixing.fill`` over the CTE ``nodes`` (weight, lim, budget)."""
+    w = f"PARTITION BY {parent}" if parent else ""
+    return f"""SELECT * EXCLUDE (full_, rest, open_), CASE WHEN full_ THEN lim ELSE rest * weight / open_ END AS share FROM (
+  SELECT *, budget - sum(CASE WHEN full_ THEN lim ELSE 0 END) OVER ({w}) AS rest, sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ({w}) AS open_ FROM (
+    SELECT *, coalesce(sum(lim) OVER ({w} ORDER BY lim / weight, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      + lim / weight * sum(weight) OVER ({w} ORDER BY lim / weight, {node} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= budget AS full_
+    FROM {nodes} WHERE weight > 0))"""
+
+
+def _mix_sql() -> str:
+    def weight(name: str, weights: dict[str, float]) -> str:
+        return "CASE " + name + "".join(f" WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + f" ELSE {MIX.other}::DOUBLE END"
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
+  CASE WHEN regexp_extract(source, '([0-9]{{1,6}})$', 1) = '' THEN 'other' ELSE (['web', 'books', 'forum'])[regexp_extract(source, '([0-9]{{1,6}})$', 1)::INT % 3 + 1] END AS domain FROM documents),
+s AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS supply, sum(n_tokens)::DOUBLE * {MIX.max_epochs} AS lim FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+m AS (SELECT domain, sum(lim) AS lim, {weight("domain", MIX.domains)} AS weight, sum(sum(supply)) OVER () * {MIX.budget_share}::DOUBLE AS budget FROM s GROUP BY domain),
+ms AS ({_fill_sql("m", "", "domain")}),
+l AS (SELECT domain, lang, sum(s.lim) AS lim, {weight("lang", MIX.languages)} AS weight, any_value(ms.share) AS budget FROM s JOIN ms USING (domain) GROUP BY domain, lang),
+ls AS ({_fill_sql("l", "domain", "lang")}),
+x AS (SELECT domain, lang, source, supply, s.lim, {MIX.other}::DOUBLE AS weight, ls.share AS budget FROM s JOIN ls USING (domain, lang)),
+xs AS (SELECT domain, lang, source, supply, floor(share + 1e-6) AS budget, floor(floor(share + 1e-6) / supply)::BIGINT AS epochs FROM ({_fill_sql("x", "domain, lang", "source")})),
+h AS (SELECT d.*, epochs, budget - epochs * supply AS rest, md5(concat_ws(':', '{MIX.seed}', epochs::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS h FROM d JOIN xs USING (domain, lang, source)),
+t AS (SELECT *, epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS taken FROM h)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(taken))::INT AS epoch FROM t"""
+
+
+#: DuckDB twins of the queries that SQL can express. The others need a tokenizer, a fitted
+#: model, XXH64 or a shortest path and are tested against brute force in ``tests/llm``.
+ORACLE: dict[str, str] = {"op3_substring_dedup": _WINDOWS_SQL, "op9_mixing": _mix_sql()}
 
 
 def queries() -> dict[str, QueryFn]:
