@@ -76,10 +76,9 @@ def _vote(good: str, bad: str) -> Column:
 def default_rules() -> dict[str, tuple[str, str]]:
     """Name -> (condition for a good vote, condition for a bad one); neither: the rule abstains."""
     return {
-        "length": ("n_words >= 100", "n_words < 50"),
         "word_length": ("n_words > 0 AND word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
         "symbols": ("n_words > 0 AND 50 * n_symbols <= n_words", "10 * n_symbols >= n_words AND n_symbols > 0"),
-        "lines": ("n_lines >= 3 AND n_dup_lines = 0", "n_lines >= 3 AND 10 * n_dup_lines >= 3 * n_lines"),
+        "lines": ("n_lines >= 3 AND n_dup_lines = 0", "n_lines >= 3 AND 2 * n_dup_lines >= n_lines"),
         "repeats": ("n_words >= 3 AND 10 * n_repeat_words <= n_words", "n_words >= 3 AND 10 * n_repeat_words >= 3 * n_words"),
         "capitals": ("word_chars > 0 AND 100 * n_capitals <= 15 * word_chars", "100 * n_capitals >= 40 * word_chars AND word_chars > 0"),
     }
@@ -94,14 +93,16 @@ class Accuracies:
     rounds: int = field(default=0)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, max_rounds: int = 200, tol: float = 1e-7) -> Accuracies:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, false_alarm: float = 0.002, max_rounds: int = 500, tol: float = 1e-7) -> Accuracies:
     """Expectation-maximisation over counted vote patterns (1 good, 0 bad, -1 abstains).
 
-    Starts at a prior of 0.8 and accuracies 0.95 and 0.5. Each estimate has a few
-    pseudo-votes at its start, and a rule's bad votes may never be likelier on good
-    documents than on bad ones, which keeps the two classes from changing places.
+    Rules are written so that a bad vote is rare on good documents: its probability there is
+    estimated but taken as ``false_alarm`` at most. Without that bound the hidden classes may
+    settle on any group of documents whose votes go together, as rules do that see the
+    same fault. How often a rule sees a bad document is free. A few pseudo-votes at the
+    starting values keep estimates from 0 and 1.
     """
-    model = Accuracies(0.8, [0.95] * n_rules, [0.5] * n_rules)
+    model = Accuracies(0.8, [1 - false_alarm] * n_rules, [0.4] * n_rules)
     total = sum(c for _, c in patterns)
     for model.rounds in range(1, max_rounds + 1):
         if not total:
@@ -118,9 +119,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, max_roun
                     hit_good[j] += c * p * (v == 1)
                     hit_bad[j] += c * (1 - p) * (v == 0)
         prior = (n_good + 8) / (total + 10)
-        good = [(h + 9.5) / (n + 10) for h, n in zip(hit_good, votes_good)]
-        bad = [max((h + 5) / (n + 10), 1 - g) for h, n, g in zip(hit_bad, votes_bad, good)]
-        moved = abs(prior - model.prior) + sum(map(abs, (a - b for a, b in zip(good + bad, model.good + model.bad))))
+        good = [max((h + 10 * (1 - false_alarm)) / (n + 10), 1 - false_alarm) for h, n in zip(hit_good, votes_good)]
+        bad = [max((h + 4) / (n + 10), 1 - g) for h, n, g in zip(hit_bad, votes_bad, good)]
+        moved = abs(prior - model.prior) + sum(abs(a - b) for a, b in zip(good + bad, model.good + model.bad))
         model.prior, model.good, model.bad = prior, good, bad
         if moved < tol:
             break

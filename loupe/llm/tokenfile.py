@@ -117,7 +117,7 @@ def _encode(json_text, dictionary, params: TokenParams):
 
         def packed():
             return pa.RecordBatch.from_pylist([{
-                "part": part, "block": block, "first_id": ids[0], "last_id": ids[-1], "dict_hash": digest, "id_bytes": size, "n_ids": at - begun,
+                "part": part, "block": block, "first_id": next((i for i in ids if i is not None), None), "last_id": ids[-1], "dict_hash": digest, "id_bytes": size, "n_ids": at - begun,
                 "doc_ids": ids, "starts": starts, "offsets": offsets, "data": b"".join(frames)}], types)
 
         for b in batches:

@@ -10,6 +10,7 @@ from loupe.llm.queries import op1_toxicity, op2_quality, table
 from loupe.llm.toxicity import ToxicityParams, buckets, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"  # some 330 toxic texts to learn from; sf0.01 has 33
 
 
 def feature_rows(spark, x, y):
@@ -67,11 +68,12 @@ def test_buckets_do_not_depend_on_the_piece_size(monkeypatch):
 
 
 def test_held_out_toxicity(spark):
-    got = op1_toxicity(spark, SF).join(table(spark, SF, "labels").filter("toxic IS NOT NULL"), "doc_id").filter("held_out").collect()
+    got = op1_toxicity(spark, LARGER).join(table(spark, LARGER, "labels").filter("toxic IS NOT NULL"), "doc_id").filter("held_out").collect()
     toxic, clean = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
     auc = np.mean([[(t > c) + (t == c) / 2 for c in clean] for t in toxic])
-    assert len(toxic) > 5 and auc > 0.95
-    assert sum(r.predicted for r in got if not r.toxic) <= 0.02 * len(clean)
+    assert len(toxic) > 50 and auc > 0.98
+    assert sum(r.predicted for r in got if r.toxic) > 0.8 * len(toxic)
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.01 * len(clean)
 
 
 def test_held_out_quality(spark):
