@@ -5,92 +5,38 @@ value of a group into one task. Here ranks are computed the way a
 distributed sort does it:
 
 1. (for counts) collapse to distinct ``(keys, value) -> cnt`` with map-side
-   combine, so a hot value holding a third of the rows is one row;
-2. cut the ``(keys, order)`` space into slices with sampled bounds: a small
-   distinct sample (about 16 rows per slice) is sorted by Spark, every k-th
-   row becomes a bound, and the slice id is a balanced binary ``CASE`` tree
-   over those literals -- a pure function of the row, so every branch and
-   every retry computes the same id;
+   combine, so a hot value holding a third of the rows is one row; row ranks add
+   the row's number to the order, so equal rows may fall into several slices;
+2. range-partition by ``(keys, order)`` and write the table with its partition number
+   as the slice id: the ids are data from then on, whatever is recomputed or retried
+   later. Spark samples the bounds and searches them; the number of slices follows
+   ``spark.sql.shuffle.partitions`` and no expression grows with it;
 3. running sums inside each ``(keys, slice)`` window partition, plus a tiny
-   table of slice totals (slices x groups rows) turned into offsets.
-
-The offsets table is joined back by ``(keys, slice)``; AQE broadcasts it
-when its measured size is small and shuffles it otherwise.
+   table of slice totals (slices x groups rows) turned into offsets and joined back
+   on the same key, which needs no second shuffle of the rows. The group key is one
+   struct column, in which nulls compare equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_SLICE = 16
-_HASH_SPACE = 1 << 20
-
-
-def _parts(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def slice_bounds(df: DataFrame, cols: Sequence[str], slices: int) -> list[tuple]:
-    """Up to ``slices - 1`` increasing bounds of ``struct(cols)`` from a distinct sample.
-
-    Sample size is about ``SAMPLE_PER_SLICE * slices`` values whatever the
-    table size (hash-threshold sampling of distinct values, rate from an
-    HLL count), so the driver only ever sees a bounded list.
-    """
-    cols = list(cols)
-    if slices <= 1:
-        return []
-    target = SAMPLE_PER_SLICE * slices
-    h = F.xxhash64(*[F.col(c) for c in cols])
-    nd = df.agg(F.approx_count_distinct(h).alias("n")).collect()[0]["n"] or 0
-    d = df.select(*cols)
-    if nd > 2 * target:
-        keep = int(_HASH_SPACE * target / nd) + 1
-        d = d.where(F.pmod(h, F.lit(_HASH_SPACE)) < keep)
-    rows = d.distinct().orderBy(*cols).collect()
-    if not rows:
-        return []
-    step = len(rows) / slices
-    out: list[tuple] = []
-    for i in range(1, slices):
-        b = tuple(rows[min(len(rows) - 1, int(i * step))])
-        if not out or b != out[-1]:
-            out.append(b)
-    return out
-
-
-def _lit(v, dtype) -> Column:
-    """A literal of ``dtype``; struct values (Rows) become structs of literals."""
-    from pyspark.sql import types as T
-    if isinstance(dtype, T.StructType):
-        if v is None:
-            return F.lit(None).cast(dtype)
-        return F.struct(*[_lit(v[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
-    return F.lit(v).cast(dtype)
+from loupe.session import materialize
 
 
-def slice_of(df: DataFrame, cols: Sequence[str], bounds: list[tuple]) -> Column:
-    """Number of bounds <= ``struct(cols)`` as a balanced CASE tree (depth log2 of slices)."""
-    cols = list(cols)
-    if not bounds:
-        return F.lit(0)
-    types = [df.schema[c].dataType for c in cols]
-    x = F.struct(*[F.col(c).alias(c) for c in cols])
-    lits = [F.struct(*[_lit(v, t).alias(c) for v, t, c in zip(b, types, cols)])
-            for b in bounds]
+def sliced(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``df`` written in ``(keys, order)`` ranges, with the slice id ``_s`` and the group key ``_k``."""
+    by = [F.col(c) for c in (*keys, *order_cols)]
+    parts = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    out = materialize(parts.withColumn("_s", F.spark_partition_id()))
+    return out.withColumn("_k", _group_key(keys))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(x < lits[mid - 1], tree(lo, mid - 1)).otherwise(tree(mid, hi))
 
-    return tree(0, len(bounds))
+def _group_key(keys: Sequence[str]):
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
 
 def prefix_counts(
@@ -112,23 +58,19 @@ def prefix_counts(
     cond = F.lit(True)
     for c in [*keys, order]:
         cond = cond & F.col(c).isNotNull()
-    src = df.where(cond)
-    g = src.groupBy(*keys, order).agg(measure.alias("cnt"))
-    bounds = slice_bounds(src, [*keys, order], _parts(df, partitions))
-    g = g.withColumn("_s", slice_of(src, [*keys, order], bounds))
-
-    w_local = (Window.partitionBy(*keys, "_s").orderBy(order)
+    g = sliced(df.where(cond).groupBy(*keys, order).agg(measure.alias("cnt")), keys, [order], partitions)
+    w_local = (Window.partitionBy("_k", "_s").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = g.withColumn("_run", F.sum("cnt").over(w_local))
-    slices = g.groupBy(*keys, "_s").agg(F.sum("cnt").alias("_ptot"))
-    w_off = (Window.partitionBy(*keys).orderBy("_s")
+    slices = g.groupBy("_k", "_s").agg(F.sum("cnt").alias("_ptot"))
+    w_off = (Window.partitionBy("_k").orderBy("_s")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = slices.select(
-        *keys, "_s",
+        "_k", "_s",
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
-        F.sum("_ptot").over(Window.partitionBy(*keys)).alias("total"),
+        F.sum("_ptot").over(Window.partitionBy("_k")).alias("total"),
     )
-    out = local.join(offsets, [*keys, "_s"])
+    out = local.join(offsets, ["_k", "_s"])
     return out.select(
         *keys, order, "cnt",
         (F.col("_off") + F.col("_run") - F.col("cnt")).alias("before"),
@@ -154,23 +96,20 @@ def cumulative(
     cond = F.lit(True)
     for c in [*keys, order]:
         cond = cond & F.col(c).isNotNull()
-    src = df.where(cond)
-    g = src.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()])
-    bounds = slice_bounds(src, [*keys, order], _parts(df, partitions))
-    g = g.withColumn("_s", slice_of(src, [*keys, order], bounds))
-    w_local = (Window.partitionBy(*keys, "_s").orderBy(order)
+    g = sliced(df.where(cond).groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()]), keys, [order], partitions)
+    w_local = (Window.partitionBy("_k", "_s").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = g.select("*", *[F.coalesce(F.sum(n).over(w_local), F.lit(0)).alias(f"_r_{n}")
                             for n in names])
-    slices = g.groupBy(*keys, "_s").agg(*[F.sum(n).alias(f"_p_{n}") for n in names])
-    w_off = (Window.partitionBy(*keys).orderBy("_s")
+    slices = g.groupBy("_k", "_s").agg(*[F.sum(n).alias(f"_p_{n}") for n in names])
+    w_off = (Window.partitionBy("_k").orderBy("_s")
              .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy("_k")
     offsets = slices.select(
-        *keys, "_s",
+        "_k", "_s",
         *[F.coalesce(F.sum(f"_p_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}") for n in names],
         *[F.sum(f"_p_{n}").over(whole).alias(f"{n}_total") for n in names])
-    out = local.join(offsets, [*keys, "_s"])
+    out = local.join(offsets, ["_k", "_s"])
     return out.select(*keys, order, *names,
                       *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(f"{n}_before") for n in names],
                       *[f"{n}_total" for n in names])
@@ -192,18 +131,16 @@ def fill_last(
     from a slices x groups table of each slice's last non-null value.
     """
     keys = list(keys)
-    bounds = slice_bounds(df, [*keys, order], _parts(df, partitions))
-    d = df.withColumn("_s", slice_of(df, [*keys, order], bounds))
+    d = sliced(df, keys, [order], partitions)
     o = F.col(order).desc() if descending else F.col(order).asc()
     so = F.col("_s").desc() if descending else F.col("_s").asc()
-    w = Window.partitionBy(*keys, "_s").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_k", "_s").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("_loc", F.last(F.col(value), True).over(w))
-    tail = d.where(F.col(value).isNotNull()).groupBy(*keys, "_s").agg(
-        (F.min_by if descending else F.max_by)(F.col(value), F.col(order)).alias("_tail"))
-    w_prev = Window.partitionBy(*keys).orderBy(so).rowsBetween(Window.unboundedPreceding, -1)
-    slices = d.select(*keys, "_s").distinct().join(tail, [*keys, "_s"], "left")
-    carry = slices.select(*keys, "_s", F.last("_tail", True).over(w_prev).alias("_carry"))
-    j = local.join(carry, [*keys, "_s"], "left")
+    tail = d.groupBy("_k", "_s").agg(
+        (F.min_by if descending else F.max_by)(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_tail"))
+    w_prev = Window.partitionBy("_k").orderBy(so).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tail.select("_k", "_s", F.last("_tail", True).over(w_prev).alias("_carry"))
+    j = local.join(carry, ["_k", "_s"], "left")
     return j.select(*df.columns, F.coalesce("_loc", "_carry").alias(out))
 
 
@@ -218,49 +155,24 @@ def tall_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     return t.select(*group_cols, "_it.column", "_it.v").where(F.col("v").isNotNull())
 
 
-# An exact ``percentile`` aggregate keeps a value -> count map per group; it is
-# used only when an HLL estimate bounds every group's distinct values by this.
-EXACT_MAP_LIMIT = 1_000_000
-
-
-def distinct_upper_bound(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> int:
-    """Largest HLL distinct-count estimate of any column in any group (+15 % margin,
-    several standard errors of the default 5 % sketch)."""
-    est = [F.approx_count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)]
-    rows = df.groupBy(*group_cols).agg(*est).collect() if group_cols else [df.agg(*est).collect()[0]]
-    worst = max((r[f"_d{i}"] or 0) for r in rows for i in range(len(cols))) if rows else 0
-    return int(worst * 1.15) + 1
-
-
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     group_cols: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    method: str = "auto",
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL ``quantile_cont``).
 
     Returns one row per ``(group..., column)`` with the non-null count ``n``
     and one column per probability (named ``names`` or ``q<p>``).
 
-    ``method="auto"`` checks the distinct counts first: under
-    :data:`EXACT_MAP_LIMIT` the built-in ``percentile`` aggregate is exact and
-    bounded (one pass, map-side partial maps); above it the distributed rank
-    path (:func:`prefix_counts`) is used, whose per-task state does not grow
-    with the column.
+    Values collapse to counts and take the distributed rank path of :func:`prefix_counts` at
+    every size, so no task's state grows with a column.
     """
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     keys = [*group_cols, "column"]
-    if method == "auto":
-        bound = distinct_upper_bound(df, cols, group_cols)
-        method = "percentile" if bound <= EXACT_MAP_LIMIT else "ranks"
     t = tall_values(df, cols, group_cols)
-    if method == "percentile":
-        agg = t.groupBy(*keys).agg(F.count("v").alias("n"),
-                                   F.percentile(F.col("v"), [float(p) for p in probs]).alias("_q"))
-        return agg.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     pc = prefix_counts(t, keys, "v")
     aggs = []
     for p, name in zip(probs, names):
@@ -294,29 +206,16 @@ def row_ranks(
     group.
     """
     keys, order_cols = list(keys), list(order_cols)
-    bounds = slice_bounds(df, [*keys, *order_cols], _parts(df, partitions))
-    r = df.withColumn("_s", slice_of(df, [*keys, *order_cols], bounds))
-    w_local = Window.partitionBy(*keys, "_s").orderBy(*order_cols)
+    numbered = df.withColumn("_tie", F.monotonically_increasing_id())
+    r = sliced(numbered, keys, [*order_cols, "_tie"], partitions)
+    w_local = Window.partitionBy("_k", "_s").orderBy(*order_cols, "_tie")
     local = r.withColumn("_run", F.row_number().over(w_local))
-    slices = r.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_ptot"))
-    w_off = (Window.partitionBy(*keys).orderBy("_s")
+    slices = r.groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("_ptot"))
+    w_off = (Window.partitionBy("_k").orderBy("_s")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = slices.select(
-        F.col("_s").alias("_os"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+        "_k", "_s",
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
-        F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_total"))
-    cond = F.col("_s") == F.col("_os")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    out = local.join(offsets, cond)
+        F.sum("_ptot").over(Window.partitionBy("_k")).alias("_total"))
+    out = local.join(offsets, ["_k", "_s"])
     return out.select(*df.columns, (F.col("_off") + F.col("_run") - 1).alias("_rank"), "_total")
-
-
-def ranked_values(df: DataFrame, col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Per distinct value: count and rank interval ``[before, before+cnt)`` within its group."""
-    t = df.select(*group_cols, F.col(col).cast("double").alias("v"))
-    return prefix_counts(t, list(group_cols), "v")
-
-
-def col_or_lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)

@@ -57,7 +57,3 @@ def column_roles(df: DataFrame, exclude: tuple[str, ...] | list[str] | str | Non
             continue
         {"numeric": num, "categorical": cat, "other": oth}[role_of(f.dataType)].append(f.name)
     return Roles(tuple(num), tuple(cat), tuple(oth))
-
-
-def is_numeric(df: DataFrame, name: str) -> bool:
-    return role_of(df.schema[name].dataType) == "numeric"

@@ -17,6 +17,12 @@ def as_double(c: str | Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
+def is_missing(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    null = F.col(c).isNull()
+    return null | F.isnan(c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else null
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson r over pairwise-complete rows; NULL where a side is constant.
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from loupe.functions.gram import pairwise_moments, pearson_from_moments
 from loupe.functions.ranks import exact_quantiles, row_ranks, tall_values
-from loupe.functions.roles import column_roles
-from loupe.functions.stats import as_double, norm_ppf, safe_corr, sample_kurtosis, sample_skewness
+from loupe.functions.stats import as_double, is_missing, norm_ppf, safe_corr, sample_kurtosis, sample_skewness
 from loupe.operators.issues import IQR_FACTOR, outlier_bounds
+from loupe.session import join_small
 
 Z_THRESHOLD = 3.0
 HIGH_CORR = 0.8
@@ -34,7 +34,7 @@ def missing_summary(df: DataFrame, digits: int = 2) -> DataFrame:
     n = F.count(F.lit(1))
     rows = _explode_structs(df, [
         F.struct(F.lit(c).alias("column_name"),
-                 F.sum(F.col(c).isNull().cast("long")).alias("missing_count"),
+                 F.sum(is_missing(df, c).cast("long")).alias("missing_count"),
                  n.alias("_n")) for c in df.columns])
     return (rows.where(F.col("missing_count") > 0)
             .select("column_name", "missing_count",
@@ -45,8 +45,8 @@ def missing_summary(df: DataFrame, digits: int = 2) -> DataFrame:
 def missing_global(df: DataFrame) -> DataFrame:
     """Total missing cells over rows x columns."""
     k = len(df.columns)
-    miss = sum((F.sum(F.col(c).isNull().cast("long")) for c in df.columns[1:]),
-               F.sum(F.col(df.columns[0]).isNull().cast("long")))
+    miss = sum((F.sum(is_missing(df, c).cast("long")) for c in df.columns[1:]),
+               F.sum(is_missing(df, df.columns[0]).cast("long")))
     r = df.agg(miss.alias("total_missing"), F.count(F.lit(1)).alias("_n"))
     cells = F.col("_n") * k
     return r.select("total_missing", cells.alias("total_cells"),
@@ -56,9 +56,9 @@ def missing_global(df: DataFrame) -> DataFrame:
 
 def missing_patterns(df: DataFrame) -> DataFrame:
     """C3 (re-aimed): distinct missingness patterns with their row counts."""
-    names = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in df.columns])
-    k = sum((F.col(c).isNull().cast("int") for c in df.columns[1:]),
-            F.col(df.columns[0]).isNull().cast("int"))
+    names = F.concat_ws(",", *[F.when(is_missing(df, c), F.lit(c)) for c in df.columns])
+    k = sum((is_missing(df, c).cast("int") for c in df.columns[1:]),
+            is_missing(df, df.columns[0]).cast("int"))
     return df.groupBy(names.alias("missing_columns"), k.cast("long").alias("n_missing")) \
         .agg(F.count(F.lit(1)).alias("row_count"))
 
@@ -100,7 +100,7 @@ def boxplot(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ())
     iqr = F.col("q3") - F.col("q1")
     q = q.select("*", (F.col("q1") - IQR_FACTOR * iqr).alias("_lo"),
                  (F.col("q3") + IQR_FACTOR * iqr).alias("_hi"))
-    t = tall_values(df, cols, group_cols).join(q.select(*keys, "_lo", "_hi"), keys)
+    t = join_small(tall_values(df, cols, group_cols), q.select(*keys, "_lo", "_hi"), keys)
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
     a = t.groupBy(*keys).agg(
         F.min("v").alias("min"), F.max("v").alias("max"),
@@ -161,26 +161,22 @@ def high_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = HIGH_
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, median, std, var (ddof=1), bias-corrected skewness and excess kurtosis.
 
-    One aggregate for the moments and an HLL estimate per column (a small
-    row kept as parameters), then the exact median as the second pass.
+    One aggregate for the moments (a small row kept as parameters), then the exact
+    median as the second pass.
     """
-    from loupe.functions.ranks import EXACT_MAP_LIMIT
-
     cols = list(cols)
     aggs = []
     for i, c in enumerate(cols):
         v = as_double(c)
         aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.var_samp(v).alias(f"v{i}"), sample_skewness(v).alias(f"g{i}"),
-                 sample_kurtosis(v).alias(f"k{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
+                 sample_kurtosis(v).alias(f"k{i}")]
     r = df.agg(*aggs).collect()[0]
     rows = [(c, r[f"m{i}"], r[f"s{i}"], r[f"v{i}"], r[f"g{i}"], r[f"k{i}"])
             for i, c in enumerate(cols)]
     m = df.sparkSession.createDataFrame(
         rows, "column string, mean double, std double, var double, skewness double, kurtosis double")
-    bound = max((r[f"d{i}"] or 0) for i in range(len(cols))) * 1.15 if cols else 0
-    method = "percentile" if bound <= EXACT_MAP_LIMIT else "ranks"
-    q = exact_quantiles(df, cols, [0.5], names=["median"], method=method)
+    q = exact_quantiles(df, cols, [0.5], names=["median"])
     return m.join(q.select("column", "median"), "column").select(
         F.col("column").alias("column_name"), "mean", "median", "std", "var", "skewness",
         "kurtosis")
@@ -191,12 +187,20 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def sample_cap(df: DataFrame, key: Sequence[str], n: int = QQ_SAMPLE_CAP, seed: int = 42) -> DataFrame:
     """C14: exactly ``min(n, rows)`` rows chosen by a seeded hash order of the key.
 
-    Top-n keeps at most ``n`` rows per partition before the final merge, so
-    the single merging task holds a bounded number of rows.
+    A cut on the hash first leaves a little more than ``n`` rows of the whole table, so the
+    merge of the tasks' smallest rows sees about ``n`` rows however many tasks there are.
+    Should equal keys leave too few, the uncut table is used.
     """
     h = F.md5(F.concat(F.concat_ws("-", *[F.col(k).cast("string") for k in key]),
                        F.lit(f":{seed}")))
-    return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
+    hashed = df.withColumn("_h", h)
+    rows = df.count()
+    share = (n + 10 * n ** 0.5 + 100) / max(rows, 1)
+    if share < 1:
+        cut = hashed.where(F.substring("_h", 1, 8) < f"{int(share * 16 ** 8):08x}")
+        if cut.limit(n).count() == n:
+            hashed = cut
+    return hashed.orderBy("_h", *key).limit(n).drop("_h")
 
 
 def qq_points(df: DataFrame, col: str) -> DataFrame:
@@ -277,7 +281,3 @@ def split_sizes(df: DataFrame, test_pcts: Sequence[int] = SPLIT_TEST_PCTS) -> Da
     train = F.floor(F.col("n_total") * (100 - F.col("test_percentage")) / 100).cast("long")
     return t.select(F.col("test_percentage").cast("long").alias("test_percentage"), "n_total",
                     train.alias("n_train"), (F.col("n_total") - train).alias("n_test"))
-
-
-def numeric_columns(df: DataFrame, exclude=None) -> list[str]:
-    return list(column_roles(df, exclude=exclude).numerical)

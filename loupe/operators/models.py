@@ -26,18 +26,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loupe.functions.stats import as_double
+from loupe.functions.stats import as_double, is_missing
 
 # Probabilities of the reference's rule-based classifier.
 MAJORITY_P = 0.8
 MAJORITY_REST = 0.2
 
 
-def classes_of(train: DataFrame, label: str) -> list[int]:
-    """Sorted class labels (a classification target: a handful of values)."""
-    return sorted(r[0] for r in train.select(label).distinct().collect())
-
-
 def _with_probs(df: DataFrame, probs: list, prediction) -> DataFrame:
     cols = [prediction.alias("prediction"), *[p.alias(f"p{i}") for i, p in enumerate(probs)]]
     out = df.select("*", *cols)
@@ -46,6 +41,17 @@ def _with_probs(df: DataFrame, probs: list, prediction) -> DataFrame:
     return out
 
 
+def by_class(df: DataFrame, classes: Sequence, n_classes: int) -> DataFrame:
+    """Probabilities of a model that knows only ``classes`` in the places of all ``n_classes``."""
+    if list(classes) == list(range(n_classes)):
+        return df
+    own = {int(c): F.col(f"p{i}") for i, c in enumerate(classes)}
+    keep = [c for c in df.columns if c not in {f"p{i}" for i in range(max(2, n_classes))} and c != "score"]
+    probs = [own.get(i, F.lit(0.0)).alias(f"p{i}") for i in range(max(2, n_classes))]
+    out = df.select(*keep, *probs)
+    return out.withColumn("score", F.col("p1")) if n_classes <= 2 else out
+
+
 # ---------------------------------------------------------------- F7 majority
 
 def fit_majority(train: DataFrame, label: str) -> int:
@@ -122,20 +128,22 @@ def _block_topk(k: int, metric: str):
             return pd.DataFrame({"test_id": [], "train_id": [], "dist": [], "nb_label": []})
         a = np.stack(test_pdf["vec"].to_numpy()).astype(np.float64)
         b = np.stack(train_pdf["vec"].to_numpy()).astype(np.float64)
-        if metric == "manhattan":
-            d = np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
-        else:
-            d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
-                                   - 2.0 * a @ b.T, 0.0))
-        kk = min(k, b.shape[0])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-        rows = np.repeat(np.arange(a.shape[0]), kk)
-        cols = idx.ravel()
+        ids, kk = train_pdf["id"].to_numpy(), min(k, b.shape[0])
+        test, near, dist = [], [], []
+        for i, x in enumerate(a):
+            # differences, not |a|^2 + |b|^2 - 2ab: equal rows are at distance exactly 0
+            diff = np.abs(b - x)
+            d = diff.sum(axis=1) if metric == "manhattan" else np.sqrt((diff * diff).sum(axis=1))
+            edge = np.partition(d, kk - 1)[kk - 1]
+            cand = np.flatnonzero(d <= edge)  # with all ties of the k-th distance
+            cand = cand[np.lexsort((ids[cand], d[cand]))[:kk]]
+            test.append(np.full(kk, i))
+            near.append(cand)
+            dist.append(d[cand])
+        rows, cols = np.concatenate(test), np.concatenate(near)
         return pd.DataFrame({
-            "test_id": test_pdf["id"].to_numpy()[rows],
-            "train_id": train_pdf["id"].to_numpy()[cols],
-            "dist": d[rows, cols],
-            "nb_label": train_pdf["label"].to_numpy()[cols]})
+            "test_id": test_pdf["id"].to_numpy()[rows], "train_id": ids[cols],
+            "dist": np.concatenate(dist), "nb_label": train_pdf["label"].to_numpy()[cols]})
     return run
 
 
@@ -176,15 +184,27 @@ def knn_candidates(train: DataFrame, test: DataFrame, k: int, metric: str = "euc
     return cand.select("*", F.row_number().over(w).alias("nb_rank")).where(F.col("nb_rank") <= k)
 
 
-def knn_vote(cand: DataFrame, k: int, weights: str = "uniform") -> DataFrame:
-    """``test_id, prediction``: majority (or 1/distance-weighted) vote of the k nearest;
-    ties go to the smallest class."""
+def vote_weight(weights: str):
+    """Weight of a neighbour: 1, or 1/distance; where a test row has neighbours at distance 0
+    only those count. Needs ``dist`` and ``_least`` (the test row's smallest distance)."""
+    if weights == "uniform":
+        return F.lit(1.0)
+    exact = F.col("_least") == 0
+    return F.when(exact, (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("dist")))
+
+
+def knn_vote(cand: DataFrame, k: int, weights: str = "uniform", n_classes: int = 0) -> DataFrame:
+    """``test_id, prediction`` by the vote of the k nearest; ties go to the smallest class.
+
+    With ``n_classes`` also each class's share of the votes, ``p0 ..``.
+    """
     c = cand.where(F.col("nb_rank") <= k)
-    w = F.lit(1.0) if weights == "uniform" else F.try_divide(F.lit(1.0), F.col("dist"))
-    votes = c.groupBy("test_id", "nb_label").agg(F.sum(F.coalesce(w, F.lit(1e300))).alias("v"))
-    best = Window.partitionBy("test_id").orderBy(F.col("v").desc(), F.col("nb_label"))
-    return votes.select("test_id", F.col("nb_label").alias("prediction"),
-                        F.row_number().over(best).alias("_r")).where("_r = 1").drop("_r")
+    c = c.withColumn("_least", F.min("dist").over(Window.partitionBy("test_id")))
+    votes = c.groupBy("test_id", "nb_label").agg(F.sum(vote_weight(weights)).alias("v"))
+    best = F.max_by("nb_label", F.struct("v", (-F.col("nb_label")).alias("n"))).alias("prediction")
+    shares = [F.coalesce(F.try_divide(F.sum(F.when(F.col("nb_label") == i, F.col("v"))), F.sum("v")), F.lit(0.0)).alias(f"p{i}")
+              for i in range(n_classes)]
+    return votes.groupBy("test_id").agg(best, *shares)
 
 
 # ---------------------------------------------------------------- MLlib models
@@ -234,6 +254,14 @@ def predict_mllib(model, df: DataFrame, n_classes: int, platt: DataFrame | None
     if "probability" in out.columns:
         arr = vector_to_array(F.col("probability"))
         probs = [arr[i] for i in range(max(2, n_classes))]
+    elif n_classes > 2:  # one margin for each class against the rest
+        margins = vector_to_array(F.col("rawPrediction"))
+        a, b = platt if platt is not None else (1.0, 0.0)
+        each = [1.0 / (1.0 + F.exp(-(F.lit(a) * margins[i] + F.lit(b)))) for i in range(n_classes)]
+        total = each[0]
+        for e in each[1:]:
+            total = total + e
+        probs = [e / total for e in each]
     else:
         margin = vector_to_array(F.col("rawPrediction"))[1]
         a, b = platt if platt is not None else (1.0, 0.0)
@@ -249,10 +277,25 @@ def predict_mllib(model, df: DataFrame, n_classes: int, platt: DataFrame | None
     return res
 
 
-def platt_scale(model, train: DataFrame, label: str = "label") -> tuple[float, float]:
-    """Sigmoid fit of the SVM margin on the training rows (probabilities for LinearSVC)."""
-    m = model.transform(train).select(F.col(label).cast("double").alias("y"),
-                                      vector_to_array(F.col("rawPrediction"))[1].alias("margin"))
+def svm_platt(train: DataFrame, features: Sequence[str], label: str = "label", n_classes: int = 2,
+              weight: str | None = None, **params) -> tuple[float, float]:
+    """Sigmoid from SVM margins to probabilities, on margins of rows the SVM was not fitted on.
+
+    A helper SVM is fitted on four fifths of the rows (by hash of the features) and the
+    sigmoid on its margins of the last fifth; with several classes on all one-vs-rest margins.
+    Without rows of two classes in that fifth the map is the plain logistic function.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(f) for f in features]), F.lit(5))
+    model = fit_mllib(train.where(part != 0), features, "svm", label, weight, n_classes=n_classes, **params)
+    raw = vector_to_array(F.col("rawPrediction"))
+    held = model.transform(train.where(part == 0))
+    if n_classes <= 2:
+        m = held.select(F.col(label).cast("double").alias("y"), raw[1].alias("margin"))
+    else:
+        m = held.select(F.col(label).alias("c"), F.posexplode(raw).alias("k", "margin")) \
+            .select((F.col("c") == F.col("k")).cast("double").alias("y"), "margin")
+    if m.select("y").distinct().count() < 2:
+        return 1.0, 0.0
     lr = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.0, maxIter=100, tol=1e-4)
     fitted = lr.fit(VectorAssembler(inputCols=["margin"], outputCol="f").transform(m))
     return float(fitted.coefficients[0]), float(fitted.intercept)
@@ -261,8 +304,9 @@ def platt_scale(model, train: DataFrame, label: str = "label") -> tuple[float, f
 def impute_train_median(train: DataFrame, test: DataFrame, features: Sequence[str]):
     """features still holding nulls are filled with the *train* median."""
     from loupe.operators.prep import apply_numeric_imputer, fit_numeric_imputer
-    nulls = [f for f in features if train.where(F.col(f).isNull()).limit(1).count()
-             or test.where(F.col(f).isNull()).limit(1).count()]
+    some = lambda df: df.agg(*[F.max(is_missing(df, f)).alias(f) for f in features]).first().asDict()
+    a, b = some(train), some(test)
+    nulls = [f for f in features if a[f] or b[f]]
     if not nulls:
         return train, test
     fills = fit_numeric_imputer(train, nulls, "median")
@@ -342,8 +386,8 @@ def knn_search(data: DataFrame, folds: int, ks=(3, 5, 7, 9), weights=("uniform",
     settings = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))
                          for k in ks for w in weights])
     x = cands.select("*", F.explode(settings).alias("_st")).where(F.col("nb_rank") <= F.col("_st.k"))
-    vote = F.when(F.col("_st.w") == "uniform", F.lit(1.0)).otherwise(
-        F.coalesce(F.try_divide(F.lit(1.0), F.col("dist")), F.lit(1e300)))
+    x = x.withColumn("_least", F.min("dist").over(Window.partitionBy("metric", "fold", "test_id")))
+    vote = F.when(F.col("_st.w") == "uniform", vote_weight("uniform")).otherwise(vote_weight("distance"))
     setting = F.concat(F.lit("n_neighbors="), F.col("_st.k").cast("string"), F.lit(",weights="),
                        F.col("_st.w"), F.lit(",metric="), F.col("metric"))
     v = x.groupBy(setting.alias("setting"), "fold", "test_id", "nb_label").agg(F.sum(vote).alias("v"))
@@ -382,45 +426,123 @@ def gnb_search(data: DataFrame, features: Sequence[str], label: str, folds: int,
 
 # ---------------------------------------------------------------- F8/F9 grids for MLlib models
 
-def param_grid(name: str, est, n_train: int) -> tuple[list, list[str]]:
-    """The reference's grid for one model, mapped to Spark parameters.
-
-    LR: C in {0.01, 0.1, 1, 10} -> regParam = 1/(C n) (the solver axis has
-    no Spark counterpart); tree: depth {3, 5, 10, None->30} x min split
-    {2, 5, 10} -> minInstancesPerNode = max(1, s // 2) x gini/entropy; forest:
-    trees {50, 100, 200} x depth {5, 10, None->30} x min split {2, 5} x
-    sqrt/log2; linear SVM: C in {0.1, 1, 10} (the RBF half of that grid is
-    the random-Fourier-feature model).
+# The reference's search grids, in its parameter names.
+GRIDS: dict[str, dict[str, list]] = {
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
+    "knn": {"n_neighbors": [3, 5, 7, 9], "weights": ["uniform", "distance"], "metric": ["euclidean", "manhattan"]},
+    "decision_tree": {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5, 10], "criterion": ["gini", "entropy"]},
+    "naive_bayes": {"var_smoothing": [1e-9, 1e-8, 1e-7, 1e-6]},
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, None], "min_samples_split": [2, 5], "max_features": ["sqrt", "log2"]},
+    "svm": {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale", "auto"]},
+}
+#: Depth that stands for an unlimited one (MLlib's limit).
+MAX_DEPTH = 30
+
+
+def settings_of(name: str, n_draws: int | None = None, seed: int = 42) -> list[dict]:
+    """All settings of a model's grid, or ``n_draws`` seeded draws from them."""
+    import itertools
+    import random
+
+    grid = GRIDS[name]
+    every = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+    if n_draws is not None and len(every) > n_draws:
+        every = [every[i] for i in sorted(random.Random(seed).sample(range(len(every)), n_draws))]
+    return every
+
+
+def spark_params(name: str, setting: dict, n_train: int) -> dict:
+    """A setting in Spark's parameters: C becomes 1/(C n), the split minimum half of it per leaf."""
+    out: dict = {}
+    if "C" in setting or name in ("logistic_regression", "svm"):
+        out["regParam"] = 1.0 / (setting.get("C", 1.0) * n_train)
+    if "max_depth" in setting:
+        out["maxDepth"] = setting["max_depth"] or MAX_DEPTH
+    if "min_samples_split" in setting:
+        out["minInstancesPerNode"] = max(1, setting["min_samples_split"] // 2)
+    if "criterion" in setting:
+        out["impurity"] = setting["criterion"]
+    if "n_estimators" in setting:
+        out["numTrees"] = setting["n_estimators"]
+    if "max_features" in setting:
+        out["featureSubsetStrategy"] = setting["max_features"]
+    return out
+
+
+def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], name: str, label: str, key: str,
+                classes: Sequence[int], n_train: int, weight: str | None = None, setting: dict | None = None,
+                knn_k: int = 5) -> DataFrame:
+    """Test rows with ``prediction`` and ``p0 .. p(k-1)`` of one model under one setting."""
+    setting, k = dict(setting or {}), max(classes) + 1
+    if name == "rule_based":
+        return predict_majority(test, fit_majority(train, label), k)
+    if name == "naive_bayes":
+        return by_class(predict_gnb(test, fit_gnb(train, features, label, setting.get("var_smoothing", 1e-9))), classes, k)
+    if name == "knn":
+        vec = F.array(*[F.col(f).cast("double") for f in features])
+        tr = train.select(F.col(key).alias("id"), vec.alias("vec"), F.col(label).cast("long").alias("label"))
+        n = setting.get("n_neighbors", knn_k)
+        cand = knn_candidates(tr, test.select(F.col(key).alias("id"), vec.alias("vec")), n, setting.get("metric", "euclidean"))
+        votes = knn_vote(cand, n, setting.get("weights", "uniform"), max(2, k))
+        return test.join(votes.withColumnRenamed("test_id", key), key)
+    params = spark_params(name, setting, n_train)
+    if name == "svm":
+        if setting.get("kernel") == "rbf":
+            rff = rff_params(train, features, setting.get("gamma", "scale"))
+            (train, names), (test, _) = apply_rff(train, rff), apply_rff(test, rff)
+            features = names
+        platt = svm_platt(train, features, label, k, weight, **params)
+        return predict_mllib(fit_mllib(train, features, name, label, weight, n_classes=k, **params), test, k, platt)
+    return predict_mllib(fit_mllib(train, features, name, label, weight, **params), test, k)
+
+
+def search_settings(train: DataFrame, features: Sequence[str], name: str, label: str, key: str, folds: int, n_classes: int,
+                    weight: str | None = None, n_draws: int | None = None, seed: int = 42) -> tuple[dict, float]:
+    """The setting with the best mean weighted F1 over stratified folds (ties: the first), and that mean.
+
+    kNN and naive Bayes settings share their fits; the others are fitted for each fold and
+    setting, with C over the rows of the fold's own training part.
     """
-    grid, labels = [], []
-    if name == "logistic_regression":
-        for c in (0.01, 0.1, 1.0, 10.0):
-            grid.append({est.regParam: 1.0 / (c * n_train)})
-            labels.append(f"C={c}")
-    elif name == "decision_tree":
-        for d in (3, 5, 10, 30):
-            for s in (2, 5, 10):
-                for crit in ("gini", "entropy"):
-                    grid.append({est.maxDepth: d, est.minInstancesPerNode: max(1, s // 2),
-                                 est.impurity: crit})
-                    labels.append(f"max_depth={'None' if d == 30 else d},min_samples_split={s},"
-                                  f"criterion={crit}")
-    elif name == "random_forest":
-        for t in (50, 100, 200):
-            for d in (5, 10, 30):
-                for s in (2, 5):
-                    for mf in ("sqrt", "log2"):
-                        grid.append({est.numTrees: t, est.maxDepth: d,
-                                     est.minInstancesPerNode: max(1, s // 2),
-                                     est.featureSubsetStrategy: mf})
-                        labels.append(f"n_estimators={t},max_depth={'None' if d == 30 else d},"
-                                      f"min_samples_split={s},max_features={mf}")
-    elif name == "svm":
-        for c in (0.1, 1.0, 10.0):
-            grid.append({est.regParam: 1.0 / (c * n_train)})
-            labels.append(f"C={c},kernel=linear")
+    from loupe.operators.evaluate import basic_metrics
+    from loupe.operators.split import cv_folds
+    from loupe.session import cut_lineage
+
+    every = settings_of(name, n_draws, seed)
+    data = cut_lineage(cv_folds(train, label, [key], folds, seed, "fold"))
+    if name == "knn":
+        vec = F.array(*[F.col(f).cast("double") for f in features])
+        rows = data.select(F.col(key).alias("id"), vec.alias("vec"), F.col(label).cast("long").alias("label"), "fold")
+        got = {r["setting"]: r["mean_f1"] for r in knn_search(rows, folds).collect()}
+        text = lambda s: f"n_neighbors={s['n_neighbors']},weights={s['weights']},metric={s['metric']}"
+    elif name == "naive_bayes":
+        got = {r["setting"]: r["mean_f1"] for r in gnb_search(data, features, label, folds).collect()}
+        text = lambda s: f"var_smoothing={s['var_smoothing']:g}"
     else:
+        text, scores = str, {}
+        for f in range(folds):
+            tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+            found = [int(r[0]) for r in tr.select(label).distinct().collect()]
+            n = tr.count()
+            for s in every:
+                p = fit_predict(tr, te, features, name, label, key, sorted({*found, n_classes - 1}), n, weight, s)
+                m = basic_metrics(p.select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"))).first()
+                scores.setdefault(str(s), []).append(m["f1_score"])
+        got = {s: sum(v) / len(v) for s, v in scores.items()}
+    best = max(every, key=lambda s: got[text(s)])
+    return best, float(got[text(best)])
+
+
+def param_grid(name: str, est, n_train: int) -> tuple[list, list[str]]:
+    """:data:`GRIDS` of an MLlib model as parameter maps with their names (the linear half for the SVM)."""
+    if name not in ("logistic_regression", "decision_tree", "random_forest", "svm"):
         raise ValueError(f"no MLlib grid for {name!r}")
+    grid, labels = [], []
+    for s in settings_of(name):
+        if s.get("kernel") == "rbf" or s.get("gamma") == "auto":
+            continue
+        s.pop("gamma", None)
+        grid.append({est.getParam(p): v for p, v in spark_params(name, s, n_train).items()})
+        labels.append(",".join(f"{p}={v}" for p, v in s.items()))
     return grid, labels
 
 
@@ -439,9 +561,12 @@ def grid_search(data: DataFrame, features: Sequence[str], name: str, folds: int,
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
 
+    from loupe.session import cut_lineage
+
     est = estimator(name, label)
-    assembled = assembler(features).transform(data)
-    grid, labels = param_grid(name, est, assembled.count())
+    assembled = cut_lineage(assembler(features).transform(data).select("features", label, "fold"))
+    n_fold = assembled.count() * (folds - 1) // folds  # rows that each fold trains on
+    grid, labels = param_grid(name, est, n_fold)
     if n_draws is not None and len(grid) > n_draws:
         pick = sorted(random.Random(seed).sample(range(len(grid)), n_draws))
         grid, labels = [grid[i] for i in pick], [labels[i] for i in pick]

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from loupe.functions.ranks import exact_quantiles, row_ranks
 from loupe.functions.roles import column_roles
-from loupe.functions.stats import as_double
+from loupe.functions.stats import as_double, is_missing
+from loupe.session import join_small
 from loupe.operators.profile import column_summary, value_counts_tall
 
 # The reference's defaults.
@@ -45,6 +46,17 @@ class PrepConfig:
     scaling: str = "standard"                   # standard | minmax | none
     seed: int = 42
 
+    def __post_init__(self):
+        """Refuses option values that no step knows."""
+        known = {"numerical_strategy": ("mean", "median", "most_frequent"), "categorical_strategy": ("most_frequent", "constant"),
+                 "outlier_handling": ("keep", "cap", "remove"), "encoding": ("onehot", "label"),
+                 "imbalance_handling": ("none", "smote", "undersample", "class_weights"), "scaling": ("standard", "minmax", "none")}
+        for name, values in known.items():
+            if getattr(self, name) not in values:
+                raise ValueError(f"{name}={getattr(self, name)!r}: one of {', '.join(values)} is expected")
+        if not 0 < self.test_size < 1:
+            raise ValueError(f"test_size={self.test_size!r}: a share between 0 and 1 is expected")
+
 
 # ---------------------------------------------------------------- E1, E2
 
@@ -122,9 +134,9 @@ def auto_impute(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame,
     Only columns that still hold nulls are touched.
     """
     roles = column_roles(df, exclude=list(exclude))
-    s = column_summary(value_counts_tall(df, [*roles.numerical, *roles.categorical]))
-    nulls = {r["column_name"] for r in s.where(F.col("null_count") > 0).select("column_name")
-             .collect()}
+    cols = [*roles.numerical, *roles.categorical]
+    row = df.agg(*[F.max(is_missing(df, c)).alias(c) for c in cols]).first().asDict() if cols else {}
+    nulls = {c for c in cols if row[c]}
     num = [c for c in roles.numerical if c in nulls]
     cat = [c for c in roles.categorical if c in nulls]
     nf = fit_numeric_imputer(df, num, "median")
@@ -141,9 +153,8 @@ def cap_outliers(df: DataFrame, bounds: dict) -> DataFrame:
     for c in df.columns:
         if c in bounds:
             lo, hi = bounds[c]
-            x = F.col(c)
-            out.append(F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi))
-                       .otherwise(x.cast("double")).alias(c))
+            x = as_double(c)  # a NaN is missing, not above the upper bound
+            out.append(F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -156,7 +167,7 @@ def remove_outliers(df: DataFrame, bounds: dict) -> DataFrame:
         return df
     cond = None
     for c, (lo, hi) in present.items():
-        ok = F.coalesce((F.col(c) >= lo) & (F.col(c) <= hi), F.lit(False))
+        ok = F.coalesce((as_double(c) >= lo) & (as_double(c) <= hi), F.lit(False))
         cond = ok if cond is None else cond & ok
     return df.where(cond)
 
@@ -205,13 +216,24 @@ def apply_group_rare(df: DataFrame, frequent: dict, other: str = OTHER) -> DataF
 
 # ---------------------------------------------------------------- E10 - E12 encoding
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> dict:
-    """E10 fit: sorted categories per column (the user chose to expand these columns)."""
+#: Columns that one-hot encoding may make in all; the result is a plan of as many expressions.
+ONE_HOT_LIMIT = 5_000
+
+
+def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> dict:
+    """E10 fit: sorted categories per column (the user chose to expand these columns).
+
+    More than ``limit`` categories in all are refused with the counts by column: group rare
+    values first, or use label encoding.
+    """
     cols = list(cols)
     if not cols:
         return {}
     tall = value_counts_tall(df, cols).where(F.col("value").isNotNull())
-    rows = tall.select("column_name", "value").collect()
+    rows = tall.select("column_name", "value").limit(limit + 1).collect()
+    if len(rows) > limit:
+        n = {r["column_name"]: r["count"] for r in tall.groupBy("column_name").count().collect()}
+        raise ValueError(f"one-hot encoding would need over {limit} columns; categories by column: {n}")
     cats: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         cats[r["column_name"]].append(r["value"])
@@ -247,13 +269,17 @@ def label_dictionary(df: DataFrame, col: str, null_as: str | None = "nan") -> Da
 
 def apply_label_encoding(df: DataFrame, col: str, dictionary: DataFrame,
                          null_as: str | None = "nan", out: str | None = None) -> DataFrame:
-    """E11 apply: replace the strings by their codes (join on the dictionary)."""
+    """E11 apply: replace the strings by their codes.
+
+    A dictionary of up to 100,000 values is broadcast after it is counted; with a larger one
+    both sides are shuffled, where a hot value can be split.
+    """
     out = out or col
     v = F.col(col).cast("string")
     if null_as is not None:
         v = F.coalesce(v, F.lit(null_as))
     keyed = df.withColumn("_lv", v)
-    j = keyed.join(dictionary.withColumnRenamed("value", "_lv"), "_lv", "left")
+    j = join_small(keyed, dictionary.withColumnRenamed("value", "_lv"), ["_lv"], "left", limit=100_000)
     if out == col:
         cols = [F.col("code").alias(out) if c == col else F.col(c) for c in df.columns]
     else:
@@ -261,6 +287,28 @@ def apply_label_encoding(df: DataFrame, col: str, dictionary: DataFrame,
     return j.select(*cols)
 
 
+def expand_other(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, dict]:
+    """Columns that are neither numbers nor strings, as numbers: booleans 0/1, dates and
+    timestamps in days since 1970; nested and binary columns are left out. Returns the
+    table and what became of each such column."""
+    others = set(column_roles(df, exclude=list(exclude)).other)
+    out, done = [], {}
+    for f in df.schema.fields:
+        c, kind = F.col(f.name), f.dataType.typeName()
+        if f.name not in others:
+            out.append(c)
+        elif kind == "boolean":
+            out.append(c.cast("int").alias(f.name))
+            done[f.name] = "0/1"
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            seconds = F.unix_seconds(c.cast("timestamp"))
+            out.append((seconds / 86400.0).alias(f.name))
+            done[f.name] = "days"
+        else:
+            done[f.name] = "left out"
+    return df.select(*out), done
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         df = apply_label_encoding(df, c, label_dictionary(df, c))
@@ -273,7 +321,7 @@ def check_trainable(df: DataFrame, label: str) -> None:
     """At least 10 rows; every class that occurs has rows (always true when counted)."""
     n = df.limit(MIN_ROWS).count()
     if n < MIN_ROWS:
-        raise ValueError(f"too few samples remaining ({n}); adjust the preprocessing decisions")
+        raise ValueError(f"{n} rows are left, {MIN_ROWS} are needed to train: relax the cleaning options")
 
 
 # ---------------------------------------------------------------- E21 train class table

@@ -63,11 +63,6 @@ def column_summary(tall: DataFrame) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Column summary straight from a DataFrame."""
-    return column_summary(value_counts_tall(df, cols))
-
-
 # ---------------------------------------------------------------- B2 .. B7
 
 def table_overview(df: DataFrame) -> DataFrame:
@@ -101,27 +96,21 @@ def column_types(df: DataFrame, tall: DataFrame | None = None) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, std (ddof=1), min, 25 %, 50 %, 75 %, max per numeric column (tall).
 
-    Two passes: one aggregate gives the moments and an HLL distinct estimate
-    per column (one small row, kept as parameters), the estimate picks the
-    exact-quantile method, and the quantiles are the second pass.
+    Two passes: one aggregate gives the moments (one small row, kept as parameters),
+    the exact quantiles are the second pass.
     """
-    from loupe.functions.ranks import EXACT_MAP_LIMIT
-
     cols = list(cols) if cols is not None else list(column_roles(df).numerical)
     aggs = []
     for i, c in enumerate(cols):
         v = as_double(c)
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.approx_count_distinct(v).alias(f"d{i}")]
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     r = df.agg(*aggs).collect()[0]
     rows = [(c, r[f"n{i}"], r[f"m{i}"], r[f"s{i}"], r[f"lo{i}"], r[f"hi{i}"])
             for i, c in enumerate(cols)]
     m = df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, std double, min double, max double")
-    bound = max((r[f"d{i}"] or 0) for i in range(len(cols))) * 1.15 if cols else 0
-    method = "percentile" if bound <= EXACT_MAP_LIMIT else "ranks"
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"], method=method)
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
     out = m.join(q.select("column", "q25", "q50", "q75"), "column", "left")
     return out.select(F.col("column").alias("column_name"), "count", "mean", "std", "min",
                       "q25", "q50", "q75", "max")

@@ -9,12 +9,14 @@ order is expressible in SQL, which gives exact twins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.functions.ranks import row_ranks
+from loupe.session import join_small
 
 
 def hash_order(key: Sequence[str], seed: int = 42) -> Column:
@@ -49,12 +51,12 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_size: f
                      seed: int = 42, split_col: str = "split") -> DataFrame:
     """Every row with ``split`` in {train, test}; class shares kept.
 
-    The quota table has one row per class, joined by label (AQE broadcasts
-    it after measuring its size).
+    The quota table has one row per class; it is broadcast after its rows are counted, so
+    the facts are not shuffled by label.
     """
     q = class_quotas(df, label, test_size)
     r = row_ranks(df.withColumn("_h", hash_order(key, seed)), [label], ["_h", *key])
-    j = r.join(q.select(label, "n_test"), label)
+    j = join_small(r, q.select(label, "n_test"), [label])
     s = F.when(F.col("_rank") < F.col("n_test"), F.lit("test")).otherwise(F.lit("train"))
     return j.select(*df.columns, s.alias(split_col))
 
@@ -70,9 +72,12 @@ def random_split(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed
 
 def split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
           seed: int = 42) -> DataFrame:
-    """Stratified when every class has at least two rows, else plain (E14 | E15)."""
-    smallest = df.groupBy(label).count().agg(F.min("count")).collect()[0][0]
-    if smallest is not None and smallest >= 2:
+    """Stratified when every class has at least two rows and neither part has fewer rows
+    than there are classes, else plain (E14 | E15)."""
+    r = df.groupBy(label).count().agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("k"),
+                                      F.sum("count").alias("n")).first()
+    n_test = math.ceil(test_size * (r["n"] or 0))
+    if r["least"] is not None and r["least"] >= 2 and min(n_test, r["n"] - n_test) >= r["k"]:
         return stratified_split(df, label, key, test_size, seed)
     return random_split(df, key, test_size, seed)
 
@@ -81,7 +86,7 @@ def undersample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) -
     """Keep the first ``min class count`` rows of every class in hash order."""
     r = row_ranks(df.withColumn("_h", hash_order(key, seed)), [label], ["_h", *key])
     m = df.groupBy(label).count().select(label, F.min("count").over(Window.partitionBy()).alias("_m"))
-    j = r.join(m, label)
+    j = join_small(r, m, [label])
     return j.where(F.col("_rank") < F.col("_m")).select(*df.columns)
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -46,12 +48,15 @@ def get_session(master: str | None = None, app: str = "loupe", **conf) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The session's setting is always used; only when nothing is set (a bare
-    local session in tests) a scratch folder is registered.
+    The session's setting is always used. Where nothing is set, a local session (tests)
+    gets a scratch folder; on a cluster this is an error, since a folder of one
+    machine is not seen by the others.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loupe-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -66,3 +71,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table into the shared checkpoint folder and read it back.
+
+    Like a checkpoint, but the result has no known partitioning: a later join shuffles both
+    sides, so that the skew-join rule can split a hot key.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table that should be class- or column-sized is sent to every executor.
+SMALL_ROWS = 10_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
+    """Join with a table that is expected to be tiny (one row per class or column).
+
+    Its rows are counted up to ``limit`` first: a table within it is broadcast, so the facts
+    are not shuffled by a key with few values; a larger one is written and joined by
+    shuffling both sides, where hot keys can be split.
+    """
+    rows = small.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        local = df.sparkSession.createDataFrame(rows, small.schema)
+        return df.join(F.broadcast(local), on, how)
+    return df.join(materialize(small), on, how)

@@ -22,7 +22,13 @@ _TRY_ORDER = [("bigint", T.LongType()), ("double", T.DoubleType()), ("boolean",
               ("timestamp", T.TimestampType())]
 
 
+#: A number as the reference's reader takes it; Spark's cast also takes suffixes such as ``1D``.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Infinity|infinity|Inf)\s*$"
+
+
 def _try(c, sql_type: str):
+    if sql_type in ("bigint", "double", "int", "float"):
+        return F.when(c.rlike(_NUMBER), c.try_cast(sql_type))
     if sql_type == "boolean":
         low = F.lower(F.trim(c))
         return F.when(low.isin("true", "false"), low == "true")
@@ -33,13 +39,21 @@ def _try(c, sql_type: str):
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              na_tokens: list[str] | None = None, header: bool = True) -> DataFrame:
-    """Read CSV files; missing tokens become NULL; types inferred in one pass unless given."""
+    """Read CSV files; missing tokens (matched as they stand) become NULL.
+
+    Types are inferred in one pass unless a schema is given; a value that does not fit the
+    schema's type raises an error that counts such values by column.
+    """
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     raw = spark.read.csv(path, header=header, inferSchema=False, mode="PERMISSIVE")
-    clean = raw.select(*[F.when(F.trim(F.col(c)).isin(tokens) | F.col(c).isNull(), None)
+    clean = raw.select(*[F.when(F.col(c).isin(tokens) | F.col(c).isNull(), None)
                          .otherwise(F.col(c)).alias(c) for c in raw.columns])
     if schema is not None:
-        return clean.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        typed = {f.name: _try(F.col(f.name), f.dataType.simpleString()) for f in schema.fields}
+        lost = clean.agg(*[F.sum((F.col(c).isNotNull() & v.isNull()).cast("long")).alias(c) for c, v in typed.items()]).first().asDict()
+        if any(lost.values()):
+            raise ValueError(f"values that do not fit the schema: { {c: n for c, n in lost.items() if n} }")
+        return clean.select(*[typed[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
     checks = []
     for c in clean.columns:
         checks.append(F.count(F.col(c)).alias(f"{c}__n"))
@@ -61,12 +75,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 def write_results(df: DataFrame, path: str, missing: str = "N/A", single_file: bool = True) -> None:
     """A3: results as CSV with a header; missing metrics printed as ``N/A``.
 
-    Result tables are small (one row per model); ``single_file`` coalesces
-    to one part file for a user download, otherwise partitions write in
-    parallel.
+    Result tables are small (one row per model); ``single_file`` gathers the finished
+    rows into one part file for a user download (the work before runs in parallel),
+    otherwise partitions write in parallel.
     """
     from loupe.operators.report import for_csv
     out = for_csv(df, missing)
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)
     out.write.mode("overwrite").option("header", True).csv(path)

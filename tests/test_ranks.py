@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from loupe.functions.ranks import cumulative, exact_quantiles, prefix_counts, row_ranks
@@ -18,10 +17,9 @@ def _frame(spark, n=3000, seed=1):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("method", ["percentile", "ranks"])
-def test_quantiles_match_pandas(spark, method):
+def test_quantiles_match_pandas(spark):
     pdf, df = _frame(spark)
-    q = exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.9, 1.0], ["g"], method=method).toPandas()
+    q = exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.9, 1.0], ["g"]).toPandas()
     for g, sub in pdf.groupby("g"):
         exp = sub["v"].dropna().quantile([0.0, 0.25, 0.5, 0.9, 1.0]).to_numpy()
         got = q[q.g == g][["q0", "q25", "q50", "q90", "q100"]].to_numpy()[0]
@@ -81,3 +79,19 @@ def test_fill_last_both_directions_across_slices(spark):
         assert list(f["prev"]) == exp_prev
         got_next = [None if x != x else x for x in b["next"]]
         assert got_next == exp_next
+
+
+def test_a_hot_value_is_spread_over_slices(spark):
+    from loupe.functions.ranks import sliced
+    df = spark.range(20_000).select(F.when(F.col("id") % 5 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    r = row_ranks(df, [], ["v"], partitions=16)
+    assert r.agg(F.count("*"), F.countDistinct("_rank"), F.max("_rank")).first()[:] == (20_000, 20_000, 19_999)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    sizes = [x["count"] for x in sliced(tied, [], ["v", "_tie"], 16).groupBy("_s").count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
+def test_null_groups_rank_by_themselves(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 5), (None, 2)], "g string, v int")
+    got = sorted((r.g or "", r.v, r._rank, r._total) for r in row_ranks(df, ["g"], ["v"]).collect())
+    assert got == [("", 1, 0, 3), ("", 2, 1, 3), ("", 3, 2, 3), ("a", 2, 0, 2), ("a", 5, 1, 2)]
