@@ -81,3 +81,15 @@ def test_a_block_of_another_dictionary_is_refused(spark, make_docs):
     spark.range(1).selectExpr("'x' AS dict_hash", "cast('other' AS binary) AS dictionary").write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(Exception, match="dictionary"):
         read_token_files(spark, path).count()
+
+
+def test_words_encode_like_whole_texts():
+    from loupe.llm.tokenfile import Encoder
+
+    rnd = random.Random(11)
+    bits = ["Don't", "WE'LL.", "ab,c", "x.,", "...", "é.", "É,", "é.", "É!", "<|endoftext|>.", "<|ENDOFTEXT|>,", "<|startoftext|>", "3.14,", " y", "İ.", "word_.", "(a).", "naïve?!", "　", "ß:", "1٣.", "a​."]
+    texts = [rnd.choice([" ", "\n", "\t "]).join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(300)] + ["A" * 5000 + "."]
+    with open(VOCAB, encoding="utf-8") as f:
+        encoder = Encoder(f.read(), 50)
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode_many([t.encode() for t in texts], np.array([1], encoder.dtype).tobytes())]
+    assert got == whole_text_ids(texts)
