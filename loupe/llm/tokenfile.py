@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.llm.store import shared_path
+from loupe.llm.textops import row_groups, utf8
 
 BLOCKS = ("part int, block int, first_id bigint, last_id bigint, dict_hash string, id_bytes int, n_ids bigint, "
           "doc_ids array<bigint>, starts array<bigint>, offsets array<bigint>, data binary")
@@ -42,14 +43,17 @@ class TokenParams:
     sample_bytes: int = 8 << 10
     block_rows: int = 4096
     block_bytes: int = 4 << 20
-    cached_words: int = 1 << 18
+    cached_words: int = 1 << 20
 
 
 class Encoder:
     """Ids of whole texts as packed bytes.
 
-    The tokenizer never merges across ASCII white space, which it drops; so a text's ids
-    are those of its words, and each distinct word is encoded once while it is cached.
+    The tokenizer splits at ASCII white space, which it drops, and between a letter or digit
+    and the punctuation after it, and it lower-cases; so a text's ids are those of its lower-case
+    words, and a word's those of its stem and of a closing run of ``.,;:!?``. Each distinct
+    stem is encoded once while it is cached. A text that may hold a special token
+    (``<|``) keeps its case, since those are matched as written.
     """
 
     def __init__(self, tokenizer_json: str, cached_words: int):
@@ -63,17 +67,47 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.cached_words = cached_words
 
-    def encode(self, text: bytes | None, end: bytes) -> bytes:
-        words = (text or b"").split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+    def _learn(self, words: set[bytes]) -> None:
+        known, stems, split = self.known, set(), []
+        for w in words:
+            stem = w.rstrip(b".,;:!?")
+            if len(stem) < len(w) and stem[-1:].isalnum():
+                end = w[len(stem):]
+                split.append((w, stem, end))
+                stems.update(x for x in (stem, end) if x not in known)
+            else:
+                stems.add(w)
+        new = list(stems)
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        known.update((w, np.array(g.ids, self.dtype).tobytes()) for w, g in zip(new, got))
+        known.update((w, known[stem] + known[end]) for w, stem, end in split)
+
+    def encode_many(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        """The packed ids of each text, ``end`` appended."""
+        rows = [(t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in texts)]
+        words = [w for r in rows for w in r]
+        if len(self.known) > self.cached_words:
+            self.known.clear()
+        new = {w for w, ids in zip(words, map(self.known.get, words)) if ids is None}
         if new:
-            if len(known) > self.cached_words:
-                known.clear()
-                new = list(set(words))
-            got = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(g.ids, self.dtype).tobytes()) for w, g in zip(new, got))
-        return b"".join([known[w] for w in words]) + end
+            self._learn(new)
+        packed = list(map(self.known.__getitem__, words))
+        out, at = [], 0
+        for r in rows:
+            out.append(b"".join(packed[at:at + len(r)]) + end)
+            at += len(r)
+        return out
+
+
+#: One encoder for each vocabulary, kept for a worker process's later tasks.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str, cached_words: int) -> Encoder:
+    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), cached_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(tokenizer_json, cached_words)
+    return _ENCODERS[key]
 
 
 def train_dictionary(docs: DataFrame, tokenizer_json: str, params: TokenParams) -> bytes:
@@ -85,8 +119,7 @@ def train_dictionary(docs: DataFrame, tokenizer_json: str, params: TokenParams)
     h = F.xxhash64("doc_id", "text")
     cut = min(1 << 20, int(2 * params.sample_rows / max(n, 1) * (1 << 20)) + 1)
     rows = short.filter(F.pmod(h, F.lit(1 << 20)) < cut).orderBy(h).limit(params.sample_rows).select("text").collect()
-    encoder = Encoder(tokenizer_json, params.cached_words)
-    samples = [encoder.encode(r["text"].encode(), b"") for r in rows]
+    samples = encoder_of(tokenizer_json, params.cached_words).encode_many([r["text"].encode() for r in rows], b"")
     samples = [s for s in samples if len(s) >= 8]
     total = sum(map(len, samples))
     if len(samples) < 10 or total < 4096:
@@ -104,7 +137,7 @@ def _encode(json_text, dictionary, params: TokenParams):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(json_text.value, params.cached_words)
+        encoder = encoder_of(json_text.value, params.cached_words)
         shared = zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None
         press = zstandard.ZstdCompressor(level=params.level, dict_data=shared)
         digest = hashlib.sha256(dictionary.value).hexdigest()
@@ -121,8 +154,10 @@ def _encode(json_text, dictionary, params: TokenParams):
                 "doc_ids": ids, "starts": starts, "offsets": offsets, "data": b"".join(frames)}], types)
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                raw = encoder.encode(text, end)
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            _, off = utf8(b.column("text"))
+            encoded = (raw for lo, hi in row_groups(off, 4 << 20) for raw in encoder.encode_many(texts[lo:hi], end))
+            for doc, raw in zip(b.column("doc_id").to_pylist(), encoded):
                 frame = press.compress(raw)
                 ids.append(doc)
                 starts.append(at)
