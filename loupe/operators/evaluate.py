@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.session import join_small, materialize
+
 
 def _g(group: Sequence[str] | None) -> list[str]:
     return list(group or [])
@@ -124,7 +126,10 @@ def _cum(df: DataFrame, keys: list[str]) -> DataFrame:
 def auc(df: DataFrame, keys=None, y: str = "label", score: str = "score") -> DataFrame:
     """Rank-based ROC AUC (exact under ties) per key; NULL without both classes."""
     k = _g(keys)
-    c = _cum(_score_counts(df, k, y, score), k)
+    return _auc_of(_cum(_score_counts(df, k, y, score), k), k)
+
+
+def _auc_of(c: DataFrame, k: list[str]) -> DataFrame:
     part = F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))
     a = c.groupBy(*k).agg(F.sum(part).alias("_s"), F.max("pos_total").alias("_p"),
                           F.max("neg_total").alias("_n"))
@@ -139,7 +144,20 @@ def roc_points(df: DataFrame, keys=None, y: str = "label", score: str = "score")
     threshold.
     """
     k = _g(keys)
-    c = _cum(_score_counts(df, k, y, score), k)
+    return _points_of(_cum(_score_counts(df, k, y, score), k), k)
+
+
+def points_and_auc(df: DataFrame, keys=None, y: str = "label", score: str = "score") -> DataFrame:
+    """:func:`roc_points` with each key's AUC on every point, from one cumulation."""
+    k = _g(keys)
+    c = materialize(_cum(_score_counts(df, k, y, score), k))
+    pts, a = _points_of(c, k), _auc_of(c, k)
+    if not k:
+        return join_small(pts.withColumn("_k", F.lit(1)), a.withColumn("_k", F.lit(1)), ["_k"]).drop("_k")
+    return join_small(pts, a, k)
+
+
+def _points_of(c: DataFrame, k: list[str]) -> DataFrame:
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     pts = c.select(*k, F.col("score").alias("threshold"),
@@ -173,19 +191,13 @@ def auc_ovr_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label",
 def roc_ovr(df: DataFrame, prob_cols: Sequence[str], label: str = "label", group=None) -> DataFrame:
     """Per class ROC points and AUC."""
     g = _g(group)
-    t = one_vs_rest(df, prob_cols, label, g)
-    pts = roc_points(t, [*g, "cls"], "y", "score")
-    return pts.join(auc(t, [*g, "cls"], "y", "score"), [*g, "cls"])
+    return points_and_auc(one_vs_rest(df, prob_cols, label, g), [*g, "cls"], "y", "score")
 
 
 def roc_micro(df: DataFrame, prob_cols: Sequence[str], label: str = "label", group=None) -> DataFrame:
     """Micro-average — all (row, class) cells pooled into one binary problem."""
     g = _g(group)
-    t = one_vs_rest(df, prob_cols, label, g)
-    keyed = [*g, "_k"]
-    pts = roc_points(t, g, "y", "score").withColumn("_k", F.lit(1))
-    a = auc(t, g, "y", "score").withColumn("_k", F.lit(1))
-    return pts.join(a, keyed).drop("_k")
+    return points_and_auc(one_vs_rest(df, prob_cols, label, g), g, "y", "score")
 
 
 def roc_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> DataFrame:
@@ -235,7 +247,17 @@ def roc_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label") ->
 
 
 def roc_ovo(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> DataFrame:
-    """Per class pair i<j, AUC of class j against i on ``p_j / (p_i + p_j)``.
+    """Per class pair i<j, AUC of class j against i on ``p_j / (p_i + p_j)``."""
+    return auc(_one_vs_one(df, prob_cols, label), ["class_i", "class_j"], "y", "score")
+
+
+def roc_ovo_points(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> DataFrame:
+    """The curve of each class pair."""
+    return roc_points(_one_vs_one(df, prob_cols, label), ["class_i", "class_j"], "y", "score")
+
+
+def _one_vs_one(df: DataFrame, prob_cols: Sequence[str], label: str) -> DataFrame:
+    """``class_i, class_j, y, score`` of the rows of either class of each pair.
 
     Each row joins the k-1 pairs its label belongs to (an explode, bounded
     by the class count). Rows with ``p_i + p_j = 0`` are dropped.
@@ -251,7 +273,7 @@ def roc_ovo(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> Da
                  (F.col(label) == F.col("cj")).cast("int").alias("y"),
                  F.try_divide(F.col("pj"), F.when(F.col("pi") + F.col("pj") != 0,
                                                   F.col("pi") + F.col("pj"))).alias("score"))
-    return auc(t.where(F.col("score").isNotNull()), ["class_i", "class_j"], "y", "score")
+    return t.where(F.col("score").isNotNull())
 
 
 def auc_pair_matrix(ovo: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
         svc = LinearSVC(labelCol=label, maxIter=100, tol=1e-3,
                         regParam=params.get("regParam", 1.0 / 1000),
                         standardization=False, **wc)
-        return svc if params.get("n_classes", 2) <= 2 else OneVsRest(classifier=svc, labelCol=label)
+        return svc if params.get("n_classes", 2) <= 2 else OneVsRest(classifier=svc, labelCol=label, **wc)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -248,7 +248,7 @@ def fit_mllib(train: DataFrame, features: Sequence[str], name: str, label: str =
     return Pipeline(stages=[assembler(features), estimator(name, label, weight, **params)]).fit(train)
 
 
-def predict_mllib(model, df: DataFrame, n_classes: int, platt: DataFrame | None = None) -> DataFrame:
+def predict_mllib(model, df: DataFrame, n_classes: int, platt: tuple[float, float] | None = None) -> DataFrame:
     """Predictions with ``p<k>`` columns from the model's probability (or a Platt map of the margin)."""
     out = model.transform(df)
     if "probability" in out.columns:
@@ -505,10 +505,10 @@ def search_settings(train: DataFrame, features: Sequence[str], name: str, label:
     """
     from loupe.operators.evaluate import basic_metrics
     from loupe.operators.split import cv_folds
-    from loupe.session import cut_lineage
+    from loupe.session import fit_rows
 
     every = settings_of(name, n_draws, seed)
-    data = cut_lineage(cv_folds(train, label, [key], folds, seed, "fold"))
+    data = fit_rows(cv_folds(train, label, [key], folds, seed, "fold"))
     if name == "knn":
         vec = F.array(*[F.col(f).cast("double") for f in features])
         rows = data.select(F.col(key).alias("id"), vec.alias("vec"), F.col(label).cast("long").alias("label"), "fold")
@@ -561,10 +561,10 @@ def grid_search(data: DataFrame, features: Sequence[str], name: str, folds: int,
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
 
-    from loupe.session import cut_lineage
+    from loupe.session import cut_lineage, fit_rows
 
     est = estimator(name, label)
-    assembled = cut_lineage(assembler(features).transform(data).select("features", label, "fold"))
+    assembled = cut_lineage(assembler(features).transform(fit_rows(data.select(*features, label, "fold"))).select("features", label, "fold"))
     n_fold = assembled.count() * (folds - 1) // folds  # rows that each fold trains on
     grid, labels = param_grid(name, est, n_fold)
     if n_draws is not None and len(grid) > n_draws:

@@ -36,6 +36,13 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.unionByName(b.where(k % 50 == 0))
 
 
+def nan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key, price and tenure of dirty_orders with NaN prices at keys divisible by 11."""
+    d = dirty_orders(spark, sf_dir)
+    nan = F.when(F.col("o_orderkey") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("price"))
+    return d.select("o_orderkey", nan.alias("price"), "tenure")
+
+
 def _hash_digit(key, salt: str | None = None):
     """0..9 from the first hex digit of md5(key[salt]) — identical in Spark and DuckDB."""
     s = key.cast("string")

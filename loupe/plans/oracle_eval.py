@@ -188,6 +188,9 @@ FROM pts JOIN a ON TRUE""")
 sql("q_roc_ovo", f"""{M}{OVO},{cum_ctes('ovo', ['class_i', 'class_j'], 'y', 'o')}
 {round_all(auc_sql('o', ['class_i', 'class_j']), ['auc'], ['class_i', 'class_j'])}""")
 
+sql("q_roc_ovo_points", f"""{M}{OVO},{cum_ctes('ovo', ['class_i', 'class_j'], 'y', 'o')}
+{round_all(roc_sql('o', ['class_i', 'class_j']), ['threshold', 'fpr', 'tpr'], ['class_i', 'class_j'])}""")
+
 sql("q_auc_pair_matrix", f"""{M}{OVO},{cum_ctes('ovo', ['class_i', 'class_j'], 'y', 'o')},
 p AS ({auc_sql('o', ['class_i', 'class_j'])}),
 s AS (SELECT class_i AS class_a, class_j AS class_b, auc FROM p

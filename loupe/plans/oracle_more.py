@@ -187,6 +187,12 @@ for i, a in enumerate(LI_NUM):
     for b in LI_NUM[i + 1:]:
         _hp.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, "
                    f"{_clamp(_corr(a, b))} AS r FROM lineitem")
+_DERIVED = {**{c: c for c in LI_NUM}, "gross": "l_extendedprice * (1 + l_tax)", "returned": "-l_quantity"}
+_hd = [f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {_clamp(_corr(f'({_DERIVED[a]})', f'({_DERIVED[b]})'))} AS r FROM lineitem"
+       for i, a in enumerate(_DERIVED) for b in list(_DERIVED)[i + 1:]]
+sql("q_high_corr_derived", f"""
+WITH p AS ({union(_hd)})
+SELECT feature_1, feature_2, round(r, 3) AS correlation FROM p WHERE abs(r) > 0.8""")
 sql("q_high_corr_pairs", f"""
 WITH p AS ({union(_hp)})
 SELECT feature_1, feature_2, round(r, 3) AS correlation FROM p WHERE abs(r) > 0.8""")

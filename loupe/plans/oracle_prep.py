@@ -256,3 +256,64 @@ SELECT o_orderkey, target,
              ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), ':42')), o_orderkey) - 1) % 5 AS INTEGER)
          AS fold
 FROM dirty""")
+
+
+NAN_CTE = DIRTY + """,
+nans AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE price END AS price, tenure FROM dirty),
+held AS (SELECT o_orderkey, CASE WHEN isnan(price) THEN NULL ELSE price END AS price, tenure FROM nans)"""
+
+sql("q_impute_nan", f"""
+WITH {NAN_CTE}
+SELECT o_orderkey, {r6('coalesce(price, (SELECT quantile_cont(price, 0.5) FROM held))')} AS price,
+       {r6('coalesce(tenure, (SELECT quantile_cont(tenure, 0.5) FROM held))')} AS tenure FROM held""")
+
+
+def _capped(c: str) -> str:
+    lo = f"(SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM held)"
+    hi = f"(SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM held)"
+    return r6(f"CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END")
+
+
+sql("q_cap_nan", f"""
+WITH {NAN_CTE}
+SELECT o_orderkey, {_capped('price')} AS price, {_capped('tenure')} AS tenure FROM held""")
+
+sql("q_missing_summary_nan", f"""
+WITH {NAN_CTE}, n AS (SELECT count(*) AS n FROM held),
+m AS (SELECT 'price' AS column_name, count(*) - count(price) AS c FROM held
+      UNION ALL SELECT 'tenure', count(*) - count(tenure) FROM held
+      UNION ALL SELECT 'o_orderkey', count(*) - count(o_orderkey) FROM held)
+SELECT column_name, CAST(c AS BIGINT) AS missing_count, round(c * 100.0::DOUBLE / n, 2) AS missing_percentage FROM m, n WHERE c > 0""")
+
+sql("q_sample_cap_small", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), ':42')), o_orderkey LIMIT 500""")
+
+sql("q_smote", f"""
+WITH {PLANTED_CTE},
+c AS (SELECT label, count(*) AS n FROM planted WHERE split = 'train' GROUP BY label)
+SELECT CAST(label AS INTEGER) AS label, false AS synthetic, CAST(n AS BIGINT) AS rows FROM c
+UNION ALL SELECT CAST(label AS INTEGER), true, CAST((SELECT max(n) FROM c) - n AS BIGINT) FROM c WHERE n < (SELECT max(n) FROM c)""")
+
+_three = "CASE WHEN l_quantity <= 15 THEN 0 WHEN l_quantity <= 35 THEN 1 ELSE 2 END"
+sql("q_train_status", f"""
+WITH {PLANTED_CTE},
+m AS (SELECT unnest(['logistic_regression', 'decision_tree', 'naive_bayes', 'svm', 'rule_based']) AS model)
+SELECT model, 'ok' AS status, (SELECT CAST(count(DISTINCT {_three}) AS INTEGER) FROM planted WHERE split = 'train') AS n_classes,
+       (SELECT CAST(count(*) AS BIGINT) FROM planted WHERE split = 'test') AS n_rows, model <> 'rule_based' AS beats_majority FROM m""")
+
+# five of the columns are (near-)constant, so two numbers and one string remain as features
+sql("q_prep_summary", f"""
+WITH {DIRTY}, {FENCES},
+u AS (SELECT DISTINCT * FROM dirty),
+c AS (SELECT (SELECT count(*) FROM dirty) AS n, (SELECT count(*) FROM u) AS d,
+             (SELECT count(*) FROM u WHERE price < {_b('price', 'lo')} OR price > {_b('price', 'hi')}) AS o),
+s AS (SELECT *, CAST(ceil(CAST(0.2 AS DOUBLE) * (d - o)) AS BIGINT) AS t FROM c)
+SELECT 'input' AS step, 'rows' AS metric, CAST(n AS DOUBLE) AS value FROM s
+UNION ALL SELECT 'remove_duplicates', 'rows_removed', CAST(n - d AS DOUBLE) FROM s
+UNION ALL SELECT 'remove_constant_features', 'columns_removed', 5.0::DOUBLE
+UNION ALL SELECT 'impute', 'columns', 3.0::DOUBLE
+UNION ALL SELECT 'remove_outliers', 'rows_removed', CAST(o AS DOUBLE) FROM s
+UNION ALL SELECT 'encode', 'columns', 1.0::DOUBLE
+UNION ALL SELECT 'split', 'train_rows', CAST(d - o - t AS DOUBLE) FROM s
+UNION ALL SELECT 'split', 'test_rows', CAST(t AS DOUBLE) FROM s
+UNION ALL SELECT 'scale_standard', 'columns', 2.0::DOUBLE""")

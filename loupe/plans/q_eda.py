@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loupe.operators import eda as E
 from loupe.plans.catalog import register
-from loupe.plans.fixtures import LINEITEM_KEY, dirty_orders
+from loupe.plans.fixtures import LINEITEM_KEY, dirty_orders, nan_orders
 from loupe.plans.q_profile import LINEITEM_NUM
 from loupe.sources.tables import load
 
@@ -95,6 +97,26 @@ def q_sample_cap(spark, sf):
     return E.sample_cap(li, key, E.QQ_SAMPLE_CAP, 42)
 
 
+@register("q_sample_cap_small")
+def q_sample_cap_small(spark, sf):
+    """C14 where the cap bites: 500 orders by a seeded hash order."""
+    return E.sample_cap(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 500, 42)
+
+
+@register("q_high_corr_derived")
+def q_high_corr_derived(spark, sf):
+    """C11 with pairs above the threshold: lineitem numbers, the gross price and the negative quantity."""
+    li = load(spark, sf, "lineitem").select(
+        *LINEITEM_NUM, (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("gross"), (-F.col("l_quantity")).alias("returned"))
+    return E.high_corr_pairs(li, [*LINEITEM_NUM, "gross", "returned"])
+
+
+@register("q_missing_summary_nan")
+def q_missing_summary_nan(spark, sf):
+    """C1 on dirty_orders with NaN cells beside NULL ones: both are missing."""
+    return E.missing_summary(nan_orders(spark, sf))
+
+
 @register("q_boxplot_by_class")
 def q_boxplot_by_class(spark, sf):
     """Documents.n_chars box-plot statistics per language."""

@@ -87,6 +87,12 @@ def q_roc_ovo(spark, sf):
     return G.roc_ovo(preds_multi(spark, sf), PROBS)
 
 
+@register("q_roc_ovo_points")
+def q_roc_ovo_points(spark, sf):
+    """One-vs-one curve points per class pair."""
+    return G.roc_ovo_points(preds_multi(spark, sf), PROBS)
+
+
 @register("q_auc_pair_matrix")
 def q_auc_pair_matrix(spark, sf):
     """Symmetric pairwise AUC matrix with mean and count."""

@@ -10,7 +10,7 @@ from loupe.operators import split as SP
 from loupe.plans.catalog import register
 from loupe.plans.fixtures import dirty_orders, planted_lineitem
 from loupe.plans.q_prep import PLANTED_FEATURES
-from loupe.session import cut_lineage
+from loupe.session import fit_rows
 from loupe.sources.tables import load
 
 OUT = ["row_key", "label", "prediction", "p0", "p1", "score"]
@@ -62,7 +62,7 @@ def _mllib(spark, sf, name, **params):
         sp = S.fit_standard(train, PLANTED_FEATURES)
         train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
     # the fits read their rows many times: only what they need, written once
-    train = cut_lineage(train.select(*PLANTED_FEATURES, "label"))
+    train = fit_rows(train.select(*PLANTED_FEATURES, "label"))
     if name in ("logistic_regression", "svm"):
         params.setdefault("regParam", 1.0 / train.count())  # C = 1
     model = M.fit_mllib(train, PLANTED_FEATURES, name, "label", **params)
@@ -174,7 +174,7 @@ def q_model_svm_rbf(spark, sf):
     p = M.rff_params(train, PLANTED_FEATURES, "scale", 100, 42)
     train, names = M.apply_rff(train, p)
     test, _ = M.apply_rff(test, p)
-    train = cut_lineage(train.select(*names, "label"))
+    train = fit_rows(train.select(*names, "label"))
     reg = 1.0 / train.count()
     model = M.fit_mllib(train, names, "svm", "label", regParam=reg)
     platt = M.svm_platt(train, names, regParam=reg)

@@ -10,7 +10,7 @@ from loupe.operators import scale as S
 from loupe.operators import split as SP
 from loupe.operators.balance import class_weights
 from loupe.plans.catalog import register
-from loupe.plans.fixtures import dirty_orders, planted_lineitem
+from loupe.plans.fixtures import dirty_orders, nan_orders, planted_lineitem
 from loupe.plans.q_eda import DIRTY_FEATURES
 from loupe.sources.tables import load
 
@@ -179,6 +179,20 @@ def q_train_class_distribution(spark, sf):
     return P.class_table(s.where(F.col("split") == "train"), "target")
 
 
+@register("q_impute_nan")
+def q_impute_nan(spark, sf):
+    """E4 on NaN and NULL prices: both get the median of the others."""
+    d = nan_orders(spark, sf)
+    return P.apply_numeric_imputer(d, P.fit_numeric_imputer(d, ["price", "tenure"], "median"), ["price", "tenure"])
+
+
+@register("q_cap_nan")
+def q_cap_nan(spark, sf):
+    """E6 on NaN and NULL prices: both stay missing, the others are capped at the IQR fences."""
+    d = nan_orders(spark, sf)
+    return P.cap_outliers(d, I.flagged_bounds(d.select("price", "tenure"), None))
+
+
 @register("q_prep_summary")
 def q_prep_summary(spark, sf):
     """Step log of the full preparation chain on dirty_orders."""

@@ -84,6 +84,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fit_rows(df: DataFrame) -> DataFrame:
+    """A training table that an iterative fit reads many times: dealt to all cores and written once."""
+    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+
+
 #: Rows up to which a table that should be class- or column-sized is sent to every executor.
 SMALL_ROWS = 10_000
 

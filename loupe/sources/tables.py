@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -17,30 +19,18 @@ def path_of(sf_dir: str, name: str) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; column pruning and filters reach the Parquet scan.
 
-    A file written as one row group is one input split, so every operator up
-    to the first shuffle would run in a single task. When the scan has fewer
-    splits than the session's parallelism it is spread round-robin; with the
-    many splits of a large table this is a no-op.
+    The scan's splits follow the files' row groups and the session's split size. NaN in
+    floating columns becomes NULL: missing has one form from here on.
     """
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spread(spark.read.parquet(path_of(sf_dir, name)))
+    return nan_to_null(spark.read.parquet(path_of(sf_dir, name)))
 
 
-SPREAD_MIN_BYTES = 8 << 20
-
-
-def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin repartition to the default parallelism when the input has fewer
-    splits and is big enough for parallel work to pay for the shuffle.
-
-    The size comes from the optimizer's statistics (file sizes; no job).
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= par:
-            return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 — e.g. a Spark Connect session: keep the scan as is
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN as NULL in float and double columns."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floats:
         return df
-    return df.repartition(par) if size >= min_bytes else df
+    return df.select(*[F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in floats else F.col(c)
+                       for c in df.columns])

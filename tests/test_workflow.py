@@ -1,12 +1,16 @@
 """End-to-end scenario and the reference's regression stories."""
 
+from datetime import date
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from loupe.operators import prep as P
 from loupe.operators import split as SP
 from loupe.plans.fixtures import dirty_orders
-from loupe.plans.workflow import prepare
+from loupe.plans.workflow import MODEL_NAMES, prepare, train_models
+from loupe.streaming import apply_fitted
 
 
 def test_end_to_end_prepare_leaves_clean_features(spark):
@@ -39,3 +43,120 @@ def test_fold_count_capped_by_smallest_class(spark):
     assert r["max_folds"] == 3 and r["folds"] == 3 and r["search_enabled"]
     r1 = SP.fold_count(spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "k long, y int"), "y").collect()[0]
     assert r1["max_folds"] == 1 and r1["folds"] == 2 and not r1["search_enabled"]
+
+
+def _shop(spark, n=240, classes=2):
+    rows = []
+    for i in range(n):
+        y = i % 10 == 0 if classes == 2 else i % 3
+        x = float(i % 7) + (5.0 if y else 0.0) * (1 if classes == 2 else int(y))
+        rows.append((i, float("nan") if i % 17 == 0 else x, None if i % 13 == 0 else float(i % 5),
+                     None if i % 11 == 0 else i % 2 == 0, date(2024, 1, 1 + i % 28), f"c{i % 3}", int(y)))
+    return spark.createDataFrame(rows, "k long, x double, z double, flag boolean, day date, city string, y int")
+
+
+@pytest.mark.parametrize("encoding", ["onehot", "label"])
+def test_dates_and_booleans_become_complete_numbers(spark, encoding):
+    res = prepare(_shop(spark), "y", ["k"], P.PrepConfig(encoding=encoding, remove_constant_features=False))
+    assert {"flag", "day"} <= set(res.features)
+    assert res.data.select(*[F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(c) for c in res.features]).first().asDict() \
+        == {c: 0 for c in res.features}
+
+
+def test_smote_is_part_of_prepare(spark):
+    res = prepare(_shop(spark), "y", ["k"], P.PrepConfig(imbalance_handling="smote", remove_constant_features=False))
+    train = {r["label"]: r["count"] for r in res.data.where("split = 'train'").groupBy("label").count().collect()}
+    test = {r["label"]: r["count"] for r in res.data.where("split = 'test'").groupBy("label").count().collect()}
+    assert train[0] == train[1] and test[1] < test[0]
+
+
+def test_class_weights_come_from_the_training_rows(spark):
+    res = prepare(_shop(spark), "y", ["k"], P.PrepConfig(imbalance_handling="class_weights", remove_constant_features=False))
+    train = res.data.where("split = 'train'")
+    n, k = train.count(), train.select("label").distinct().count()
+    for r in train.groupBy("label").agg(F.count("*").alias("n"), F.avg("weight").alias("w")).collect():
+        assert abs(r["w"] - n / (k * r["n"])) < 1e-9
+
+
+def test_unknown_options_are_refused():
+    with pytest.raises(ValueError, match="imbalance_handling"):
+        P.PrepConfig(imbalance_handling="oversample")
+    with pytest.raises(ValueError, match="test_size"):
+        P.PrepConfig(test_size=1.5)
+
+
+def test_fitted_steps_apply_to_new_rows(spark):
+    df = _shop(spark)
+    res = prepare(df, "y", ["k"], P.PrepConfig(outlier_handling="cap", encoding="label", remove_constant_features=False, remove_duplicates=False))
+    again = apply_fitted(df.drop("y"), res.params)
+    want = {r["k"]: [r[c] for c in res.features] for r in res.data.collect()}
+    got = {r["k"]: [r[c] for c in res.features] for r in again.collect()}
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(want[k], got[k]))
+
+
+def test_three_classes_all_models_with_weights(spark):
+    from loupe.operators.balance import with_weights
+    rows = [(i, float(i % 3) + (i * 7919 % 100) / 400, float(i * 104729 % 50), i % 3) for i in range(150)]
+    df = with_weights(spark.createDataFrame(rows, "k long, a double, b double, y int"), "y")
+    train, test = df.where("k % 5 > 0"), df.where("k % 5 = 0")
+    got = train_models(train, test, ["a", "b"], "y", "k", weight="weight")
+    assert {r["model"]: r["status"] for r in got.status.collect()} == {m: "ok" for m in MODEL_NAMES}
+    p = got.predictions
+    assert p.groupBy("model").count().where("count <> 30").count() == 0
+    assert p.where(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) > 1e-6).count() == 0
+    right = {r["model"]: r["a"] for r in p.groupBy("model").agg(F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("a")).collect()}
+    assert right["decision_tree"] > 0.9 and right["rule_based"] < 0.5
+
+
+def test_search_reports_its_setting_and_failures_are_rows(spark):
+    rows = [(i, float(i % 2) + (i * 7919 % 100) / 300, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, y int")
+    got = train_models(df.where("k % 5 > 0"), df.where("k % 5 = 0"), ["a"], "y", "k", names=("naive_bayes", "knn", "no_such_model"), search="grid", folds=3)
+    status = {r["model"]: r for r in got.status.collect()}
+    assert "var_smoothing" in status["naive_bayes"]["best_params"] and status["naive_bayes"]["mean_f1"] > 0.5
+    assert "n_neighbors" in status["knn"]["best_params"]
+    assert status["no_such_model"]["status"] == "failed" and "no_such_model" in status["no_such_model"]["error"]
+    with pytest.raises(RuntimeError, match="no model"):
+        train_models(df, df, ["a"], "y", "k", names=("no_such_model",))
+
+
+def test_smote_with_few_neighbours(spark):
+    from loupe.operators.balance import smote
+    df = spark.createDataFrame([(i, float(i), 0) for i in range(40)] + [(100 + i, float(i), 1) for i in range(3)], "k long, x double, y int")
+    n = {(r["label"], r["synthetic"]): r["count"] for r in smote(df, ["x"], "y", "k").groupBy("label", "synthetic").count().collect()}
+    assert n == {(0, False): 40, (1, False): 3, (1, True): 37}
+    with pytest.raises(ValueError, match="one row"):
+        smote(df.where("k < 101"), ["x"], "y", "k")
+
+
+def test_neighbours_do_not_depend_on_blocks(spark):
+    from loupe.operators import models as M
+    rows = [(i, [float(i % 4), float(i % 3)], i % 2) for i in range(60)]
+    train = spark.createDataFrame(rows, "id long, vec array<double>, label long")
+    test = train.where("id < 6").select("id", "vec")
+    got = [sorted(map(tuple, M.knn_candidates(train, test, 5, block_rows=b).collect())) for b in (10, 30, 2048)]
+    assert got[0] == got[1] == got[2]
+    assert all(r[2] == 0.0 for r in got[0])  # five equal rows each: distance exactly 0
+    vote = M.knn_vote(M.knn_candidates(train, test, 5), 5, "distance", 2).collect()
+    assert all(abs(r["p0"] + r["p1"] - 1) < 1e-9 for r in vote)
+
+
+def test_nan_is_missing_everywhere(spark):
+    from loupe.operators import eda as E
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
+    assert E.missing_summary(df).first()["missing_count"] == 2 and E.missing_global(df).first()["total_missing"] == 2
+    capped = [r["v"] for r in P.cap_outliers(df, {"v": (0.0, 2.0)}).collect()]
+    assert capped == [1.0, None, None, 2.0]
+
+
+def test_csv_numbers_and_rejects(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from loupe.sources.csv import read_csv
+    (tmp_path / "a.csv").write_text("code,n,f,s\n1D,1,1.5, NA\n2F,2,2e3,x\n3D,NA,.5,y\n")
+    df = read_csv(spark, str(tmp_path / "a.csv"))
+    assert [r["s"] for r in df.orderBy("code").collect()] == [" NA", "x", "y"]
+    assert dict(df.dtypes)["code"] == "string" and dict(df.dtypes)["n"] == "bigint" and dict(df.dtypes)["f"] == "double"
+    schema = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    with pytest.raises(ValueError, match="'code': 3"):
+        read_csv(spark, str(tmp_path / "a.csv"), schema)
