@@ -64,8 +64,7 @@ def conversations(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 4096])
-@pytest.mark.parametrize("costs", [(3, 1, 2), (1, 5, 1), (2, 2, 7)])
+@pytest.mark.parametrize("chunk, costs", [(1, (3, 1, 2)), (2, (1, 5, 1)), (2, (3, 1, 2)), (4096, (2, 2, 7))])
 def test_cost_equals_brute_force_for_any_chunk(spark, chunk, costs):
     rnd = random.Random(9)
     convs = {i: [rnd.choice([*ROLES, "tool", None]) for _ in range(rnd.randint(1, 6))] for i in range(40)}
