@@ -30,6 +30,10 @@ _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = ord("a"), ord("A"), ord("0"), 255
 
 
+#: Bytes of rows whose events are made at once.
+GROUP = 2 << 20
+
+
 @dataclass(frozen=True)
 class QualityParams:
     """``max_fit_rows`` bounds the rated documents that are fitted (equal parts for each grade, by key hash)."""
@@ -60,7 +64,7 @@ def events(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np
     keep = np.zeros(len(data), bool)
     keep[1:] = kind[1:] != kind[:-1]
     keep[starts] = True
-    place = np.cumsum(keep) - 1  # of each kept byte in the collapsed text; white space runs stay as separators
+    place = np.cumsum(keep, dtype=np.int64 if len(data) > 1 << 30 else np.int32) - 1  # of each kept byte in the collapsed text; white space runs stay as separators
     low = place[starts]
     high = np.r_[place[ends - 1] + 1]
     shapes = span_hashes(kind[keep], low, high)
@@ -80,7 +84,7 @@ def _features(params: QualityParams):
         for b in batches:
             data, off = utf8(b.column("text"))
             ids, vals = [], []
-            for lo, hi in row_groups(off):
+            for lo, hi in row_groups(off, GROUP):
                 each, first = events(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], params.bits)
                 for i in range(hi - lo):
                     got, n = np.unique(each[first[i]:first[i + 1]], return_counts=True)
@@ -129,7 +133,7 @@ def score_quality(docs: DataFrame, model: QualityModel, least: int = 1) -> DataF
         for b in batches:
             data, off = utf8(b.column("text"))
             score = np.zeros(b.num_rows)
-            for lo, hi in row_groups(off):
+            for lo, hi in row_groups(off, GROUP):
                 each, first = events(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], params.bits)
                 n = np.diff(first)
                 total = np.r_[0, np.cumsum(shared.value[each].sum(1, dtype=float))]
@@ -157,7 +161,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, least: int = 1, at_least:
 
         for b in batches:
             data, off = utf8(b.column("text"))
-            for lo, hi in row_groups(off):
+            for lo, hi in row_groups(off, GROUP):
                 each, first = events(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], params.bits)
                 total = np.r_[0, np.cumsum(shared.value[each].sum(1, dtype=float))]
                 score = params.gain * (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
