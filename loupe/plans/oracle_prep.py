@@ -297,7 +297,7 @@ UNION ALL SELECT CAST(label AS INTEGER), true, CAST((SELECT max(n) FROM c) - n A
 _three = "CASE WHEN l_quantity <= 15 THEN 0 WHEN l_quantity <= 35 THEN 1 ELSE 2 END"
 sql("q_train_status", f"""
 WITH {PLANTED_CTE},
-m AS (SELECT unnest(['logistic_regression', 'decision_tree', 'naive_bayes', 'svm', 'rule_based']) AS model)
+m AS (SELECT unnest(['logistic_regression', 'decision_tree', 'naive_bayes', 'rule_based']) AS model)
 SELECT model, 'ok' AS status, (SELECT CAST(count(DISTINCT {_three}) AS INTEGER) FROM planted WHERE split = 'train') AS n_classes,
        (SELECT CAST(count(*) AS BIGINT) FROM planted WHERE split = 'test') AS n_rows, model <> 'rule_based' AS beats_majority FROM m""")
 
