@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -86,3 +88,47 @@ def test_awkward_rows(spark, awkward, no_docs, make_docs):
     assert left == sorted([1, 2, None, None, 3, 4, 7, 8, 9, 10], key=str)  # the other text with id 1 stays
     assert leaks(no_docs, bench).count() == 0 and drop_leaking(no_docs, bench).count() == 0
     assert leaks(awkward, bench.limit(0)).count() == 0 and drop_leaking(awkward, bench.limit(0)).count() == awkward.count()
+
+
+def allowed(n, p=P):
+    """Substitutions that a window of ``n`` tokens may hold."""
+    return n - math.ceil(p.share * n - 1e-9)
+
+
+def by_overlap(docs, items, p=P):
+    """Every (doc, item, most equal tokens) by the overlap criterion alone."""
+    out = {}
+    for d, text in docs:
+        t = tokens(text)
+        for i, item in items:
+            u = tokens(item)
+            n = min(p.overlap, len(u))
+            for a in range(len(t) - n + 1 if n else 0):
+                for b in range(len(u) - n + 1):
+                    same = sum(x == y for x, y in zip(t[a:a + n], u[b:b + n]))
+                    if n - same <= allowed(n, p):
+                        out[d, i] = max(out.get((d, i), 0), same)
+    return sorted((d, i, n) for (d, i), n in out.items())
+
+
+def test_masks_leave_no_pattern_out():
+    for n in range(P.span, P.overlap + 1):
+        marked = [{k + j for j, c in enumerate(m) if c == "1"} for m in P.masks for k in range(n - len(m) + 1)]
+        missed = [e for e in itertools.combinations(range(n), allowed(n)) if all(m & set(e) for m in marked)]
+        assert not missed, (n, len(missed), missed[:3])
+
+
+def test_equals_the_overlap_criterion_at_its_limit(spark, make_docs):
+    rnd = random.Random(9)
+    items = [(i, " ".join(f"t{i}x{j}" for j in range(n))) for i, n in enumerate([11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 26])]
+    docs = []
+    for i, item in items:
+        for extra in (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1):
+            words = item.split()[:P.overlap]
+            for k in rnd.sample(range(len(words)), allowed(len(words)) + extra):
+                words[k] = f"other{rnd.getrandbits(40)}"
+            docs.append((len(docs), " ".join(["before", *words, "after"])))
+    words = items[9][1].split()  # no seed of the four former masks
+    docs.append((len(docs), " ".join("other" if k in (1, 6, 8, 9) else w for k, w in enumerate(words))))
+    got = leaks(make_docs(docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id, r.n_equal) for r in got.collect()) == by_overlap(docs, items)
