@@ -1,12 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters, digits and characters beyond ASCII, after lower-casing. A
+Tokens are runs of letters, digits and characters beyond ASCII, after lower-casing; in scripts
+written without spaces each character is a token. A
 mask marks the positions of a short run of tokens that are hashed; the others may differ, so
 a seed survives substitutions between its marked positions. Hashes of all masks at all
 positions of the benchmark items are joined with those of the documents, and around
 every hit the two texts are compared token by token on the hit's diagonal: a document leaks an
 item if some ``overlap`` aligned tokens (the whole item if it has fewer) agree in at
-least ``share`` of their positions.
+least ``share`` of their positions. Items shorter than the masks get masks of their own length
+(all tokens up to four; beyond, one mask for each choice of blocks that substitutions may spoil), so every item
+of a token or more is looked for. Documents are hashed only by masks that some item uses.
 
 Scale: a Bloom filter of the benchmark's hashes (fixed size, whatever the benchmark) is
 applied where the documents are read, so only hits and the tokens around them are
@@ -14,7 +17,7 @@ shuffled. Hits are joined on the hash and verified pairs on the item, both sides
 so that an item copied into a third of all documents can be split; a filter that
 fills up lets more hits through and changes no result.
 
-Null texts and items shorter than the masks match nothing. Documents are told apart by doc_id
+Null texts and items without a token match nothing. Documents are told apart by doc_id
 and text, items by item_id and text; ids may be null or repeated. Further columns are ignored by
 ``leaks`` and kept by ``drop_leaking``.
 """
@@ -22,13 +25,19 @@ and text, items by item_id and text; ids may be null or repeated. Further column
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm.store import written
-from loupe.llm.textops import IS_TOKEN, mix, row_groups, span_hashes, utf8, word_bounds
+from loupe.llm.textops import IS_TOKEN, cut_unspaced, mix, row_groups, span_hashes, utf8, word_bounds
+
+
+#: Tokens after which a stretch of hits is cut.
+_STRETCH = 256
 
 
 @dataclass(frozen=True)
@@ -47,11 +56,32 @@ class SeedParams:
     def span(self) -> int:
         return len(self.masks[0])
 
+    def allowed(self, n: int) -> int:
+        """Substitutions that a window of ``n`` tokens may hold."""
+        return n - ceil(self.share * n - 1e-9)
+
+    def short_masks(self, n: int) -> list[str]:
+        """Masks of ``n`` tokens, of which any allowed substitutions leave one untouched."""
+        e = min(self.allowed(n), n - 1)
+        blocks = np.arange(n) * min(n, 2 * e + 1) // n
+        return ["".join("0" if b in spoilt else "1" for b in blocks) for spoilt in combinations(range(blocks[-1] + 1), e)]
+
+    def numbered_masks(self) -> list[tuple[int, str]]:
+        """(window, mask) of all masks: those of ``span`` stand for all windows as long or longer."""
+        short = [(n, m) for n in range(1, min(self.span, self.overlap + 1)) for m in self.short_masks(n)]
+        return [(self.span, m) for m in self.masks] + short
+
+    def windows(self, lengths: np.ndarray) -> np.ndarray:
+        """The window whose masks items of these lengths use."""
+        return np.minimum(lengths, min(self.span, self.overlap))
+
 
 def token_hashes(column, lo: int, hi: int, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every token of rows lo..hi and each row's first token (n+1 entries)."""
-    starts, ends, first = word_bounds(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], IS_TOKEN)
-    return span_hashes(data[off[lo]:off[hi]], starts, ends), first
+    data, off = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+    starts, ends, _ = word_bounds(data, off, IS_TOKEN)
+    starts, ends = cut_unspaced(data, starts, ends)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, off)
 
 
 def lowered(column) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +113,15 @@ def _seeds(params: SeedParams):
             for lo, hi in row_groups(off):
                 tokens, first = token_hashes(None, lo, hi, data, off)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
-                for m, mask in enumerate(params.masks):
+                window = params.windows(np.diff(first))[row]
+                for m, (size, mask) in enumerate(params.numbered_masks()):
+                    if not (window == size).any():
+                        continue
                     h = masked_hashes(tokens, mask, m)
-                    at = np.flatnonzero(np.arange(len(h)) + params.span <= first[row[:len(h)] + 1])
+                    at = np.flatnonzero((window[:len(h)] == size) & (np.arange(len(h)) + size <= first[row[:len(h)] + 1]))
                     item = b.column("item").to_numpy()[lo:hi][row[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(item), pa.array(at - first[row[at]], pa.int32())],
-                                                     ["seed", "item", "item_at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(item), pa.array(at - first[row[at]], pa.int32()),
+                                                      pa.array(np.full(len(at), m), pa.int32())], ["seed", "item", "item_at", "mask"])
     return run
 
 
@@ -113,8 +146,20 @@ def bloom(seeds: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _probe(shared, params: SeedParams):
-    """Of documents: one row per stretch of tokens around hits, with the hits (seed, offset in the stretch)."""
+def _first_of_each(row: np.ndarray, at: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Which hits are the first of their seed in their row."""
+    order = np.lexsort((at, seed, row))
+    r, s = row[order], seed[order]
+    return order[np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1])]]
+
+
+def _probe(shared, params: SeedParams, used: set[int]):
+    """Of documents: one row per stretch of tokens around hits, with the hits (seed, offset in the stretch).
+
+    Of seeds that hold a whole item only the first hit in a document counts. Stretches are cut
+    after ``_STRETCH`` tokens, with as much around every hit as before, so that frequent
+    hits do not carry a long document each.
+    """
     bits, reach = params.filter_bits, params.overlap
 
     def run(batches):
@@ -129,21 +174,27 @@ def _probe(shared, params: SeedParams):
                 tokens, first = token_hashes(None, lo, hi, data, off)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
                 hit_at, hit_seed = [], []
-                for m, mask in enumerate(params.masks):
+                for m, (size, mask) in enumerate(params.numbered_masks()):
+                    if m not in used:
+                        continue
                     h = masked_hashes(tokens, mask, m)
                     at = np.flatnonzero(inside(h & np.uint64((1 << bits) - 1)))
                     at = at[inside(h[at] >> np.uint64(64 - bits)) == 1]
-                    at = at[at + params.span <= first[row[at] + 1]]
+                    at = at[at + size <= first[row[at] + 1]]
+                    if size < params.span and "0" not in mask and len(at):
+                        at = at[_first_of_each(row[at], at, h[at])]
                     hit_at.append(at)
                     hit_seed.append(h[at])
-                at, seed = np.concatenate(hit_at), np.concatenate(hit_seed)
-                if not len(at):
+                if not any(map(len, hit_at)):
                     continue
+                at, seed = np.concatenate(hit_at), np.concatenate(hit_seed)
                 order = np.argsort(at, kind="stable")
                 at, seed = at[order], seed[order]
                 begin = np.maximum(at - reach, first[row[at]])
                 end = np.minimum(at + reach + params.span, first[row[at] + 1])
-                new = np.flatnonzero(np.r_[True, begin[1:] >= np.maximum.accumulate(end)[:-1]])  # never across rows
+                apart = np.r_[True, begin[1:] >= np.maximum.accumulate(end)[:-1]]  # never across rows
+                block = (at - at[np.flatnonzero(apart)][np.cumsum(apart) - 1]) // _STRETCH
+                new = np.flatnonzero(apart | np.r_[True, block[1:] != block[:-1]])
                 size = np.diff(np.r_[new, len(at)])
                 start, stop = begin[new], np.maximum.reduceat(end, new)
                 hits = pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array(at - np.repeat(start, size), pa.int32())], ["seed", "at"])
@@ -183,10 +234,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams
     spark = docs.sparkSession
     items = benchmark.filter("text IS NOT NULL").select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
     items = items.groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("text").alias("text"))
-    seeds = written(items.select("item", "text").mapInArrow(_seeds(params), "seed bigint, item bigint, item_at int").distinct(), "benchmark-seeds")
+    seeds = written(items.select("item", "text").mapInArrow(_seeds(params), "seed bigint, item bigint, item_at int, mask int").distinct(), "benchmark-seeds")
+    used = {r.mask for r in seeds.select("mask").distinct().collect()}  # at most the number of masks
     shared = spark.sparkContext.broadcast(bloom(seeds, params.filter_bits))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = written(hashed.mapInArrow(_probe(shared, params), "doc_id bigint, text_hash bigint, start int, tokens binary, hits array<struct<seed:bigint,at:int>>"), "hits")
+    found = written(hashed.mapInArrow(_probe(shared, params, used), "doc_id bigint, text_hash bigint, start int, tokens binary, hits array<struct<seed:bigint,at:int>>"), "hits")
     stretch = ["doc_id", "text_hash", "start"]
     each = found.select(*stretch, F.inline("hits"))
     pairs = written(each.join(seeds, "seed").select(*stretch, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "diagonals")

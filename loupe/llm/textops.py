@@ -96,6 +96,33 @@ def word_bounds(data: np.ndarray, off: np.ndarray, inner: np.ndarray | None = No
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Code points of scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, CJK, kana, Yi.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1AAF), (0x2E80, 0xA4CF), (0xA9E0, 0xA9FF),
+            (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+def cut_unspaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans with every character of ``UNSPACED`` as a span of its own (such characters lie inside spans)."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return starts, ends
+    byte = lambda k: (data[lead + k] & 63).astype(np.int32)
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    code = ((data[lead] & 15).astype(np.int32) << 12) | byte(1) << 6 | byte(2)
+    long = size == 4
+    code[long] = code[long] << 6 | (data[lead[long] + 3] & 63)
+    own = np.zeros(len(lead), bool)
+    for a, b in UNSPACED:
+        own |= (code >= a) & (code <= b)
+    lead, after = lead[own], (lead + size)[own]
+    begins, stops = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begins[starts] = stops[ends] = True
+    more_begins, more_stops = after[~stops[after]], lead[~begins[lead]]
+    begins[lead] = stops[after] = True
+    begins[more_begins] = stops[more_stops] = True
+    return np.flatnonzero(begins), np.flatnonzero(stops)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each byte span (ascending, not overlapping), in blocks of bytes."""
     base, table = _BASE[which], _BYTE[which]

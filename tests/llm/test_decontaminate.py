@@ -3,7 +3,11 @@ import math
 import random
 import re
 
-from loupe.llm.decontaminate import SeedParams, drop_leaking, leaks
+import numpy as np
+import pyarrow as pa
+
+from loupe.llm.decontaminate import SeedParams, drop_leaking, leaks, token_hashes
+from loupe.llm.textops import utf8
 
 P = SeedParams()
 
@@ -132,3 +136,46 @@ def test_equals_the_overlap_criterion_at_its_limit(spark, make_docs):
     docs.append((len(docs), " ".join("other" if k in (1, 6, 8, 9) else w for k, w in enumerate(words))))
     got = leaks(make_docs(docs), spark.createDataFrame(items, "item_id bigint, text string"))
     assert sorted((r.doc_id, r.item_id, r.n_equal) for r in got.collect()) == by_overlap(docs, items)
+
+
+def characters(text):
+    """Tokens where Chinese, Japanese and Thai characters stand alone."""
+    own = "\u0e00-\u0fff\u2e80-\ua4cf\U00020000-\U0003ffff"
+    return re.findall(f"[{own}]|(?:(?![{own}])[0-9a-z\x80-\U0010ffff])+", (text or "").lower())
+
+
+def test_tokens_of_scripts_without_spaces():
+    rnd = random.Random(10)
+    rows = ["".join(rnd.choices(["ab", "9", " ", "é", ".", "語", "かな", "ไทย", "한글", "\U00020bb7", "\U0001f600", "—"], k=rnd.randint(0, 12))) for _ in range(300)]
+    data, off = utf8(pa.array(rows))
+    hashes, first = token_hashes(None, 0, len(rows), data, off)
+    want = [characters(r) for r in rows]
+    assert list(np.diff(first)) == [len(w) for w in want]
+    known = {}
+    for h, w in zip(hashes.tolist(), (w for ws in want for w in ws)):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+def test_short_items_and_scripts_without_spaces(spark, make_docs):
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n))) for n in range(1, 11)]
+    docs = []
+    for n, item in items:
+        for e in itertools.combinations(range(n), allowed(n)):
+            docs.append((len(docs), " ".join(["so", *("z" if k in e else w for k, w in enumerate(item.split())), "on"])))
+        spoilt = item.split()
+        for k in range(allowed(n) + 1):
+            spoilt[k * 2 % n] = "z"
+        docs.append((len(docs), " ".join(spoilt)))
+    long = len(docs)
+    docs += [(long, "q1x0 " * 3000 + items[4][1] + " q2x0 q2x1" * 300)]
+    unspaced = [(20, "请问下面哪一个城市是法国的首都"), (21, "日本で一番高い山は何ですか"), (22, "เมืองหลวงของไทย")]
+    for _, t in unspaced:
+        docs += [(len(docs), f"前文{t}后文"), (len(docs) + 1, f"前文{t[:5]}錯{t[6:]}后文"), (len(docs) + 2, f"前文{t[:4]}")]
+    bench = spark.createDataFrame(items + unspaced, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_equal, r.n_compared) for r in leaks(make_docs(docs), bench).collect()}
+    want = {(d, i, n, len(tokens(dict(items)[i]))) for d, i, n in by_overlap(docs, items) if d != long}
+    assert {g for g in got if g[0] < long} == want and {g[1] for g in want} == set(range(1, 11))
+    assert {g[1:] for g in got if g[0] == long} == {(1, 1, 1), (2, 2, 2), (5, 5, 5)}
+    copies = [(long + 1 + 3 * k + j, i, min(20, len(t)) - j, min(20, len(t))) for k, (i, t) in enumerate(unspaced) for j in (0, 1)]
+    assert {g for g in got if g[0] > long} == set(copies)
