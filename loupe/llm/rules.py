@@ -4,7 +4,8 @@ Each rule votes for a good or a bad document or abstains. The votes of all docum
 counted by pattern (at most ``3 ** rules`` rows, whatever the corpus), expectation-
 maximisation on those counts estimates the share of good documents and, for each rule, how
 often it votes good on good and bad on bad documents, and every document gets its
-posterior probability of being good. No rule rejects alone, apart from the base rules.
+posterior probability of being good. With the bound on false alarms (``estimate``) one bad
+vote mostly rejects alone: on the given tables the verdict is that of all rules passing (README).
 
 Words are runs outside ``[\\x20\\x09-\\x0D]``. Null texts have no words. Rows that repeat count
 and come out as often as they go in; null ids stay null; further columns are ignored.
