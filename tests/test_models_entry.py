@@ -105,3 +105,13 @@ def test_fitted_params_apply_to_a_stream(spark):
     q.stop()
     got = sorted((r["x"], r["c"]) for r in spark.sql("SELECT * FROM loupe_stream_test").collect())
     assert got == [(1.0, "a"), (3.0, "a"), (3.0, "b"), (5.0, "a")]
+
+
+def test_three_class_status_covers_all_seven_models(spark):
+    from loupe.plans.catalog import queries
+    from loupe.plans.workflow import MODEL_NAMES
+    rows = queries()["q_train_status_more"](spark, SF_SMALL).collect()
+    assert {r.model for r in rows} == {"knn", "random_forest", "svm", "rule_based"}
+    assert {r.model for r in rows} | {"logistic_regression", "decision_tree", "naive_bayes"} == set(MODEL_NAMES)
+    assert all(r.status == "ok" and r.n_classes == 3 for r in rows) and len({r.n_rows for r in rows}) == 1
+    assert all(r.beats_majority for r in rows if r.model != "rule_based")
