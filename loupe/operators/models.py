@@ -496,9 +496,9 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], name
     return predict_mllib(fit_mllib(train, features, name, label, weight, **params), test, k)
 
 
-def search_settings(train: DataFrame, features: Sequence[str], name: str, label: str, key: str, folds: int, n_classes: int,
-                    weight: str | None = None, n_draws: int | None = None, seed: int = 42) -> tuple[dict, float]:
-    """The setting with the best mean weighted F1 over stratified folds (ties: the first), and that mean.
+def search_scores(train: DataFrame, features: Sequence[str], name: str, label: str, key: str, folds: int, n_classes: int,
+                  weight: str | None = None, n_draws: int | None = None, seed: int = 42) -> list[tuple[dict, float]]:
+    """Every searched setting with its mean weighted F1 over stratified folds.
 
     kNN and naive Bayes settings share their fits; the others are fitted for each fold and
     setting, with C over the rows of the fold's own training part.
@@ -528,19 +528,24 @@ def search_settings(train: DataFrame, features: Sequence[str], name: str, label:
                 m = basic_metrics(p.select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"))).first()
                 scores.setdefault(str(s), []).append(m["f1_score"])
         got = {s: sum(v) / len(v) for s, v in scores.items()}
-    best = max(every, key=lambda s: got[text(s)])
-    return best, float(got[text(best)])
+    return [(s, float(got[text(s)])) for s in every]
+
+
+def search_settings(train: DataFrame, features: Sequence[str], name: str, label: str, key: str, folds: int, n_classes: int,
+                    weight: str | None = None, n_draws: int | None = None, seed: int = 42) -> tuple[dict, float]:
+    """The setting of :func:`search_scores` with the best mean (ties: the first), and that mean."""
+    return max(search_scores(train, features, name, label, key, folds, n_classes, weight, n_draws, seed), key=lambda s: s[1])
 
 
 def param_grid(name: str, est, n_train: int) -> tuple[list, list[str]]:
-    """:data:`GRIDS` of an MLlib model as parameter maps with their names (the linear half for the SVM)."""
-    if name not in ("logistic_regression", "decision_tree", "random_forest", "svm"):
-        raise ValueError(f"no MLlib grid for {name!r}")
+    """:data:`GRIDS` of an MLlib model as parameter maps with their names.
+
+    The SVM is refused: parameter maps cannot hold its RBF kernel, :func:`search_settings` does.
+    """
+    if name not in ("logistic_regression", "decision_tree", "random_forest"):
+        raise ValueError(f"no MLlib grid for {name!r}: use search_settings")
     grid, labels = [], []
     for s in settings_of(name):
-        if s.get("kernel") == "rbf" or s.get("gamma") == "auto":
-            continue
-        s.pop("gamma", None)
         grid.append({est.getParam(p): v for p, v in spark_params(name, s, n_train).items()})
         labels.append(",".join(f"{p}={v}" for p, v in s.items()))
     return grid, labels

@@ -117,6 +117,31 @@ def q_random_search(spark, sf):
     return _search(spark, sf, "decision_tree", n_draws=10)
 
 
+def _full_search(spark, sf, name):
+    from loupe.operators import scale as S
+    train, _ = _planted(spark, sf)
+    if name == "svm":
+        train = S.apply_standard(train, S.fit_standard(train, PLANTED_FEATURES))
+    folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
+    train = train.withColumn("rid", F.xxhash64("row_key"))
+    every = M.search_scores(train, PLANTED_FEATURES, name, "label", "rid", folds, 2)
+    df = spark.createDataFrame([(name, str(p), f) for p, f in every], "model string, params string, mean_f1 double")
+    return df.select("*", F.row_number().over(
+        Window.orderBy(F.col("mean_f1").desc(), F.col("params"))).alias("rank"))
+
+
+@register("q_forest_search")
+def q_forest_search(spark, sf):
+    """F5 + F8: the 36-point random forest grid on the planted rule, stratified CV."""
+    return _full_search(spark, sf, "random_forest")
+
+
+@register("q_svm_search")
+def q_svm_search(spark, sf):
+    """F6 + F8: the 12-point SVM grid (both kernels, both gammas) on the scaled planted rule, stratified CV."""
+    return _full_search(spark, sf, "svm")
+
+
 @register("q_cv_folds")
 def q_cv_folds(spark, sf):
     """fold count from the smallest class of dirty_orders.target."""

@@ -115,3 +115,30 @@ def test_three_class_status_covers_all_seven_models(spark):
     assert {r.model for r in rows} | {"logistic_regression", "decision_tree", "naive_bayes"} == set(MODEL_NAMES)
     assert all(r.status == "ok" and r.n_classes == 3 for r in rows) and len({r.n_rows for r in rows}) == 1
     assert all(r.beats_majority for r in rows if r.model != "rule_based")
+
+
+def test_full_grids_have_queries_and_scores_for_every_setting(spark, monkeypatch):
+    import pytest
+
+    from loupe.plans.catalog import queries
+    assert {"q_forest_search", "q_svm_search"} <= set(queries())
+    with pytest.raises(ValueError, match="search_settings"):
+        M.grid_search(spark.createDataFrame([(1.0, 0, 0), (2.0, 1, 1)], "x double, label int, fold int"), ["x"], "svm", 2)
+    assert len(M.settings_of("random_forest")) == 36 and len(M.settings_of("svm")) == 12
+    rows = [(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "rid bigint, x double, y double, label int").coalesce(1)
+    monkeypatch.setitem(M.GRIDS, "random_forest", {"n_estimators": [3], "max_depth": [3, None], "min_samples_split": [2], "max_features": ["sqrt"]})
+    got = M.search_scores(df, ["x", "y"], "random_forest", "label", "rid", 2, 2)
+    assert [s for s, _ in got] == M.settings_of("random_forest") and all(0.8 < f <= 1 for _, f in got)
+    # an SVM fit takes long: here only which settings reach it
+    asked = []
+
+    def fit_predict(train, test, features, name, label, key, classes, n, weight, setting):
+        asked.append((setting["kernel"], setting["gamma"]))
+        return test.withColumn("prediction", F.col(label))
+
+    monkeypatch.setitem(M.GRIDS, "svm", {**M.GRIDS["svm"], "C": [1.0]})
+    monkeypatch.setattr(M, "fit_predict", fit_predict)
+    got = M.search_scores(df, ["x", "y"], "svm", "label", "rid", 2, 2)
+    assert len(got) == 4 and all(f == 1 for _, f in got)
+    assert asked == 2 * [(k, g) for k in ("linear", "rbf") for g in ("scale", "auto")]
