@@ -55,9 +55,13 @@ def per_class(cm: DataFrame, group=None) -> DataFrame:
 
 def basic_metrics(preds: DataFrame, group=None) -> DataFrame:
     """Accuracy and support-weighted precision, recall, F1 (0/0 -> 0)."""
+    return metrics_of_counts(confusion_counts(preds, _g(group)), group)
+
+
+def metrics_of_counts(counts: DataFrame, group=None) -> DataFrame:
+    """G1/G2 from ``group..., label, prediction, count``."""
     g = _g(group)
-    pc = per_class(confusion_counts(preds, g), g)
-    return pc.groupBy(*g).agg(
+    return per_class(counts, g).groupBy(*g).agg(
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("precision"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),

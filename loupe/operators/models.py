@@ -1,7 +1,8 @@
 """Classifiers.
 
-* logistic regression, decision tree, random forest, linear SVM: ``pyspark.ml``
-  estimators on an assembled feature vector;
+* decision tree, random forest: ``pyspark.ml`` estimators on an assembled feature vector;
+* logistic regression, SVM (linear, and RBF by random features): many fits in shared passes, see
+  :mod:`loupe.operators.linear_path`;
 * Gaussian naive Bayes and the majority ("rule-based") model: one grouped
   aggregate for the fit, Column expressions for prediction;
 * k-nearest neighbours: exact, blocked — see :func:`knn_candidates`.
@@ -19,8 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -214,7 +214,7 @@ def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler
 
 
 def estimator(name: str, label: str = "label", weight: str | None = None, **params):
-    """F1/F3/F5/F6 estimators with the reference's hyper-parameters mapped to Spark's."""
+    """F1/F3/F5 estimators with the reference's hyper-parameters mapped to Spark's."""
     wc = {"weightCol": weight} if weight else {}
     if name == "logistic_regression":
         # reference defaults: max_iter=1000, tol=1e-4
@@ -234,12 +234,6 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),
                                       featureSubsetStrategy=params.get("featureSubsetStrategy", "sqrt"),
                                       **wc)
-    if name == "svm":
-        # reference SVC default tol=1e-3
-        svc = LinearSVC(labelCol=label, maxIter=100, tol=1e-3,
-                        regParam=params.get("regParam", 1.0 / 1000),
-                        standardization=False, **wc)
-        return svc if params.get("n_classes", 2) <= 2 else OneVsRest(classifier=svc, labelCol=label, **wc)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -248,57 +242,12 @@ def fit_mllib(train: DataFrame, features: Sequence[str], name: str, label: str =
     return Pipeline(stages=[assembler(features), estimator(name, label, weight, **params)]).fit(train)
 
 
-def predict_mllib(model, df: DataFrame, n_classes: int, platt: tuple[float, float] | None = None) -> DataFrame:
-    """Predictions with ``p<k>`` columns from the model's probability (or a Platt map of the margin)."""
-    out = model.transform(df)
-    if "probability" in out.columns:
-        arr = vector_to_array(F.col("probability"))
-        probs = [arr[i] for i in range(max(2, n_classes))]
-    elif n_classes > 2:  # one margin for each class against the rest
-        margins = vector_to_array(F.col("rawPrediction"))
-        a, b = platt if platt is not None else (1.0, 0.0)
-        each = [1.0 / (1.0 + F.exp(-(F.lit(a) * margins[i] + F.lit(b)))) for i in range(n_classes)]
-        total = each[0]
-        for e in each[1:]:
-            total = total + e
-        probs = [e / total for e in each]
-    else:
-        margin = vector_to_array(F.col("rawPrediction"))[1]
-        a, b = platt if platt is not None else (1.0, 0.0)
-        p1 = 1.0 / (1.0 + F.exp(-(F.lit(a) * margin + F.lit(b))))
-        probs = [1.0 - p1, p1]
-    keep = [c for c in df.columns]
-    res = out.select(*keep, F.col("prediction").cast("int").alias("_pred"),
-                     *[p.alias(f"_p{i}") for i, p in enumerate(probs)])
-    res = res.select(*keep, F.col("_pred").alias("prediction"),
-                     *[F.col(f"_p{i}").alias(f"p{i}") for i in range(len(probs))])
-    if len(probs) == 2:
-        res = res.withColumn("score", F.col("p1"))
-    return res
-
-
-def svm_platt(train: DataFrame, features: Sequence[str], label: str = "label", n_classes: int = 2,
-              weight: str | None = None, **params) -> tuple[float, float]:
-    """Sigmoid from SVM margins to probabilities, on margins of rows the SVM was not fitted on.
-
-    A helper SVM is fitted on four fifths of the rows (by hash of the features) and the
-    sigmoid on its margins of the last fifth; with several classes on all one-vs-rest margins.
-    Without rows of two classes in that fifth the map is the plain logistic function.
-    """
-    part = F.pmod(F.xxhash64(*[F.col(f) for f in features]), F.lit(5))
-    model = fit_mllib(train.where(part != 0), features, "svm", label, weight, n_classes=n_classes, **params)
-    raw = vector_to_array(F.col("rawPrediction"))
-    held = model.transform(train.where(part == 0))
-    if n_classes <= 2:
-        m = held.select(F.col(label).cast("double").alias("y"), raw[1].alias("margin"))
-    else:
-        m = held.select(F.col(label).alias("c"), F.posexplode(raw).alias("k", "margin")) \
-            .select((F.col("c") == F.col("k")).cast("double").alias("y"), "margin")
-    if m.select("y").distinct().count() < 2:
-        return 1.0, 0.0
-    lr = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.0, maxIter=100, tol=1e-4)
-    fitted = lr.fit(VectorAssembler(inputCols=["margin"], outputCol="f").transform(m))
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+def predict_mllib(model, df: DataFrame, n_classes: int) -> DataFrame:
+    """Predictions with ``p<k>`` columns from the model's probability."""
+    arr = vector_to_array(F.col("probability"))
+    keep = df.columns
+    res = model.transform(df).select(*keep, F.col("prediction").cast("int").alias("prediction"), *[arr[i].alias(f"p{i}") for i in range(max(2, n_classes))])
+    return res.withColumn("score", F.col("p1")) if n_classes <= 2 else res
 
 
 def impute_train_median(train: DataFrame, test: DataFrame, features: Sequence[str]):
@@ -403,25 +352,44 @@ def gnb_search(data: DataFrame, features: Sequence[str], label: str, folds: int,
                smoothings=(1e-9, 1e-8, 1e-7, 1e-6)) -> DataFrame:
     """F4 grid: var_smoothing values scored by fold-averaged weighted F1.
 
-    One statistics fit per fold (smoothing only shifts the variances), and
-    all predictions are scored in one grouped aggregation.
+    One aggregate by (fold, class) gives counts, means and squared deviations; a fold's training
+    moments are those of the other folds put together. Smoothing only shifts the variances,
+    so one more pass scores every row under all settings of its fold's models.
     """
-    from loupe.session import cut_lineage
-    data = cut_lineage(data)   # each fold is read several times: materialise once
-    preds = None
-    for f in range(folds):
-        tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        base = fit_gnb(tr, features, label, 0.0)
-        glob = tr.agg(*[F.var_pop(as_double(c)).alias(c) for c in features]).collect()[0]
-        vmax = max(float(glob[c] or 0.0) for c in features)
-        for sm in smoothings:
-            m = GaussianNB(base.classes, base.priors, base.means,
-                           [[v + sm * vmax for v in row] for row in base.variances], base.features)
-            p = predict_gnb(te, m).select(
-                F.lit(f"var_smoothing={sm:g}").alias("setting"), F.lit(f).alias("fold"),
-                F.col(label).alias("label"), "prediction")
-            preds = p if preds is None else preds.unionByName(p)
-    return _f1_by_setting(preds)
+    from loupe.operators.evaluate import metrics_of_counts
+    from loupe.session import join_small
+
+    features = list(features)
+    x = [as_double(f) for f in features]
+    moments = data.groupBy("fold", F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)]).collect()
+    part = {(r["fold"], int(r["label"])): (r["n"], np.array([r[f"m{i}"] for i in range(len(x))], float), np.array([r[f"v{i}"] for i in range(len(x))], float)) for r in moments}
+    models = [(f, [(f"var_smoothing={s:g}", _gnb_terms([(c, p) for (g, c), p in part.items() if g != f], s)) for s in smoothings]) for f in sorted({f for f, _ in part})]
+    params = data.sparkSession.createDataFrame(
+        models, "fold int, models array<struct<setting:string, classes:array<struct<cls:int, start:double, mean:array<double>, inv:array<double>>>>>")
+    rows = join_small(data.select(F.col("fold").cast("int").alias("fold"), F.col(label).cast("int").alias("label"), F.array(*x).alias("x")), params, ["fold"])
+    square = lambda a, b: (a - b) * (a - b)
+    fit = lambda c: c["start"] - F.aggregate(F.zip_with(F.zip_with("x", c["mean"], square), c["inv"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    best = lambda m: -F.array_max(F.transform(m["classes"], lambda c: F.struct(fit(c).alias("ll"), (-c["cls"]).alias("neg"))))["neg"]
+    said = rows.select("fold", "label", F.explode(F.transform("models", lambda m: F.struct(m["setting"].alias("setting"), best(m).alias("prediction")))).alias("s"))
+    counts = said.groupBy(F.col("s.setting").alias("setting"), "fold", "label", F.col("s.prediction").alias("prediction")).agg(F.count(F.lit(1)).alias("count"))
+    return metrics_of_counts(counts, ["setting", "fold"]).groupBy("setting").agg(F.avg("f1_score").alias("mean_f1"))
+
+
+def _gnb_terms(parts: list, smoothing: float) -> list[tuple]:
+    """(class, constant, means, 1 / (2 variance)) of the classes of ``parts``: (class, (count, means, variances)) of disjoint rows."""
+    def together(some):
+        n = sum(p[0] for p in some)
+        mean = sum(p[0] * p[1] for p in some) / n
+        return n, mean, sum(p[0] * (p[2] + (p[1] - mean) ** 2) for p in some) / n
+
+    total, _, spread = together([p for _, p in parts])
+    out = []
+    for c in sorted({c for c, _ in parts}):
+        n, mean, var = together([p for k, p in parts if k == c])
+        var = var + smoothing * float(spread.max())
+        out.append((c, math.log(n / total) - 0.5 * float(np.log(2 * math.pi * var).sum()), mean.tolist(), (0.5 / var).tolist()))
+    return out
 
 
 # ---------------------------------------------------------------- F8/F9 grids for MLlib models
@@ -485,14 +453,15 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], name
         cand = knn_candidates(tr, test.select(F.col(key).alias("id"), vec.alias("vec")), n, setting.get("metric", "euclidean"))
         votes = knn_vote(cand, n, setting.get("weights", "uniform"), max(2, k))
         return test.join(votes.withColumnRenamed("test_id", key), key)
+    if name in ("logistic_regression", "svm"):
+        from loupe.operators import linear_path as LP
+
+        c = setting.get("C", 1.0)
+        if name == "logistic_regression":
+            return LP.predict(test, LP.fit_logistic(train, features, label, k, c, weight), k)
+        rff = rff_params(train, features, setting.get("gamma", "scale")) if setting.get("kernel") == "rbf" else None
+        return LP.predict(test, LP.fit_svm(train, features, label, k, c, weight, rff), k)
     params = spark_params(name, setting, n_train)
-    if name == "svm":
-        if setting.get("kernel") == "rbf":
-            rff = rff_params(train, features, setting.get("gamma", "scale"))
-            (train, names), (test, _) = apply_rff(train, rff), apply_rff(test, rff)
-            features = names
-        platt = svm_platt(train, features, label, k, weight, **params)
-        return predict_mllib(fit_mllib(train, features, name, label, weight, n_classes=k, **params), test, k, platt)
     return predict_mllib(fit_mllib(train, features, name, label, weight, **params), test, k)
 
 
@@ -500,10 +469,11 @@ def search_scores(train: DataFrame, features: Sequence[str], name: str, label: s
                   weight: str | None = None, n_draws: int | None = None, seed: int = 42) -> list[tuple[dict, float]]:
     """Every searched setting with its mean weighted F1 over stratified folds.
 
-    kNN and naive Bayes settings share their fits; the others are fitted for each fold and
-    setting, with C over the rows of the fold's own training part.
+    kNN and naive Bayes settings share their fits, trees and forests are read off nested ensembles
+    (:mod:`loupe.operators.forest_path`), linear models of all folds and every C share their passes
+    (:mod:`loupe.operators.linear_path`).
     """
-    from loupe.operators.evaluate import basic_metrics
+    from loupe.operators import forest_path, linear_path
     from loupe.operators.split import cv_folds
     from loupe.session import fit_rows
 
@@ -518,16 +488,12 @@ def search_scores(train: DataFrame, features: Sequence[str], name: str, label: s
         got = {r["setting"]: r["mean_f1"] for r in gnb_search(data, features, label, folds).collect()}
         text = lambda s: f"var_smoothing={s['var_smoothing']:g}"
     else:
-        text, scores = str, {}
-        for f in range(folds):
-            tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-            found = [int(r[0]) for r in tr.select(label).distinct().collect()]
-            n = tr.count()
-            for s in every:
-                p = fit_predict(tr, te, features, name, label, key, sorted({*found, n_classes - 1}), n, weight, s)
-                m = basic_metrics(p.select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"))).first()
-                scores.setdefault(str(s), []).append(m["f1_score"])
-        got = {s: sum(v) / len(v) for s, v in scores.items()}
+        text = str
+        if name in ("logistic_regression", "svm"):
+            scores = linear_path.search(data, features, name, label, folds, n_classes, every, weight)
+        else:
+            scores = forest_path.search(data, features, name, label, folds, every, weight)
+        got = {str(s): sum(v) / len(v) for s, v in zip(every, scores)}
     return [(s, float(got[text(s)])) for s in every]
 
 

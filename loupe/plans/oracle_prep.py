@@ -317,3 +317,42 @@ UNION ALL SELECT 'encode', 'columns', 1.0::DOUBLE
 UNION ALL SELECT 'split', 'train_rows', CAST(d - o - t AS DOUBLE) FROM s
 UNION ALL SELECT 'split', 'test_rows', CAST(t AS DOUBLE) FROM s
 UNION ALL SELECT 'scale_standard', 'columns', 2.0::DOUBLE""")
+
+
+# ---------------------------------------------------------------- F8: searches whose fits SQL can express
+
+#: Mean over folds of the weighted F1, from the CTE conf (setting, fold, label, prediction, n).
+_MEAN_F1 = """
+sup AS (SELECT setting, fold, label, sum(n) AS s, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp FROM conf GROUP BY ALL),
+prd AS (SELECT setting, fold, prediction AS label, sum(n) AS p FROM conf GROUP BY ALL),
+f1 AS (SELECT setting, fold, sum(s * 2.0 * tp / (s + coalesce(p, 0))) / sum(s) AS f1 FROM sup LEFT JOIN prd USING (setting, fold, label) GROUP BY setting, fold),
+mean AS (SELECT setting, round(avg(f1), 9) AS mean_f1 FROM f1 GROUP BY setting)
+SELECT setting, mean_f1, CAST(row_number() OVER (ORDER BY mean_f1 DESC, setting) AS INTEGER) AS rank FROM mean"""
+
+_gm = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in _F)
+_gj = " - ".join(f"pow(d.{f} - m_{f}, 2) / (2 * (v_{f} + e))" for f in _F)
+_gn = " + ".join(f"ln(2 * pi() * (v_{f} + e))" for f in _F)
+sql("q_gnb_search", f"""
+WITH {PLANTED_CTE},
+d AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(concat(row_key, ':42')), row_key) - 1) % 5 AS fold FROM planted WHERE split = 'train'),
+fo AS (SELECT unnest(range(5)) AS held),
+gs AS (SELECT held, label AS cls, count(*) AS n, {_gm} FROM d JOIN fo ON fold <> held GROUP BY ALL),
+ga AS (SELECT held, count(*) AS total, {_var_max} AS spread FROM d JOIN fo ON fold <> held GROUP BY held),
+st AS (SELECT unnest(['1e-09', '1e-08', '1e-07', '1e-06']) AS txt),
+par AS (SELECT gs.*, concat('var_smoothing=', txt) AS setting, CAST(txt AS DOUBLE) * spread AS e, ln(CAST(n AS DOUBLE) / total) AS lp FROM gs JOIN ga USING (held) JOIN st ON TRUE),
+jl AS (SELECT setting, fold, row_key, label, cls, lp - 0.5 * ({_gn}) - {_gj} AS jll FROM d JOIN par ON par.held = d.fold),
+best AS (SELECT setting, fold, row_key, label, max_by(cls, (jll, -cls)) AS prediction FROM jl GROUP BY ALL),
+conf AS (SELECT setting, fold, label, prediction, count(*) AS n FROM best GROUP BY ALL),{_MEAN_F1}""")
+
+sql("q_knn_search", f"""
+WITH d AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id) - 1) % 5 AS fold
+  FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id % 5 <> 0)),
+pairs AS (SELECT a.fold, a.id, a.label, b.id AS near, b.label AS nb, list_distance(a.vec, b.vec) AS euclidean,
+  list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] - z[2]))) AS manhattan FROM d a JOIN d b ON a.fold <> b.fold),
+tall AS (SELECT fold, id, label, near, nb, 'euclidean' AS metric, euclidean AS dist FROM pairs UNION ALL SELECT fold, id, label, near, nb, 'manhattan', manhattan FROM pairs),
+rk AS (SELECT *, row_number() OVER (PARTITION BY metric, id ORDER BY dist, near) AS r FROM tall),
+st AS (SELECT * FROM (SELECT unnest([3, 5, 7, 9]) AS k) JOIN (SELECT unnest(['uniform', 'distance']) AS w) ON TRUE),
+v AS (SELECT concat('n_neighbors=', CAST(k AS VARCHAR), ',weights=', w, ',metric=', metric) AS setting, fold, id, label, nb,
+  sum(CASE WHEN w = 'uniform' THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / dist END) AS v FROM rk JOIN st ON r <= k GROUP BY ALL),
+best AS (SELECT setting, fold, id, label, max_by(nb, (v, -nb)) AS prediction FROM v GROUP BY ALL),
+conf AS (SELECT setting, fold, label, prediction, count(*) AS n FROM best GROUP BY ALL),{_MEAN_F1}""")

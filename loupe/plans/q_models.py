@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loupe.operators import linear_path as LP
 from loupe.operators import models as M
 from loupe.operators import split as SP
 from loupe.plans.catalog import register
@@ -54,26 +55,26 @@ def q_model_knn(spark, sf):
         pred.withColumnRenamed("test_id", "row_id"), "row_id")
 
 
+def _scaled(spark, sf):
+    """The planted rows scaled as the reference does before it trains (standard scaler fitted on train)."""
+    from loupe.operators import scale as S
+    train, test = _planted(spark, sf)
+    sp = S.fit_standard(train, PLANTED_FEATURES)
+    return S.apply_standard(train, sp), S.apply_standard(test, sp)
+
+
 def _mllib(spark, sf, name, **params):
     train, test = _planted(spark, sf)
-    if name in ("logistic_regression", "svm"):
-        # the reference scales features before training (standard scaler fitted on train)
-        from loupe.operators import scale as S
-        sp = S.fit_standard(train, PLANTED_FEATURES)
-        train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
     # the fits read their rows many times: only what they need, written once
     train = fit_rows(train.select(*PLANTED_FEATURES, "label"))
-    if name in ("logistic_regression", "svm"):
-        params.setdefault("regParam", 1.0 / train.count())  # C = 1
-    model = M.fit_mllib(train, PLANTED_FEATURES, name, "label", **params)
-    platt = M.svm_platt(train, PLANTED_FEATURES, **params) if name == "svm" else None
-    return M.predict_mllib(model, test, 2, platt).select(*OUT)
+    return M.predict_mllib(M.fit_mllib(train, PLANTED_FEATURES, name, "label", **params), test, 2).select(*OUT)
 
 
 @register("q_model_logreg")
 def q_model_logreg(spark, sf):
-    """logistic regression (C = 1) on the planted rule."""
-    return _mllib(spark, sf, "logistic_regression")
+    """logistic regression (C = 1) on the scaled planted rule."""
+    train, test = _scaled(spark, sf)
+    return LP.predict(test, LP.fit_logistic(train, PLANTED_FEATURES, "label", 2), 2).select(*OUT)
 
 
 @register("q_model_tree")
@@ -90,16 +91,17 @@ def q_model_forest(spark, sf):
 
 @register("q_model_svm")
 def q_model_svm(spark, sf):
-    """linear SVM (C = 1) with Platt-scaled probabilities."""
-    return _mllib(spark, sf, "svm")
+    """linear SVM (C = 1) with Platt-scaled probabilities on the scaled planted rule."""
+    train, test = _scaled(spark, sf)
+    return LP.predict(test, LP.fit_svm(train, PLANTED_FEATURES, "label", 2), 2).select(*OUT)
 
 
-def _search(spark, sf, name, n_draws=None):
-    train, _ = _planted(spark, sf)
+def _search(spark, sf, name, n_draws=None, scaled=False):
+    train, _ = _scaled(spark, sf) if scaled else _planted(spark, sf)
     folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
-    data = SP.cv_folds(train, "label", ["row_key"], folds, 42, "fold")
-    _, scores = M.grid_search(data, PLANTED_FEATURES, name, folds, "label", n_draws, 42)
-    df = spark.createDataFrame([(name, p, f) for p, f in scores],
+    train = train.withColumn("rid", F.xxhash64("row_key"))
+    every = M.search_scores(train, PLANTED_FEATURES, name, "label", "rid", folds, 2, n_draws=n_draws)
+    df = spark.createDataFrame([(name, ",".join(f"{k}={v}" for k, v in p.items()), f) for p, f in every],
                                "model string, params string, mean_f1 double")
     return df.select("*", F.row_number().over(
         Window.orderBy(F.col("mean_f1").desc(), F.col("params"))).alias("rank"))
@@ -117,29 +119,16 @@ def q_random_search(spark, sf):
     return _search(spark, sf, "decision_tree", n_draws=10)
 
 
-def _full_search(spark, sf, name):
-    from loupe.operators import scale as S
-    train, _ = _planted(spark, sf)
-    if name == "svm":
-        train = S.apply_standard(train, S.fit_standard(train, PLANTED_FEATURES))
-    folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
-    train = train.withColumn("rid", F.xxhash64("row_key"))
-    every = M.search_scores(train, PLANTED_FEATURES, name, "label", "rid", folds, 2)
-    df = spark.createDataFrame([(name, str(p), f) for p, f in every], "model string, params string, mean_f1 double")
-    return df.select("*", F.row_number().over(
-        Window.orderBy(F.col("mean_f1").desc(), F.col("params"))).alias("rank"))
-
-
 @register("q_forest_search")
 def q_forest_search(spark, sf):
     """F5 + F8: the 36-point random forest grid on the planted rule, stratified CV."""
-    return _full_search(spark, sf, "random_forest")
+    return _search(spark, sf, "random_forest")
 
 
 @register("q_svm_search")
 def q_svm_search(spark, sf):
     """F6 + F8: the 12-point SVM grid (both kernels, both gammas) on the scaled planted rule, stratified CV."""
-    return _full_search(spark, sf, "svm")
+    return _search(spark, sf, "svm", scaled=True)
 
 
 @register("q_cv_folds")
@@ -160,11 +149,8 @@ def q_train_all_models(spark, sf):
     """F1-F7 + G16: every model with default settings on the scaled planted rule,
     compared on the test rows (time = measured fit+predict seconds)."""
     from loupe.operators import ranking as R
-    from loupe.operators import scale as S
     from loupe.plans.workflow import train_models
-    train, test = _planted(spark, sf)
-    sp = S.fit_standard(train, PLANTED_FEATURES)
-    train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
+    train, test = _scaled(spark, sf)
     train = train.withColumn("rid", F.xxhash64("row_key"))
     test = test.withColumn("rid", F.xxhash64("row_key"))
     got = train_models(train, test, PLANTED_FEATURES, "label", "rid")
@@ -202,18 +188,9 @@ def q_train_status_more(spark, sf):
 @register("q_model_svm_rbf")
 def q_model_svm_rbf(spark, sf):
     """F6 (rbf): SVM on 100 random Fourier features of the scaled planted rule, gamma='scale'."""
-    from loupe.operators import scale as S
-    train, test = _planted(spark, sf)
-    sp = S.fit_standard(train, PLANTED_FEATURES)
-    train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
-    p = M.rff_params(train, PLANTED_FEATURES, "scale", 100, 42)
-    train, names = M.apply_rff(train, p)
-    test, _ = M.apply_rff(test, p)
-    train = fit_rows(train.select(*names, "label"))
-    reg = 1.0 / train.count()
-    model = M.fit_mllib(train, names, "svm", "label", regParam=reg)
-    platt = M.svm_platt(train, names, regParam=reg)
-    return M.predict_mllib(model, test, 2, platt).select(*OUT)
+    train, test = _scaled(spark, sf)
+    rff = M.rff_params(train, PLANTED_FEATURES, "scale", 100, 42)
+    return LP.predict(test, LP.fit_svm(train, PLANTED_FEATURES, "label", 2, rff=rff), 2).select(*OUT)
 
 
 @register("q_knn_search")
@@ -223,8 +200,13 @@ def q_knn_search(spark, sf):
     folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
     data = SP.cv_folds(train, "label", ["id"], folds, 42, "fold")
     res = M.knn_search(data, folds)
-    return res.select("*", F.row_number().over(
-        Window.orderBy(F.col("mean_f1").desc(), F.col("setting"))).alias("rank"))
+    return _ranked(res)
+
+
+def _ranked(res):
+    """Settings by mean F1 to 9 decimals (sums of equal parts may differ beyond), then by name; a row per setting."""
+    res = res.select("setting", F.round("mean_f1", 9).alias("mean_f1"))
+    return res.select("*", F.row_number().over(Window.orderBy(F.col("mean_f1").desc(), F.col("setting"))).alias("rank"))
 
 
 @register("q_gnb_search")
@@ -233,6 +215,4 @@ def q_gnb_search(spark, sf):
     train, _ = _planted(spark, sf)
     folds = int(SP.fold_count(train, "label").collect()[0]["folds"])
     data = SP.cv_folds(train, "label", ["row_key"], folds, 42, "fold")
-    res = M.gnb_search(data, PLANTED_FEATURES, "label", folds)
-    return res.select("*", F.row_number().over(
-        Window.orderBy(F.col("mean_f1").desc(), F.col("setting"))).alias("rank"))
+    return _ranked(M.gnb_search(data, PLANTED_FEATURES, "label", folds))

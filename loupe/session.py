@@ -73,13 +73,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 
     Like a checkpoint, but the result has no known partitioning: a later join shuffles both
     sides, so that the skew-join rule can split a hot key.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
