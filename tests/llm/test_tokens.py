@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from loupe.llm.tokencount import Unigram, count_tokens, suffix_table, terminal_counts, zipf_unigram
@@ -91,5 +92,29 @@ def test_words_encode_like_whole_texts():
     texts = [rnd.choice([" ", "\n", "\t "]).join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(300)] + ["A" * 5000 + "."]
     with open(VOCAB, encoding="utf-8") as f:
         encoder = Encoder(f.read(), 50)
-    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode_many([t.encode() for t in texts], np.array([1], encoder.dtype).tobytes())]
-    assert got == whole_text_ids(texts)
+    for part in (texts, texts[:1], [None, "", " "], []):  # the cache is emptied on the way
+        ids, off = encoder.encode_many(pa.array(part, pa.string()), 1)
+        assert [ids[a:z].tolist() for a, z in zip(off, off[1:])] == whole_text_ids(part)
+    assert encoder.by_words
+
+
+def test_random_unicode_encodes_like_whole_texts():
+    from loupe.llm.tokenfile import Encoder
+
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCßàéîõÿÀÉ0123 .,;:!?'-\n\t\u0301\u00a0日本İſK£"
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 60))) for _ in range(3000)]
+    with open(VOCAB, encoding="utf-8") as f:
+        encoder = Encoder(f.read(), 1 << 20)
+    ids, off = encoder.encode_many(pa.array(texts), 1)
+    assert [ids[a:z].tolist() for a, z in zip(off, off[1:])] == whole_text_ids(texts)
+
+
+def test_another_vocabulary_is_encoded_whole(spark, make_docs):
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  spaces, Case kept.", "", None, "tabs\tand\nlines"]
+    path = write_token_files(make_docs(list(enumerate(texts))), other, TokenParams(end_id=50256))
+    want = [Tokenizer.from_file(other).encode(t or "", add_special_tokens=False).ids + [50256] for t in texts]
+    assert [read_document(spark, path, i) for i in range(4)] == [[w] for w in want]
