@@ -9,7 +9,8 @@ branches only after all siblings are full. A leaf with budget ``b`` and supply `
 the longest prefix of documents whose tokens fit into the rest.
 
 Tokens are words (runs outside ``[\\x20\\x09-\\x0D]``). The seeded order of an epoch is the md5
-of seed, epoch and doc_id; rows that share all three stand or fall together. The prefix
+of seed, epoch, doc_id, the text's md5 and the row's number among the rows of its leaf that share both, so
+equal ids, null ones and repeated rows are spread like others and the prefix can end among them. The prefix
 is found without ordering a leaf in one task: hashes are cut into 4,096 slices whose
 totals are added up, and only the slice in which the budget ends is ordered row by row.
 
@@ -27,7 +28,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loupe.llm.store import written
+from loupe.functions.ranks import row_ranks
+from loupe.llm.store import repeated_keys, written
 
 LEAF = ["domain", "lang", "source"]
 #: Stands for null in keys; no text can hold it by accident of data entry.
@@ -95,8 +97,30 @@ def leaf_budgets(supply: DataFrame, params: MixParams) -> DataFrame:
     return shared.select(*LEAF, "supply", F.floor(F.col("share") + 1e-6).alias("budget"))
 
 
-def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+#: What tells rows of a leaf apart, besides their number.
+IDENTITY = ["id", "digest"]
+
+
+def _identity() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest")]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (leaf keys, id, digest) with ``copy``: 0, 1, .. among rows that share them all.
+
+    Only such rows are ranked, over slices, so that a third of a leaf may repeat one row.
+    """
+    keys = [*LEAF, *IDENTITY]
+    again = repeated_keys(rows, keys)
+    if again is None:
+        return rows.withColumn("copy", F.lit(0).cast("bigint"))
+    once = rows.join(again, keys, "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
+    more = row_ranks(rows.join(again, keys, "left_semi").select(*rows.columns), keys, []).drop("_total").withColumnRenamed("_rank", "copy")
+    return once.select(*rows.columns, "copy").unionByName(more.withColumn("copy", F.col("copy").cast("bigint")))
+
+
+def _order(seed: int, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), "id", "digest", F.col("copy").cast("string")))
 
 
 def _keys(domain: Column) -> list[Column]:
@@ -105,13 +129,14 @@ def _keys(domain: Column) -> list[Column]:
 
 
 def mix_plan(docs: DataFrame, domain: Column, params: MixParams) -> tuple[DataFrame, DataFrame]:
-    """The narrow documents (doc_id, domain, lang, source, n_tokens) and one row a leaf: supply, budget, whole ``epochs`` and ``last``, the greatest hash of the partial epoch that is taken."""
-    narrow = written(docs.select("doc_id", *_keys(domain), n_tokens().alias("n_tokens")), "mix-documents")
+    """The narrow documents (doc_id, domain, lang, source, id, digest, copy, n_tokens) and one row a leaf: supply, budget, whole ``epochs`` and ``last``, the greatest hash of the partial epoch that is taken."""
+    narrow = written(docs.select("doc_id", *_keys(domain), *_identity(), n_tokens().alias("n_tokens")), "mix-documents")
+    narrow = written(numbered(narrow), "mix-rows")
     supply = narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("supply"))
     leaves = leaf_budgets(written(supply, "mix-supply"), params)
     leaves = leaves.withColumn("epochs", F.floor(F.col("budget") / F.col("supply")).cast("bigint"))
     leaves = written(leaves.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply")), "mix-leaves")
-    hashed = narrow.join(leaves.select(*LEAF, "epochs", "rest"), LEAF).withColumn("h", _order(params.seed, F.col("epochs"), F.col("doc_id")))
+    hashed = narrow.join(leaves.select(*LEAF, "epochs", "rest"), LEAF).withColumn("h", _order(params.seed, F.col("epochs")))
     hashed = hashed.withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     slices = hashed.groupBy(*LEAF, "slice").agg(F.sum("n_tokens").alias("n"), F.min("rest").alias("rest"))
     total = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("slice"))
@@ -126,9 +151,9 @@ def mix_plan(docs: DataFrame, domain: Column, params: MixParams) -> tuple[DataFr
 
 
 def _copies(rows: DataFrame, plan: DataFrame, params: MixParams) -> DataFrame:
-    """Rows once for each epoch that takes them (column ``epoch``); ``rows`` hold doc_id and the leaf's keys."""
+    """Rows once for each epoch that takes them (column ``epoch``); ``rows`` hold the leaf's keys, id, digest and copy."""
     both = rows.join(plan.select(*LEAF, "epochs", "last"), LEAF)
-    taken = F.col("epochs") + F.when(_order(params.seed, F.col("epochs"), F.col("doc_id")) <= F.col("last"), 1).otherwise(0)
+    taken = F.col("epochs") + F.when(_order(params.seed, F.col("epochs")) <= F.col("last"), 1).otherwise(0)
     both = both.withColumn("taken", taken.cast("int")).filter("taken > 0")
     return both.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("taken") - 1))).drop("epochs", "last", "taken")
 
@@ -143,5 +168,5 @@ def mix(docs: DataFrame, domain: Column, params: MixParams) -> DataFrame:
 def mix_documents(docs: DataFrame, domain: Column, params: MixParams) -> DataFrame:
     """``docs`` with all their columns, each row once for every epoch that takes it."""
     _, plan = mix_plan(docs, domain, params)
-    keyed = docs.select("doc_id", *_keys(domain), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return _copies(keyed, plan, params).select("_row.*")
+    keyed = docs.select(*_keys(domain), *_identity(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return _copies(numbered(keyed), plan, params).select("_row.*")

@@ -177,7 +177,7 @@ def _mix_sql() -> str:
         return "CASE " + name + "".join(f" WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + f" ELSE {MIX.other}::DOUBLE END"
 
     return f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
+WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, md5(coalesce(text, '')) AS digest, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
   CASE WHEN regexp_extract(source, '([0-9]{{1,6}})$', 1) = '' THEN 'other' ELSE (['web', 'books', 'forum'])[regexp_extract(source, '([0-9]{{1,6}})$', 1)::INT % 3 + 1] END AS domain FROM documents),
 s AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS supply, sum(n_tokens)::DOUBLE * {MIX.max_epochs} AS lim FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 m AS (SELECT domain, sum(lim) AS lim, {weight("domain", MIX.domains)} AS weight, sum(sum(supply)) OVER () * {MIX.budget_share}::DOUBLE AS budget FROM s GROUP BY domain),
@@ -186,7 +186,8 @@ l AS (SELECT domain, lang, sum(s.lim) AS lim, {weight("lang", MIX.languages)} AS
 ls AS ({_fill_sql("l", "domain", "lang")}),
 x AS (SELECT domain, lang, source, supply, s.lim, {MIX.other}::DOUBLE AS weight, ls.share AS budget FROM s JOIN ls USING (domain, lang)),
 xs AS (SELECT domain, lang, source, supply, floor(share + 1e-6) AS budget, floor(floor(share + 1e-6) / supply)::BIGINT AS epochs FROM ({_fill_sql("x", "domain, lang", "source")})),
-h AS (SELECT d.*, epochs, budget - epochs * supply AS rest, md5(concat_ws(':', '{MIX.seed}', epochs::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS h FROM d JOIN xs USING (domain, lang, source)),
+c AS (SELECT *, row_number() OVER (PARTITION BY domain, lang, source, id, digest) - 1 AS copy FROM d),
+h AS (SELECT c.*, epochs, budget - epochs * supply AS rest, md5(concat_ws(':', '{MIX.seed}', epochs::VARCHAR, id, digest, copy::VARCHAR)) AS h FROM c JOIN xs USING (domain, lang, source)),
 t AS (SELECT *, epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS taken FROM h)
 SELECT doc_id, domain, lang, source, n_tokens, unnest(range(taken))::INT AS epoch FROM t"""
 

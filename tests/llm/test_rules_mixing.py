@@ -125,7 +125,8 @@ def test_prefixes_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = MixParams(domains={"src0": 3.0}, languages={"en": 2.0}, budget_share=1.3, max_epochs=3, seed=5)
     got = sorted((r.doc_id, r.epoch) for r in mix(docs, F.col("source"), p).collect())
-    rows = [(r.doc_id, (r.source, r.lang, r.source), len(WORD.findall(r.text or ""))) for r in docs.collect()]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    rows = [((r.doc_id, md5(r.text or "")), (r.source, r.lang, r.source), len(WORD.findall(r.text or ""))) for r in docs.collect()]
     supply = {}
     for _, leaf, n in rows:
         supply[leaf] = supply.get(leaf, 0) + n
@@ -133,7 +134,7 @@ def test_prefixes_equal_brute_force(spark):
     for leaf, b in brute_budgets(supply, p).items():
         budget = math.floor(b + 1e-6)
         epochs, rest = divmod(budget, supply[leaf])
-        mine = sorted((hashlib.md5(f"5:{epochs}:{d}".encode()).hexdigest(), d, n) for d, x, n in rows if x == leaf)
+        mine = sorted((md5(f"5:{epochs}:{d}:{digest}:0"), d, n) for (d, digest), x, n in rows if x == leaf)
         used = 0
         for _, d, n in mine:
             used += n
@@ -150,3 +151,12 @@ def test_mixing_keeps_columns_and_takes_awkward_rows(spark, awkward, no_docs):
     assert rows.count(5) == 2 and rows.count(1) == 6  # every row of a leaf with tokens, twice
     assert mix(no_docs, F.col("source"), p).count() == 0 and mix_documents(no_docs, F.col("source"), p).count() == 0
     assert mix(awkward, F.col("source"), MixParams(budget=0)).filter("n_tokens > 0").count() == 0
+
+
+@pytest.mark.parametrize("repeat", ["ids", "rows", "nulls"])
+def test_equal_ids_fill_the_budget(spark, repeat):
+    rows = [(None if repeat == "nulls" else 7, "one two three four" if repeat == "rows" else f"one two three w{i}", "en", "s1", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for share, least in ((0.5, 500), (1.25, 1250)):
+        p = MixParams(budget_share=share, max_epochs=3)
+        assert mix(docs, F.col("source"), p).count() == mix_documents(docs, F.col("source"), p).count() == least
