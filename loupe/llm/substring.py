@@ -1,25 +1,28 @@
 """Substring deduplication by relative Lempel-Ziv parsing against an anchored index of all documents.
 
-Reference for a document: every document with a smaller doc_id. Blocks: each window of
+Reference for a document: every document with a smaller doc_id, of which the index holds the first
+occurrence (smallest doc_id, then smallest place) of everything that repeats. Blocks: each window of
 ``window`` words belongs to the block of its anchor, the smallest hash among its
 ``seed``-word runs. Equal windows have equal anchors, so whatever a window can match lies
 in its own block; looking it up there looks it up in every block. A document is cut into
 *phrases*, the maximal runs of windows with one anchor, and parsed in two steps:
 
 1. Phrases that occur whole in an earlier document are copied whole (the inside of a
-   factor). The index of a block keeps the smallest doc_id of each phrase.
+   factor). The index of a block keeps the first occurrence of each phrase.
 2. Where the phrases of a block differ, a factor starts or ends inside: at these factor
    boundaries the first occurrence of each phrase is checked window by window against the
    windows of the block.
 
-Adjacent windows with one source join into a factor (start, length, source); all factors
-are at least ``window`` words long, shorter ones stay literal. The words that factors
+Every match carries its place in its source. Matches join greedily into a factor (start, length, source,
+source start) as long as they follow one another in the same source too, so a factor is a run that its
+source holds at that place; all factors are at least ``window`` words long, shorter ones stay literal. A longer run that
+only a later document than the first ones holds is not looked for: it covers the same words. The words that factors
 cover are the duplicates, judged on the input. Only hashes, positions and ids of phrases are
 shuffled; hot phrases shrink to one row per task before they are, joins on anchors shuffle
 both sides so that hot ones can be split. Text is fetched only for documents with factors.
 
 Null texts have no words. Rows without doc_id neither lose words nor serve as reference;
-rows that share a doc_id do not serve each other. Repeated rows come out as often as they
+rows that share a doc_id do not serve each other. Repeated rows are parsed once and come out as often as they
 go in; further columns are ignored.
 """
 
@@ -31,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.store import written
+from loupe.llm.store import one_of_each, repeated_keys, written
 from loupe.llm.textops import mix, powers, rolling, row_groups, sliding_min, span_hashes, utf8, word_bounds
 
 PHRASE = "array<struct<anchor:bigint, phrase:bigint, at:int, n:int>>"
@@ -113,48 +116,52 @@ def duplicate_factors(docs: DataFrame, window: int = 50, seed: int = 12) -> tupl
     """The parse of every row of ``docs`` and the texts with factors.
 
     First: (doc_id, text_hash, n_words, sha) for every row, sha of all its words. Second:
-    (doc_id, text_hash, text, spans) for the rows with factors; spans are
-    (at, n, source): ``n`` windows from word ``at`` that occur in document ``source``.
+    (doc_id, text_hash, text, spans) for the distinct (doc_id, text) with factors; spans are
+    (at, n, source, source_at): ``n`` windows from word ``at`` that occur in document ``source`` from word ``source_at``.
     """
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     parsed = written(hashed.mapInArrow(_parse(window, seed), f"doc_id bigint, text_hash bigint, n_words bigint, sha string, phrases {PHRASE}"), "phrases")
-    each = parsed.filter("doc_id IS NOT NULL").select("doc_id", "text_hash", F.inline("phrases"))
-    blocks = (each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+    keys = ["doc_id", "text_hash"]
+    again = repeated_keys(parsed.filter("doc_id IS NOT NULL").select(*keys), keys)
+    once = one_of_each(parsed.filter("doc_id IS NOT NULL").select(*keys, "phrases"), keys, again)
+    each = once.select(*keys, F.inline("phrases"))
+    blocks = (each.groupBy("anchor").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi"),
                                          (F.min("phrase") == F.max("phrase")).alias("alike"))
-              .filter("lo < hi").select("anchor", "lo", "alike"))
+              .filter("first.doc_id < hi").select("anchor", "first", "alike"))
     blocks = written(blocks, "shared-blocks")
     shared = written(each.join(blocks, "anchor"), "shared-phrases")
-    index = written(shared.filter("NOT alike").groupBy("anchor", "phrase").agg(F.min("doc_id").alias("first")), "phrase-index")
-    mixed = shared.filter("NOT alike").drop("lo").join(index, ["anchor", "phrase"])
-    span = F.struct("at", "n", F.col("source"))
-    whole = (shared.filter("alike AND doc_id > lo").select("doc_id", "text_hash", "at", "n", F.col("lo").alias("source"), F.lit(None).cast("bigint").alias("anchor"))
-             .unionByName(mixed.filter("doc_id > first").select("doc_id", "text_hash", "at", "n", F.col("first").alias("source"), F.lit(None).cast("bigint").alias("anchor")))
-             .unionByName(mixed.filter("doc_id = first").select("doc_id", "text_hash", "at", "n", F.lit(None).cast("bigint").alias("source"), "anchor")))
-    found = whole.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.when(F.col("anchor").isNull(), span)).alias("spans"),
+    index = written(shared.filter("NOT alike").groupBy("anchor", "phrase").agg(F.min(F.struct("doc_id", "at")).alias("first")), "phrase-index")
+    mixed = shared.filter("NOT alike").drop("first").join(index, ["anchor", "phrase"])
+    nowhere = F.lit(None).cast("struct<doc_id:bigint,at:int>")
+    whole = (shared.filter("alike AND doc_id > first.doc_id").select(*keys, "at", "n", "first", F.lit(None).cast("bigint").alias("anchor"))
+             .unionByName(mixed.filter("doc_id > first.doc_id").select(*keys, "at", "n", "first", F.lit(None).cast("bigint").alias("anchor")))
+             .unionByName(mixed.filter("doc_id = first.doc_id").select(*keys, "at", "n", nowhere.alias("first"), "anchor")))
+    found = whole.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("anchor").isNull(), F.struct("at", "n", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at")))).alias("spans"),
         F.collect_list(F.when(F.col("anchor").isNotNull(), F.struct("at", "n", "anchor"))).alias("check"))
-    texts = written(hashed.join(found, ["doc_id", "text_hash"]), "texts-with-matches")
+    hashed = one_of_each(hashed.filter("doc_id IS NOT NULL"), keys, again)
+    texts = written(hashed.join(found, keys), "texts-with-matches")
     wins = texts.filter(F.size("check") > 0).mapInArrow(_windows(window), "doc_id bigint, text_hash bigint, anchor bigint, win bigint, at int")
     wins = written(wins, "boundary-windows")
-    lookup = written(wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("hi"))
-                     .filter("source < hi").drop("hi"), "window-index")
-    hits = (wins.join(lookup, ["anchor", "win"]).filter("doc_id > source").groupBy("doc_id", "text_hash")
-            .agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "source")).alias("hits")))
-    none = F.array().cast("array<struct<at:int,n:int,source:bigint>>")
-    factors = (texts.drop("check").join(hits, ["doc_id", "text_hash"], "left")
+    lookup = written(wins.groupBy("anchor", "win").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi"))
+                     .filter("first.doc_id < hi").drop("hi"), "window-index")
+    hits = (wins.join(lookup, ["anchor", "win"]).filter("doc_id > first.doc_id").groupBy(*keys)
+            .agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at"))).alias("hits")))
+    none = F.array().cast("array<struct<at:int,n:int,source:bigint,source_at:int>>")
+    factors = (texts.drop("check").join(hits, keys, "left")
                .withColumn("spans", F.concat("spans", F.coalesce("hits", none))).drop("hits"))
     return parsed.drop("phrases"), factors.filter(F.size("spans") > 0)
 
 
-def join_factors(spans: list[dict], window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, source) from left to right: adjacent windows of one source join."""
+def join_factors(spans: list[dict], window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, source, source start) from left to right: spans join that follow one another here and in their source."""
     out: list[list[int]] = []
     for s in sorted(spans, key=lambda s: (s["at"], s["n"])):
         end = s["at"] + s["n"] - 1 + window
-        if out and out[-1][2] == s["source"] and s["at"] <= out[-1][0] + out[-1][1] - window + 1:
+        if out and out[-1][2] == s["source"] and s["source_at"] - s["at"] == out[-1][3] - out[-1][0] and s["at"] <= out[-1][0] + out[-1][1] - window + 1:
             out[-1][1] = max(out[-1][1], end - out[-1][0])
         else:
-            out.append([s["at"], end - s["at"], s["source"]])
+            out.append([s["at"], end - s["at"], s["source"], s["source_at"]])
     return [tuple(f) for f in out]
 
 
@@ -168,17 +175,17 @@ def _cut(window: int):
                 words = (text or b"").split()
                 gone = np.zeros(len(words), bool)
                 each = join_factors(spans, window)
-                for at, n, _ in each:
+                for at, n, *_ in each:
                     gone[at:at + n] = True
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 kept_sha.append(sha256(kept).hexdigest())
                 removed.append(int(gone.sum()))
                 kept_text.append(kept)
-                factors.append([{"start": a, "length": n, "source": s} for a, n, s in each])
+                factors.append([{"start": a, "length": n, "source": s, "source_start": p} for a, n, s, p in each])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(removed, pa.int64()), pa.array(kept_sha, pa.string()),
                  pa.array(kept_text, pa.binary()).cast(pa.string()),
-                 pa.array(factors, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())])))],
+                 pa.array(factors, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])))],
                 ["doc_id", "text_hash", "n_removed", "kept_sha", "kept_text", "factors"])
     return run
 
@@ -186,14 +193,14 @@ def _cut(window: int):
 def deduplicated_texts(factors: DataFrame, window: int = 50) -> DataFrame:
     """Of the texts with factors: number of removed words, kept words (joined by a space), their sha256, and the factors."""
     return factors.mapInArrow(_cut(window), "doc_id bigint, text_hash bigint, n_removed bigint, kept_sha string, kept_text string, "
-                              "factors array<struct<start:int, length:int, source:bigint>>")
+                              "factors array<struct<start:int, length:int, source:bigint, source_start:int>>")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, seed: int = 12) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs`` (doc_id, text)."""
     parsed, factors = duplicate_factors(docs, window, seed)
     cut = deduplicated_texts(factors, window).select("doc_id", "text_hash", "n_removed", "kept_sha")
-    cut = written(cut.groupBy("doc_id", "text_hash").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha").alias("kept_sha")), "cut-texts")
+    cut = written(cut, "cut-texts")
     return parsed.join(cut, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("kept_sha", "sha").alias("kept_sha256"))
