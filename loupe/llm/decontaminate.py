@@ -29,10 +29,10 @@ from itertools import combinations
 from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.store import written
+from loupe.llm.store import free_name, written
 from loupe.llm.textops import IS_TOKEN, cut_unspaced, mix, row_groups, span_hashes, utf8, word_bounds
 
 
@@ -254,8 +254,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams
     return written(best, "leaks").join(written(items.select("item", "item_id"), "benchmark-ids"), "item").select("doc_id", "text_hash", "item_id", "n_equal", "n_compared")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
-    """``docs`` without the rows that leak an item, with all their columns."""
-    bad = written(leaks(docs, benchmark, params).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaking")
-    hashed = docs.withColumn("_own_hash", F.xxhash64("text"))
-    return hashed.join(bad, hashed.doc_id.eqNullSafe(bad._id) & (hashed._own_hash == bad._hash), "left_anti").drop("_own_hash")
+def plain_lines(text: str = "text") -> Column:
+    """The lines of a text as their tokens see them: lower-cased, all that is no token one blank."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return F.transform(F.split(lower, "[\\n\\r]"), lambda x: F.trim(F.regexp_replace(x, "[^0-9a-z\\x{80}-\\x{10FFFF}]+", " ")))
+
+
+def item_sizes(benchmark: DataFrame) -> DataFrame:
+    """``benchmark`` (text) with the number of tokens of each item, ``n``."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            data, off = lowered(b.column("text"))
+            _, first = token_hashes(None, 0, b.num_rows, data, off)
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("text"), pa.array(np.diff(first), pa.int32())], ["item_id", "text", "n"])
+
+    items = benchmark.select("item_id", "text")
+    return items.mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, text string, n int")
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams(), alone: int = 5) -> DataFrame:
+    """``docs`` without the rows that leak an item, with all their columns.
+
+    An item of fewer than ``alone`` tokens (a word, a name, a short answer) stands in clean texts too; it is leaked only
+    by a text that holds it as a whole line.
+    """
+    items = written(item_sizes(benchmark), "benchmark-sizes")
+    long = leaks(docs, items.filter(F.col("n") >= alone), params).select("doc_id", "text_hash")
+    short = items.filter((F.col("n") > 0) & (F.col("n") < alone)).select(F.explode(plain_lines()).alias("line")).filter("line <> ''").distinct()
+    if not short.isEmpty():
+        lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(plain_lines())).alias("line"))
+        lines = lines.filter((F.col("line") != "") & (F.size(F.split("line", " ")) < alone))
+        long = long.unionByName(lines.join(written(short, "short-items"), "line", "left_semi").select("doc_id", "text_hash"))
+    key, mine = free_name(docs, "_key"), free_name(docs, "_text_hash")
+    bad = written(long.distinct().select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias(mine)), "leaking")
+    bad = bad.select(F.struct(key, "none").alias(key), mine)
+    hashed = docs.withColumn(key, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("doc_id").isNull().alias("none"))).withColumn(mine, F.xxhash64("text"))
+    return hashed.join(bad, [key, mine], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm.components import components
-from loupe.llm.store import written
+from loupe.llm.store import free_name, one_of_each, repeated_keys, written
 
 N_BITS = 63
 LOW = np.uint64((1 << N_BITS) - 1)
@@ -194,11 +194,12 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
 
     Of rows that repeat both, one stays. Rows without doc_id belong to no group here and stay.
     """
-    keep = (_grouped(docs, shingle, max_bits)
-            .filter("doc_id = least.doc_id AND text_hash = least.text_hash").select("doc_id", "text_hash").distinct())
-    keep = written(keep, "group-keepers").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hashed = docs.withColumn("_own_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, (hashed.doc_id == keep._id) & (hashed._own_hash == keep._hash), "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    one = kept.groupBy("doc_id", "_own_hash").agg(F.first(row).alias("_row")).select("_row.*")
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    grouped = written(_grouped(docs, shingle, max_bits), "grouped")
+    keep = grouped.filter("doc_id = least.doc_id AND text_hash = least.text_hash").select("doc_id", "text_hash")
+    again = repeated_keys(keep, ["doc_id", "text_hash"])
+    mine = free_name(docs, "_text_hash")
+    hashed = docs.filter("doc_id IS NOT NULL").withColumn(mine, F.xxhash64("text"))
+    keep = written(keep.distinct().withColumnRenamed("text_hash", mine), "group-keepers")
+    kept = hashed.join(keep, ["doc_id", mine], "left_semi")
+    one = one_of_each(kept, ["doc_id", mine], None if again is None else again.withColumnRenamed("text_hash", mine))
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from loupe.llm.decontaminate import SeedParams, drop_leaking, leaks, token_hashes
 from loupe.llm.textops import utf8
@@ -179,3 +180,14 @@ def test_short_items_and_scripts_without_spaces(spark, make_docs):
     assert {g[1:] for g in got if g[0] == long} == {(1, 1, 1), (2, 2, 2), (5, 5, 5)}
     copies = [(long + 1 + 3 * k + j, i, min(20, len(t)) - j, min(20, len(t))) for k, (i, t) in enumerate(unspaced) for j in (0, 1)]
     assert {g for g in got if g[0] > long} == set(copies)
+
+
+def test_short_items_leak_only_as_whole_lines(spark, make_docs):
+    docs = make_docs([(1, "yes we can say that this is fine"), (2, "Question?\n YES!\nmore"), (3, "yes"), (None, "Yes."), (5, "a text\nnew  york, city"), (6, "in new york city today"), (7, "请问"),
+                      (8, "请问下面"), (9, None)])
+    clash = docs.withColumn("_own_hash", F.lit("x")).withColumn("_key", F.lit("y")).withColumn("_text_hash", F.lit("z"))
+    bench = spark.createDataFrame([(1, "yes"), (2, "New York City"), (3, "请问"), (4, "...")], "item_id bigint, text string")
+    kept = drop_leaking(clash, bench)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [1, 6, 8, 9]
+    assert {(r._own_hash, r._key, r._text_hash) for r in kept.collect()} == {("x", "y", "z")}
+    assert sorted(r.doc_id for r in drop_leaking(docs, bench, alone=1).filter("doc_id IS NOT NULL").collect()) == [9]

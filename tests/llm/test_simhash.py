@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from loupe.llm.components import components
 from loupe.llm.simhash import anchor_rows, compare_per_anchor, fingerprint, flips_by_syndrome, forest, keep_one_per_group, simhash_groups
@@ -100,3 +101,11 @@ def test_awkward_rows(awkward, no_docs):
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     # 2, 3 and 4 have no words and are one group; 5 and 6 are copies; 1 holds two different texts
     assert ids == [1, 1, 2, 5, 7, 8, 9, 10] and kept.filter("doc_id IS NULL").count() == 2
+
+
+def test_columns_that_clash_are_kept(make_docs):
+    docs = make_docs([(1, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (3, "other words here now"), (3, "other words here now")])
+    for c in ("_own_hash", "_text_hash", "_id", "_hash", "_row", "_whole", "count"):
+        docs = docs.withColumn(c, F.lit(c))
+    kept = keep_one_per_group(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._own_hash, r._text_hash) for r in kept.collect()) == [(1, "_own_hash", "_text_hash"), (3, "_own_hash", "_text_hash")]
