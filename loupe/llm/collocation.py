@@ -27,6 +27,7 @@ rows count as often as they occur. An empty table, or one without candidates, gi
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,6 +72,21 @@ def word_stream(data: np.ndarray, off: np.ndarray, lang_keys: np.ndarray):
     return stream, keys, starts, ends, row, data
 
 
+COLUMNS = ["key", "lang", "word", "n", "stream"]
+#: Bytes of text read at once, and words of a stored stream (a longer piece stands alone).
+READ_BYTES, STREAM_WORDS = 2 << 20, 1 << 16
+
+
+def cut_stream(stream: np.ndarray):
+    """Parts of a stream that end where a piece ends."""
+    ends = np.flatnonzero(stream == 0) + 1
+    a = 0
+    while a < len(stream):
+        b = int(ends[min(np.searchsorted(ends, a + STREAM_WORDS), len(ends) - 1)])
+        yield stream[a:b]
+        a = b
+
+
 def _read(batches):
     import pyarrow as pa
 
@@ -80,16 +96,16 @@ def _read(batches):
         lang_data, lang_off = utf8(langs)
         lang_keys = span_hashes(lang_data, lang_off[:-1], lang_off[1:], 1)
         names = np.array(langs.to_pylist(), object)
-        for lo, hi in row_groups(off):
+        for lo, hi in row_groups(off, READ_BYTES):
             stream, keys, starts, ends, row, low = word_stream(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], lang_keys[lo:hi])
             distinct, at, n = np.unique(keys, return_index=True, return_counts=True)
             raw = low.tobytes()
             words = [raw[a:z].decode() for a, z in zip(starts[at].tolist(), ends[at].tolist())]
             m = len(distinct)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*distinct.view(np.int64).tolist(), None], pa.int64()), pa.array([*names[lo:hi][row[at]], None], pa.string()), pa.array([*words, None], pa.string()),
-                 pa.array([*n.tolist(), None], pa.int64()), pa.array([None] * m + [stream.tobytes()], pa.binary())],
-                ["key", "lang", "word", "n", "stream"])
+                [pa.array(distinct.view(np.int64)), pa.array(names[lo:hi][row[at]], pa.string()), pa.array(words, pa.string()), pa.array(n), pa.nulls(m, pa.binary())], COLUMNS)
+            for part in cut_stream(stream):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())], pa.array([part.tobytes()], pa.binary())], COLUMNS)
 
 
 def advance(trie: Trie, code: np.ndarray, depth: int):
@@ -111,19 +127,23 @@ def _summed(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return distinct, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
 
 
-#: Distinct continuations that a task holds before it sends them on.
-HELD = 1 << 21
+#: Distinct continuations that a task holds before it sends them on; phrases of one vector of counts.
+HELD, CHUNK = 1 << 18, 1 << 13
 
 
 def _extend(shared, k: int):
-    """(pid, key, n): how often a phrase of k-1 words goes on with a word, where that is safe."""
+    """(node, key, n): how often a phrase of k-1 words goes on with a word, where that is safe.
+
+    Where the trie holds all words, ``node`` numbers the phrase's node and the word's code together and ``key`` is 0.
+    """
     def run(batches):
         import pyarrow as pa
 
-        trie, pids = shared.value
+        trie, _ = shared.value
+        width = len(trie.words) + 1
 
         def packed(node, key, n):
-            return pa.RecordBatch.from_arrays([pa.array(pids[trie.row[node]]), pa.array(key.view(np.int64)), pa.array(n)], ["pid", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(n, pa.int64())], ["node", "key", "n"])
 
         ids, counts, held = [], [], 0
         for b in batches:
@@ -132,42 +152,55 @@ def _extend(shared, k: int):
                 code = trie.codes(keys)
                 for pos, state in advance(trie, code, k - 1):
                     pass
-                ends_here = trie.row[state] >= 0
+                ends_here = (trie.row[state] >= 0) & (pos + k - 1 < len(code))
                 pos, state = pos[ends_here], state[ends_here]
-                inside = pos + k - 1 < len(code)
-                pos, state = pos[inside], state[inside]
                 if not trie.whole:  # the next word and phrase may be another trie's
                     follows = keys[pos + k - 1] > 0
                     pos, state = pos[follows], state[follows]
                     words, c = np.unique(keys[pos + k - 1], return_inverse=True)
                     pair, n = np.unique(state * (len(words) + 1) + c, return_counts=True)
                     if len(pair):
-                        yield packed(pair // (len(words) + 1), words[pair % (len(words) + 1)], n)
+                        yield packed(pair // (len(words) + 1), words[pair % (len(words) + 1)].view(np.int64), n)
                     continue
                 live = np.zeros(len(code) + 1, bool)
                 live[pos] = True
                 safe = live[pos + 1]
-                pos, state = pos[safe], state[safe]
-                pair, n = np.unique(state * (len(trie.words) + 1) + code[pos + k - 1], return_counts=True)
+                pair, n = np.unique(state[safe] * width + code[pos[safe] + k - 1], return_counts=True)
                 ids.append(pair)
                 counts.append(n)
                 held += len(pair)
                 if held > 2 * HELD:
-                    (pair, n) = _summed(ids, counts)
+                    pair, n = _summed(ids, counts)
                     ids, counts, held = [pair], [n], len(pair)
                     if held > HELD:
-                        yield packed(pair // (len(trie.words) + 1), trie.words[pair % (len(trie.words) + 1) - 1], n)
+                        yield packed(pair, np.zeros(held, np.int64), n)
                         ids, counts, held = [], [], 0
         if held:
             pair, n = _summed(ids, counts)
-            yield packed(pair // (len(trie.words) + 1), trie.words[pair % (len(trie.words) + 1) - 1], n)
+            yield packed(pair, np.zeros(len(pair), np.int64), n)
+    return run
+
+
+def _named(shared):
+    """(pid, key) of the (node, key) that :func:`_extend` numbers."""
+    def run(batches):
+        import pyarrow as pa
+
+        trie, pids = shared.value
+        width = len(trie.words) + 1
+        for b in batches:
+            node, key = b.column("node").to_numpy(), b.column("key").to_numpy()
+            if trie.whole:
+                node, key = node // width, trie.words[node % width - 1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pids[trie.row[node]]), pa.array(key)], ["pid", "key"])
     return run
 
 
 def _count(shared, longest: int):
-    """(pid, n): occurrences of each phrase of the trie, by a bincount of accepting states."""
+    """Vectors of the trie's phrases' occurrences (chunk, salt, counts) of a task, by a bincount of accepting states."""
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         trie, pids = shared.value
         total = np.zeros(len(pids), np.int64)
@@ -177,8 +210,38 @@ def _count(shared, longest: int):
                 for _, state in advance(trie, code, longest):
                     row = trie.row[state]
                     total += np.bincount(row[row >= 0], minlength=len(pids))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pids[found]), pa.array(total[found])], ["pid", "n"])
+        salt = TaskContext.get().partitionId() % 64
+        for a in range(0, len(pids), CHUNK):
+            part = total[a:a + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // CHUNK], pa.int32()), pa.array([salt], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "salt", "counts"])
+    return run
+
+
+def _sum_vectors(batches):
+    """One vector for each chunk of a task, the sum of those that stream in."""
+    import pyarrow as pa
+
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts")):
+            part = np.frombuffer(counts.as_buffer(), np.int64)
+            total[chunk] = total[chunk] + part if chunk in total else part.copy()
+    for chunk, part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+
+def _phrase_sums(shared):
+    """(pid, f) of the summed vectors."""
+    def run(batches):
+        import pyarrow as pa
+
+        _, pids = shared.value
+        for b in batches:
+            for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts")):
+                part = np.frombuffer(counts.as_buffer(), np.int64)
+                found = np.flatnonzero(part)
+                yield pa.RecordBatch.from_arrays([pa.array(pids[chunk * CHUNK + found]), pa.array(part[found])], ["pid", "f"])
     return run
 
 
@@ -200,30 +263,63 @@ def _tries(phrases: DataFrame, params: PhraseParams):
         yield build(np.unique(flat), by_size, shards == 1), pids
 
 
-def _swept(streams: DataFrame, phrases: DataFrame, params: PhraseParams, sweep, n: int, schema: str) -> DataFrame:
+def _candidates(streams: DataFrame, shared, k: int, least: int) -> DataFrame:
+    """(pid, key): the phrases of one trie that go on with a word at least ``least`` times."""
+    pairs = streams.mapInArrow(_extend(shared, k), "node bigint, key bigint, n bigint")
+    often = pairs.groupBy("node", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return often.select("node", "key").mapInArrow(_named(shared), "pid bigint, key bigint")
+
+
+def _frequencies(streams: DataFrame, shared, longest: int) -> DataFrame:
+    """(pid, f) of the phrases of one trie: the shards' vectors summed in two levels."""
+    vectors = streams.mapInArrow(_count(shared, longest), "chunk int, salt int, counts binary")
+    for keys in (["chunk", "salt"], ["chunk"]):
+        vectors = vectors.repartition(*keys).select("chunk", "counts").mapInArrow(_sum_vectors, "chunk int, counts binary")
+    return vectors.mapInArrow(_phrase_sums(shared), "pid bigint, f bigint")
+
+
+def _swept(streams: DataFrame, phrases: DataFrame, params: PhraseParams, sweep, *args) -> DataFrame:
     """The rows of ``sweep`` over all streams for every trie of ``phrases``."""
-    spark, out = streams.sparkSession, None
+    out = None
     for trie in _tries(phrases, params):
-        rows = streams.mapInArrow(sweep(spark.sparkContext.broadcast(trie), n), schema)
+        rows = sweep(streams, streams.sparkSession.sparkContext.broadcast(trie), *args)
         out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out
+
+
+@contextmanager
+def small_batches(spark, limit: str = "8m"):
+    """Arrow batches of at most ``limit`` while the passes over texts and streams run: a batch is held by the executor and by its Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def phrase_counts(docs: DataFrame, params: PhraseParams = PhraseParams()) -> tuple[DataFrame, DataFrame]:
     """All frequent words and phrases (lang, phrase, size, f) of ``docs`` (lang, text), and the words of each language (lang, n)."""
+    with small_batches(docs.sparkSession):
+        return _phrase_counts(docs, params)
+
+
+def _phrase_counts(docs: DataFrame, params: PhraseParams) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     read = written(docs.mapInArrow(_read, "key bigint, lang string, word string, n bigint, stream binary"), "word-streams")
     streams = read.filter("stream IS NOT NULL").select("stream")
-    counts = read.filter("stream IS NULL").groupBy("lang", "word", "key").agg(F.sum("n").alias("f"))
-    counts = written(counts, "word-counts")
-    totals = written(counts.groupBy("lang").agg(F.sum("f").alias("n")), "language-totals")
+    seen = read.filter("stream IS NULL")
+    counts = seen.groupBy("lang", "word", "key").agg(F.sum("n").alias("f"))
+    totals = written(seen.groupBy("lang").agg(F.sum("n").alias("n")), "language-totals")
     numbered = F.monotonically_increasing_id() * 8
     words = written(counts.filter(F.col("f") >= params.min_count).select(
         (numbered + 1).alias("pid"), "lang", F.col("word").alias("phrase"), F.array("key").alias("w"), "key", "f"), "frequent-words")
     found, last = [], words
     for k in range(2, params.longest + 1):
-        pairs = _swept(streams, last, params, _extend, k, "pid bigint, key bigint, n bigint")
-        pairs = pairs.groupBy("pid", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= params.min_count).drop("n")
+        pairs = _swept(streams, last, params, _candidates, k, params.min_count)
+        if pairs is None:
+            break
         longer = pairs.join(last.select("pid", "lang", "phrase", "w"), "pid").join(words.select("key", F.col("phrase").alias("word")), "key")
         last = written(longer.select((numbered + k).alias("pid"), "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"),
                                      F.concat("w", F.array("key")).alias("w")), f"candidates-{k}")
@@ -235,7 +331,7 @@ def phrase_counts(docs: DataFrame, params: PhraseParams = PhraseParams()) -> tup
         phrases = found[0][1].withColumn("size", F.lit(found[0][0]))
         for k, more in found[1:]:
             phrases = phrases.unionByName(more.withColumn("size", F.lit(k)))
-        seen = _swept(streams, phrases, params, _count, params.longest, "pid bigint, n bigint").groupBy("pid").agg(F.sum("n").alias("f"))
+        seen = _swept(streams, phrases, params, _frequencies, params.longest)
         each = each.unionByName(phrases.join(seen, "pid").filter(F.col("f") >= params.min_count).select("lang", "phrase", "size", "f"))
     return written(each, "phrase-counts"), totals
 

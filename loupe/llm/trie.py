@@ -50,7 +50,7 @@ class Trie:
         mid = self.base[state] + code // self.radix
         mid = np.where(self.check[mid] == state, mid, 0)
         end = self.base[mid] + code % self.radix
-        return np.where((self.check[end] == mid) & (mid > 0) & (code > 0), end, 0)
+        return np.where((self.check[end] == mid) & (mid > 0) & (code > 0), end, 0).astype(np.int64)
 
 
 def build(words: np.ndarray, phrases: list[tuple[np.ndarray, np.ndarray]], whole: bool) -> Trie:
