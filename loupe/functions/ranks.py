@@ -23,20 +23,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loupe.session import materialize
+from loupe.functions.names import all_named, named
+from loupe.session import join_small, materialize
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], partitions: int | None = None) -> DataFrame:
     """``df`` written in ``(keys, order)`` ranges, with the slice id ``_s`` and the group key ``_k``."""
-    by = [F.col(c) for c in (*keys, *order_cols)]
+    by = [named(c) for c in (*keys, *order_cols)]
     parts = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     out = materialize(parts.withColumn("_s", F.spark_partition_id()))
     return out.withColumn("_k", _group_key(keys))
 
 
 def _group_key(keys: Sequence[str]):
-    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    return F.struct(*[named(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
 
 def prefix_counts(
@@ -54,11 +56,11 @@ def prefix_counts(
     are NULL are dropped.
     """
     keys = list(keys)
-    measure = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+    measure = F.sum(named(weight)) if weight else F.count(F.lit(1))
     cond = F.lit(True)
     for c in [*keys, order]:
-        cond = cond & F.col(c).isNotNull()
-    g = sliced(df.where(cond).groupBy(*keys, order).agg(measure.alias("cnt")), keys, [order], partitions)
+        cond = cond & named(c).isNotNull()
+    g = sliced(df.where(cond).groupBy(*all_named(keys), order).agg(measure.alias("cnt")), keys, [order], partitions)
     w_local = (Window.partitionBy("_k", "_s").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = g.withColumn("_run", F.sum("cnt").over(w_local))
@@ -95,8 +97,8 @@ def cumulative(
     names = list(measures)
     cond = F.lit(True)
     for c in [*keys, order]:
-        cond = cond & F.col(c).isNotNull()
-    g = sliced(df.where(cond).groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()]), keys, [order], partitions)
+        cond = cond & named(c).isNotNull()
+    g = sliced(df.where(cond).groupBy(*all_named(keys), order).agg(*[m.alias(n) for n, m in measures.items()]), keys, [order], partitions)
     w_local = (Window.partitionBy("_k", "_s").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = g.select("*", *[F.coalesce(F.sum(n).over(w_local), F.lit(0)).alias(f"_r_{n}")
@@ -110,7 +112,7 @@ def cumulative(
         *[F.coalesce(F.sum(f"_p_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}") for n in names],
         *[F.sum(f"_p_{n}").over(whole).alias(f"{n}_total") for n in names])
     out = local.join(offsets, ["_k", "_s"])
-    return out.select(*keys, order, *names,
+    return out.select(*all_named(keys), order, *names,
                       *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(f"{n}_before") for n in names],
                       *[f"{n}_total" for n in names])
 
@@ -132,16 +134,16 @@ def fill_last(
     """
     keys = list(keys)
     d = sliced(df, keys, [order], partitions)
-    o = F.col(order).desc() if descending else F.col(order).asc()
+    o = named(order).desc() if descending else named(order).asc()
     so = F.col("_s").desc() if descending else F.col("_s").asc()
     w = Window.partitionBy("_k", "_s").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("_loc", F.last(F.col(value), True).over(w))
+    local = d.withColumn("_loc", F.last(named(value), True).over(w))
     tail = d.groupBy("_k", "_s").agg(
-        (F.min_by if descending else F.max_by)(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_tail"))
+        (F.min_by if descending else F.max_by)(named(value), F.when(named(value).isNotNull(), named(order))).alias("_tail"))
     w_prev = Window.partitionBy("_k").orderBy(so).rowsBetween(Window.unboundedPreceding, -1)
     carry = tail.select("_k", "_s", F.last("_tail", True).over(w_prev).alias("_carry"))
     j = local.join(carry, ["_k", "_s"], "left")
-    return j.select(*df.columns, F.coalesce("_loc", "_carry").alias(out))
+    return j.select(*all_named(df.columns), F.coalesce("_loc", "_carry").alias(out))
 
 
 def tall_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -151,8 +153,13 @@ def tall_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     items = F.array(*[
         F.struct(F.lit(c).alias("column"), as_double(c).alias("v")) for c in cols
     ])
-    t = df.select(*group_cols, F.explode(items).alias("_it"))
-    return t.select(*group_cols, "_it.column", "_it.v").where(F.col("v").isNotNull())
+    t = df.select(*all_named(group_cols), F.explode(items).alias("_it"))
+    return t.select(*all_named(group_cols), "_it.column", "_it.v").where(F.col("v").isNotNull())
+
+
+#: Rank error of the sketches that bracket a quantile is 1/ACCURACY of the rows; up to FEW bracketed rows are finished on the driver.
+ACCURACY = 10_000
+FEW = 100_000
 
 
 def exact_quantiles(
@@ -167,28 +174,153 @@ def exact_quantiles(
     Returns one row per ``(group..., column)`` with the non-null count ``n``
     and one column per probability (named ``names`` or ``q<p>``).
 
-    Values collapse to counts and take the distributed rank path of :func:`prefix_counts` at
-    every size, so no task's state grows with a column.
+    Selection in two steps. One aggregate sketches every column; two values of the sketch, a few rank errors
+    apart, bracket each wanted rank. A second aggregate counts the values below each bracket, and only values inside
+    one are collapsed to counts and shuffled: a few ten-thousandths of a column (all of a small one), or one row for a value that repeats. The wanted
+    ranks are read off those, by a rank pass over slices where they are many. A group whose bracket
+    missed its rank would be taken whole; the counts tell.
     """
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
+    cols, probs, group_cols = list(cols), [float(p) for p in probs], list(group_cols)
+    stats = _brackets(df, cols, probs, group_cols)
     keys = [*group_cols, "column"]
-    t = tall_values(df, cols, group_cols)
-    pc = prefix_counts(t, keys, "v")
-    aggs = []
-    for p, name in zip(probs, names):
-        pos = (F.col("total") - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
-        in_row = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
-        aggs.append(F.max(F.when(in_row(lo), F.col("v"))).alias(f"_{name}_lo"))
-        aggs.append(F.max(F.when(in_row(hi), F.col("v"))).alias(f"_{name}_hi"))
-        aggs.append(F.max(pos - lo).alias(f"_{name}_f"))
-    agg = pc.groupBy(*keys).agg(F.max("total").alias("n"), *aggs)
+    if group_cols:
+        rows = join_small(df.where(_all_present(group_cols)), stats, group_cols)
+        one = None
+    else:
+        one = stats.collect()[0].asDict()
+        rows = df
+    near, below = _near_cells(rows, cols, probs, group_cols, one)
+    found = materialize(near.groupBy(*all_named(keys), "v").agg(F.count(F.lit(1)).alias("cnt")))
+    ends = [f"{e}{j}" for j in range(len(probs)) for e in ("lo", "hi")]
+    wanted = materialize(_tall(stats, cols, [("n", "n"), *[(e, e) for e in ends]], group_cols).join(
+        _tall(below, cols, [(f"below{j}", f"below{j}") for j in range(len(probs))], group_cols), keys).where("n > 0"))
+    few = found.limit(FEW + 1).count() <= FEW and wanted.limit(FEW + 1).count() <= FEW
+    picked = _pick_local(found, wanted, keys, probs) if few else _pick(found, wanted, keys, probs)
+    missed = picked.where(" OR ".join(f"a{j} IS NULL OR b{j} IS NULL" for j in range(len(probs)))).limit(1)
+    if not missed.isEmpty():
+        return _ranked_quantiles(df, cols, probs, group_cols, names)
     outs = []
-    for name in names:
-        a, b, f = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
-        outs.append(F.when(f == 0, a).otherwise(a + (b - a) * f).alias(name))
-    return agg.select(*keys, "n", *outs)
+    for j, (p, name) in enumerate(zip(probs, names)):
+        pos = (F.col("n") - 1).cast("double") * F.lit(p)
+        part, a, b = pos - F.floor(pos), F.col(f"a{j}"), F.col(f"b{j}")
+        outs.append(F.when(part == 0, a).otherwise(a + (b - a) * part).alias(name))
+    return picked.select(*all_named(keys), "n", *outs)
+
+
+def _all_present(cols: Sequence[str]):
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & named(c).isNotNull()
+    return ok
+
+
+def _brackets(df: DataFrame, cols: list[str], probs: list[float], group_cols: list[str]) -> DataFrame:
+    """One row per group: ``n<i>`` and for every probability ``lo<j>_<i>``, ``hi<j>_<i>`` around its rank in column i."""
+    from loupe.functions.stats import as_double
+
+    wide, aggs = 4.0 / ACCURACY, []
+    asked = [min(1.0, max(0.0, p + s * wide)) for p in probs for s in (-1, 1)]
+    for i, c in enumerate(cols):
+        v = as_double(c)
+        aggs += [F.count(v).alias(f"n_{i}"), F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"), F.percentile_approx(v, asked, ACCURACY).alias(f"sketch_{i}")]
+    got = df.where(_all_present(group_cols)).groupBy(*[named(c) for c in group_cols]).agg(*aggs) if group_cols else df.agg(*aggs)
+    out = [named(c) for c in group_cols]
+    for i in range(len(cols)):
+        small = F.col(f"n_{i}") <= ACCURACY
+        out.append(F.col(f"n_{i}"))
+        for j, p in enumerate(probs):
+            lo, hi = F.get(f"sketch_{i}", F.lit(2 * j)), F.get(f"sketch_{i}", F.lit(2 * j + 1))
+            out.append((F.col(f"min_{i}") if p - wide <= 0 else F.when(small, F.col(f"min_{i}")).otherwise(lo)).alias(f"lo{j}_{i}"))
+            out.append((F.col(f"max_{i}") if p + wide >= 1 else F.when(small, F.col(f"max_{i}")).otherwise(hi)).alias(f"hi{j}_{i}"))
+    return materialize(got.select(*out))
+
+
+def _near_cells(rows: DataFrame, cols: list[str], probs: list[float], group_cols: list[str], one: dict | None) -> tuple[DataFrame, DataFrame]:
+    """The cells inside any bracket of their column (group..., column, v), and the counts ``below<j>_<i>`` per group."""
+    from loupe.functions.stats import as_double
+
+    def end(name: str):
+        return named(name) if one is None else F.lit(one[name]).cast("double")
+
+    items, below, any_near = [], [], F.lit(False)
+    for i, c in enumerate(cols):
+        v, near = as_double(c), F.lit(False)
+        for j in range(len(probs)):
+            near = near | ((v >= end(f"lo{j}_{i}")) & (v <= end(f"hi{j}_{i}")))
+            below.append(F.coalesce(F.sum((v < end(f"lo{j}_{i}")).cast("long")), F.lit(0)).alias(f"below{j}_{i}"))
+        near = F.coalesce(near, F.lit(False))
+        any_near = any_near | near
+        items.append(F.when(near, F.struct(F.lit(c).alias("column"), v.alias("v"))))
+    keys = [named(c) for c in group_cols]
+    cells = rows.where(any_near).select(*all_named(keys), F.explode(F.array(*items)).alias("_it")).where("_it IS NOT NULL").select(*all_named(keys), "_it.column", "_it.v")
+    return cells, (rows.groupBy(*all_named(keys)).agg(*below) if group_cols else rows.agg(*below))
+
+
+def _tall(wide: DataFrame, cols: list[str], names: list[tuple[str, str]], group_cols: list[str]) -> DataFrame:
+    """One row per group and column from columns ``<name>_<i>``."""
+    items = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(alias) for name, alias in names]) for i, c in enumerate(cols)])
+    return wide.select(*[named(c) for c in group_cols], F.explode(items).alias("_t")).select(*[named(c) for c in group_cols], "_t.*")
+
+
+def _positions(p: float):
+    """Lower and upper rank of a quantile, of the row's ``n``."""
+    pos = (F.col("n") - 1).cast("double") * F.lit(p)
+    return F.floor(pos), F.ceil(pos)
+
+
+def _pick(found: DataFrame, wanted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """``keys, n, a<j>, b<j>``: the values at the wanted ranks, by a rank pass over the slices of the bracketed values."""
+    ranked = prefix_counts(found, keys, "v", weight="cnt").drop("total")
+    rows = join_small(ranked, wanted, keys)
+    aggs = []
+    for j, p in enumerate(probs):
+        # values of lower brackets lie before this one's: start counting at its own lower end
+        own = F.when((F.col("v") >= F.col(f"lo{j}")) & (F.col("v") <= F.col(f"hi{j}")), F.col("before"))
+        first = F.min(own).over(Window.partitionBy(*[named(k) for k in keys]))
+        rows = rows.withColumn(f"_r{j}", own - first + F.col(f"below{j}"))
+        for r, alias in zip(_positions(p), ("a", "b")):
+            aggs.append(F.max(F.when((F.col(f"_r{j}") <= r) & (r < F.col(f"_r{j}") + F.col("cnt")), F.col("v"))).alias(f"{alias}{j}"))
+    return rows.groupBy(*[named(k) for k in keys]).agg(F.max("n").alias("n"), *aggs)
+
+
+def _pick_local(found: DataFrame, wanted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """:func:`_pick` for at most FEW rows, on the driver."""
+    import numpy as np
+
+    values: dict[tuple, list] = {}
+    for r in found.select(*[named(k) for k in keys], "v", "cnt").collect():
+        values.setdefault(tuple(r)[:-2], []).append((r["v"], r["cnt"]))
+    rows = []
+    for r in wanted.collect():
+        key = tuple(r[k] for k in keys)
+        v, cnt = (np.array(x) for x in zip(*sorted(values.get(key, [(0.0, 0)]))))
+        picks = []
+        for j, p in enumerate(probs):
+            own = (v >= r[f"lo{j}"]) & (v <= r[f"hi{j}"])
+            ends = r[f"below{j}"] + np.cumsum(np.where(own, cnt, 0))
+            pos = float(r["n"] - 1) * p
+            for rank in (int(np.floor(pos)), int(np.ceil(pos))):
+                at = int(np.searchsorted(ends, rank, "right"))
+                picks.append(float(v[at]) if at < len(v) and own[at] and rank >= r[f"below{j}"] else None)
+        rows.append((*key, r["n"], *picks))
+    fields = [wanted.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("n", T.LongType()), *[T.StructField(f"{x}{j}", T.DoubleType()) for j in range(len(probs)) for x in "ab"]])
+    return found.sparkSession.createDataFrame(rows, schema)
+
+
+def _ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: list[str], names: list[str]) -> DataFrame:
+    """The quantiles by ranking all values (:func:`prefix_counts`)."""
+    keys = [*group_cols, "column"]
+    pc = prefix_counts(tall_values(df, cols, group_cols), keys, "v").withColumnRenamed("total", "n")
+    aggs, outs = [], []
+    for j, (p, name) in enumerate(zip(probs, names)):
+        for r, alias in zip(_positions(p), ("a", "b")):
+            aggs.append(F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("cnt")), F.col("v"))).alias(f"{alias}{j}"))
+        pos = (F.col("n") - 1).cast("double") * F.lit(p)
+        part, a, b = pos - F.floor(pos), F.col(f"a{j}"), F.col(f"b{j}")
+        outs.append(F.when(part == 0, a).otherwise(a + (b - a) * part).alias(name))
+    return pc.groupBy(*[named(k) for k in keys]).agg(F.max("n").alias("n"), *aggs).select(*all_named(keys), "n", *outs)
 
 
 def row_ranks(
@@ -208,7 +340,7 @@ def row_ranks(
     keys, order_cols = list(keys), list(order_cols)
     numbered = df.withColumn("_tie", F.monotonically_increasing_id())
     r = sliced(numbered, keys, [*order_cols, "_tie"], partitions)
-    w_local = Window.partitionBy("_k", "_s").orderBy(*order_cols, "_tie")
+    w_local = Window.partitionBy("_k", "_s").orderBy(*all_named(order_cols), "_tie")
     local = r.withColumn("_run", F.row_number().over(w_local))
     slices = r.groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("_ptot"))
     w_off = (Window.partitionBy("_k").orderBy("_s")
@@ -218,4 +350,4 @@ def row_ranks(
         F.coalesce(F.sum("_ptot").over(w_off), F.lit(0)).alias("_off"),
         F.sum("_ptot").over(Window.partitionBy("_k")).alias("_total"))
     out = local.join(offsets, ["_k", "_s"])
-    return out.select(*df.columns, (F.col("_off") + F.col("_run") - 1).alias("_rank"), "_total")
+    return out.select(*all_named(df.columns), (F.col("_off") + F.col("_run") - 1).alias("_rank"), "_total")

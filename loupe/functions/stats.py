@@ -9,18 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loupe.functions.names import all_named, named
+
 
 def as_double(c: str | Column) -> Column:
     """Cast to double and turn NaN into NULL (one notion of missing)."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = named(c) if isinstance(c, str) else c
     d = col.cast("double")
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
 def is_missing(df: DataFrame, c: str) -> Column:
     """NULL, or NaN in a floating column."""
-    null = F.col(c).isNull()
-    return null | F.isnan(c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else null
+    null = named(c).isNull()
+    return null | F.isnan(named(c)) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else null
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -29,7 +31,7 @@ def safe_corr(x: str, y: str) -> Column:
     ``corr`` raises DIVIDE_BY_ZERO under ANSI on a constant column, so the
     ratio is taken with ``try_divide``.
     """
-    cx, cy = F.col(x), F.col(y)
+    cx, cy = named(x), named(y)
     both_x = F.when(cy.isNotNull(), cx)
     both_y = F.when(cx.isNotNull(), cy)
     denom = F.stddev_pop(both_x) * F.stddev_pop(both_y)
@@ -110,5 +112,5 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(round_stable(f.name, digits).alias(f.name))
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            cols.append(named(f.name))
+    return df.select(*all_named(cols))

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.names import all_named, named
 from loupe.functions.gram import pairwise_moments, pearson_from_moments
 from loupe.functions.ranks import exact_quantiles, row_ranks, tall_values
 from loupe.functions.stats import as_double, is_missing, norm_ppf, safe_corr, sample_kurtosis, sample_skewness
-from loupe.operators.issues import IQR_FACTOR, outlier_bounds
+from loupe.operators.issues import IQR_FACTOR, outlier_bounds, outside_counts
 from loupe.session import join_small
 
 Z_THRESHOLD = 3.0
@@ -67,30 +68,26 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column n, quartiles, fences, IQR outlier count and % (2 dp)."""
-    b = outlier_bounds(df, cols)
-    t = tall_values(df, cols).join(F.broadcast(b.select("column", "lower_bound", "upper_bound")),
-                                   "column")
-    outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
-    c = t.groupBy("column").agg(F.sum(outside.cast("long")).alias("iqr_outliers"))
-    return b.join(c, "column").select(
-        F.col("column").alias("column_name"), "n", "q1", "q3", "lower_bound", "upper_bound",
-        "iqr_outliers",
-        F.round(F.try_divide(F.col("iqr_outliers") * 100.0, F.col("n")), 2).alias("iqr_percentage"))
+    fences = outlier_bounds(df, cols).collect()  # one row per column
+    outside = outside_counts(df, fences, cols)
+    rows = [(r["column"], r["n"], r["q1"], r["q3"], r["lower_bound"], r["upper_bound"], outside.get(r["column"], 0)) for r in fences]
+    out = df.sparkSession.createDataFrame(
+        rows, "column_name string, n long, q1 double, q3 double, lower_bound double, upper_bound double, iqr_outliers long")
+    return out.select("*", F.round(F.try_divide(F.col("iqr_outliers") * 100.0, F.col("n")), 2).alias("iqr_percentage"))
 
 
 def outliers_zscore(df: DataFrame, cols: Sequence[str], threshold: float = Z_THRESHOLD) -> DataFrame:
     """Count with |z| > 3, z by population std; a constant column has none."""
-    m = _explode_structs(df, [
-        F.struct(F.lit(c).alias("column"), F.avg(as_double(c)).alias("mu"),
-                 F.stddev_pop(as_double(c)).alias("sd")) for c in cols])
-    t = tall_values(df, cols).join(F.broadcast(m), "column")
-    z = F.abs(F.try_divide(F.col("v") - F.col("mu"), F.when(F.col("sd") > 0, F.col("sd"))))
-    agg = t.groupBy("column").agg(F.count(F.lit(1)).alias("n"),
-                                  F.sum((z > threshold).cast("long")).alias("zscore_outliers"))
-    return agg.select(F.col("column").alias("column_name"), "n",
-                      F.coalesce(F.col("zscore_outliers"), F.lit(0)).alias("zscore_outliers"),
-                      F.round(F.try_divide(F.coalesce(F.col("zscore_outliers"), F.lit(0)) * 100.0,
-                                           F.col("n")), 2).alias("zscore_percentage"))
+    vs = {c: as_double(named(c)) for c in cols}
+    r = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(vs.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    aggs = []
+    for i, v in enumerate(vs.values()):
+        far = F.abs((v - F.lit(r[f"m{i}"])) / F.lit(r[f"s{i}"])) > threshold if r[f"s{i}"] else F.lit(False)
+        aggs += [F.count(v).alias(f"n{i}"), F.coalesce(F.sum((far & v.isNotNull()).cast("long")), F.lit(0)).alias(f"z{i}")]
+    k = df.agg(*aggs).first()
+    rows = [(c, k[f"n{i}"], k[f"z{i}"]) for i, c in enumerate(cols) if k[f"n{i}"]]
+    out = df.sparkSession.createDataFrame(rows, "column_name string, n long, zscore_outliers long")
+    return out.select("*", F.round(F.try_divide(F.col("zscore_outliers") * 100.0, F.col("n")), 2).alias("zscore_percentage"))
 
 
 def boxplot(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -100,15 +97,15 @@ def boxplot(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ())
     iqr = F.col("q3") - F.col("q1")
     q = q.select("*", (F.col("q1") - IQR_FACTOR * iqr).alias("_lo"),
                  (F.col("q3") + IQR_FACTOR * iqr).alias("_hi"))
-    t = join_small(tall_values(df, cols, group_cols), q.select(*keys, "_lo", "_hi"), keys)
+    t = join_small(tall_values(df, cols, group_cols), q.select(*all_named(keys), "_lo", "_hi"), keys)
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
-    a = t.groupBy(*keys).agg(
+    a = t.groupBy(*all_named(keys)).agg(
         F.min("v").alias("min"), F.max("v").alias("max"),
         F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("v"))).alias("upper_whisker"),
         F.sum((~inside).cast("long")).alias("n_outliers"))
     out = q.join(a, keys)
-    return out.select(*group_cols, F.col("column").alias("column_name"), "n", "min", "q1",
+    return out.select(*all_named(group_cols), F.col("column").alias("column_name"), "n", "min", "q1",
                       "median", "q3", "max", "lower_whisker", "upper_whisker", "n_outliers")
 
 
@@ -191,7 +188,7 @@ def sample_cap(df: DataFrame, key: Sequence[str], n: int = QQ_SAMPLE_CAP, seed:
     merge of the tasks' smallest rows sees about ``n`` rows however many tasks there are.
     Should equal keys leave too few, the uncut table is used.
     """
-    h = F.md5(F.concat(F.concat_ws("-", *[F.col(k).cast("string") for k in key]),
+    h = F.md5(F.concat(F.concat_ws("-", *[named(k).cast("string") for k in key]),
                        F.lit(f":{seed}")))
     hashed = df.withColumn("_h", h)
     rows = df.count()
@@ -240,7 +237,7 @@ def value_counts(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     The row total is a one-row aggregate joined by a constant key, so a column
     with millions of distinct values never meets a window without partitions.
     """
-    g = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
+    g = df.groupBy(named(col).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
     total = g.agg(F.sum("count").alias("_n")).withColumn("_k", F.lit(1))
     j = g.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
     return (j.where(F.col("_v").isNotNull())
@@ -255,9 +252,9 @@ def crosstab_pct(df: DataFrame, feature: str, target: str, digits: int = 2) -> D
     The class list (one row per class) is gathered into an array and
     exploded against each category, so the grid never needs a join.
     """
-    d = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()) \
-        .select(F.col(feature).cast("string").alias("category"),
-                F.col(target).cast("string").alias("class_value"))
+    d = df.where(named(feature).isNotNull() & named(target).isNotNull()) \
+        .select(named(feature).cast("string").alias("category"),
+                named(target).cast("string").alias("class_value"))
     cnt = d.groupBy("category", "class_value").agg(F.count(F.lit(1)).alias("count"))
     classes = cnt.select("class_value").distinct().agg(F.collect_list("class_value").alias("_cl"))
     cats = cnt.select("category").distinct()

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.names import all_named, named
 from loupe.session import join_small, materialize
 
 
@@ -25,28 +26,28 @@ def _g(group: Sequence[str] | None) -> list[str]:
 def confusion_counts(preds: DataFrame, group=None, label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
     """``group..., label, prediction, count`` for the cells that occur."""
-    return preds.groupBy(*_g(group), F.col(label).alias("label"),
-                         F.col(prediction).alias("prediction")) \
+    return preds.groupBy(*_g(group), named(label).alias("label"),
+                         named(prediction).alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("count"))
 
 
 def per_class(cm: DataFrame, group=None) -> DataFrame:
     """Per class of the sorted union of true and predicted labels: tp, fp, fn, tn, support."""
     g = _g(group)
-    true_c = cm.groupBy(*g, F.col("label").alias("cls")).agg(F.sum("count").alias("support"))
-    pred_c = cm.groupBy(*g, F.col("prediction").alias("cls")).agg(F.sum("count").alias("predicted"))
+    true_c = cm.groupBy(*all_named(g), F.col("label").alias("cls")).agg(F.sum("count").alias("support"))
+    pred_c = cm.groupBy(*all_named(g), F.col("prediction").alias("cls")).agg(F.sum("count").alias("predicted"))
     tp = cm.where(F.col("label") == F.col("prediction")) \
-        .select(*g, F.col("label").alias("cls"), F.col("count").alias("tp"))
+        .select(*all_named(g), F.col("label").alias("cls"), F.col("count").alias("tp"))
     k = true_c.join(pred_c, [*g, "cls"], "full").join(tp, [*g, "cls"], "left")
-    total = F.sum("support").over(Window.partitionBy(*g))
-    k = k.select(*g, "cls", F.coalesce("tp", F.lit(0)).alias("tp"),
+    total = F.sum("support").over(Window.partitionBy(*all_named(g)))
+    k = k.select(*all_named(g), "cls", F.coalesce("tp", F.lit(0)).alias("tp"),
                  F.coalesce("support", F.lit(0)).alias("support"),
                  F.coalesce("predicted", F.lit(0)).alias("predicted"))
     k = k.select("*", F.coalesce(total, F.lit(0)).alias("n"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
-    return k.select(*g, "cls", "tp", (F.col("predicted") - F.col("tp")).alias("fp"),
+    return k.select(*all_named(g), "cls", "tp", (F.col("predicted") - F.col("tp")).alias("fp"),
                     (F.col("support") - F.col("tp")).alias("fn"),
                     (F.col("n") - F.col("support") - F.col("predicted") + F.col("tp")).alias("tn"),
                     prec.cast("double").alias("precision"), rec.cast("double").alias("recall"),
@@ -61,7 +62,7 @@ def basic_metrics(preds: DataFrame, group=None) -> DataFrame:
 def metrics_of_counts(counts: DataFrame, group=None) -> DataFrame:
     """G1/G2 from ``group..., label, prediction, count``."""
     g = _g(group)
-    return per_class(counts, g).groupBy(*g).agg(
+    return per_class(counts, g).groupBy(*all_named(g)).agg(
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("precision"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),
@@ -76,21 +77,21 @@ def confusion_matrix(preds: DataFrame, group=None) -> DataFrame:
     """
     g = _g(group)
     cm = confusion_counts(preds, g)
-    cls = (cm.select(*g, F.col("label").alias("c"))
-           .unionByName(cm.select(*g, F.col("prediction").alias("c")))
-           .groupBy(*g).agg(F.array_sort(F.collect_set("c")).alias("_cl")))
-    grid = cls.select(*g, F.explode("_cl").alias("label"), "_cl") \
-        .select(*g, "label", F.explode("_cl").alias("prediction"))
+    cls = (cm.select(*all_named(g), F.col("label").alias("c"))
+           .unionByName(cm.select(*all_named(g), F.col("prediction").alias("c")))
+           .groupBy(*all_named(g)).agg(F.array_sort(F.collect_set("c")).alias("_cl")))
+    grid = cls.select(*all_named(g), F.explode("_cl").alias("label"), "_cl") \
+        .select(*all_named(g), "label", F.explode("_cl").alias("prediction"))
     out = grid.join(cm, [*g, "label", "prediction"], "left")
-    return out.select(*g, "label", "prediction", F.coalesce("count", F.lit(0)).alias("count"))
+    return out.select(*all_named(g), "label", "prediction", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def confusion_normalized(preds: DataFrame, group=None) -> DataFrame:
     """Rows normalised by the true-class total; an empty true class gives NULL."""
     g = _g(group)
     cm = confusion_matrix(preds, g)
-    row = F.sum("count").over(Window.partitionBy(*g, "label"))
-    return cm.select(*g, "label", "prediction", "count",
+    row = F.sum("count").over(Window.partitionBy(*all_named(g), "label"))
+    return cm.select(*all_named(g), "label", "prediction", "count",
                      F.try_divide(F.col("count").cast("double"), F.when(row > 0, row)).alias("rate"))
 
 
@@ -104,20 +105,20 @@ def mcc(preds: DataFrame, group=None) -> DataFrame:
     g = _g(group)
     pc = per_class(confusion_counts(preds, g), g)
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    a = pc.groupBy(*g).agg(F.sum("tp").cast("double").alias("c"), F.max(n).cast("double").alias("s"),
+    a = pc.groupBy(*all_named(g)).agg(F.sum("tp").cast("double").alias("c"), F.max(n).cast("double").alias("s"),
                            F.sum((F.col("tp") + F.col("fp")).cast("double") * F.col("support"))
                            .alias("pt"),
                            F.sum(F.pow((F.col("tp") + F.col("fp")).cast("double"), 2)).alias("pp"),
                            F.sum(F.pow(F.col("support").cast("double"), 2)).alias("tt"))
     num = F.col("c") * F.col("s") - F.col("pt")
     den = F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
-    return a.select(*g, F.coalesce(F.try_divide(num, F.when(den > 0, den)), F.lit(0.0)).alias("mcc"))
+    return a.select(*all_named(g), F.coalesce(F.try_divide(num, F.when(den > 0, den)), F.lit(0.0)).alias("mcc"))
 
 
 # ---------------------------------------------------------------- curves
 
 def _score_counts(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
-    return df.select(*keys, F.col(y).cast("int").alias("_y"), F.col(score).cast("double").alias("score"))
+    return df.select(*all_named(keys), named(y).cast("int").alias("_y"), named(score).cast("double").alias("score"))
 
 
 def _cum(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,9 +136,9 @@ def auc(df: DataFrame, keys=None, y: str = "label", score: str = "score") -> Dat
 
 def _auc_of(c: DataFrame, k: list[str]) -> DataFrame:
     part = F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))
-    a = c.groupBy(*k).agg(F.sum(part).alias("_s"), F.max("pos_total").alias("_p"),
+    a = c.groupBy(*all_named(k)).agg(F.sum(part).alias("_s"), F.max("pos_total").alias("_p"),
                           F.max("neg_total").alias("_n"))
-    return a.select(*k, F.try_divide(F.col("_s"), F.when((F.col("_p") > 0) & (F.col("_n") > 0),
+    return a.select(*all_named(k), F.try_divide(F.col("_s"), F.when((F.col("_p") > 0) & (F.col("_n") > 0),
                                                          F.col("_p") * F.col("_n"))).alias("auc"))
 
 
@@ -164,12 +165,12 @@ def points_and_auc(df: DataFrame, keys=None, y: str = "label", score: str = "sco
 def _points_of(c: DataFrame, k: list[str]) -> DataFrame:
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    pts = c.select(*k, F.col("score").alias("threshold"),
+    pts = c.select(*all_named(k), F.col("score").alias("threshold"),
                    F.try_divide(fp.cast("double"), F.when(F.col("neg_total") > 0, F.col("neg_total")))
                    .alias("fpr"),
                    F.try_divide(tp.cast("double"), F.when(F.col("pos_total") > 0, F.col("pos_total")))
                    .alias("tpr"))
-    origin = c.groupBy(*k).agg(F.lit(None).cast("double").alias("threshold"),
+    origin = c.groupBy(*all_named(k)).agg(F.lit(None).cast("double").alias("threshold"),
                                F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
 
@@ -177,19 +178,19 @@ def _points_of(c: DataFrame, k: list[str]) -> DataFrame:
 def one_vs_rest(df: DataFrame, prob_cols: Sequence[str], label: str = "label", group=None) -> DataFrame:
     """Tall ``group..., cls, y, score`` with one row per (row, class)."""
     g = _g(group)
-    items = F.array(*[F.struct(F.lit(i).alias("cls"), F.col(p).cast("double").alias("score"))
+    items = F.array(*[F.struct(F.lit(i).alias("cls"), named(p).cast("double").alias("score"))
                       for i, p in enumerate(prob_cols)])
-    t = df.select(*g, label, F.explode(items).alias("_c"))
-    return t.select(*g, "_c.cls", (F.col(label) == F.col("_c.cls")).cast("int").alias("y"),
+    t = df.select(*all_named(g), label, F.explode(items).alias("_c"))
+    return t.select(*all_named(g), "_c.cls", (named(label) == F.col("_c.cls")).cast("int").alias("y"),
                     "_c.score")
 
 
 def auc_ovr_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label", group=None) -> DataFrame:
     """Mean of one-vs-rest AUCs over the classes present in the labels."""
     g = _g(group)
-    present = df.select(*g, F.col(label).alias("cls")).distinct()
+    present = df.select(*all_named(g), named(label).alias("cls")).distinct()
     per = auc(one_vs_rest(df, prob_cols, label, g), [*g, "cls"], "y", "score")
-    return per.join(present, [*g, "cls"]).groupBy(*g).agg(F.avg("auc").alias("auc_macro"))
+    return per.join(present, [*g, "cls"]).groupBy(*all_named(g)).agg(F.avg("auc").alias("auc_macro"))
 
 
 def roc_ovr(df: DataFrame, prob_cols: Sequence[str], label: str = "label", group=None) -> DataFrame:
@@ -271,10 +272,10 @@ def _one_vs_one(df: DataFrame, prob_cols: Sequence[str], label: str) -> DataFram
     items = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(j).alias("cj"),
                                F.col(prob_cols[i]).cast("double").alias("pi"),
                                F.col(prob_cols[j]).cast("double").alias("pj")) for i, j in pairs])
-    t = df.select(label, F.explode(items).alias("_p")).select(label, "_p.*")
-    t = t.where(F.col(label).isin(F.col("ci"), F.col("cj")))
+    t = df.select(named(label), F.explode(items).alias("_p")).select(named(label), "_p.*")
+    t = t.where(named(label).isin(F.col("ci"), F.col("cj")))
     t = t.select(F.col("ci").alias("class_i"), F.col("cj").alias("class_j"),
-                 (F.col(label) == F.col("cj")).cast("int").alias("y"),
+                 (named(label) == F.col("cj")).cast("int").alias("y"),
                  F.try_divide(F.col("pj"), F.when(F.col("pi") + F.col("pj") != 0,
                                                   F.col("pi") + F.col("pj"))).alias("score"))
     return t.where(F.col("score").isNotNull())
@@ -295,21 +296,21 @@ def classification_report(preds: DataFrame, group=None) -> DataFrame:
     """Per class precision/recall/F1/support, plus accuracy, macro and weighted averages."""
     g = _g(group)
     pc = class_metrics(preds, g)
-    rows = pc.select(*g, F.col("cls").cast("string").alias("item"), "precision", "recall",
+    rows = pc.select(*all_named(g), F.col("cls").cast("string").alias("item"), "precision", "recall",
                      "f1_score", "support")
-    agg = pc.groupBy(*g).agg(
+    agg = pc.groupBy(*all_named(g)).agg(
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
         (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("wf"),
         (F.sum("tp") / F.sum("support")).alias("acc"), F.sum("support").alias("n"))
-    macro = agg.select(*g, F.lit("macro avg").alias("item"), F.col("mp").alias("precision"),
+    macro = agg.select(*all_named(g), F.lit("macro avg").alias("item"), F.col("mp").alias("precision"),
                        F.col("mr").alias("recall"), F.col("mf").alias("f1_score"),
                        F.col("n").alias("support"))
-    weighted = agg.select(*g, F.lit("weighted avg").alias("item"), F.col("wp").alias("precision"),
+    weighted = agg.select(*all_named(g), F.lit("weighted avg").alias("item"), F.col("wp").alias("precision"),
                           F.col("wr").alias("recall"), F.col("wf").alias("f1_score"),
                           F.col("n").alias("support"))
-    accuracy = agg.select(*g, F.lit("accuracy").alias("item"),
+    accuracy = agg.select(*all_named(g), F.lit("accuracy").alias("item"),
                           F.lit(None).cast("double").alias("precision"),
                           F.lit(None).cast("double").alias("recall"),
                           F.col("acc").alias("f1_score"), F.col("n").alias("support"))

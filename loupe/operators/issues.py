@@ -11,8 +11,8 @@ Rules follow the reference workbench ("compat" mode):
                  otherwise distinct > 1 and distinct/non-null < 0.01 -> ``near-constant``;
 * duplicates   — rows equal to an earlier row (NULLs compare equal).
 
-All detectors are lazy DataFrames built on two shared inputs: the tall
-value-count profile and a per-column quantile table.
+All detectors read two shared inputs: a summary with one row per column, made in
+two stages, and a per-column quantile table.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loupe.functions.ranks import exact_quantiles, tall_values
+from loupe.functions.names import named
+from loupe.functions.ranks import exact_quantiles
 from loupe.functions.roles import column_roles, role_of
 from loupe.functions.stats import as_double
 from loupe.operators.profile import column_summary, value_counts_tall
@@ -37,14 +39,18 @@ CONSTANT_VARIANCE = 1e-7
 NEAR_CONSTANT_RATIO = 0.01
 
 
+#: A sketched distinct count this many times beyond a rule's threshold cannot meet the rule (the sketch's relative error is 2 %).
+SKETCH_ERROR, SKETCH_MARGIN = 0.02, 1.5
+
+
 @dataclass
 class IssueInputs:
-    """Shared inputs of all detectors.
+    """Shared inputs of all detectors, one small row per column.
 
-    The per-column summary (rows, nulls, distinct count, mode) has one row
-    per column, so it is computed once -- one shuffle of the tall profile --
-    and kept as a small local table that every detector reads, instead of
-    each detector re-running the profile.
+    Stage one is one aggregate over the table: rows, non-null counts, variances and distinct-count sketches of
+    all columns. Stage two counts distinct values exactly, but only of the columns whose sketch leaves it
+    open whether a rule flags them, or which a rule flags and reports: unique keys of numeric type
+    and measured values are never shuffled. ``distinct_count`` is NULL for the others.
     """
 
     df: DataFrame
@@ -54,17 +60,41 @@ class IssueInputs:
 
     @classmethod
     def of(cls, df: DataFrame, target: str | None) -> IssueInputs:
-        rows = column_summary(value_counts_tall(df)).collect()
-        schema = ("ordinal int, column_name string, n_rows long, non_null long, null_count long, "
-                  "distinct_count long, mode string, mode_num double, mode_freq long")
-        summary = df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
-        return cls(df, target, summary, {r["column_name"]: r["distinct_count"] for r in rows})
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, c in enumerate(df.columns):
+            value = named(c)
+            if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+                value = as_double(named(c)) + F.lit(0.0)
+            numeric = role_of(df.schema[c].dataType) == "numeric"
+            aggs += [F.count(value).alias(f"n{i}"), F.approx_count_distinct(value.cast("string"), SKETCH_ERROR).alias(f"d{i}"),
+                     (F.var_samp(as_double(named(c))) if numeric else F.lit(None).cast("double")).alias(f"v{i}")]
+        r = df.agg(*aggs).first()
+        cats = set(column_roles(df, exclude=target).categorical)
+        asked = [c for i, c in enumerate(df.columns) if c != target and _needs_distinct(c in cats, r["n"], r[f"n{i}"], r[f"d{i}"], r[f"v{i}"])]
+        exact = {}
+        if asked:
+            rows = column_summary(value_counts_tall(df, asked)).select("column_name", "distinct_count").collect()
+            exact = {x["column_name"]: x["distinct_count"] for x in rows}
+            exact |= {c: 0 for c in asked if c not in exact}
+        rows = [(i, c, r["n"], r[f"n{i}"], r["n"] - r[f"n{i}"], exact.get(c), r[f"v{i}"]) for i, c in enumerate(df.columns)]
+        summary = df.sparkSession.createDataFrame(
+            rows, "ordinal int, column_name string, n_rows long, non_null long, null_count long, distinct_count long, var double")
+        return cls(df, target, summary, exact)
 
     @property
     def n_rows(self):
         return F.col("n_rows")
 
 
+def _needs_distinct(categorical: bool, rows: int, non_null: int, sketched: int, var: float | None) -> bool:
+    """Whether D4 or D5 may flag a column with about ``sketched`` distinct values."""
+    if not non_null:
+        return False
+    high = categorical and (sketched * SKETCH_MARGIN > HIGH_CARD_COUNT or sketched * SKETCH_MARGIN * 100.0 > HIGH_CARD_SHARE_PCT * rows)
+    near = sketched < NEAR_CONSTANT_RATIO * non_null * SKETCH_MARGIN
+    return high or near or (var is not None and var < CONSTANT_VARIANCE)
+
+
 def detect_missing(inp: IssueInputs) -> DataFrame:
     """``column_name, missing_count, missing_percentage`` for columns with nulls."""
     s = inp.summary
@@ -84,20 +114,19 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     (F.col("q3") + IQR_FACTOR * iqr).alias("upper_bound"))
 
 
-def _outside_counts(df: DataFrame, fences: list, cols: Sequence[str]) -> dict:
+def outside_counts(df: DataFrame, fences: list, cols: Sequence[str]) -> dict:
     """``{column: count}`` of values strictly outside the collected fences, one wide aggregate."""
     b = {r["column"]: (r["lower_bound"], r["upper_bound"]) for r in fences}
     aggs = []
     for c in cols:
         if c not in b or b[c][0] is None:
             continue
-        v = as_double(c)
+        v = as_double(named(c))
         out = (v < F.lit(float(b[c][0]))) | (v > F.lit(float(b[c][1])))
         aggs.append(F.coalesce(F.sum(out.cast("long")), F.lit(0)).alias(c))
     if not aggs:
         return {}
-    row = df.agg(*aggs).collect()[0]
-    return {c: row[c] for c in b if c in row.asDict()}
+    return df.agg(*aggs).first().asDict()
 
 
 def numeric_features(df: DataFrame, target: str | None) -> list[str]:
@@ -116,7 +145,7 @@ def detect_outliers(inp: IssueInputs, bounds: DataFrame | None = None) -> DataFr
         return _empty_outliers(inp.df)
     b = bounds if bounds is not None else outlier_bounds(inp.df, cols)
     fences = b.select("column", "n", "lower_bound", "upper_bound").collect()
-    counts = _outside_counts(inp.df, fences, cols)
+    counts = outside_counts(inp.df, fences, cols)
     rows = []
     for r in fences:
         k = counts.get(r["column"], 0) or 0
@@ -138,7 +167,7 @@ def flagged_bounds(df: DataFrame, target: str | None) -> dict:
     if not cols:
         return {}
     fences = outlier_bounds(df, cols).select("column", "lower_bound", "upper_bound").collect()
-    counts = _outside_counts(df, fences, cols)
+    counts = outside_counts(df, fences, cols)
     return {r["column"]: (float(r["lower_bound"]), float(r["upper_bound"]))
             for r in fences if (counts.get(r["column"], 0) or 0) > 0}
 
@@ -151,7 +180,7 @@ def _empty_outliers(df: DataFrame) -> DataFrame:
 
 def class_counts(inp: IssueInputs) -> DataFrame:
     """Per-class counts of the target (nulls excluded; map-side combined)."""
-    t = F.col(inp.target)
+    t = named(inp.target)
     return (inp.df.where(t.isNotNull()).groupBy(t.alias("_t"))
             .agg(F.count(F.lit(1)).alias("class_count"))
             .select(F.col("_t").cast("string").alias("class_value"),
@@ -169,21 +198,16 @@ def detect_imbalance(inp: IssueInputs) -> DataFrame:
     """
     if inp.target is None:
         raise ValueError("class imbalance needs a target column")
-    # the class table has one row per class; whole-table scalars are attached
-    # with an equi-join on the target's name (one summary row)
-    everything = Window.partitionBy()
-    cc = class_counts(inp).select(
-        "*", F.lit(inp.target).alias("column_name"),
-        F.min("class_count").over(everything).alias("_min"),
-        F.max("class_count").over(everything).alias("_max"),
-        F.count(F.lit(1)).over(everything).alias("_k"))
-    j = cc.join(inp.summary.select("column_name", "n_rows"), "column_name")
-    flagged = (F.col("_k") > 1) & (F.try_divide(F.col("_min"), F.col("_max")) < IMBALANCE_RATIO)
-    return j.select(
+    cc = class_counts(inp)
+    r = cc.agg(F.min("class_count").alias("least"), F.max("class_count").alias("most"), F.count(F.lit(1)).alias("k")).first()
+    n = inp.summary.select("n_rows").first()
+    least, most = F.lit(r["least"]).cast("long"), F.lit(r["most"]).cast("long")
+    flagged = F.lit(r["k"] > 1) & (F.try_divide(least, most) < IMBALANCE_RATIO)
+    return cc.select(
         "class_value", "class_count",
-        F.try_divide(F.col("class_count") * 100.0, F.col("n_rows")).alias("class_percentage"),
+        F.try_divide(F.col("class_count") * 100.0, F.lit(n["n_rows"] if n else 0)).alias("class_percentage"),
         flagged.alias("is_imbalanced"),
-        F.when(flagged, F.col("_max") / F.col("_min")).alias("imbalance_ratio"))
+        F.when(flagged, most / least).alias("imbalance_ratio"))
 
 
 def detect_high_cardinality(inp: IssueInputs) -> DataFrame:
@@ -201,14 +225,7 @@ def detect_constant(inp: IssueInputs) -> DataFrame:
     """``column_name, unique_values, constant_type`` (constant / near-constant)."""
     df = inp.df
     feats = [c for c in df.columns if c != inp.target]
-    nums = [c for c in feats if role_of(df.schema[c].dataType) == "numeric"]
-    if nums:
-        var = df.agg(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.var_samp(as_double(c)).alias("var"))
-            for c in nums]).alias("_v")).select(F.explode("_v").alias("_s")).select("_s.*")
-    else:
-        var = df.sparkSession.createDataFrame([], "column_name string, var double")
-    s = inp.summary.where(F.col("column_name").isin(feats)).join(var, "column_name", "left")
+    s = inp.summary.where(F.col("column_name").isin(feats))
     constant = F.col("var").isNotNull() & (F.col("var") < CONSTANT_VARIANCE)
     ratio = F.try_divide(F.col("distinct_count").cast("double"), F.col("non_null"))
     near = (F.coalesce(ratio, F.lit(0.0)) < NEAR_CONSTANT_RATIO) & (F.col("distinct_count") > 1)
@@ -224,7 +241,7 @@ def detect_duplicates(df: DataFrame) -> DataFrame:
     ``groupBy(all columns)`` treats NULLs as equal (like pandas); a group of
     copies holding a third of the table is pre-aggregated map-side.
     """
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    g = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_count"),
                  F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows")).select(
         "duplicate_count",
@@ -290,8 +307,8 @@ def issue_count(df: DataFrame, target: str | None) -> DataFrame:
     wide = rep.agg(*per_col, *flags)
     kinds = ["missing_values", "outliers", "class_imbalance", "high_cardinality",
              "constant_features", "duplicate_rows"]
-    total = sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
-    rows = F.array(*[F.struct(F.lit(k).alias("issue"), F.col(k).cast("long").alias("n"))
+    total = sum((named(k) for k in kinds[1:]), F.col(kinds[0]))
+    rows = F.array(*[F.struct(F.lit(k).alias("issue"), named(k).cast("long").alias("n"))
                      for k in kinds],
                    F.struct(F.lit("total").alias("issue"), total.cast("long").alias("n")))
     return wide.select(F.explode(rows).alias("_r")).select("_r.issue", "_r.n")

@@ -19,13 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.names import all_named, named
 from loupe.functions.stats import as_double, is_missing
 
 # Probabilities of the reference's rule-based classifier.
@@ -57,8 +56,8 @@ def by_class(df: DataFrame, classes: Sequence, n_classes: int) -> DataFrame:
 def fit_majority(train: DataFrame, label: str) -> int:
     """every rule of the reference's classifier votes the train mode, so it
     always predicts the most frequent class (smallest on ties)."""
-    c = train.groupBy(label).count()
-    best = c.orderBy(F.col("count").desc(), F.col(label)).limit(1).collect()
+    c = train.groupBy(named(label)).count()
+    best = c.orderBy(F.col("count").desc(), named(label)).limit(1).collect()
     return int(best[0][label])
 
 
@@ -86,7 +85,7 @@ def fit_gnb(train: DataFrame, features: Sequence[str], label: str,
     features = list(features)
     glob = train.agg(*[F.var_pop(as_double(f)).alias(f) for f in features]).collect()[0]
     eps = var_smoothing * max(float(glob[f] or 0.0) for f in features)
-    rows = train.groupBy(label).agg(
+    rows = train.groupBy(named(label)).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.avg(as_double(f)).alias(f"m_{f}") for f in features],
         *[F.var_pop(as_double(f)).alias(f"v_{f}") for f in features]).orderBy(label).collect()
@@ -168,17 +167,17 @@ def knn_candidates(train: DataFrame, test: DataFrame, k: int, metric: str = "euc
     # self-cogroup must not share attribute ids
     tr = train.select(F.col("id").alias("id"), F.col("vec").alias("vec"),
                       F.col("label").alias("label"),
-                      *([] if by == "label" else [F.col(c).alias(c) for c in g]),
+                      *([] if by == "label" else [named(c).alias(c) for c in g]),
                       F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int").alias("_rb"))
     te = test.select(F.col("id").alias("id"), F.col("vec").alias("vec"),
-                     *[F.col(c).alias(c) for c in g],
+                     *[named(c).alias(c) for c in g],
                      F.pmod(F.xxhash64("id"), F.lit(tb)).cast("int").alias("_tb"))
     # each test block meets every train block once (within the same ``by`` group);
     # block ids must have one type on both sides or the cogroup hashes them apart
     tr_x = tr.select("*", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_tb"))
     te_x = te.select("*", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("_rb"))
     keys = [*g, "_tb", "_rb"]
-    cand = te_x.groupBy(*keys).cogroup(tr_x.groupBy(*keys)).applyInPandas(
+    cand = te_x.groupBy(*all_named(keys)).cogroup(tr_x.groupBy(*all_named(keys))).applyInPandas(
         _block_topk(k, metric), "test_id long, train_id long, dist double, nb_label long")
     w = Window.partitionBy("test_id").orderBy("dist", "train_id")
     return cand.select("*", F.row_number().over(w).alias("nb_rank")).where(F.col("nb_rank") <= k)
@@ -209,8 +208,16 @@ def knn_vote(cand: DataFrame, k: int, weights: str = "uniform", n_classes: int =
 
 # ---------------------------------------------------------------- MLlib models
 
-def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
+def feature_vector(features: Sequence[str]):
+    """The features as one vector column (missing: NaN)."""
+    return array_to_vector(F.array(*[F.coalesce(named(f).cast("double"), F.lit(float("nan"))) for f in features]))
+
+
+@dataclass
+class FittedModel:
+    """A fitted MLlib model and the columns it reads."""
+    model: object
+    features: list[str]
 
 
 def estimator(name: str, label: str = "label", weight: str | None = None, **params):
@@ -238,15 +245,17 @@ def estimator(name: str, label: str = "label", weight: str | None = None, **para
 
 
 def fit_mllib(train: DataFrame, features: Sequence[str], name: str, label: str = "label",
-              weight: str | None = None, **params):
-    return Pipeline(stages=[assembler(features), estimator(name, label, weight, **params)]).fit(train)
+              weight: str | None = None, **params) -> FittedModel:
+    extra = [named(weight).cast("double").alias("weight")] if weight else []
+    rows = train.select(feature_vector(features).alias("features"), named(label).cast("double").alias("label"), *extra)
+    return FittedModel(estimator(name, "label", "weight" if weight else None, **params).fit(rows), list(features))
 
 
-def predict_mllib(model, df: DataFrame, n_classes: int) -> DataFrame:
+def predict_mllib(fitted: FittedModel, df: DataFrame, n_classes: int) -> DataFrame:
     """Predictions with ``p<k>`` columns from the model's probability."""
     arr = vector_to_array(F.col("probability"))
-    keep = df.columns
-    res = model.transform(df).select(*keep, F.col("prediction").cast("int").alias("prediction"), *[arr[i].alias(f"p{i}") for i in range(max(2, n_classes))])
+    rows = df.select(F.struct(*all_named(df.columns)).alias("_in"), feature_vector(fitted.features).alias("features"))
+    res = fitted.model.transform(rows).select("_in.*", F.col("prediction").cast("int").alias("prediction"), *[arr[i].alias(f"p{i}") for i in range(max(2, n_classes))])
     return res.withColumn("score", F.col("p1")) if n_classes <= 2 else res
 
 
@@ -361,13 +370,13 @@ def gnb_search(data: DataFrame, features: Sequence[str], label: str, folds: int,
 
     features = list(features)
     x = [as_double(f) for f in features]
-    moments = data.groupBy("fold", F.col(label).alias("label")).agg(
+    moments = data.groupBy("fold", named(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)]).collect()
     part = {(r["fold"], int(r["label"])): (r["n"], np.array([r[f"m{i}"] for i in range(len(x))], float), np.array([r[f"v{i}"] for i in range(len(x))], float)) for r in moments}
     models = [(f, [(f"var_smoothing={s:g}", _gnb_terms([(c, p) for (g, c), p in part.items() if g != f], s)) for s in smoothings]) for f in sorted({f for f, _ in part})]
     params = data.sparkSession.createDataFrame(
         models, "fold int, models array<struct<setting:string, classes:array<struct<cls:int, start:double, mean:array<double>, inv:array<double>>>>>")
-    rows = join_small(data.select(F.col("fold").cast("int").alias("fold"), F.col(label).cast("int").alias("label"), F.array(*x).alias("x")), params, ["fold"])
+    rows = join_small(data.select(F.col("fold").cast("int").alias("fold"), named(label).cast("int").alias("label"), F.array(*x).alias("x")), params, ["fold"])
     square = lambda a, b: (a - b) * (a - b)
     fit = lambda c: c["start"] - F.aggregate(F.zip_with(F.zip_with("x", c["mean"], square), c["inv"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     best = lambda m: -F.array_max(F.transform(m["classes"], lambda c: F.struct(fit(c).alias("ll"), (-c["cls"]).alias("neg"))))["neg"]
@@ -419,11 +428,9 @@ def settings_of(name: str, n_draws: int | None = None, seed: int = 42) -> list[d
     return every
 
 
-def spark_params(name: str, setting: dict, n_train: int) -> dict:
-    """A setting in Spark's parameters: C becomes 1/(C n), the split minimum half of it per leaf."""
+def spark_params(name: str, setting: dict) -> dict:
+    """A tree's setting in Spark's parameters: the split minimum becomes half of it per leaf."""
     out: dict = {}
-    if "C" in setting or name in ("logistic_regression", "svm"):
-        out["regParam"] = 1.0 / (setting.get("C", 1.0) * n_train)
     if "max_depth" in setting:
         out["maxDepth"] = setting["max_depth"] or MAX_DEPTH
     if "min_samples_split" in setting:
@@ -447,10 +454,10 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], name
     if name == "naive_bayes":
         return by_class(predict_gnb(test, fit_gnb(train, features, label, setting.get("var_smoothing", 1e-9))), classes, k)
     if name == "knn":
-        vec = F.array(*[F.col(f).cast("double") for f in features])
-        tr = train.select(F.col(key).alias("id"), vec.alias("vec"), F.col(label).cast("long").alias("label"))
+        vec = F.array(*[named(f).cast("double") for f in features])
+        tr = train.select(named(key).alias("id"), vec.alias("vec"), named(label).cast("long").alias("label"))
         n = setting.get("n_neighbors", knn_k)
-        cand = knn_candidates(tr, test.select(F.col(key).alias("id"), vec.alias("vec")), n, setting.get("metric", "euclidean"))
+        cand = knn_candidates(tr, test.select(named(key).alias("id"), vec.alias("vec")), n, setting.get("metric", "euclidean"))
         votes = knn_vote(cand, n, setting.get("weights", "uniform"), max(2, k))
         return test.join(votes.withColumnRenamed("test_id", key), key)
     if name in ("logistic_regression", "svm"):
@@ -461,27 +468,34 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], name
             return LP.predict(test, LP.fit_logistic(train, features, label, k, c, weight), k)
         rff = rff_params(train, features, setting.get("gamma", "scale")) if setting.get("kernel") == "rbf" else None
         return LP.predict(test, LP.fit_svm(train, features, label, k, c, weight, rff), k)
-    params = spark_params(name, setting, n_train)
+    params = spark_params(name, setting)
     return predict_mllib(fit_mllib(train, features, name, label, weight, **params), test, k)
 
 
 def search_scores(train: DataFrame, features: Sequence[str], name: str, label: str, key: str, folds: int, n_classes: int,
                   weight: str | None = None, n_draws: int | None = None, seed: int = 42) -> list[tuple[dict, float]]:
-    """Every searched setting with its mean weighted F1 over stratified folds.
+    """Every searched setting with its mean weighted F1 over stratified folds (:func:`fold_scores`)."""
+    from loupe.operators.split import cv_folds
+    from loupe.session import fit_rows
+
+    data = fit_rows(cv_folds(train, label, [key], folds, seed, "fold"))
+    return fold_scores(data, features, name, label, key, folds, n_classes, settings_of(name, n_draws, seed), weight)
+
+
+def fold_scores(data: DataFrame, features: Sequence[str], name: str, label: str, key: str | None, folds: int, n_classes: int,
+                settings: Sequence[dict], weight: str | None = None) -> list[tuple[dict, float]]:
+    """Every setting with its mean weighted F1 over the folds of ``data`` (column ``fold``).
 
     kNN and naive Bayes settings share their fits, trees and forests are read off nested ensembles
     (:mod:`loupe.operators.forest_path`), linear models of all folds and every C share their passes
-    (:mod:`loupe.operators.linear_path`).
+    (:mod:`loupe.operators.linear_path`). ``key`` (a long) tells rows apart for kNN.
     """
     from loupe.operators import forest_path, linear_path
-    from loupe.operators.split import cv_folds
-    from loupe.session import fit_rows
 
-    every = settings_of(name, n_draws, seed)
-    data = fit_rows(cv_folds(train, label, [key], folds, seed, "fold"))
+    every = list(settings)
     if name == "knn":
-        vec = F.array(*[F.col(f).cast("double") for f in features])
-        rows = data.select(F.col(key).alias("id"), vec.alias("vec"), F.col(label).cast("long").alias("label"), "fold")
+        vec = F.array(*[named(f).cast("double") for f in features])
+        rows = data.select(named(key).alias("id"), vec.alias("vec"), named(label).cast("long").alias("label"), "fold")
         got = {r["setting"]: r["mean_f1"] for r in knn_search(rows, folds).collect()}
         text = lambda s: f"n_neighbors={s['n_neighbors']},weights={s['weights']},metric={s['metric']}"
     elif name == "naive_bayes":
@@ -503,46 +517,23 @@ def search_settings(train: DataFrame, features: Sequence[str], name: str, label:
     return max(search_scores(train, features, name, label, key, folds, n_classes, weight, n_draws, seed), key=lambda s: s[1])
 
 
-def param_grid(name: str, est, n_train: int) -> tuple[list, list[str]]:
-    """:data:`GRIDS` of an MLlib model as parameter maps with their names.
+def grid_search(data: DataFrame, features: Sequence[str], name: str, folds: int, label: str = "label",
+                n_draws: int | None = None, seed: int = 42):
+    """Search over the folds of ``data`` (column ``fold``), then the best setting refitted on all rows.
 
-    The SVM is refused: parameter maps cannot hold its RBF kernel, :func:`search_settings` does.
-    """
-    if name not in ("logistic_regression", "decision_tree", "random_forest"):
-        raise ValueError(f"no MLlib grid for {name!r}: use search_settings")
-    grid, labels = [], []
-    for s in settings_of(name):
-        grid.append({est.getParam(p): v for p, v in spark_params(name, s, n_train).items()})
-        labels.append(",".join(f"{p}={v}" for p, v in s.items()))
-    return grid, labels
-
-
-def grid_search(data: DataFrame, features: Sequence[str], name: str, folds: int,
-                label: str = "label", n_draws: int | None = None, seed: int = 42,
-                parallelism: int = 4):
-    """Cross-validated search scored by weighted F1, refit on all rows.
-
-    ``data`` carries a ``fold`` column (stratified, see
-    :func:`loupe.operators.split.cv_folds`). With ``n_draws`` a seeded
-    sample of the grid is searched (randomised search; the whole grid when
-    it is smaller). Returns ``(best_model, [(params, mean_f1), ...])``.
+    With ``n_draws`` a seeded sample of the grid is searched (the whole grid when it is smaller). For logistic
+    regression, SVM, tree and forest. Returns ``(fitted model, [(setting, mean_f1), ...])``.
     """
-    import random
+    from loupe.operators import linear_path as LP
 
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
-    from loupe.session import cut_lineage, fit_rows
-
-    est = estimator(name, label)
-    assembled = cut_lineage(assembler(features).transform(fit_rows(data.select(*features, label, "fold"))).select("features", label, "fold"))
-    n_fold = assembled.count() * (folds - 1) // folds  # rows that each fold trains on
-    grid, labels = param_grid(name, est, n_fold)
-    if n_draws is not None and len(grid) > n_draws:
-        pick = sorted(random.Random(seed).sample(range(len(grid)), n_draws))
-        grid, labels = [grid[i] for i in pick], [labels[i] for i in pick]
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                        numFolds=int(folds), parallelism=parallelism, seed=seed)
-    fitted = cv.fit(assembled)
-    return fitted.bestModel, [(labels[i], float(m)) for i, m in enumerate(fitted.avgMetrics)]
+    if name not in ("logistic_regression", "svm", "decision_tree", "random_forest"):
+        raise ValueError(f"no model to refit for {name!r}: use search_settings")
+    n_classes = int(data.agg(F.max(named(label))).first()[0]) + 1
+    scores = fold_scores(data, features, name, label, None, folds, n_classes, settings_of(name, n_draws, seed))
+    best = max(scores, key=lambda s: s[1])[0]
+    if name == "logistic_regression":
+        return LP.fit_logistic(data, features, label, n_classes, best["C"]), scores
+    if name == "svm":
+        rff = rff_params(data, features, best["gamma"]) if best["kernel"] == "rbf" else None
+        return LP.fit_svm(data, features, label, n_classes, best["C"], rff=rff), scores
+    return fit_mllib(data, features, name, label, **spark_params(name, best)), scores

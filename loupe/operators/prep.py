@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.names import all_named, named
 from loupe.functions.ranks import exact_quantiles, row_ranks
 from loupe.functions.roles import column_roles
 from loupe.functions.stats import as_double, is_missing
@@ -119,12 +120,12 @@ def apply_numeric_imputer(df: DataFrame, fills: dict, cols: Sequence[str] | None
             e = as_double(c) if v is None else F.coalesce(as_double(c), F.lit(float(v)))
             out.append(e.alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
 def apply_categorical_imputer(df: DataFrame, fills: dict) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills else F.col(c)
+    return df.select(*[F.coalesce(named(c), F.lit(fills[c])).alias(c) if c in fills else named(c)
                        for c in df.columns])
 
 
@@ -156,7 +157,7 @@ def cap_outliers(df: DataFrame, bounds: dict) -> DataFrame:
             x = as_double(c)  # a NaN is missing, not above the upper bound
             out.append(F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -207,10 +208,10 @@ def apply_group_rare(df: DataFrame, frequent: dict, other: str = OTHER) -> DataF
     out = []
     for c in df.columns:
         if c in frequent:
-            keep = F.col(c).isNull() | F.col(c).isin(frequent[c]) if frequent[c] else F.col(c).isNull()
-            out.append(F.when(keep, F.col(c)).otherwise(F.lit(other)).alias(c))
+            keep = named(c).isNull() | named(c).isin(frequent[c]) if frequent[c] else named(c).isNull()
+            out.append(F.when(keep, named(c)).otherwise(F.lit(other)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -247,10 +248,10 @@ def apply_one_hot(df: DataFrame, categories: dict, drop_first: bool = True) -> D
         if c in categories:
             vals = categories[c][1:] if drop_first else categories[c]
             for v in vals:
-                out.append(F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
+                out.append(F.coalesce((named(c) == F.lit(v)).cast("int"), F.lit(0))
                            .alias(f"{c}_{v}"))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -260,7 +261,7 @@ def label_dictionary(df: DataFrame, col: str, null_as: str | None = "nan") -> Da
     Distinct values are ranked by the range-partitioned ``row_ranks``, so a
     key-like column with millions of values never sits in one task.
     """
-    v = F.col(col).cast("string")
+    v = named(col).cast("string")
     if null_as is not None:
         v = F.coalesce(v, F.lit(null_as))
     d = df.select(v.alias("value")).distinct()
@@ -275,16 +276,16 @@ def apply_label_encoding(df: DataFrame, col: str, dictionary: DataFrame,
     both sides are shuffled, where a hot value can be split.
     """
     out = out or col
-    v = F.col(col).cast("string")
+    v = named(col).cast("string")
     if null_as is not None:
         v = F.coalesce(v, F.lit(null_as))
     keyed = df.withColumn("_lv", v)
     j = join_small(keyed, dictionary.withColumnRenamed("value", "_lv"), ["_lv"], "left", limit=100_000)
     if out == col:
-        cols = [F.col("code").alias(out) if c == col else F.col(c) for c in df.columns]
+        cols = [F.col("code").alias(out) if c == col else named(c) for c in df.columns]
     else:
-        cols = [F.col(c) for c in df.columns] + [F.col("code").alias(out)]
-    return j.select(*cols)
+        cols = [named(c) for c in df.columns] + [F.col("code").alias(out)]
+    return j.select(*all_named(cols))
 
 
 def expand_other(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, dict]:
@@ -294,7 +295,7 @@ def expand_other(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame,
     others = set(column_roles(df, exclude=list(exclude)).other)
     out, done = [], {}
     for f in df.schema.fields:
-        c, kind = F.col(f.name), f.dataType.typeName()
+        c, kind = named(f.name), f.dataType.typeName()
         if f.name not in others:
             out.append(c)
         elif kind == "boolean":
@@ -328,7 +329,7 @@ def check_trainable(df: DataFrame, label: str) -> None:
 
 def class_table(df: DataFrame, label: str, digits: int = 2) -> DataFrame:
     """Class, count, % of rows (2 dp)."""
-    g = df.groupBy(F.col(label).alias("class_value")).agg(F.count(F.lit(1)).alias("count"))
+    g = df.groupBy(named(label).alias("class_value")).agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy())
     return g.select(F.col("class_value").cast("string").alias("class_value"), "count",
                     F.round(F.col("count") * 100.0 / total, digits).alias("percentage"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loupe.functions.names import all_named, named
 from loupe.functions.ranks import exact_quantiles
 from loupe.functions.roles import FLOATING_TYPES, column_roles, role_of, type_name
 from loupe.functions.stats import as_double
@@ -22,7 +23,7 @@ from loupe.functions.stats import as_double
 
 def _cell_struct(df: DataFrame, i: int, name: str):
     dt = df.schema[name].dataType
-    c = F.col(name)
+    c = named(name)
     if isinstance(dt, FLOATING_TYPES) or isinstance(dt, T.DecimalType):
         d = as_double(c) + F.lit(0.0)  # folds -0.0 into 0.0, NaN -> NULL
         sval, num = d.cast("string"), d
@@ -78,7 +79,7 @@ def table_overview(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """First ``n`` rows by a key (Spark tables have no row order)."""
-    return df.orderBy(*order_by).limit(n)
+    return df.orderBy(*all_named(order_by)).limit(n)
 
 
 def column_types(df: DataFrame, tall: DataFrame | None = None) -> DataFrame:
@@ -128,7 +129,7 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None,
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Per class count (nulls dropped) and share of *all* rows in %."""
-    counts = df.groupBy(F.col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("class_count"))
+    counts = df.groupBy(named(target).alias("_cls")).agg(F.count(F.lit(1)).alias("class_count"))
     total = F.sum("class_count").over(Window.partitionBy())
     pct = F.try_divide(F.col("class_count") * 100.0, total)
     return (counts.select("_cls", "class_count", pct.alias("percentage"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.names import all_named, named
 from loupe.operators import evaluate as G
 
 
@@ -30,14 +31,14 @@ def leaderboard(preds: DataFrame, keys: Sequence[str], times: DataFrame | None =
 
 def _order():
     # missing metrics rank as -1; raw (unrounded) values
-    f = lambda c: F.coalesce(F.col(c), F.lit(-1.0)).desc()
+    f = lambda c: F.coalesce(named(c), F.lit(-1.0)).desc()
     return [f("f1_score"), f("auc"), f("mcc"), f("accuracy"),
             F.coalesce(F.col("training_time"), F.lit(float("inf"))).asc(), F.col("model").asc()]
 
 
 def rank_models(board: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
     """Rank 1.. per segment by F1, AUC, MCC, accuracy (desc), time (asc)."""
-    w = Window.partitionBy(*segment).orderBy(*_order())
+    w = Window.partitionBy(*all_named(segment)).orderBy(*_order())
     return board.select("*", F.row_number().over(w).alias("rank"))
 
 
@@ -52,9 +53,9 @@ def best_by_metric(board: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
     seg = list(segment)
 
     def best(metric: str):
-        key = F.when(F.col(metric).isNotNull(), F.struct((-F.col(metric)).alias("m"), F.col("model")))
+        key = F.when(named(metric).isNotNull(), F.struct((-named(metric)).alias("m"), F.col("model")))
         return F.min_by(F.col("model"), key)
 
-    return board.groupBy(*seg).agg(
+    return board.groupBy(*all_named(seg)).agg(
         best("auc").alias("best_auc_model"), F.max("auc").alias("best_auc"),
         best("mcc").alias("best_mcc_model"), F.max("mcc").alias("best_mcc"))

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loupe.functions.names import named
 from loupe.functions.roles import column_roles
 from loupe.operators import issues as I
 
 
 def _rows(df: DataFrame, section: str, item, metrics: list[tuple[str, str]]) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(label).alias("m"), F.col(col).cast("double").alias("v"))
+    arr = F.array(*[F.struct(F.lit(label).alias("m"), named(col).cast("double").alias("v"))
                     for label, col in metrics])
     x = df.select(item.alias("_item"), F.explode(arr).alias("_x"))
     return x.select(F.lit(section).alias("section"),
@@ -27,8 +28,8 @@ def report_tables(df: DataFrame, target: str) -> DataFrame:
     """H1: the data-report sections as one table, computed from the shared issue inputs."""
     inp = I.IssueInputs.of(df, target)
     roles = column_roles(df, exclude=target)
-    stats = (inp.summary.where(F.col("column_name") == target)
-             .select("n_rows", F.col("distinct_count").alias("k")))
+    classes = I.class_counts(inp).count()
+    stats = inp.summary.where(F.col("column_name") == target).select("n_rows", F.lit(classes).alias("k"))
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def item(name, value, text):
@@ -64,5 +65,5 @@ def report_tables(df: DataFrame, target: str) -> DataFrame:
 
 def for_csv(df: DataFrame, missing: str = "N/A") -> DataFrame:
     """A3 formatting: every column as text, missing values printed as ``N/A``."""
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c)
+    return df.select(*[F.coalesce(named(c).cast("string"), F.lit(missing)).alias(c)
                        for c in df.columns])

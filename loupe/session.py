@@ -1,7 +1,7 @@
 """Session helpers.
 
-On a cluster the session is created by the platform; ``get_session`` only
-fills in settings that are still unset, so cluster values always win.
+On a cluster the session is created by the platform, or by ``get_session`` without any setting of its own
+but those its caller names. Only local sessions (tests, benches) get the defaults below.
 """
 
 from __future__ import annotations
@@ -26,17 +26,32 @@ _LOCAL_DEFAULTS = {
 }
 
 
+def is_local(master: str | None) -> bool:
+    """One JVM on this machine (``local-cluster`` starts executors that share no folder)."""
+    return master is not None and (master == "local" or master.startswith("local["))
+
+
 def get_session(master: str | None = None, app: str = "loupe", **conf) -> SparkSession:
-    """Return the active session, or build a local one for tests and benches."""
+    """The active session, or a new one.
+
+    ``master``: the argument, else ``LOUPE_MASTER``, else what a launcher has set (``spark-submit`` tells by
+    ``PYSPARK_GATEWAY_PORT``), else ``local[*]``. A local session gets ``_LOCAL_DEFAULTS`` and a scratch checkpoint folder where
+    ``conf`` says nothing; on any other master only ``conf`` is set, so the cluster's own values hold, and a
+    missing ``spark.checkpoint.dir`` is an error.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    launched = "PYSPARK_GATEWAY_PORT" in os.environ
+    master = master or os.environ.get("LOUPE_MASTER") or (None if launched else "local[*]")
     b = SparkSession.builder.appName(app)
-    b = b.master(master or os.environ.get("LOUPE_MASTER", "local[*]"))
-    settings = {**_LOCAL_DEFAULTS, **conf}
-    if "spark.checkpoint.dir" not in settings:
-        # local runs only: a cluster names its shared folder itself
-        settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="loupe-ckpt-")
+    settings = dict(conf)
+    if master:
+        b = b.master(master)
+    if is_local(master):
+        settings = {**_LOCAL_DEFAULTS, **conf}
+        if "spark.checkpoint.dir" not in settings:
+            settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="loupe-ckpt-")
     for k, v in settings.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -55,7 +70,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        if not is_local(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loupe-ckpt-")
     if sc.getCheckpointDir() is None:

@@ -1,5 +1,9 @@
 """A1 / A3: CSV ingest with pandas-style missing tokens and type inference; CSV results sink.
 
+Quoted fields may hold separators, doubled quotes and line breaks. A file can be cut into tasks anywhere only if no
+record spans lines, so one pass over the lines looks for an odd number of quotes; only
+files that have one are parsed record by record, a task for each file.
+
 Spark's CSV ``nullValue`` takes one token, while the reference's reader
 treats a whole list of tokens as missing. So the file is read as strings,
 the tokens are turned into NULL, and each column's type is inferred by
@@ -14,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loupe.functions.names import named
+
 # Strings read as missing (pandas read_csv defaults).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -45,33 +51,31 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     schema's type raises an error that counts such values by column.
     """
     tokens = NA_TOKENS if na_tokens is None else na_tokens
-    raw = spark.read.csv(path, header=header, inferSchema=False, mode="PERMISSIVE")
-    clean = raw.select(*[F.when(F.col(c).isin(tokens) | F.col(c).isNull(), None)
-                         .otherwise(F.col(c)).alias(c) for c in raw.columns])
+    raw = spark.read.csv(path, header=header, inferSchema=False, mode="PERMISSIVE", quote='"', escape='"', multiLine=spans_lines(spark, path))
+    clean = raw.select(*[F.when(named(c).isin(tokens) | named(c).isNull(), None).otherwise(named(c)).alias(c) for c in raw.columns])
     if schema is not None:
-        typed = {f.name: _try(F.col(f.name), f.dataType.simpleString()) for f in schema.fields}
-        lost = clean.agg(*[F.sum((F.col(c).isNotNull() & v.isNull()).cast("long")).alias(c) for c, v in typed.items()]).first().asDict()
+        typed = {f.name: _try(named(f.name), f.dataType.simpleString()) for f in schema.fields}
+        lost = clean.agg(*[F.sum((named(c).isNotNull() & v.isNull()).cast("long")).alias(c) for c, v in typed.items()]).first().asDict()
         if any(lost.values()):
             raise ValueError(f"values that do not fit the schema: { {c: n for c, n in lost.items() if n} }")
         return clean.select(*[typed[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
     checks = []
-    for c in clean.columns:
-        checks.append(F.count(F.col(c)).alias(f"{c}__n"))
-        for name, _ in _TRY_ORDER:
-            checks.append(F.count(_try(F.col(c), name)).alias(f"{c}__{name}"))
-    stats = clean.agg(*checks).collect()[0]
+    for i, c in enumerate(clean.columns):
+        checks += [F.count(named(c)).alias(f"n{i}"), *[F.count(_try(named(c), name)).alias(f"{name}{i}") for name, _ in _TRY_ORDER]]
+    stats = clean.agg(*checks).first()
     out = []
-    for c in clean.columns:
-        n = stats[f"{c}__n"]
-        chosen = None
-        for name, _ in _TRY_ORDER:
-            if n > 0 and stats[f"{c}__{name}"] == n:
-                chosen = name
-                break
-        out.append((_try(F.col(c), chosen) if chosen else F.col(c)).alias(c))
+    for i, c in enumerate(clean.columns):
+        chosen = next((name for name, _ in _TRY_ORDER if stats[f"n{i}"] > 0 and stats[f"{name}{i}"] == stats[f"n{i}"]), None)
+        out.append((_try(named(c), chosen) if chosen else named(c)).alias(c))
     return clean.select(*out)
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field of the files holds a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def write_results(df: DataFrame, path: str, missing: str = "N/A", single_file: bool = True) -> None:
     """A3: results as CSV with a header; missing metrics printed as ``N/A``.
 

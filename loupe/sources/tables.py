@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loupe.functions.names import named
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -32,5 +34,5 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     if not floats:
         return df
-    return df.select(*[F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in floats else F.col(c)
+    return df.select(*[F.nanvl(named(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in floats else named(c)
                        for c in df.columns])

@@ -4,9 +4,12 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from loupe.operators import forest_path as FP
+from loupe.operators import linear_path as LP
 from loupe.operators import models as M
 from loupe.plans.fixtures import planted_lineitem
 
@@ -117,28 +120,64 @@ def test_three_class_status_covers_all_seven_models(spark):
     assert all(r.beats_majority for r in rows if r.model != "rule_based")
 
 
-def test_full_grids_have_queries_and_scores_for_every_setting(spark, monkeypatch):
-    import pytest
-
+def test_full_grids_have_queries_and_scores_for_every_setting(spark):
     from loupe.plans.catalog import queries
     assert {"q_forest_search", "q_svm_search"} <= set(queries())
-    with pytest.raises(ValueError, match="search_settings"):
-        M.grid_search(spark.createDataFrame([(1.0, 0, 0), (2.0, 1, 1)], "x double, label int, fold int"), ["x"], "svm", 2)
     assert len(M.settings_of("random_forest")) == 36 and len(M.settings_of("svm")) == 12
-    rows = [(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(120)]
-    df = spark.createDataFrame(rows, "rid bigint, x double, y double, label int").coalesce(1)
-    monkeypatch.setitem(M.GRIDS, "random_forest", {"n_estimators": [3], "max_depth": [3, None], "min_samples_split": [2], "max_features": ["sqrt"]})
-    got = M.search_scores(df, ["x", "y"], "random_forest", "label", "rid", 2, 2)
-    assert [s for s, _ in got] == M.settings_of("random_forest") and all(0.8 < f <= 1 for _, f in got)
-    # an SVM fit takes long: here only which settings reach it
-    asked = []
-
-    def fit_predict(train, test, features, name, label, key, classes, n, weight, setting):
-        asked.append((setting["kernel"], setting["gamma"]))
-        return test.withColumn("prediction", F.col(label))
-
-    monkeypatch.setitem(M.GRIDS, "svm", {**M.GRIDS["svm"], "C": [1.0]})
-    monkeypatch.setattr(M, "fit_predict", fit_predict)
-    got = M.search_scores(df, ["x", "y"], "svm", "label", "rid", 2, 2)
-    assert len(got) == 4 and all(f == 1 for _, f in got)
-    assert asked == 2 * [(k, g) for k in ("linear", "rbf") for g in ("scale", "auto")]
+    rows = [(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(210)]
+    df = spark.createDataFrame(rows, "rid bigint, x double, `y.z` double, label int").coalesce(1)
+    got = M.search_scores(df, ["x", "y.z"], "svm", "label", "rid", 2, 2)
+    assert [s for s, _ in got] == M.settings_of("svm") and all(0.9 < f <= 1 for s, f in got if s["C"] > 1)
+    model, scores = M.grid_search(df.withColumn("fold", F.col("rid") % 3), ["x", "y.z"], "svm", 3)
+    assert len(scores) == 12 and _acc(LP.predict(df, model, 2)) > 0.95
+    tree, scores = M.grid_search(df.withColumn("fold", F.col("rid") % 3), ["x", "y.z"], "decision_tree", 3, n_draws=5)
+    assert len(scores) == 5 and _acc(M.predict_mllib(tree, df, 2)) == 1
+
+
+@pytest.mark.parametrize("name", ["random_forest", "decision_tree"])
+def test_nested_ensembles_predict_like_models_of_their_own(spark, name):
+    """Cut off at its own depth and size an ensemble predicts as MLlib says; a shallower one as one fitted so deep (trees: exactly)."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((1500, 3)), 2)
+    y = ((x[:, 0] > 0.4) & (x[:, 1] > 0.3)).astype(int) + (x[:, 2] > 0.7)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "a double, b double, c double, label int").coalesce(1)
+    f = ["a", "b", "c"]
+    more = {"numTrees": 20} if name == "random_forest" else {}
+    fit = lambda depth: M.fit_mllib(df, f, name, "label", maxDepth=depth, **more)
+    nodes = FP.nodes_of(fit(9).model, spark)
+    says = {(d, n): p for d, n, p in FP.votes(nodes, x, [2, 9], [5, 20])}
+    own = lambda m: np.array([r.prediction for r in M.predict_mllib(m, df, 3).collect()])
+    assert (says[9, 20] == own(fit(9))).all()
+    if name == "decision_tree":
+        assert (says[2, 20] == own(fit(2))).all()
+    held = df.select(F.array(*f).alias("x"), "label")
+    counts = FP.confusion_by_setting(held, nodes, [2, 9], [5, 20]).collect()
+    assert sum(r["count"] for r in counts) == 4 * len(x)
+    assert sum(r["count"] for r in counts if (r.depth, r.trees) == (2, 5) and r.label == r.prediction) == (says[2, 5] == y).sum()
+
+
+def test_linear_paths_reach_the_optimum(spark):
+    """Gradients vanish at every fold and C, and equal numeric ones; probabilities are the objective's own."""
+    rng = np.random.default_rng(6)
+    n = 400
+    x = np.stack([rng.normal(5, 2, n), rng.normal(0, 100, n)], 1)
+    y = (x[:, 0] * 0.7 + x[:, 1] * 0.01 + rng.normal(0, 1, n) > 3.5).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c), i % 3) for i, ((a, b), c) in enumerate(zip(x, y))], "`a b` double, `c.d` double, label int, fold int")
+    f = ["a b", "c.d"]
+    path = LP.fit_path(LP.blocks_of(df, f, "label", 2, F.col("fold")), "logistic", [(k, c) for k in (-1, 0, 2) for c in (0.1, 10.0)], tol=1e-6)
+    assert path.passes < 100
+    for i, (k, c) in enumerate(zip(path.left_out, path.c)):
+        m = LP.model_of(path, i)
+        rows = np.arange(n) % 3 != k
+        z = x[rows] @ m.weights[:, 0] + m.intercepts[0]
+        p = 1 / (1 + np.exp(-z))
+        grad = np.r_[c * x[rows].T @ (p - y[rows]) + m.weights[:, 0], c * (p - y[rows]).sum()]
+        assert (np.abs(grad) < 1e-2 * c * np.r_[2, 100, 1]).all()
+    got = LP.predict(df, LP.model_of(path, 1), 2)
+    assert got.columns == [*df.columns, "prediction", "p0", "p1", "score"] and _acc(got) > 0.75
+    svm = LP.fit_svm(df, f, "label", 2)
+    r = LP.predict(df, svm, 2).agg(F.avg(F.when(F.col("label") == 1, F.col("p1"))), F.avg(F.when(F.col("label") == 0, F.col("p1")))).first()
+    assert r[0] > 0.7 and r[1] < 0.4
+    three = df.withColumn("label", (F.col("`a b`") > 4).cast("int") + (F.col("`a b`") > 6).cast("int"))
+    assert _acc(LP.predict(three, LP.fit_logistic(three, f, "label", 3, 100.0), 3)) > 0.85
+    assert _acc(LP.predict(three, LP.fit_svm(three, f, "label", 3, 100.0), 3)) > 0.6
