@@ -16,7 +16,7 @@ from loupe.functions.gram import pairwise_moments, pearson_from_moments
 from loupe.functions.ranks import exact_quantiles, row_ranks, tall_values
 from loupe.functions.stats import as_double, is_missing, norm_ppf, safe_corr, sample_kurtosis, sample_skewness
 from loupe.operators.issues import IQR_FACTOR, outlier_bounds, outside_counts
-from loupe.session import join_small
+from loupe.session import attach_row, join_small
 
 Z_THRESHOLD = 3.0
 HIGH_CORR = 0.8
@@ -234,12 +234,11 @@ def qq_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def value_counts(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """Value counts (nulls dropped) with % of *all* rows.
 
-    The row total is a one-row aggregate joined by a constant key, so a column
+    The row total is a one-row aggregate sent to the tasks, so a column
     with millions of distinct values never meets a window without partitions.
     """
     g = df.groupBy(named(col).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
-    total = g.agg(F.sum("count").alias("_n")).withColumn("_k", F.lit(1))
-    j = g.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    j = attach_row(g, g.agg(F.sum("count").alias("_n")))
     return (j.where(F.col("_v").isNotNull())
             .select(F.col("_v").cast("string").alias("category"), "count",
                     F.round(F.try_divide(F.col("count") * 100.0, F.col("_n")), digits)
@@ -258,10 +257,7 @@ def crosstab_pct(df: DataFrame, feature: str, target: str, digits: int = 2) -> D
     cnt = d.groupBy("category", "class_value").agg(F.count(F.lit(1)).alias("count"))
     classes = cnt.select("class_value").distinct().agg(F.collect_list("class_value").alias("_cl"))
     cats = cnt.select("category").distinct()
-    # ``classes`` is a single row holding the class array: attach it by a constant key
-    grid = (cats.withColumn("_k", F.lit(1))
-            .join(classes.withColumn("_k", F.lit(1)), "_k")
-            .select("category", F.explode("_cl").alias("class_value")))
+    grid = attach_row(cats, classes).select("category", F.explode("_cl").alias("class_value"))
     full = grid.join(cnt, ["category", "class_value"], "left") \
         .select("category", "class_value", F.coalesce(F.col("count"), F.lit(0)).alias("count"))
     row_total = F.sum("count").over(Window.partitionBy("category"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.functions.names import all_named, named
-from loupe.session import join_small, materialize
+from loupe.session import attach_row, join_small, materialize
 
 
 def _g(group: Sequence[str] | None) -> list[str]:
@@ -248,7 +248,7 @@ def roc_macro(df: DataFrame, prob_cols: Sequence[str], label: str = "label") ->
     f = fill_last(pts_m.unionByName(qry), ["_g"], "_o", "_pt", "_prev")
     seg = (F.col("fpr") - F.col("_prev.fpr")) * (F.col("tpr") + F.col("_prev.tpr")) / 2
     area = f.where(F.col("_pt").isNull()).agg(F.coalesce(F.sum(seg), F.lit(0.0)).alias("auc_macro"))
-    return mean.withColumn("_k", F.lit(1)).join(area.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return attach_row(mean, area)
 
 
 def roc_ovo(df: DataFrame, prob_cols: Sequence[str], label: str = "label") -> DataFrame:

@@ -5,7 +5,7 @@
   :mod:`loupe.operators.linear_path`;
 * Gaussian naive Bayes and the majority ("rule-based") model: one grouped
   aggregate for the fit, Column expressions for prediction;
-* k-nearest neighbours: exact, blocked — see :func:`knn_candidates`.
+* k-nearest neighbours: exact, by an index of pivots, see :mod:`loupe.operators.neighbours`.
 
 All ``predict_*`` functions return the input rows plus ``prediction`` and one
 ``p<k>`` probability column per class; ``score`` is ``p1`` for binary labels.
@@ -18,7 +18,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 
 from loupe.functions.names import all_named, named
 from loupe.functions.stats import as_double, is_missing
+from loupe.operators.neighbours import knn_candidates
+from loupe.session import materialize
 
 # Probabilities of the reference's rule-based classifier.
 MAJORITY_P = 0.8
@@ -121,68 +122,6 @@ def predict_gnb(df: DataFrame, m: GaussianNB) -> DataFrame:
 
 # ---------------------------------------------------------------- F2 k-nearest neighbours
 
-def _block_topk(k: int, metric: str):
-    def run(key, test_pdf: pd.DataFrame, train_pdf: pd.DataFrame) -> pd.DataFrame:
-        if test_pdf.empty or train_pdf.empty:
-            return pd.DataFrame({"test_id": [], "train_id": [], "dist": [], "nb_label": []})
-        a = np.stack(test_pdf["vec"].to_numpy()).astype(np.float64)
-        b = np.stack(train_pdf["vec"].to_numpy()).astype(np.float64)
-        ids, kk = train_pdf["id"].to_numpy(), min(k, b.shape[0])
-        test, near, dist = [], [], []
-        for i, x in enumerate(a):
-            # differences, not |a|^2 + |b|^2 - 2ab: equal rows are at distance exactly 0
-            diff = np.abs(b - x)
-            d = diff.sum(axis=1) if metric == "manhattan" else np.sqrt((diff * diff).sum(axis=1))
-            edge = np.partition(d, kk - 1)[kk - 1]
-            cand = np.flatnonzero(d <= edge)  # with all ties of the k-th distance
-            cand = cand[np.lexsort((ids[cand], d[cand]))[:kk]]
-            test.append(np.full(kk, i))
-            near.append(cand)
-            dist.append(d[cand])
-        rows, cols = np.concatenate(test), np.concatenate(near)
-        return pd.DataFrame({
-            "test_id": test_pdf["id"].to_numpy()[rows], "train_id": ids[cols],
-            "dist": np.concatenate(dist), "nb_label": train_pdf["label"].to_numpy()[cols]})
-    return run
-
-
-def knn_candidates(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean",
-                   block_rows: int = 2048, by: str | None = None) -> DataFrame:
-    """Exact k nearest train rows of every test row: ``test_id, train_id, dist, nb_label, nb_rank``.
-
-    Inputs have ``id`` (long), ``vec`` (array<double>) and (train) ``label``.
-    Both sides are cut into blocks of about ``block_rows``; each (test block,
-    train block) pair is one cogroup task that keeps the k best train rows
-    per test row with numpy, so per-task memory is two blocks and only
-    k candidates per test row and train block leave the task. The work is
-    quadratic (as exact kNN is); the candidates are merged by a window over
-    at most k x train-blocks rows per test row.
-    """
-    n_train = train.count()
-    n_test = test.count()
-    rb = max(1, math.ceil(n_train / block_rows))
-    tb = max(1, math.ceil(n_test / block_rows))
-    g = [by] if by else []
-    # fresh aliases: the two sides may be the same DataFrame (SMOTE), and a
-    # self-cogroup must not share attribute ids
-    tr = train.select(F.col("id").alias("id"), F.col("vec").alias("vec"),
-                      F.col("label").alias("label"),
-                      *([] if by == "label" else [named(c).alias(c) for c in g]),
-                      F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int").alias("_rb"))
-    te = test.select(F.col("id").alias("id"), F.col("vec").alias("vec"),
-                     *[named(c).alias(c) for c in g],
-                     F.pmod(F.xxhash64("id"), F.lit(tb)).cast("int").alias("_tb"))
-    # each test block meets every train block once (within the same ``by`` group);
-    # block ids must have one type on both sides or the cogroup hashes them apart
-    tr_x = tr.select("*", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("_tb"))
-    te_x = te.select("*", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("_rb"))
-    keys = [*g, "_tb", "_rb"]
-    cand = te_x.groupBy(*all_named(keys)).cogroup(tr_x.groupBy(*all_named(keys))).applyInPandas(
-        _block_topk(k, metric), "test_id long, train_id long, dist double, nb_label long")
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    return cand.select("*", F.row_number().over(w).alias("nb_rank")).where(F.col("nb_rank") <= k)
-
-
 def vote_weight(weights: str):
     """Weight of a neighbour: 1, or 1/distance; where a test row has neighbours at distance 0
     only those count. Needs ``dist`` and ``_least`` (the test row's smallest distance)."""
@@ -325,35 +264,30 @@ def knn_search(data: DataFrame, folds: int, ks=(3, 5, 7, 9), weights=("uniform",
                metrics=("euclidean", "manhattan")) -> DataFrame:
     """F2 grid: every (k, weights, metric) scored by fold-averaged weighted F1.
 
-    ``data`` has ``id, vec, label, fold``. For each fold and metric one
-    neighbour table with the largest k is computed; every (k, weighting)
+    ``data`` has ``id, vec, label, fold``. For each metric one neighbour table of all rows with the largest k
+    is computed, in which rows of one fold are no neighbours of each other; every (k, weighting)
     setting is exploded from it and voted in one grouped aggregation, so the
-    16 settings cost 2 x folds kNN passes and one scoring job.
+    16 settings cost 2 neighbour searches and one scoring job.
     """
-    from loupe.session import cut_lineage
-    data = cut_lineage(data)   # folds are read 2 x folds times: materialise once
+    data = materialize(data)
     kmax = max(ks)
     cands = None
     for metric in metrics:
-        for f in range(folds):
-            tr = data.where(F.col("fold") != f)
-            te = data.where(F.col("fold") == f)
-            c = knn_candidates(tr, te, kmax, metric).select(
-                F.lit(metric).alias("metric"), F.lit(f).alias("fold"), "*")
-            cands = c if cands is None else cands.unionByName(c)
+        c = knn_candidates(data, data, kmax, metric, apart="fold").select(F.lit(metric).alias("metric"), "*")
+        cands = c if cands is None else cands.unionByName(c)
     settings = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))
                          for k in ks for w in weights])
     x = cands.select("*", F.explode(settings).alias("_st")).where(F.col("nb_rank") <= F.col("_st.k"))
-    x = x.withColumn("_least", F.min("dist").over(Window.partitionBy("metric", "fold", "test_id")))
+    x = x.withColumn("_least", F.min("dist").over(Window.partitionBy("metric", "test_id")))
     vote = F.when(F.col("_st.w") == "uniform", vote_weight("uniform")).otherwise(vote_weight("distance"))
     setting = F.concat(F.lit("n_neighbors="), F.col("_st.k").cast("string"), F.lit(",weights="),
                        F.col("_st.w"), F.lit(",metric="), F.col("metric"))
-    v = x.groupBy(setting.alias("setting"), "fold", "test_id", "nb_label").agg(F.sum(vote).alias("v"))
-    best = Window.partitionBy("setting", "fold", "test_id").orderBy(F.col("v").desc(), F.col("nb_label"))
-    pred = v.select("setting", "fold", F.col("test_id").alias("id"),
+    v = x.groupBy(setting.alias("setting"), "test_id", "nb_label").agg(F.sum(vote).alias("v"))
+    best = Window.partitionBy("setting", "test_id").orderBy(F.col("v").desc(), F.col("nb_label"))
+    pred = v.select("setting", F.col("test_id").alias("id"),
                     F.col("nb_label").alias("prediction"), F.row_number().over(best).alias("_r")) \
         .where("_r = 1").drop("_r")
-    labelled = pred.join(data.select("id", "label"), "id")
+    labelled = pred.join(data.select("id", "label", "fold"), "id")
     return _f1_by_setting(labelled)
 
 

@@ -12,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions.names import all_named, named
 from loupe.functions.ranks import exact_quantiles, row_ranks
 from loupe.functions.roles import column_roles
 from loupe.functions.stats import as_double, is_missing
-from loupe.session import join_small
+from loupe.session import attach_row, join_small, materialize
 from loupe.operators.profile import column_summary, value_counts_tall
 
 # The reference's defaults.
@@ -224,8 +224,8 @@ ONE_HOT_LIMIT = 5_000
 def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> dict:
     """E10 fit: sorted categories per column (the user chose to expand these columns).
 
-    More than ``limit`` categories in all are refused with the counts by column: group rare
-    values first, or use label encoding.
+    More than ``limit`` categories in all are refused with the counts by column, since each becomes an expression of
+    the plan: :func:`fit_one_hot_sparse` has no limit.
     """
     cols = list(cols)
     if not cols:
@@ -255,6 +255,46 @@ def apply_one_hot(df: DataFrame, categories: dict, drop_first: bool = True) -> D
     return df.select(*out)
 
 
+@dataclass(frozen=True)
+class OneHot:
+    """Fitted sparse one-hot codes: ``dictionary`` (column_name, value, code), codes 0 .. of the categories but the first, and the number of codes by column."""
+    dictionary: DataFrame
+    sizes: dict[str, int]
+
+    @property
+    def offsets(self) -> dict[str, int]:
+        """Where each column's codes begin in the vector."""
+        out, at = {}, 0
+        for c, n in self.sizes.items():
+            out[c] = at
+            at += n
+        return out
+
+
+def fit_one_hot_sparse(df: DataFrame, cols: Sequence[str]) -> OneHot:
+    """E10 fit without a limit: categories are ranked in sorted order over slices, no column gathers its categories anywhere."""
+    cols = list(cols)
+    values = value_counts_tall(df, cols).where(F.col("value").isNotNull()).select("column_name", "value")
+    ranked = materialize(row_ranks(values, ["column_name"], ["value"]))
+    n = {r["column_name"]: r["n"] for r in ranked.groupBy("column_name").agg(F.max("_total").alias("n")).collect()}
+    codes = ranked.where("_rank > 0").select("column_name", "value", (F.col("_rank") - 1).cast("int").alias("code"))
+    return OneHot(codes, {c: max(0, n.get(c, 0) - 1) for c in cols})
+
+
+def apply_one_hot_sparse(df: DataFrame, fitted: OneHot, out: str = "one_hot") -> DataFrame:
+    """E10 apply: the array ``out`` of the positions that are 1, over all columns in their order, in place of the columns.
+
+    The first category, a missing value and one the fit has not seen have no entry. A column's dictionary is joined as
+    label codes are: up to 100,000 values are broadcast, more are joined by shuffling both sides.
+    """
+    kept, j, at = [c for c in df.columns if c not in fitted.sizes], df, fitted.offsets
+    for i, c in enumerate(fitted.sizes):
+        codes = fitted.dictionary.where(F.col("column_name") == c).select(F.col("value").alias("_lv"), (F.col("code") + at[c]).alias(f"_code{i}"))
+        j = join_small(j.withColumn("_lv", named(c).cast("string")), codes, ["_lv"], "left", limit=100_000).drop("_lv")
+    places = F.array_compact(F.array(*[F.col(f"_code{i}") for i in range(len(fitted.sizes))]))
+    return j.select(*all_named(kept), places.alias(out))
+
+
 def label_dictionary(df: DataFrame, col: str, null_as: str | None = "nan") -> DataFrame:
     """E11 fit: ``value -> code`` with codes = rank in sorted order (0-based).
 
@@ -330,6 +370,6 @@ def check_trainable(df: DataFrame, label: str) -> None:
 def class_table(df: DataFrame, label: str, digits: int = 2) -> DataFrame:
     """Class, count, % of rows (2 dp)."""
     g = df.groupBy(named(label).alias("class_value")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return g.select(F.col("class_value").cast("string").alias("class_value"), "count",
-                    F.round(F.col("count") * 100.0 / total, digits).alias("percentage"))
+    j = attach_row(g, g.agg(F.sum("count").alias("_total")))
+    return j.select(F.col("class_value").cast("string").alias("class_value"), "count",
+                    F.round(F.col("count") * 100.0 / F.col("_total"), digits).alias("percentage"))

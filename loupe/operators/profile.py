@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from loupe.functions.names import all_named, named
 from loupe.functions.ranks import exact_quantiles
 from loupe.functions.roles import FLOATING_TYPES, column_roles, role_of, type_name
 from loupe.functions.stats import as_double
+from loupe.session import attach_row
 
 
 def _cell_struct(df: DataFrame, i: int, name: str):
@@ -130,9 +131,8 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None,
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Per class count (nulls dropped) and share of *all* rows in %."""
     counts = df.groupBy(named(target).alias("_cls")).agg(F.count(F.lit(1)).alias("class_count"))
-    total = F.sum("class_count").over(Window.partitionBy())
-    pct = F.try_divide(F.col("class_count") * 100.0, total)
-    return (counts.select("_cls", "class_count", pct.alias("percentage"))
+    pct = F.try_divide(F.col("class_count") * 100.0, F.col("_total"))
+    return (attach_row(counts, counts.agg(F.sum("class_count").alias("_total"))).select("_cls", "class_count", pct.alias("percentage"))
             .where(F.col("_cls").isNotNull())
             .select(F.col("_cls").cast("string").alias("class_value"), "class_count",
                     "percentage"))

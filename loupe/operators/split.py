@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.names import all_named, named
 from loupe.functions.ranks import row_ranks
-from loupe.session import join_small
+from loupe.session import attach_row, join_small
 
 
 def hash_order(key: Sequence[str], seed: int = 42) -> Column:
@@ -86,7 +86,8 @@ def split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
 def undersample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Keep the first ``min class count`` rows of every class in hash order."""
     r = row_ranks(df.withColumn("_h", hash_order(key, seed)), [label], ["_h", *key])
-    m = df.groupBy(named(label)).count().select(named(label), F.min("count").over(Window.partitionBy()).alias("_m"))
+    m = df.groupBy(named(label)).count()
+    m = attach_row(m, m.agg(F.min("count").alias("_m"))).drop("count")
     j = join_small(r, m, [label])
     return j.where(F.col("_rank") < F.col("_m")).select(*all_named(df.columns))
 

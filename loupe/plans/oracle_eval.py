@@ -185,6 +185,14 @@ a AS ({auc_sql('o', [])})
 SELECT {r6('threshold')} AS threshold, {r6('fpr')} AS fpr, {r6('tpr')} AS tpr, {r6('a.auc')} AS auc
 FROM pts JOIN a ON TRUE""")
 
+sql("q_roc_macro", f"""{M}{OVR},{cum_ctes('ovr', ['cls'], 'y', 'o')},
+pts AS ({roc_sql('o', ['cls'])}),
+grid AS (SELECT DISTINCT fpr AS x FROM pts),
+ends AS (SELECT x, cls, max(CASE WHEN fpr <= x THEN (fpr, tpr) END) AS lo, min(CASE WHEN fpr >= x THEN (fpr, tpr) END) AS hi FROM grid JOIN pts ON TRUE GROUP BY x, cls),
+mean AS (SELECT x, avg(CASE WHEN hi IS NULL OR hi[1] = lo[1] THEN lo[2] ELSE lo[2] + (hi[2] - lo[2]) * (x - lo[1]) / (hi[1] - lo[1]) END) AS y FROM ends GROUP BY x),
+seg AS (SELECT x, y, (x - lag(x) OVER (ORDER BY x)) * (y + lag(y) OVER (ORDER BY x)) / 2 AS part FROM mean)
+SELECT {r6('x')} AS fpr, {r6('y')} AS tpr, {r6('(SELECT sum(part) FROM seg)')} AS auc_macro FROM seg""")
+
 sql("q_roc_ovo", f"""{M}{OVO},{cum_ctes('ovo', ['class_i', 'class_j'], 'y', 'o')}
 {round_all(auc_sql('o', ['class_i', 'class_j']), ['auc'], ['class_i', 'class_j'])}""")
 

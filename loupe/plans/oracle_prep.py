@@ -117,6 +117,16 @@ sql("q_one_hot", f"WITH {DIRTY}\nSELECT o_orderkey, " + ", ".join(
     + ["CAST(CASE WHEN status = 'Inactive' THEN 1 ELSE 0 END AS INTEGER) AS \"status_Inactive\""])
     + " FROM dirty")
 
+sql("q_one_hot_sparse", f"""
+WITH {DIRTY},
+d AS (SELECT o_orderkey, concat('k', CAST(o_orderkey AS VARCHAR)) AS key, city, priority FROM dirty),
+n AS (SELECT count(DISTINCT key) - 1 AS k, count(DISTINCT city) - 1 AS c FROM d),
+codes AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY key) - 2 AS a, dense_rank() OVER (ORDER BY city) - 2 AS b,
+  CASE WHEN priority IS NOT NULL THEN dense_rank() OVER (ORDER BY priority NULLS LAST) - 2 END AS p FROM d)
+SELECT o_orderkey, CAST(a AS INTEGER) AS place FROM codes WHERE a >= 0
+UNION ALL SELECT o_orderkey, CAST(k + b AS INTEGER) FROM codes, n WHERE b >= 0
+UNION ALL SELECT o_orderkey, CAST(k + c + p AS INTEGER) FROM codes, n WHERE p >= 0""")
+
 sql("q_label_encode", f"""
 WITH {DIRTY}
 SELECT o_orderkey,
@@ -295,9 +305,10 @@ SELECT CAST(label AS INTEGER) AS label, false AS synthetic, CAST(n AS BIGINT) AS
 UNION ALL SELECT CAST(label AS INTEGER), true, CAST((SELECT max(n) FROM c) - n AS BIGINT) FROM c WHERE n < (SELECT max(n) FROM c)""")
 
 _three = "CASE WHEN l_quantity <= 15 THEN 0 WHEN l_quantity <= 35 THEN 1 ELSE 2 END"
-sql("q_train_status", f"""
+for _query, _models in (("q_train_status", ["logistic_regression", "decision_tree", "naive_bayes", "rule_based"]), ("q_train_status_more", ["knn", "random_forest", "svm", "rule_based"])):
+    sql(_query, f"""
 WITH {PLANTED_CTE},
-m AS (SELECT unnest(['logistic_regression', 'decision_tree', 'naive_bayes', 'rule_based']) AS model)
+m AS (SELECT unnest({_models}) AS model)
 SELECT model, 'ok' AS status, (SELECT CAST(count(DISTINCT {_three}) AS INTEGER) FROM planted WHERE split = 'train') AS n_classes,
        (SELECT CAST(count(*) AS BIGINT) FROM planted WHERE split = 'test') AS n_rows, model <> 'rule_based' AS beats_majority FROM m""")
 
@@ -356,3 +367,20 @@ v AS (SELECT concat('n_neighbors=', CAST(k AS VARCHAR), ',weights=', w, ',metric
   sum(CASE WHEN w = 'uniform' THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / dist END) AS v FROM rk JOIN st ON r <= k GROUP BY ALL),
 best AS (SELECT setting, fold, id, label, max_by(nb, (v, -nb)) AS prediction FROM v GROUP BY ALL),
 conf AS (SELECT setting, fold, label, prediction, count(*) AS n FROM best GROUP BY ALL),{_MEAN_F1}""")
+
+
+# ---------------------------------------------------------------- F1, F3, F6: certificates of the fits
+
+_terms = "SELECT unnest(" + str([*PLANTED, "intercept"]) + ") AS term, true AS at_optimum"
+sql("q_logreg_certificate", _terms)
+sql("q_svm_certificate", _terms)
+
+_values = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, label FROM planted WHERE split = 'train'" for f in PLANTED)
+sql("q_tree_root", f"""
+WITH {PLANTED_CTE},
+tall AS ({_values}),
+g AS (SELECT feature, v, count(*) AS n, sum(label) AS p FROM tall GROUP BY ALL),
+c AS (SELECT feature, v, lead(v) OVER w AS after, sum(n) OVER w AS n, sum(p) OVER w AS p, sum(n) OVER (PARTITION BY feature) AS nt, sum(p) OVER (PARTITION BY feature) AS pt
+      FROM g WINDOW w AS (PARTITION BY feature ORDER BY v)),
+s AS (SELECT feature, (v + after) / 2 AS threshold, CAST(n AS DOUBLE) AS n, CAST(p AS DOUBLE) AS p, CAST(nt - n AS DOUBLE) AS m, CAST(pt - p AS DOUBLE) AS q FROM c WHERE after IS NOT NULL)
+SELECT feature, round(threshold, 6) AS threshold FROM s ORDER BY p * (n - p) / n + q * (m - q) / m, feature LIMIT 1""")

@@ -77,6 +77,51 @@ def q_model_logreg(spark, sf):
     return LP.predict(test, LP.fit_logistic(train, PLANTED_FEATURES, "label", 2), 2).select(*OUT)
 
 
+def _certificate(train, model, slope, c):
+    """Per weight and intercept: whether the objective's slope, taken anew from all train rows, is nearly zero.
+
+    ``slope``: derivative of a row's loss by its margin. Rows count C each, weights half their square; both sides are divided by C times the rows.
+    """
+    margin = LP.margins(model)[0]
+    y = F.col("label")
+    terms = [*[(f, F.col(f)) for f in model.features], ("intercept", F.lit(1.0))]
+    r = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(slope(margin, y) * x).alias(t) for t, x in terms]).first()
+    w = dict(zip(model.features, model.weights[:, 0]))
+    rows = [(t, bool(abs(r[t] + w.get(t, 0.0) / (c * r["n"])) < 2e-3)) for t, _ in terms]
+    return train.sparkSession.createDataFrame(rows, "term string, at_optimum boolean")
+
+
+@register("q_logreg_certificate")
+def q_logreg_certificate(spark, sf):
+    """the gradient of the logistic objective vanishes at the fitted weights (scaled planted rule, C = 1)."""
+    train, _ = _scaled(spark, sf)
+    model = LP.fit_logistic(train, PLANTED_FEATURES, "label", 2)
+    return _certificate(train, model, lambda m, y: 1.0 / (1.0 + F.exp(-m)) - y, 1.0)
+
+
+@register("q_svm_certificate")
+def q_svm_certificate(spark, sf):
+    """the gradient of the rounded hinge objective vanishes at the fitted weights (scaled planted rule, C = 1)."""
+    train, _ = _scaled(spark, sf)
+    model = LP.fit_svm(train, PLANTED_FEATURES, "label", 2)
+
+    def slope(m, y):
+        sign = 2 * y - 1
+        return -sign * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - sign * m) / LP.ROUND))
+
+    return _certificate(train, model, slope, 1.0)
+
+
+@register("q_tree_root")
+def q_tree_root(spark, sf):
+    """feature and threshold of the fitted tree's first split (largest fall of Gini impurity) on the planted rule."""
+    from loupe.operators.forest_path import nodes_of
+    train, _ = _planted(spark, sf)
+    fitted = M.fit_mllib(fit_rows(train.select(*PLANTED_FEATURES, "label")), PLANTED_FEATURES, "decision_tree", maxDepth=2)
+    nodes = nodes_of(fitted.model, spark)
+    return spark.createDataFrame([(PLANTED_FEATURES[int(nodes.feature[0])], round(float(nodes.threshold[0]), 6))], "feature string, threshold double")
+
+
 @register("q_model_tree")
 def q_model_tree(spark, sf):
     """decision tree (unbounded depth -> 30, min split 2) on the planted rule."""

@@ -110,6 +110,14 @@ def q_one_hot(spark, sf):
     return P.apply_one_hot(d, P.fit_one_hot(d, ["priority", "status"]))
 
 
+@register("q_one_hot_sparse")
+def q_one_hot_sparse(spark, sf):
+    """The positions that are 1 in the sparse one-hot vector of order key, city and priority (one column has a category for every order)."""
+    d = dirty_orders(spark, sf).select("o_orderkey", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), "city", "priority")
+    fitted = P.fit_one_hot_sparse(d, ["key", "city", "priority"])
+    return P.apply_one_hot_sparse(d, fitted).select("o_orderkey", F.explode("one_hot").alias("place"))
+
+
 @register("q_label_encode")
 def q_label_encode(spark, sf):
     """City and priority replaced by their sorted rank (NULL encoded as 'nan')."""

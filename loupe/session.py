@@ -125,3 +125,8 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
         local = df.sparkSession.createDataFrame(rows, small.schema)
         return df.join(F.broadcast(local), on, how)
     return df.join(materialize(small), on, how)
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``row``, a table of exactly one row, which is sent to every task."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -11,6 +11,7 @@ from conftest import SF_SMALL
 from loupe.operators import forest_path as FP
 from loupe.operators import linear_path as LP
 from loupe.operators import models as M
+from loupe.operators.neighbours import knn_candidates
 from loupe.plans.fixtures import planted_lineitem
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -38,7 +39,7 @@ def test_knn_matches_brute_force(spark):
     rows = [(i, [float(v) for v in x[i]], int(y[i])) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, vec array<double>, label long")
     train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
-    cand = M.knn_candidates(train, test, 3, block_rows=50)   # many blocks
+    cand = knn_candidates(train, test, 3, block_rows=50)   # many blocks
     pred = {r["test_id"]: r["prediction"] for r in M.knn_vote(cand, 3).collect()}
     tr = [i for i in range(300) if i % 4]
     for t in range(0, 300, 4):
@@ -48,6 +49,32 @@ def test_knn_matches_brute_force(spark):
         assert pred[t] == int(np.argmax(votes))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_pivot_index_finds_the_exact_neighbours(spark, metric):
+    """Clusters, ties and copies; inside classes and across folds; far fewer rings visited than there are."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 2)) * 0.2 + c for c in rng.normal(size=(12, 2)) * 10])[rng.permutation(10_800)[:3000]].round(2)
+    x[:200] = x[0]
+    ids, grp, fold = rng.permutation(3000), rng.integers(0, 3, 3000), rng.integers(0, 4, 3000)
+    df = spark.createDataFrame([(int(i), v.tolist(), int(g), int(f)) for i, v, g, f in zip(ids, x, grp, fold)], "id long, vec array<double>, label long, fold int").repartition(3)
+
+    def brute(t, others, k):
+        d = np.abs(x[others] - x[t]).sum(1) if metric == "manhattan" else np.sqrt(((x[others] - x[t]) ** 2).sum(1))
+        return [(int(ids[others][j]), float(d[j])) for j in np.lexsort((ids[others], d))[:k]]
+
+    for by, apart, ok in ((None, None, lambda t: np.ones(3000, bool)), ("label", None, lambda t: grp == grp[t]), (None, "fold", lambda t: fold != fold[t])):
+        report = {}
+        rows = knn_candidates(df, df.where("id % 7 = 0"), 5, metric, block_rows=64, by=by, apart=apart, report=report).orderBy("test_id", "nb_rank").collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.test_id, []).append((r.train_id, r.dist))
+        want = {int(ids[t]): brute(t, np.flatnonzero(ok(t)), 5) for t in range(3000) if ids[t] % 7 == 0}
+        assert got == want
+        assert report["visits"] < 0.4 * report["rings"] * report["tests"]
+    few = df.where("id < 3")
+    assert knn_candidates(few, df.where("id < 9"), 5, metric).count() == 27 and knn_candidates(df.limit(0), few, 5).count() == 0
+
+
 def test_csv_round_trip_with_missing_tokens(spark):
     from loupe.sources.csv import read_csv, write_results
     d = tempfile.mkdtemp(prefix="loupe-csv-")

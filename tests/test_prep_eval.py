@@ -161,3 +161,17 @@ def test_train_median_fills_both_sides(spark):
     a, b = impute_train_median(tr, te, ["x"])
     assert sorted(r["x"] for r in b.collect()) == [2.0, 10.0]
     assert sorted(r["x"] for r in a.collect()) == [1.0, 2.0, 3.0]
+
+
+def test_sparse_one_hot_takes_any_number_of_categories(spark):
+    df = spark.range(100_000).select(F.col("id"), F.concat(F.lit("v"), F.col("id")).alias("key.x"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("c"), F.lit("one").alias("const"))
+    fitted = P.fit_one_hot_sparse(df, ["key.x", "c", "const"])
+    assert fitted.sizes == {"key.x": 99_999, "c": 1, "const": 0} and fitted.offsets == {"key.x": 0, "c": 99_999, "const": 100_000}
+    got = P.apply_one_hot_sparse(df, fitted)
+    assert got.columns == ["id", "one_hot"]
+    rank = {f"v{i}": r for r, i in enumerate(sorted(range(100_000), key=lambda i: f"v{i}"))}
+    rows = {r.id: r.one_hot for r in got.where("id % 9973 = 0 OR id < 5").collect()}
+    for i, at in rows.items():
+        assert at == [rank[f"v{i}"] - 1] * (rank[f"v{i}"] > 0) + [99_999] * (i % 3 == 2)
+    unseen = spark.createDataFrame([(1, "nobody", "c2", "one")], df.schema)
+    assert P.apply_one_hot_sparse(unseen, fitted).first().one_hot == [99_999]
