@@ -22,13 +22,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loupe.functions.names import named
 from loupe.functions.ranks import exact_quantiles
 from loupe.functions.roles import column_roles, role_of
 from loupe.functions.stats import as_double
-from loupe.operators.profile import column_summary, value_counts_tall
+from loupe.operators.profile import SKETCH_ERROR, cell_value, distinct_counts
 
 # Thresholds of the reference's rules.
 IQR_FACTOR = 1.5
@@ -40,7 +39,7 @@ NEAR_CONSTANT_RATIO = 0.01
 
 
 #: A sketched distinct count this many times beyond a rule's threshold cannot meet the rule (the sketch's relative error is 2 %).
-SKETCH_ERROR, SKETCH_MARGIN = 0.02, 1.5
+SKETCH_MARGIN = 1.5
 
 
 @dataclass
@@ -62,20 +61,15 @@ class IssueInputs:
     def of(cls, df: DataFrame, target: str | None) -> IssueInputs:
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(df.columns):
-            value = named(c)
-            if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-                value = as_double(named(c)) + F.lit(0.0)
+            value = cell_value(df, c)
             numeric = role_of(df.schema[c].dataType) == "numeric"
             aggs += [F.count(value).alias(f"n{i}"), F.approx_count_distinct(value.cast("string"), SKETCH_ERROR).alias(f"d{i}"),
                      (F.var_samp(as_double(named(c))) if numeric else F.lit(None).cast("double")).alias(f"v{i}")]
         r = df.agg(*aggs).first()
         cats = set(column_roles(df, exclude=target).categorical)
         asked = [c for i, c in enumerate(df.columns) if c != target and _needs_distinct(c in cats, r["n"], r[f"n{i}"], r[f"d{i}"], r[f"v{i}"])]
-        exact = {}
-        if asked:
-            rows = column_summary(value_counts_tall(df, asked)).select("column_name", "distinct_count").collect()
-            exact = {x["column_name"]: x["distinct_count"] for x in rows}
-            exact |= {c: 0 for c in asked if c not in exact}
+        at = {c: i for i, c in enumerate(df.columns)}
+        exact = distinct_counts(df, {c: r[f"d{at[c]}"] for c in asked})
         rows = [(i, c, r["n"], r[f"n{i}"], r["n"] - r[f"n{i}"], exact.get(c), r[f"v{i}"]) for i, c in enumerate(df.columns)]
         summary = df.sparkSession.createDataFrame(
             rows, "ordinal int, column_name string, n_rows long, non_null long, null_count long, distinct_count long, var double")

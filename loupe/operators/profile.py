@@ -83,16 +83,52 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     return df.orderBy(*all_named(order_by)).limit(n)
 
 
-def column_types(df: DataFrame, tall: DataFrame | None = None) -> DataFrame:
+#: Relative error of distinct-count sketches; columns with fewer distinct values than FEW_VALUES are counted together.
+SKETCH_ERROR, FEW_VALUES = 0.02, 20_000
+
+
+def cell_value(df: DataFrame, name: str):
+    """A column's values as they are told apart: -0.0 is 0.0, NaN is missing."""
+    dt = df.schema[name].dataType
+    if isinstance(dt, FLOATING_TYPES) or isinstance(dt, T.DecimalType):
+        return as_double(named(name)) + F.lit(0.0)
+    return named(name).cast("string") if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)) else named(name)
+
+
+def distinct_counts(df: DataFrame, sketched: dict[str, int]) -> dict[str, int]:
+    """Exact distinct non-missing values of the columns of ``sketched`` (name -> roughly how many).
+
+    Columns of few values share one pass over the tall profile, where a task sends each value once. A key-like
+    column is deduplicated by itself and in its own type: its values are shuffled, which an exact count needs, but neither as
+    text nor beside other columns' cells.
+    """
+    few = [c for c, n in sketched.items() if n <= FEW_VALUES]
+    parts = []
+    if few:
+        parts.append(value_counts_tall(df, few).where("value IS NOT NULL").groupBy("column_name").agg(F.count(F.lit(1)).alias("n")))
+    for c in sketched:
+        if c not in few:
+            values = df.select(cell_value(df, c).alias("v")).where("v IS NOT NULL").distinct()
+            parts.append(values.agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column_name"), "n"))
+    got = {}
+    if parts:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        got = {r["column_name"]: r["n"] for r in every.collect()}  # one row per column
+    return {c: got.get(c, 0) for c in sketched}
+
+
+def column_types(df: DataFrame) -> DataFrame:
     """Per column dtype label, non-null, null and distinct counts."""
-    tall = tall if tall is not None else value_counts_tall(df)
-    s = column_summary(tall)
-    labels = F.create_map(*[x for f in df.schema.fields
-                            for x in (F.lit(f.name), F.lit(type_name(f.dataType)))])
-    return s.select(
-        "column_name", labels[F.col("column_name")].alias("dtype"),
-        F.col("non_null").alias("non_null_count"), "null_count",
-        F.col("distinct_count").alias("unique_count"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(df.columns):
+        v = cell_value(df, c)
+        aggs += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v.cast("string"), SKETCH_ERROR).alias(f"d{i}")]
+    r = df.agg(*aggs).first()
+    exact = distinct_counts(df, {c: r[f"d{i}"] for i, c in enumerate(df.columns)})
+    rows = [(f.name, type_name(f.dataType), r[f"n{i}"], r["n"] - r[f"n{i}"], exact[f.name]) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, dtype string, non_null_count long, null_count long, unique_count long")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
