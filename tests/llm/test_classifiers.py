@@ -1,12 +1,15 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loupe.llm.linear import FEATURES, bounded_sample, fit_ordinal, ordered, sigmoid
-from loupe.llm.quality import QualityParams, fit_quality, keep_quality, score_quality
+from loupe.llm.quality import QualityParams, events, fit_quality, keep_quality, score_quality
 from loupe.llm.queries import op1_toxicity, op2_quality, table
+from loupe.llm.textops import mix, span_hashes, utf8
 from loupe.llm.toxicity import ToxicityParams, buckets, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -119,3 +122,86 @@ def test_too_many_grades_are_refused(spark, make_docs):
     docs = make_docs([(i, "a") for i in range(20)])
     with pytest.raises(ValueError, match="grades"):
         fit_quality(docs, docs.select("doc_id", F.col("doc_id").cast("int").alias("grade")))
+
+
+# ---------------------------------------------------------------- whole scores against plain Python
+
+def plain_grams(text, lengths, bits):
+    """Buckets of a text's character n-grams, one n-gram at a time."""
+    words = (text or "").lower().split()
+    if not words:
+        return set()
+    s, out = f" {' '.join(words)} ", set()
+    for n in lengths:
+        for i in range(len(s) - n + 1):
+            h = ord(s[i])
+            for c in s[i + 1:i + n]:
+                h = (h * 0x01000193 + ord(c)) % 2 ** 32
+            h ^= n * 0x9E3779B1 % 2 ** 32
+            out.add(h * 0x85EBCA6B % 2 ** 32 >> 32 - bits)
+    return out
+
+
+def test_toxicity_equals_plain_python(spark, make_docs):
+    """Counts, log ratios, the optimum and every score, recomputed without arrays of the module."""
+    rnd = random.Random(2)
+    nice, foul = ["sunny", "garden", "reads", "Book", "été"], ["vile", "scum", "rotten", "Hate"]
+    rows = [(i, "  ".join(rnd.choices(nice + (foul if i % 3 == 0 else []), k=rnd.randint(0, 12)))) for i in range(90)] + [(90, None), (91, "")]
+    p = ToxicityParams(bits=10, l2=1e-2, max_iter=200)
+    docs, labels = make_docs(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id bigint, toxic int")
+    model = fit_toxicity(docs, labels, p)
+    held = {i: plain_grams(t, p.lengths, p.bits) for i, t in rows}
+    train = [(held[i], int(i % 3 == 0)) for i in range(80)]
+    n = [sum(y == c for _, y in train) for c in (0, 1)]
+    count = [[sum(y == c and j in g for g, y in train) for j in range(1 << p.bits)] for c in (0, 1)]
+    ratio = [math.log((count[1][j] + p.smooth) / (n[1] + 2 * p.smooth)) - math.log((count[0][j] + p.smooth) / (n[0] + 2 * p.smooth)) for j in range(1 << p.bits)]
+    weights, bias = model.fit.weights.astype(float), -float(model.fit.thresholds[0])
+    score = {i: 1 / (1 + math.exp(-sum(weights[j] for j in g) - bias)) for i, g in held.items()}
+    got = {r.doc_id: r.score for r in score_toxicity(docs, model).collect()}
+    assert got.keys() == score.keys() and all(math.isclose(got[i], score[i], abs_tol=1e-6) for i in got)
+    # weights are ratio times what was learnt; the objective's slopes vanish there
+    own = [w / r if abs(r) > 1e-12 else 0.0 for w, r in zip(weights, ratio)]
+    miss = [score[i] - y for i, (_, y) in enumerate(train)]
+    slopes = [ratio[j] * sum(m for (g, _), m in zip(train, miss) if j in g) / 80 + p.l2 * own[j] for j in range(1 << p.bits)]
+    start = [ratio[j] * sum(n[1] / 80 - y for g, y in train if j in g) / 80 for j in range(1 << p.bits)]
+    assert max(map(abs, slopes)) < 0.05 * max(map(abs, start)) and abs(sum(miss)) / 80 < 0.02
+
+
+def plain_events(text, bits):
+    """(word, shape, shape pair) buckets of every word, word by word; only the byte hash is shared."""
+    def hashed(b):
+        return int(span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) if b else 0
+
+    def mixed(x):
+        return int(mix(np.array([x % 2 ** 64], np.uint64))[0])
+
+    def kind(c):
+        return ord("a") if 97 <= c < 123 else ord("A") if 65 <= c < 91 else ord("0") if 48 <= c < 58 else 255 if c > 127 else c
+
+    out, before, last = [], 0, None
+    for w in (text or "").encode().split():
+        kinds = [kind(c) for c in w]
+        shape = hashed(bytes(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]))
+        word = hashed(w)
+        pair = mixed(before * 0x9E3779B97F4A7C15 % 2 ** 64 ^ (shape + (word == last)) % 2 ** 64)
+        out.append([x >> 64 - bits for x in (word, mixed(shape ^ 0xA5A5A5A5), mixed(pair ^ 0x5A5A5A5A5A))])
+        before, last = shape, word
+    return out
+
+
+def test_quality_equals_plain_python(spark, make_docs):
+    rnd = random.Random(3)
+    bits = ["word", "word", "Word", "ABC", "a1b22", "$$", "été", "x-y", "...", "日本", "!!a", "ÀB"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice([" ", "  ", "\n", "\t"]) for _ in range(rnd.randint(0, 15))) for _ in range(120)] + [None, "", " \n"]
+    data, off = utf8(pa.array(texts))
+    got, first = events(data, off, 16)
+    want = [plain_events(t, 16) for t in texts]
+    assert [got[a:z].tolist() for a, z in zip(first, first[1:])] == want
+    docs = make_docs(list(enumerate(texts)))
+    model = fit_quality(docs, spark.createDataFrame([(i, i % 3) for i in range(100)], "doc_id bigint, grade int"), QualityParams(bits=12, max_iter=5))
+    w, th = model.fit.weights.astype(float), model.fit.thresholds
+    for r in score_quality(docs, model, least=2).collect():
+        each = plain_events(texts[r.doc_id], 12)
+        s = model.params.gain * sum(w[j] for e in each for j in e) / max(len(each), 1)
+        above = [1 / (1 + math.exp(t - s)) for t in th]
+        assert math.isclose(r.p_tail, above[1], abs_tol=1e-5) and math.isclose(r.expected_grade, sum(above), abs_tol=1e-5)

@@ -41,5 +41,5 @@ def test_run_is_registered(spark):
 
     names = entry.queries()
     assert names["pipeline"] is corpus_pipeline.run
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
