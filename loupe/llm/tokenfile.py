@@ -37,7 +37,7 @@ BLOCKS = ("part int, block int, first_id bigint, last_id bigint, dict_hash strin
 
 @dataclass(frozen=True)
 class TokenParams:
-    """``sample_rows`` documents of at most ``sample_bytes`` each train the dictionary; a block holds up to ``block_rows`` documents or ``block_bytes`` of frames."""
+    """``cached_words`` distinct stems are kept by a worker process. ``sample_rows`` documents of at most ``sample_bytes`` each train the dictionary; a block holds up to ``block_rows`` documents or ``block_bytes`` of frames."""
     end_id: int = 1
     level: int = 3
     dict_bytes: int = 64 << 10
@@ -45,7 +45,7 @@ class TokenParams:
     sample_bytes: int = 8 << 10
     block_rows: int = 4096
     block_bytes: int = 4 << 20
-    cached_words: int = 1 << 20
+    cached_words: int = 1 << 18
 
 
 #: The normalizer and splitting under which a text's ids are those of its words (fixed values, as the vocabulary file states them).
@@ -261,6 +261,7 @@ def _encode(json_text, dictionary, params: TokenParams):
                 at += len(raw) // size
                 if len(ids) >= params.block_rows or offsets[-1] >= params.block_bytes:
                     yield packed()
+                    pa.default_memory_pool().release_unused()
                     ids, starts, offsets, frames, block, begun = [], [], [0], [], block + 1, at
         if ids:
             yield packed()
