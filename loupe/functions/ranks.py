@@ -182,23 +182,33 @@ def exact_quantiles(
     """
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     cols, probs, group_cols = list(cols), [float(p) for p in probs], list(group_cols)
-    stats = _brackets(df, cols, probs, group_cols)
     keys = [*group_cols, "column"]
     if group_cols:
-        rows = join_small(df.where(_all_present(group_cols)), stats, group_cols)
-        one = None
+        stats = materialize(_brackets(df, cols, probs, group_cols))
+        near, below = _near_cells(join_small(df.where(_all_present(group_cols)), stats, group_cols), cols, probs, group_cols, None)
+        ends = [f"{e}{j}" for j in range(len(probs)) for e in ("lo", "hi")]
+        wanted = materialize(_tall(stats, cols, [("n", "n"), *[(e, e) for e in ends]], group_cols).join(
+            _tall(below, cols, [(f"below{j}", f"below{j}") for j in range(len(probs))], group_cols), keys).where("n > 0"))
     else:
-        one = stats.collect()[0].asDict()
-        rows = df
-    near, below = _near_cells(rows, cols, probs, group_cols, one)
-    found = materialize(near.groupBy(*all_named(keys), "v").agg(F.count(F.lit(1)).alias("cnt")))
-    ends = [f"{e}{j}" for j in range(len(probs)) for e in ("lo", "hi")]
-    wanted = materialize(_tall(stats, cols, [("n", "n"), *[(e, e) for e in ends]], group_cols).join(
-        _tall(below, cols, [(f"below{j}", f"below{j}") for j in range(len(probs))], group_cols), keys).where("n > 0"))
-    few = found.limit(FEW + 1).count() <= FEW and wanted.limit(FEW + 1).count() <= FEW
-    picked = _pick_local(found, wanted, keys, probs) if few else _pick(found, wanted, keys, probs)
-    missed = picked.where(" OR ".join(f"a{j} IS NULL OR b{j} IS NULL" for j in range(len(probs)))).limit(1)
-    if not missed.isEmpty():
+        one = _brackets(df, cols, probs, []).first().asDict()
+        near, below = _near_cells(df, cols, probs, [], one)
+        one |= below.first().asDict()
+        names_of = ["n", *[f"{e}{j}" for e in ("lo", "hi", "below") for j in range(len(probs))]]
+        wanted = df.sparkSession.createDataFrame(
+            [(c, *[one[f"{x}_{i}"] for x in names_of]) for i, c in enumerate(cols) if one[f"n_{i}"]],
+            ", ".join(["column string", "n bigint", *[f"{x} {'bigint' if x.startswith('below') else 'double'}" for x in names_of[1:]]]))
+    found = near.groupBy(*all_named(keys), "v").agg(F.count(F.lit(1)).alias("cnt"))
+    if group_cols:
+        found = materialize(found)
+    rows = found.select(*all_named(keys), "v", "cnt").limit(FEW + 1).collect()
+    asked = wanted.limit(FEW + 1).collect() if len(rows) <= FEW else rows
+    if len(asked) <= FEW:
+        picked = _pick_local(rows, asked, wanted.schema, keys, probs, df.sparkSession)
+        missed = picked is None
+    else:
+        picked = _pick(found if group_cols else materialize(found), wanted, keys, probs)
+        missed = not picked.where(" OR ".join(f"a{j} IS NULL OR b{j} IS NULL" for j in range(len(probs)))).limit(1).isEmpty()
+    if missed:
         return _ranked_quantiles(df, cols, probs, group_cols, names)
     outs = []
     for j, (p, name) in enumerate(zip(probs, names)):
@@ -233,7 +243,7 @@ def _brackets(df: DataFrame, cols: list[str], probs: list[float], group_cols: li
             lo, hi = F.get(f"sketch_{i}", F.lit(2 * j)), F.get(f"sketch_{i}", F.lit(2 * j + 1))
             out.append((F.col(f"min_{i}") if p - wide <= 0 else F.when(small, F.col(f"min_{i}")).otherwise(lo)).alias(f"lo{j}_{i}"))
             out.append((F.col(f"max_{i}") if p + wide >= 1 else F.when(small, F.col(f"max_{i}")).otherwise(hi)).alias(f"hi{j}_{i}"))
-    return materialize(got.select(*out))
+    return got.select(*out)
 
 
 def _near_cells(rows: DataFrame, cols: list[str], probs: list[float], group_cols: list[str], one: dict | None) -> tuple[DataFrame, DataFrame]:
@@ -284,15 +294,15 @@ def _pick(found: DataFrame, wanted: DataFrame, keys: list[str], probs: list[floa
     return rows.groupBy(*[named(k) for k in keys]).agg(F.max("n").alias("n"), *aggs)
 
 
-def _pick_local(found: DataFrame, wanted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """:func:`_pick` for at most FEW rows, on the driver."""
+def _pick_local(found: list, wanted: list, types: T.StructType, keys: list[str], probs: list[float], spark) -> DataFrame | None:
+    """:func:`_pick` for at most FEW collected rows; None if a bracket missed its rank."""
     import numpy as np
 
     values: dict[tuple, list] = {}
-    for r in found.select(*[named(k) for k in keys], "v", "cnt").collect():
+    for r in found:
         values.setdefault(tuple(r)[:-2], []).append((r["v"], r["cnt"]))
     rows = []
-    for r in wanted.collect():
+    for r in wanted:
         key = tuple(r[k] for k in keys)
         v, cnt = (np.array(x) for x in zip(*sorted(values.get(key, [(0.0, 0)]))))
         picks = []
@@ -302,11 +312,13 @@ def _pick_local(found: DataFrame, wanted: DataFrame, keys: list[str], probs: lis
             pos = float(r["n"] - 1) * p
             for rank in (int(np.floor(pos)), int(np.ceil(pos))):
                 at = int(np.searchsorted(ends, rank, "right"))
-                picks.append(float(v[at]) if at < len(v) and own[at] and rank >= r[f"below{j}"] else None)
+                if at == len(v) or not own[at] or rank < r[f"below{j}"]:
+                    return None
+                picks.append(float(v[at]))
         rows.append((*key, r["n"], *picks))
-    fields = [wanted.schema[k] for k in keys]
+    fields = [types[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("n", T.LongType()), *[T.StructField(f"{x}{j}", T.DoubleType()) for j in range(len(probs)) for x in "ab"]])
-    return found.sparkSession.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema)
 
 
 def _ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: list[str], names: list[str]) -> DataFrame:

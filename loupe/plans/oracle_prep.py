@@ -304,7 +304,7 @@ c AS (SELECT label, count(*) AS n FROM planted WHERE split = 'train' GROUP BY la
 SELECT CAST(label AS INTEGER) AS label, false AS synthetic, CAST(n AS BIGINT) AS rows FROM c
 UNION ALL SELECT CAST(label AS INTEGER), true, CAST((SELECT max(n) FROM c) - n AS BIGINT) FROM c WHERE n < (SELECT max(n) FROM c)""")
 
-_three = "CASE WHEN l_quantity <= 15 THEN 0 WHEN l_quantity <= 35 THEN 1 ELSE 2 END"
+_three = "CASE WHEN label = 1 THEN 2 WHEN l_discount > 0.04 THEN 1 ELSE 0 END"
 for _query, _models in (("q_train_status", ["logistic_regression", "decision_tree", "naive_bayes", "rule_based"]), ("q_train_status_more", ["knn", "random_forest", "svm", "rule_based"])):
     sql(_query, f"""
 WITH {PLANTED_CTE},

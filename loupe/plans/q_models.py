@@ -204,13 +204,16 @@ def q_train_all_models(spark, sf):
 
 
 def _train_status(spark, sf, names):
+    from loupe.operators import scale as S
     from loupe.operators.balance import with_weights
     from loupe.plans.workflow import train_models
-    train, test = _planted(spark, sf)
-    three = F.when(F.col("l_quantity") <= 15, 0).when(F.col("l_quantity") <= 35, 1).otherwise(2)
-    train, test = (d.withColumn("label", three).withColumn("rid", F.xxhash64("row_key")) for d in (train, test))
+    # a rule of two features: the planted rows, and the others cut by the discount
+    three = F.when(F.col("label") == 1, 2).otherwise((F.col("l_discount") > 0.04).cast("int"))
+    train, test = (d.withColumn("label", three).withColumn("rid", F.xxhash64("row_key")) for d in _planted(spark, sf))
+    sp = S.fit_standard(train, PLANTED_FEATURES)
+    train, test = S.apply_standard(train, sp), S.apply_standard(test, sp)
     train = with_weights(train, "label")
-    got = train_models(train, test, ["l_quantity", "l_discount"], "label", "rid", weight="weight", names=(*names, "rule_based"))
+    got = train_models(train, test, PLANTED_FEATURES, "label", "rid", weight="weight", names=(*names, "rule_based"))
     p = got.predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
     base = F.max(F.when(F.col("model") == "rule_based", F.col("accuracy"))).over(Window.partitionBy())
     p = p.withColumn("beats_majority", F.col("accuracy") > base)
@@ -220,7 +223,7 @@ def _train_status(spark, sf, names):
 
 @register("q_train_status")
 def q_train_status(spark, sf):
-    """one status row per model on three classes with class weights (quantity terciles of the planted rows)."""
+    """one status row per model on three classes with class weights (a rule of two of the four scaled features)."""
     return _train_status(spark, sf, ("logistic_regression", "decision_tree", "naive_bayes"))
 
 

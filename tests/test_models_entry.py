@@ -11,6 +11,7 @@ from conftest import SF_SMALL
 from loupe.operators import forest_path as FP
 from loupe.operators import linear_path as LP
 from loupe.operators import models as M
+from loupe.operators import neighbours
 from loupe.operators.neighbours import knn_candidates
 from loupe.plans.fixtures import planted_lineitem
 
@@ -50,8 +51,9 @@ def test_knn_matches_brute_force(spark):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
-def test_pivot_index_finds_the_exact_neighbours(spark, metric):
+def test_pivot_index_finds_the_exact_neighbours(spark, metric, monkeypatch):
     """Clusters, ties and copies; inside classes and across folds; far fewer rings visited than there are."""
+    monkeypatch.setattr(neighbours, "SMALL_BYTES", 0)
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=(900, 2)) * 0.2 + c for c in rng.normal(size=(12, 2)) * 10])[rng.permutation(10_800)[:3000]].round(2)
     x[:200] = x[0]
@@ -71,6 +73,14 @@ def test_pivot_index_finds_the_exact_neighbours(spark, metric):
         want = {int(ids[t]): brute(t, np.flatnonzero(ok(t)), 5) for t in range(3000) if ids[t] % 7 == 0}
         assert got == want
         assert report["visits"] < 0.4 * report["rings"] * report["tests"]
+    assert knn_candidates(df, df.where("id % 7 = 0"), 5, metric, by="label", apart="fold").count() > 0
+    monkeypatch.setattr(neighbours, "SMALL_BYTES", 1 << 30)  # the same rows without an index
+    for by, apart, ok in ((None, None, lambda t: np.ones(3000, bool)), ("label", "fold", lambda t: (grp == grp[t]) & (fold != fold[t]))):
+        got = {}
+        for r in knn_candidates(df, df.where("id % 7 = 0"), 5, metric, by=by, apart=apart).orderBy("test_id", "nb_rank").collect():
+            got.setdefault(r.test_id, []).append((r.train_id, r.dist))
+            assert r.nb_rank == len(got[r.test_id])
+        assert got == {int(ids[t]): brute(t, np.flatnonzero(ok(t)), 5) for t in range(3000) if ids[t] % 7 == 0}
     few = df.where("id < 3")
     assert knn_candidates(few, df.where("id < 9"), 5, metric).count() == 27 and knn_candidates(df.limit(0), few, 5).count() == 0
 
