@@ -300,22 +300,39 @@ def gnb_search(data: DataFrame, features: Sequence[str], label: str, folds: int,
     so one more pass scores every row under all settings of its fold's models.
     """
     from loupe.operators.evaluate import metrics_of_counts
-    from loupe.session import join_small
 
     features = list(features)
+    data = materialize(data.select(*all_named(features), named(label).alias(label), "fold"))
     x = [as_double(f) for f in features]
     moments = data.groupBy("fold", named(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)]).collect()
     part = {(r["fold"], int(r["label"])): (r["n"], np.array([r[f"m{i}"] for i in range(len(x))], float), np.array([r[f"v{i}"] for i in range(len(x))], float)) for r in moments}
     models = [(f, [(f"var_smoothing={s:g}", _gnb_terms([(c, p) for (g, c), p in part.items() if g != f], s)) for s in smoothings]) for f in sorted({f for f, _ in part})]
-    params = data.sparkSession.createDataFrame(
-        models, "fold int, models array<struct<setting:string, classes:array<struct<cls:int, start:double, mean:array<double>, inv:array<double>>>>>")
-    rows = join_small(data.select(F.col("fold").cast("int").alias("fold"), named(label).cast("int").alias("label"), F.array(*x).alias("x")), params, ["fold"])
-    square = lambda a, b: (a - b) * (a - b)
-    fit = lambda c: c["start"] - F.aggregate(F.zip_with(F.zip_with("x", c["mean"], square), c["inv"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    best = lambda m: -F.array_max(F.transform(m["classes"], lambda c: F.struct(fit(c).alias("ll"), (-c["cls"]).alias("neg"))))["neg"]
-    said = rows.select("fold", "label", F.explode(F.transform("models", lambda m: F.struct(m["setting"].alias("setting"), best(m).alias("prediction")))).alias("s"))
-    counts = said.groupBy(F.col("s.setting").alias("setting"), "fold", "label", F.col("s.prediction").alias("prediction")).agg(F.count(F.lit(1)).alias("count"))
+    shared = data.sparkSession.sparkContext.broadcast({f: [(name, *map(np.array, zip(*terms))) for name, terms in each] for f, each in models})
+    rows = data.select(F.col("fold").cast("int").alias("fold"), named(label).cast("int").alias("label"), F.array(*x).alias("x"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        total: dict[tuple, int] = {}
+        for b in batches:
+            fold, y = b.column("fold").to_numpy(), b.column("label").to_numpy()
+            values = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            for f in np.unique(fold):
+                for name, cls, start, mean, inv in shared.value[f]:
+                    at = np.flatnonzero(fold == f)
+                    step = max(1, (1 << 21) // mean.size)
+                    for a in range(0, len(at), step):
+                        mine = at[a:a + step]
+                        says = cls[(start - ((values[mine][:, None] - mean) ** 2 * inv).sum(2)).argmax(1)]  # ties: the smallest class
+                        cells, n = np.unique(np.stack([y[mine], says], 1), axis=0, return_counts=True)
+                        for (t, p), c in zip(cells.tolist(), n.tolist()):
+                            total[name, int(f), t, p] = total.get((name, int(f), t, p), 0) + c
+        yield pa.RecordBatch.from_pylist([dict(zip(("setting", "fold", "label", "prediction", "count"), (*k, c))) for k, c in total.items()], pa.schema(
+            [("setting", pa.string()), ("fold", pa.int32()), ("label", pa.int32()), ("prediction", pa.int32()), ("count", pa.int64())]))
+
+    counts = rows.mapInArrow(run, "setting string, fold int, label int, prediction int, count bigint")
+    counts = counts.groupBy("setting", "fold", "label", "prediction").agg(F.sum("count").alias("count"))
     return metrics_of_counts(counts, ["setting", "fold"]).groupBy("setting").agg(F.avg("f1_score").alias("mean_f1"))
 
 
