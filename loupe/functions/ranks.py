@@ -200,6 +200,11 @@ def exact_quantiles(
     found = near.groupBy(*all_named(keys), "v").agg(F.count(F.lit(1)).alias("cnt"))
     if group_cols:
         found = materialize(found)
+    else:
+        alone = {(c, one[f"lo{j}_{i}"], one[f"at{j}_{i}"]) for i, c in enumerate(cols) for j in range(len(probs)) if one.get(f"at{j}_{i}")}
+        if alone:  # a value may lie in a wider bracket of its column too
+            alone = df.sparkSession.createDataFrame(sorted(alone), "column string, v double, cnt bigint")
+            found = found.unionByName(alone).groupBy("column", "v").agg(F.max("cnt").alias("cnt"))
     rows = found.select(*all_named(keys), "v", "cnt").limit(FEW + 1).collect()
     asked = wanted.limit(FEW + 1).collect() if len(rows) <= FEW else rows
     if len(asked) <= FEW:
@@ -257,6 +262,10 @@ def _near_cells(rows: DataFrame, cols: list[str], probs: list[float], group_cols
     for i, c in enumerate(cols):
         v, near = as_double(c), F.lit(False)
         for j in range(len(probs)):
+            if one is not None and one[f"lo{j}_{i}"] == one[f"hi{j}_{i}"]:  # one value: counted where it stands
+                below.append(F.coalesce(F.sum((v == end(f"lo{j}_{i}")).cast("long")), F.lit(0)).alias(f"at{j}_{i}"))
+                below.append(F.coalesce(F.sum((v < end(f"lo{j}_{i}")).cast("long")), F.lit(0)).alias(f"below{j}_{i}"))
+                continue
             near = near | ((v >= end(f"lo{j}_{i}")) & (v <= end(f"hi{j}_{i}")))
             below.append(F.coalesce(F.sum((v < end(f"lo{j}_{i}")).cast("long")), F.lit(0)).alias(f"below{j}_{i}"))
         near = F.coalesce(near, F.lit(False))
