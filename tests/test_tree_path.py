@@ -1,6 +1,7 @@
 """Trees fitted in shared passes: MLlib's trees, counted rows, bounded work."""
 
 import numpy as np
+import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -42,3 +43,10 @@ def test_equal_rows_are_one_row_with_a_count(spark):
     assert all(len(f.roots) == 30 for f in forest) and len({len(r) for r in np.split(forest[0].left, forest[0].roots[1:])}) > 1
     says = next(FP.votes(forest[0], np.array([[r.a, r.b, r.c] for r in df.collect()]), [6], [30]))[2]
     assert (says == y).mean() > 0.85
+
+
+def test_missing_features_are_refused(spark):
+    for bad in (None, float("inf")):
+        df = spark.createDataFrame([(1.0, 0), (2.0, 1), (bad, 1)], "a double, label int")
+        with pytest.raises(ValueError, match="missing"):
+            M.fit_mllib(df, ["a"], "decision_tree")
