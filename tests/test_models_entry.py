@@ -85,6 +85,34 @@ def test_pivot_index_finds_the_exact_neighbours(spark, metric, monkeypatch):
     assert knn_candidates(few, df.where("id < 9"), 5, metric).count() == 27 and knn_candidates(df.limit(0), few, 5).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_neighbours_in_many_dimensions_by_shelves(spark, metric, monkeypatch):
+    """Rows without structure, ties, copies, nulls and far outliers; a row's vector is sent once per shelf, not once per ring."""
+    monkeypatch.setattr(neighbours, "SMALL_BYTES", 0)
+    monkeypatch.setattr(neighbours, "TILE", 40)
+    sent = []
+    searched = neighbours._searched
+    monkeypatch.setattr(neighbours, "_searched", lambda visits, *rest: sent.append(visits.count()) or searched(visits, *rest))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 14)).round(1)
+    x[:60], x[60:80] = x[0], rng.integers(0, 2, (20, 14))
+    x[80:83] *= 1e12
+    ids, grp, fold = rng.permutation(900), rng.integers(0, 2, 900), rng.integers(0, 3, 900)
+    odd = [(2000, None, 0, 0), (2001, [float("nan")] * 14, 1, 1), (2002, [float("inf")] * 14, 1, 1)]
+    df = spark.createDataFrame([*[(int(i), v.tolist(), int(g), int(f)) for i, v, g, f in zip(ids, x, grp, fold)], *odd], "id long, vec array<double>, label long, fold int").repartition(3)
+    for by, apart, ok in ((None, None, lambda t: np.ones(900, bool)), ("label", None, lambda t: grp == grp[t]), (None, "fold", lambda t: fold != fold[t])):
+        sent.clear()
+        report, got, want = {}, {}, {}
+        for r in knn_candidates(df, df.where("id % 2 = 0"), 5, metric, block_rows=8, by=by, apart=apart, report=report).orderBy("test_id", "nb_rank").collect():
+            got.setdefault(r.test_id, []).append((r.train_id, r.dist))
+        for t in np.flatnonzero(ids % 2 == 0):
+            others = np.flatnonzero(ok(t))
+            d = np.abs(x[others] - x[t]).sum(1) if metric == "manhattan" else np.sqrt(((x[others] - x[t]) ** 2).sum(1))
+            want[int(ids[t])] = [(int(ids[others][j]), float(d[j])) for j in np.lexsort((ids[others], d))[:5]]
+        assert got == want
+        assert report["tests"] == 450 and sum(sent) < 0.5 * report["visits"]
+
+
 def test_csv_round_trip_with_missing_tokens(spark):
     from loupe.sources.csv import read_csv, write_results
     d = tempfile.mkdtemp(prefix="loupe-csv-")
