@@ -246,3 +246,28 @@ def test_linear_paths_reach_the_optimum(spark):
     three = df.withColumn("label", (F.col("`a b`") > 4).cast("int") + (F.col("`a b`") > 6).cast("int"))
     assert _acc(LP.predict(three, LP.fit_logistic(three, f, "label", 3, 100.0), 3)) > 0.85
     assert _acc(LP.predict(three, LP.fit_svm(three, f, "label", 3, 100.0), 3)) > 0.6
+
+
+@pytest.mark.parametrize("rff", [None, "scale"])
+def test_large_linear_fits_begin_near_the_optimum(spark, rff, monkeypatch):
+    """A fit on some of the rows comes first; the one over all rows stops by the same rule, after far fewer passes."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 3))
+    df = spark.createDataFrame([(*map(float, v), int(v[0] * v[1] + v[2] > 0), i % 3, 1.0 + i % 2) for i, v in enumerate(x)], "a double, b double, c double, label int, fold int, w double").repartition(3)
+    f = ["a", "b", "c"]
+    fourier = M.rff_params(df, f, rff, 20, 1) if rff else None
+    settings = [(-1, 1.0), (0, 1.0), (1, 0.1)]
+    for weight, kind in ((None, "hinge"), ("w", "logistic")):
+        monkeypatch.setattr(LP, "WARM_ROWS", 1 << 21)
+        cold = LP.blocks_of(df, f, "label", 2, F.col("fold"), weight, fourier)
+        one = LP.fit_path(cold, kind, settings, tol=1e-3)
+        monkeypatch.setattr(LP, "WARM_ROWS", 1500)
+        warm = LP.blocks_of(df, f, "label", 2, F.col("fold"), weight, fourier)
+        two = LP.fit_path(warm, kind, settings, tol=1e-3)
+        assert cold.some is None and warm.some.agg(F.sum("n")).first()[0] in range(1490, 1511) and warm.rows.agg(F.sum("n")).first()[0] == 6000
+        assert two.passes < one.passes and two.slope.max() < 5e-3
+        assert np.abs(LP.fit_sigmoid(one)[0] - LP.fit_sigmoid(two)[0]) < 0.2
+        said = [{(r.model, r.label, r.prediction): r["count"] for r in LP.held_out_confusion(p).collect()} for p in (one, two)]
+        assert all(abs(said[0].get(c, 0) - said[1].get(c, 0)) < 60 for c in said[0])
+        cold.close()
+        warm.close()
