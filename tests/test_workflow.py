@@ -120,6 +120,34 @@ def test_search_reports_its_setting_and_failures_are_rows(spark):
         train_models(df, df, ["a"], "y", "k", names=("no_such_model",))
 
 
+def test_a_failure_does_not_look_like_a_result(spark, monkeypatch):
+    from loupe.operators import models as M
+    from loupe.plans.catalog import queries
+    rows = [(i, float(i % 2) + (i * 7919 % 100) / 300, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, y int")
+    names = ("naive_bayes", "decision_tree", "rule_based")
+    train = lambda: train_models(df.where("k % 5 > 0"), df.where("k % 5 = 0"), ["a"], "y", "k", names=names)
+    assert train().complete().status.count() == 3
+    fit_predict, broken = M.fit_predict, {}
+
+    def failing(*args, **kw):  # the other models answer as the majority, which is quick
+        if args[3] == "decision_tree":
+            raise broken["by"]
+        return fit_predict(*args[:3], "rule_based", *args[4:], **kw)
+
+    monkeypatch.setattr(M, "fit_predict", failing)
+    broken["by"] = RuntimeError("executor lost")  # not the model's fault: no row of the result
+    with pytest.raises(RuntimeError, match="executor lost"):
+        train()
+    broken["by"] = ValueError("refused")
+    got = train()
+    assert {r["model"]: r["status"] for r in got.status.collect()} == {"naive_bayes": "ok", "decision_tree": "failed", "rule_based": "ok"}
+    with pytest.raises(RuntimeError, match="decision_tree.*refused"):
+        got.complete()
+    with pytest.raises(RuntimeError, match="decision_tree.*refused"):  # a comparison of six models is not that of all
+        queries()["q_train_all_models"](spark, SF_SMALL)
+
+
 def test_smote_with_few_neighbours(spark):
     from loupe.operators.balance import smote
     df = spark.createDataFrame([(i, float(i), 0) for i in range(40)] + [(100 + i, float(i), 1) for i in range(3)], "k long, x double, y int")
