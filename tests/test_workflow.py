@@ -148,6 +148,54 @@ def test_a_failure_does_not_look_like_a_result(spark, monkeypatch):
         queries()["q_train_all_models"](spark, SF_SMALL)
 
 
+def test_models_share_what_they_read(spark, monkeypatch):
+    from loupe.operators import linear_path, tree_path
+    made = {"blocks_of": 0, "binned": 0}
+
+    def counting(module, name):
+        make = getattr(module, name)
+
+        def run(*args, **kw):
+            made[name] += 1
+            return make(*args, **kw)
+        monkeypatch.setattr(module, name, run)
+
+    counting(linear_path, "blocks_of")
+    counting(tree_path, "binned")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = [(i, float(i % 2) + (i * 7919 % 100) / 300, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, y int")
+    test = df.where("k % 5 = 0").withColumn("a", F.udf(seen, "double")("a"))
+    got = train_models(df.where("k % 5 > 0"), test, ["a"], "y", "k").complete()
+    assert got.predictions.groupBy("model").count().where("count = 12").count() == len(MODEL_NAMES)
+    assert made == {"blocks_of": 1, "binned": 1} and read.value == 12  # the test rows were made once
+
+
+def test_auc_of_scores_in_many_slices_and_batches(spark):
+    from loupe.operators.evaluate import auc
+    rows = [(f"m{i % 3}", None if i % 41 == 0 else i * 7919 % 2, None if i % 43 == 0 else float(i * 104729 % 97) / 97 if i % 3 else 0.5) for i in range(900)]
+    df = spark.createDataFrame(rows, "`a.model` string, y int, score double")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r[0]: r["auc"] for r in auc(df, ["a.model"], "y", "score").collect()}
+        whole = auc(df, None, "y", "score").first()["auc"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+    def pairs(some):
+        pos, neg = [s for _, y, s in some if y == 1 and s is not None], [s for _, y, s in some if y == 0 and s is not None]
+        return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+
+    assert len(got) == 3 and all(abs(a - pairs([r for r in rows if r[0] == m])) < 1e-12 for m, a in got.items())
+    assert abs(whole - pairs(rows)) < 1e-12
+
+
 def test_smote_with_few_neighbours(spark):
     from loupe.operators.balance import smote
     df = spark.createDataFrame([(i, float(i), 0) for i in range(40)] + [(100 + i, float(i), 1) for i in range(3)], "k long, x double, y int")
